@@ -85,28 +85,23 @@ def _block(units: Column) -> Column:
 
 
 def rounded(units: DataFrame, largest: int, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """units (rank, id struct<doc_id, size>, f in (0,1), w) to (rank, id, c 0 or 1). largest: most units of a source."""
-    decided, level = [], 0
-    now = units
+    """units (rank, many, id struct<doc_id, size>, f in (0,1), w) to (rank, id, c 0 or 1).
+
+    many is at least the units of a source, largest the largest of these: they give the number of blocks, so that no
+    step needs a source's rows together."""
+    decided, level, now = [], 0, units
     while True:
-        sizes = now.groupBy("rank").agg(F.ceil(F.count("*") / block).alias("blocks"))
-        one = now.join(sizes, "rank").withColumn("r", _uniform(F.lit(seed + level), "rank", "id"))
-        one = one.withColumn("block", F.pmod(F.xxhash64(F.lit(seed - 1 - level), "id"), F.col("blocks")))
-        folded = one.groupBy("rank", "block").agg(_block(F.sort_array(F.collect_list(F.struct("r", "id", "f", "w")))).alias("x"))
+        one = now.withColumn("many", F.ceil(F.col("many") / block)).withColumn("r", _uniform(F.lit(seed + level), "rank", "id"))
+        one = one.withColumn("block", F.pmod(F.xxhash64(F.lit(seed - 1 - level), "id"), F.col("many")))
+        folded = one.groupBy("rank", "many", "block").agg(_block(F.sort_array(F.collect_list(F.struct("r", "id", "f", "w")))).alias("x"))
         folded = stored(folded, f"fold{level}")
         decided.append(folded.select("rank", F.inline("x.out")))
-        now = folded.select("rank", "x.id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "x.f")).alias("f"), "x.w")
+        now = folded.select("rank", "many", "x.id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "x.f")).alias("f"), "x.w")
         level += 1
-        if largest <= block:
+        largest = -(-largest // block)
+        if largest <= 1:
             break
-        largest = -(-largest // block) * 2  # blocks vary in size about block; a level too many does no harm
-        if largest <= 2:
-            largest = 1
-    # Sources of several blocks left may have more than one; they meet in one last block of each source.
-    last = now.withColumn("r", _uniform(F.lit(seed + 1000), "rank", "id")).groupBy("rank").agg(_block(F.sort_array(F.collect_list(F.struct("r", "id", "f", "w")))).alias("x"))
-    last = stored(last, "root")
-    decided.append(last.select("rank", F.inline("x.out")))
-    decided.append(last.select("rank", F.col("x.id").alias("id"), (F.col("x.f") >= 0.5).cast("int").alias("c")))
+    decided.append(now.select("rank", "id", (F.col("f") >= 0.5).cast("int").alias("c")))
     return reduce(DataFrame.unionAll, decided)
 
 
@@ -122,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     x = F.when(F.col("size") > 0, per * F.col("rows")).otherwise(0.0)
     units = units.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     units = units.withColumn("base", F.floor(x + _EPS)).withColumn("f", x - F.col("base"))
-    open_ = units.where(F.col("f") > _EPS).select("rank", F.struct("doc_id", "size").alias("id"), "f", F.col("size").cast("double").alias("w"))
+    open_ = units.where(F.col("f") > _EPS).select("rank", F.col("units").alias("many"), F.struct("doc_id", "size").alias("id"), "f", F.col("size").cast("double").alias("w"))
     chosen = rounded(open_, largest, seed).select(F.col("rank").alias("k"), F.col("id.doc_id").alias("d"), F.col("id.size").alias("z"), "c").where("c = 1")
     units = units.join(chosen, (F.col("rank") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("size") == F.col("z")), "left")
     units = units.withColumn("all", F.col("base") + F.coalesce("c", F.lit(0))).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, pii
+from . import bpe, chat, decontam, minhash, mixing, pii, quality, toxicity
 from .common import table
 
 
@@ -27,8 +27,26 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.tag(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("toxic_spans")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op3_chat, op6_tokens, op7_mixing)}
+    return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_chat, op6_tokens, op7_mixing, op8_near_duplicates, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
