@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-ERRORS = 0.07
+ERRORS = 0.08
 SHORTEST = 24
 BLOCK = 8_000_000
 _OTHER = re.compile(r"[\W_]+")
