@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, minhash, mixing, pii, quality, toxicity
+from . import bpe, chat, decontam, minhash, mixing, pii, pq, quality, toxicity, warc
 from .common import table
 
 
@@ -19,6 +19,14 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_trees(chat.chain(rows)))
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_digest(table(spark, sf_dir, "pages"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -46,8 +54,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_chat, op6_tokens, op7_mixing, op8_near_duplicates, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_chat, op4_near_vectors, op5_warc, op6_tokens, op7_mixing, op8_near_duplicates, op9_quality, op10_toxicity)}
+
+
+SQL = {
+    "op5_warc": """
+        with p as (select page_id, coalesce(html, '') html, octet_length(encode(coalesce(html, ''))) n from pages),
+        f as (select page_id, n, sha1(encode(html)) d, max(page_id) over (partition by html) last from p)
+        select page_id, n::bigint payload_bytes, d payload_digest,
+               case when n >= 1000 and last <> page_id then 'revisit' else 'response' end record_type,
+               case when n >= 1000 and last <> page_id then last end refers_to, null::varchar problem
+        from f""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
