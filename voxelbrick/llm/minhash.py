@@ -188,7 +188,8 @@ def _unpacked(batches):
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs: kept is doc_id = component_id.
 
-    doc_id must be unique and not null; null texts count as empty; other columns are ignored."""
+    Null texts count as empty, other columns are ignored. Rows of one doc_id each give a row and are one document: its sets are compared
+    alike. A row without doc_id has no component of its own and isn't kept."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sketches = stored(sketch(docs, k), "sketches")
@@ -224,4 +225,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     out = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     # A class's smallest id stands for it, so a component's smallest representative is its smallest member.
     component = F.coalesce("component", "rep")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

@@ -105,11 +105,30 @@ def rounded(units: DataFrame, largest: int, seed: int = SEED, block: int = BLOCK
     return reduce(DataFrame.unionAll, decided)
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
     """docs (doc_id, text, source) to one row per document: doc_id, source, size, source_size, target, copies, taken.
 
-    Other columns are dropped. An empty table gives no rows."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size"))
+    options: weights, share, most, seed. Other columns are dropped. An empty table gives no rows."""
+    return _mixed(docs, **options).drop("nth")
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the mix takes, with all their columns, and size, source_size, target, copies, taken (replaced if there)."""
+    made = ["size", "source_size", "target", "copies", "taken"]
+    docs = _sized(docs.drop(*made))
+    same = Window.partitionBy("source", "doc_id", "size").orderBy("text")
+    numbered = docs.withColumn("nth", F.row_number().over(same).cast("long"))
+    took = _mixed(docs, **options).where("copies > 0").select(*[F.col(c).alias(f"_{c}") for c in ("nth", "doc_id", "source", *made)])
+    on = F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("size") == F.col("_size")) & (F.col("nth") == F.col("_nth"))
+    return numbered.join(took, on).select(*[c for c in docs.columns if c != "size"], *[F.col(f"_{c}").alias(c) for c in made])
+
+
+def _mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+    sized = _sized(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size")
     units = stored(sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("rows")), "units")
     goal = stored(targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("units")), weights, share, most), "targets")
     largest = goal.agg(F.max("units")).first()[0] or 0
@@ -122,4 +141,4 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     units = units.join(chosen, (F.col("rank") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("size") == F.col("z")), "left")
     units = units.withColumn("all", F.col("base") + F.coalesce("c", F.lit(0))).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
     copies = F.floor(F.col("all") / F.col("rows")) + (F.col("nth") <= F.col("all") % F.col("rows")).cast("long")
-    return units.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return units.select("nth", "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
