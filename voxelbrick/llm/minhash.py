@@ -2,16 +2,18 @@
 
 A text's set is its distinct k-word shingles (A-Z in lower case; fewer words make one shingle; no word: empty,
 linked with nothing). Shingles are dealt to BUCKETS by their hash; SEEDS multiplicative orders give each bucket
-its registers: the least value's leading zeros (6 bits) and MANTISSA bits after its first one. A band is ROWS
+its registers: the least value's leading zeros (5 bits) and MANTISSA bits after its first one, a byte. A band is ROWS
 registers of one bucket. Two sets of Jaccard similarity s agree in a register of bucket g with probability s_g,
-and some bucket has s_g >= s, so that with ROWS 8 and 64 bands a pair at 0.8 is missed with less than 1e-5.
+and some bucket has s_g >= s, so that with 48 bands of 7 a pair at 0.8 is missed with about 1e-5.
 
 Steps, each of them written to the shared folder:
 1. sketch: one map over the texts. Equal sets are one class from here on, its smallest id stands for it.
 2. links: members of a band's bucket are paired with its smallest and its largest member, not all with all;
-   pairs whose collision-corrected estimate is far below the threshold go, the rest are confirmed on full sets.
-3. Components of the links. A bucket with members in several components isn't settled: its members are then
-   compared across components, by pairs where they are few (PAIRS), by an exact prefix join where they are many.
+   pairs whose collision-corrected estimate is far below the threshold go, the rest are counted on full sets.
+3. Components of the links. A bucket with members in several components isn't settled: members of other components
+   than its largest are compared with the rest. The Jaccard distance is a metric, so two members whose similarities to
+   the bucket's smallest member differ by more than the threshold's distance can't be linked and are passed over.
+   A bucket with more than STRAYS members outside its largest component goes to an exact prefix join instead.
 4. Components again, and each class's members take its component.
 """
 
@@ -24,20 +26,20 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, dropped, map_texts, mix, shingle_hashes, stored, texts_of
 
-BUCKETS, SEEDS, ROWS = 4, 128, 8
-MANTISSA = 10
+BUCKETS, SEEDS, ROWS = 4, 84, 7
+MANTISSA = 3
 REGISTERS = BUCKETS * SEEDS
 BANDS = REGISTERS // ROWS
 #: Pairs are confirmed from this many standard deviations of the estimate below the threshold.
 SIGMAS = 5.0
-#: Unsettled members of one band's bucket that are still compared by pairs.
-PAIRS = 64
+#: Members of one band's bucket outside its largest component that are still compared by pairs.
+STRAYS = 256
 _MULTIPLIERS = (np.random.default_rng(20240607).integers(0, 1 << 32, SEEDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
-_EMPTY = np.uint16(0xFFFF)
+_EMPTY = np.uint8(0xFF)
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
-    """REGISTERS uint16 for sorted distinct 64-bit hashes, bucket by bucket; an empty bucket's are _EMPTY."""
+    """REGISTERS bytes for sorted distinct 64-bit hashes, bucket by bucket; an empty bucket's are _EMPTY."""
     out = np.full((BUCKETS, SEEDS), 0xFFFFFFFF, np.uint32)
     cut = np.searchsorted(shingles, np.arange(BUCKETS + 1, dtype=np.uint64) * np.uint64((1 << 64) // BUCKETS)) if len(shingles) else np.zeros(BUCKETS + 1, int)
     cut[-1] = len(shingles)
@@ -52,7 +54,7 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     zeros = 32 - length
     shift = np.maximum(length - 1 - MANTISSA, 0)
     mantissa = (v.astype(np.int64) >> shift) & ((1 << MANTISSA) - 1)
-    return np.where(full, ((np.minimum(zeros, 62) << MANTISSA) | mantissa).astype(np.uint16), _EMPTY)
+    return np.where(full, np.minimum((np.minimum(zeros, 31) << MANTISSA) | mantissa, 254).astype(np.uint8), _EMPTY)
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
@@ -96,7 +98,7 @@ def _bands(reps: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = np.stack([band_keys(np.frombuffer(r, np.uint16)) for r in b.column(1).to_pylist()])
+            keys = np.stack([band_keys(np.frombuffer(r, np.uint8)) for r in b.column(1).to_pylist()])
             ids = np.repeat(np.asarray(b.column(0)), BANDS)
             flat = keys.ravel()
             keep = flat != 0
@@ -105,27 +107,27 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("id", "regs").mapInArrow(run, "key long, id long")
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose estimated similarity is at least `least`, give or take SIGMAS deviations."""
+def _estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """pairs (a, b) with bounds low and high of their similarity, SIGMAS deviations about the estimate, and at most the ratio of the sizes."""
     one = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("regs").alias(f"r{c}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b")
-    # a bound on sizes alone: the similarity is at most the ratio of the sizes
-    both = both.where(F.least("na", "nb") >= F.lit(least - 1e-9) * F.greatest("na", "nb"))
 
     def run(batches):
         for x in batches:
             if not x.num_rows:
                 continue
-            get = lambda c: np.frombuffer(b"".join(x.column(x.schema.get_field_index(c)).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            get = lambda c: np.frombuffer(b"".join(x.column(x.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(-1, REGISTERS)
             num = lambda c: np.asarray(x.column(x.schema.get_field_index(c))).astype(np.float64)
-            ra, rb = get("ra"), get("rb")
+            ra, rb, na, nb = get("ra"), get("rb"), num("na"), num("nb")
             used = ((ra != _EMPTY) | (rb != _EMPTY)).sum(axis=1)
-            # Of few shingles the registers are not independent: such a pair always goes on to be confirmed.
-            low = least - SIGMAS * np.sqrt(least * (1 - least) * (1 / used + 1 / np.maximum(np.minimum(num("na"), num("nb")), 1)))
-            keep = pa.array(estimate(ra, rb, num("na"), num("nb")) >= low)
-            yield pa.RecordBatch.from_arrays([x.column(x.schema.get_field_index(c)).filter(keep) for c in "ab"], names=["a", "b"])
+            # Of few shingles the registers are not independent, so the sizes are in the bound too.
+            slack = SIGMAS * np.sqrt(least * (1 - least) * (1 / used + 1 / np.minimum(na, nb)))
+            guess = estimate(ra, rb, na, nb)
+            high = np.minimum(guess + slack, np.minimum(na, nb) / np.maximum(na, nb))
+            low = np.clip(guess - slack, 0, high)
+            yield pa.RecordBatch.from_arrays([*(x.column(x.schema.get_field_index(c)) for c in "ab"), pa.array(low), pa.array(high)], names=["a", "b", "low", "high"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, low double, high double")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -138,9 +140,8 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return map_texts(docs.join(ids, "id", "left_semi").select("id", "text"), fn, "id long, set binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, counted on the full sets."""
-    pairs = stored(pairs, "pairs")
+def _counted(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with their similarity and linked: 100 * intersection >= percent * union, counted on the full sets."""
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     sets = stored(_sets(docs, ids, k), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
@@ -148,15 +149,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     def run(batches):
         for x in batches:
             a, b, sa, sb = (x.column(x.schema.get_field_index(c)) for c in ("a", "b", "sa", "sb"))
-            keep = []
+            same, union = np.zeros(x.num_rows), np.zeros(x.num_rows)
             for i in range(x.num_rows):
                 p, q = np.frombuffer(sa[i].as_py(), np.uint64), np.frombuffer(sb[i].as_py(), np.uint64)
-                common = len(p) + len(q) - len(np.union1d(p, q))
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+                union[i] = len(np.union1d(p, q))
+                same[i] = len(p) + len(q) - union[i]
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(same / np.maximum(union, 1)), pa.array(100 * same >= percent * union)], names=["a", "b", "s", "linked"])
 
-    return stored(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
+    out = stored(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, s double, linked boolean"), "counted")
+    dropped(sets)
+    return out
 
 
 def _prefix_pairs(docs: DataFrame, many: DataFrame, k: int, percent: int) -> DataFrame:
@@ -195,33 +197,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     sketches = stored(sketch(docs, k), "sketches")
     classes = sketches.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     members = stored(sketches.select("id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
-    reps = stored(sketches.join(members.where("n > 0 and id = rep").select("id"), "id", "left_semi").select("id", "n", "regs"), "reps")
-    dropped(sketches)
-
-    bands = stored(_bands(reps), "bands")
+    sketches = sketches.where("n > 0").select("id", "n", "regs")
+    bands = stored(_bands(sketches.join(members.where("n > 0 and id = rep").select("id"), "id", "left_semi")), "bands")
     met = bands.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     met = stored(bands.join(met, "key"), "met")
     dropped(bands)
+
+    least = percent / 100
     ends = F.array(F.struct(F.col("first").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("last").alias("b")))
     pairs = met.select(F.explode(ends).alias("p")).select("p.*").where("a < b").distinct()
-    links = _confirmed(_likely(pairs, reps, percent / 100), docs, k, percent)
+    guessed = stored(_estimated(pairs, sketches, least), "guessed")
+    counted = _counted(guessed.where(F.col("high") >= least).select("a", "b"), docs, k, percent)
+    links = counted.where("linked").select("a", "b")
     parts = stored(components(links), "parts")
 
-    # Buckets whose members are in several components: what neither the first nor the neighbour has linked.
-    known = met.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    known = stored(known, "known")
-    open_ = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).where("low < high and rows > 2")
-    open_ = stored(known.join(open_.select("key", "rows"), "key"), "open")
-    few = open_.where(F.col("rows") <= PAIRS)
-    other = few.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-    across = few.withColumnRenamed("id", "a").join(other, "key").where("a < b and component <> other").select("a", "b").distinct()
-    many = stored(open_.where(F.col("rows") > PAIRS).select("id", "component").distinct(), "many")
-    more = _likely(across, reps, percent / 100)
+    # Buckets whose members are in several components.
+    known = met.select("key", "first", "id").join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
+    known = stored(known.select("key", "first", "id", F.coalesce("component", "id").alias("component")), "known")
+    sides = known.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    sides = sides.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.sum("rows").alias("all"), F.max("rows").alias("most"), F.count("*").alias("sides"))
+    sides = sides.where("sides > 1 and all > 2").select("key", "main", (F.col("all") - F.col("most")).alias("strays"))
+    scores = guessed.join(counted.select("a", "b", "s"), ["a", "b"], "left").select(F.col("a").alias("first"), F.col("b").alias("id"), F.coalesce("s", "low").alias("low"), F.coalesce("s", "high").alias("high"))
+    open_ = known.join(sides, "key").join(scores, ["first", "id"], "left")
+    open_ = stored(open_.select("key", "id", "component", "main", "strays", *[F.when(F.col("id") == F.col("first"), 1.0).otherwise(F.col(c)).alias(c) for c in ("low", "high")]), "open")
+    few = open_.where(F.col("strays") <= STRAYS)
+    other = few.select("key", F.col("id").alias("y"), F.col("component").alias("other"), F.col("main").alias("m"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    slack = 1 - least + 1e-9
+    near = (F.col("low") - F.col("high2") <= slack) & (F.col("low2") - F.col("high") <= slack)
+    across = few.where("component <> main").join(other, "key").where((F.col("component") != F.col("other")) & ((F.col("other") == F.col("m")) | (F.col("id") < F.col("y")))).where(near)
+    across = across.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
+    many = stored(open_.where(F.col("strays") > STRAYS).select("id", "component").distinct(), "many")
     if many.take(1):
-        more = more.unionAll(_likely(_prefix_pairs(docs, many, k, percent), reps, percent / 100)).distinct()
-    extra = _confirmed(more, docs, k, percent)
+        across = across.unionAll(_prefix_pairs(docs, many, k, percent)).distinct()
+    fresh = across.join(guessed, ["a", "b"], "left_anti")
+    extra = _counted(stored(_estimated(fresh, sketches, least).where(F.col("high") >= least).select("a", "b"), "fresh"), docs, k, percent).where("linked")
     if extra.take(1):
-        parts = stored(components(links.unionAll(extra)), "parts")
+        parts = stored(components(links.unionAll(extra.select("a", "b"))), "parts")
     out = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     # A class's smallest id stands for it, so a component's smallest representative is its smallest member.
     component = F.coalesce("component", "rep")
