@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, mix, shingle_hashes
 
-SAMPLE, LONGEST = 1500, 20_000
+SAMPLE, LONGEST = 1000, 20_000
 THRESHOLD = 0.5
 FOLDS, HELD_OUT = 5, 0
 ROUNDS, RATE, L2 = 40, 0.4, 1e-3
