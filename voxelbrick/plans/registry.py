@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelbrick.plans import volumes
+from voxelbrick.plans import tables, volumes
 
-MODULES = (volumes,)
+MODULES = (volumes, tables)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ SQL = {
     "roi_pts": "roi_pts as (select l_orderkey roi_id, cast(l_partkey as double)+cast(l_discount as double) px, cast(l_suppkey as double)+cast(l_tax as double) py, cast(l_linenumber as int) slice from lineitem)",
     "slices": "slices as (select distinct 'Ex_'||(405+50*l_linenumber)||'_deskewed_stitched' dir, 'img_'||l_orderkey||'_'||l_partkey||'.tif' file from lineitem)",
     "catalog": "catalog as (select cast(s_suppkey as int) owner, s_suppkey||'/'||file path, level, timepoint, channel, nz, ny, nx, 'DataSet/ResolutionLevel '||level||'/TimePoint '||timepoint||'/Channel '||channel||'/Data' dataset_key from supplier, (values " + ", ".join(map(str, LEVELS)) + ") t(file, level, timepoint, channel, nz, ny, nx))",
-    "run_log": "run_log as (select cast(event_id as bigint) step, event_type channel, case event_id%3 when 0 then 'estimate' when 1 then 'apply' else 'write' end stage, cast(value as double) seconds from events)",
+    "run_log": "run_log as (select cast(event_id as bigint) step, event_type channel, case event_id%3 when 0 then 'estimate' when 1 then 'apply' else 'write' end stage, cast(value as double) as seconds from events)",
 }
 
 
