@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelbrick.plans import tables, volumes
+from voxelbrick.plans import files, tables, volumes
 
-MODULES = (volumes, tables)
+MODULES = (volumes, tables, files)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
