@@ -29,7 +29,7 @@ def to_uint16(df: DataFrame, mode: str = "clip", group: list[str] | None = None)
     group (a volume, or a chunk of one). Not finite: 0. A group without range: 0."""
     v = F.when(finite(F.col("v").cast("double")), F.col("v").cast("double"))
     if mode == "clip":
-        return df.withColumn("v", F.coalesce(F.rint(F.greatest(F.lit(0.0), F.least(F.lit(65535.0), v))), F.lit(0.0)).cast("int"))
+        return df.withColumn("v", F.coalesce(F.when(v.isNotNull(), F.rint(F.greatest(F.lit(0.0), F.least(F.lit(65535.0), v)))), F.lit(0.0)).cast("int"))
     group = group or ["volume_id", "channel"]
     if mode == "minmax":
         ends = df.groupBy(*group).agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
@@ -39,7 +39,7 @@ def to_uint16(df: DataFrame, mode: str = "clip", group: list[str] | None = None)
         raise ValueError(f"unknown mode {mode}")
     part = (v - F.col("lo")) / (F.col("hi") - F.col("lo"))
     scaled = F.rint(F.greatest(F.lit(0.0), F.least(F.lit(1.0), part)) * 65535)
-    return df.join(ends, group).withColumn("v", F.coalesce(F.when(F.col("hi") > F.col("lo"), scaled), F.lit(0.0)).cast("int")).drop("lo", "hi")
+    return df.join(ends, group).withColumn("v", F.coalesce(F.when(v.isNotNull() & (F.col("hi") > F.col("lo")), scaled), F.lit(0.0)).cast("int")).drop("lo", "hi")
 
 
 def robust_uint8(df: DataFrame, group: list[str]) -> DataFrame:
@@ -49,7 +49,7 @@ def robust_uint8(df: DataFrame, group: list[str]) -> DataFrame:
     flat = F.col("q")[1] <= F.col("q")[0]
     ends = ends.select(*group, F.when(flat, F.col("mn")).otherwise(F.col("q")[0]).alias("lo"), F.when(flat, F.col("mx")).otherwise(F.col("q")[1]).alias("hi"))
     part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - F.col("lo")) / (F.col("hi") - F.col("lo"))))
-    return df.join(ends, group).withColumn("u8", F.coalesce(F.when(F.col("hi") > F.col("lo"), F.floor(part * 255)), F.lit(0)).cast("int")).drop("lo", "hi")
+    return df.join(ends, group).withColumn("u8", F.coalesce(F.when(finite(v) & (F.col("hi") > F.col("lo")), F.floor(part * 255)), F.lit(0)).cast("int")).drop("lo", "hi")
 
 
 def array_stats(df: DataFrame, group: list[str]) -> DataFrame:

@@ -27,7 +27,7 @@ _DTYPES = {(8, 1): "u1", (16, 1): "u2", (32, 3): "f4"}
 
 def _pages(data: bytes) -> Iterator[tuple[str, dict]]:
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None:
+    if order is None or len(data) < 16:
         raise ValueError("not a TIFF file")
     version = struct.unpack_from(order + "H", data, 2)[0]
     if version not in (42, 43):
