@@ -31,7 +31,7 @@ MANTISSA = 3
 REGISTERS = BUCKETS * SEEDS
 BANDS = REGISTERS // ROWS
 #: Pairs are confirmed from this many standard deviations of the estimate below the threshold.
-SIGMAS = 5.0
+SIGMAS = 4.0
 #: Members of one band's bucket outside its largest component that are still compared by pairs.
 STRAYS = 256
 _MULTIPLIERS = (np.random.default_rng(20240607).integers(0, 1 << 32, SEEDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -120,8 +120,8 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame
             num = lambda c: np.asarray(x.column(x.schema.get_field_index(c))).astype(np.float64)
             ra, rb, na, nb = get("ra"), get("rb"), num("na"), num("nb")
             used = ((ra != _EMPTY) | (rb != _EMPTY)).sum(axis=1)
-            # Of few shingles the registers are not independent, so the sizes are in the bound too.
-            slack = SIGMAS * np.sqrt(least * (1 - least) * (1 / used + 1 / np.minimum(na, nb)))
+            # Buckets of few shingles differ in size, though each counts alike in the estimate.
+            slack = SIGMAS * np.sqrt(least * (1 - least) * (1 / used + (BUCKETS / np.minimum(na, nb)) ** 2))
             guess = estimate(ra, rb, na, nb)
             high = np.minimum(guess + slack, np.minimum(na, nb) / np.maximum(na, nb))
             low = np.clip(guess - slack, 0, high)
