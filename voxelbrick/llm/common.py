@@ -68,6 +68,16 @@ def map_texts(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def hashed_sample(df: DataFrame, key: str, most: int, rows: int) -> DataFrame:
+    """At most `most` of df's rows (about `rows` in number): those with the smallest hash of key.
+
+    Rows far above the expected cut are filtered first, so that what tasks send for the choice doesn't grow with their number."""
+    if rows > 2 * most:
+        df = df.where(F.pmod(F.xxhash64(F.lit(1), key), F.lit(1 << 40)) < int((1 << 40) * 1.5 * most / rows))
+        return df.orderBy(F.pmod(F.xxhash64(F.lit(1), key), F.lit(1 << 40)), key).limit(most)
+    return df.orderBy(F.xxhash64(key), key).limit(most)
+
+
 # ---------------------------------------------------------------- words
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)

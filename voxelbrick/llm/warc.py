@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, hashed_sample, stored
 
 # Fixed values of the WARC-Zstandard and Zstandard formats.
 SKIPPABLE, SKIPPABLE_MASK, DICTIONARY_MAGIC, ZSTD_MAGIC = 0x184D2A5D, 0xFFFFFFF0, b"\x37\xa4\x30\xec", b"\x28\xb5\x2f\xfd"
@@ -141,9 +141,9 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
     The dictionary is trained on at most SAMPLE pages, those with the smallest hash; it is left out if they are few."""
     spark = pages.sparkSession
     bounded_batches(spark)
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    many = max(1, -(-total // archive_bytes))
-    sample = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).select(F.substring("html", 1, 20_000).alias("h")).collect()
+    total, n = pages.agg(F.sum(F.octet_length("html")), F.count("html")).first()
+    many = max(1, -(-(total or 0) // archive_bytes))
+    sample = hashed_sample(pages.where("html is not null"), "page_id", SAMPLE, n).select(F.substring("html", 1, 20_000).alias("h")).collect()
     texts = [x.h.encode() for x in sample if x.h]
     try:
         dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes() if len(texts) >= 20 else b""
