@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, hashed_sample, stored
 
 COSINE = 0.93
 SAMPLE, LIST_SIZE, MOST_LISTS = 16_384, 256, 1024
@@ -139,8 +139,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         return alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     good = stored(good.where(F.size("v") == usual.d), "vectors")
     classes = stored(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toPandas()
+    largest, n = classes.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
+    sample = hashed_sample(classes, "rep", SAMPLE, n).select("v").toPandas()
     index = Index(units(sample["v"]), largest, float(np.sqrt(2 - 2 * cosine)))
     spark = vectors.sparkSession
     sent = spark.sparkContext.broadcast(index)
