@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: the long name of a transform type that has a short one.
 ALIAS = {"QuickSyN": "antsRegistrationSyNQuick[s]"}
 
 
