@@ -11,15 +11,15 @@ Steps, each of them written to the shared folder:
 2. links: members of a band's bucket are paired with its smallest and its largest member, not all with all;
    pairs whose collision-corrected estimate is far below the threshold go, the rest are counted on full sets.
 3. Components of the links. A bucket with members in several components isn't settled: members of other components
-   than its largest are compared with the rest. The Jaccard distance is a metric, so two members whose similarities to
-   the bucket's smallest member differ by more than the threshold's distance can't be linked and are passed over.
-   A bucket with more than STRAYS members outside its largest component goes to an exact prefix join instead.
+   than its largest (strays) are compared with the rest, all buckets of one largest component together, in blocks.
+   A bucket with more than STRAYS strays goes to an exact prefix join instead.
 4. Components again, and each class's members take its component.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +34,7 @@ BANDS = REGISTERS // ROWS
 SIGMAS = 4.0
 #: Members of one band's bucket outside its largest component that are still compared by pairs.
 STRAYS = 256
+BLOCK = 512
 _MULTIPLIERS = (np.random.default_rng(20240607).integers(0, 1 << 32, SEEDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 _EMPTY = np.uint8(0xFF)
 
@@ -75,6 +76,11 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return (same - chance) / (1 - chance)
 
 
+def _slack(least: float, used: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """SIGMAS deviations of an estimate: of its registers, and of buckets of few shingles, which count alike but differ in size."""
+    return SIGMAS * np.sqrt(least * (1 - least) * (1 / np.maximum(used, 1) + (BUCKETS / np.maximum(n, 1)) ** 2))
+
+
 def sketch(docs: DataFrame, k: int) -> DataFrame:
     """(id, h1, h2, n, regs): the set's 128-bit digest, size and registers. docs: (id long, text)."""
 
@@ -120,8 +126,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame
             num = lambda c: np.asarray(x.column(x.schema.get_field_index(c))).astype(np.float64)
             ra, rb, na, nb = get("ra"), get("rb"), num("na"), num("nb")
             used = ((ra != _EMPTY) | (rb != _EMPTY)).sum(axis=1)
-            # Buckets of few shingles differ in size, though each counts alike in the estimate.
-            slack = SIGMAS * np.sqrt(least * (1 - least) * (1 / used + (BUCKETS / np.minimum(na, nb)) ** 2))
+            slack = _slack(least, used, np.minimum(na, nb))
             guess = estimate(ra, rb, na, nb)
             high = np.minimum(guess + slack, np.minimum(na, nb) / np.maximum(na, nb))
             low = np.clip(guess - slack, 0, high)
@@ -161,6 +166,52 @@ def _counted(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return out
 
 
+def _across(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join a stray (component <> main) with another component among the rows (main, id, component) of
+    its main: at least one for each stray and component that have any.
+
+    Strays and rows of one main meet in blocks of about BLOCK, so that neither a large component nor many strays are
+    held by one task. In a block estimates go first, then full sets are counted, and only links leave the task."""
+    sets = stored(_sets(docs, rows.select("id").distinct(), k), "sets")
+    cuts = rows.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if(F.col("component") != F.col("main")) / BLOCK).alias("cuts"))
+    full = rows.join(cuts, "main").join(sets, "id")
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["main", "block", "cut", "id", "component", "set"]
+    data = full.where("cuts > 0").withColumn("block", at("blocks")).withColumn("cut", each("cuts")).select(*columns).toDF(*columns)
+    strays = full.where("component <> main").withColumn("cut", at("cuts")).withColumn("block", each("blocks")).select(*columns).toDF(*columns)
+    least = percent / 100
+
+    def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(d):
+            stacked = lambda x: [np.frombuffer(s, np.uint64) for s in x["set"]]
+            qs, ds = stacked(q), stacked(d)
+            regs, n = np.stack([registers(s) for s in ds]), np.array([len(s) for s in ds], float)
+            ids, parts, main = d["id"].to_numpy(), d["component"].to_numpy(), d["main"].iloc[0]
+            for i, own, x in zip(q["id"], q["component"], qs, strict=True):
+                m = np.full(len(n), float(len(x)))
+                r = registers(x)
+                used = ((regs != _EMPTY) | (r != _EMPTY)).sum(axis=1)
+                guess = np.minimum(estimate(regs, r[None], n, m) + _slack(least, used, np.minimum(n, m)), np.minimum(n, m) / np.maximum(n, m))
+                # two strays meet twice: once is enough
+                maybe = np.flatnonzero((guess >= least) & (parts != own) & ((parts == main) | (ids > i)))
+                done = set()
+                for j in maybe[np.argsort(-guess[maybe], kind="stable")]:
+                    if parts[j] in done:
+                        continue
+                    y = ds[j]
+                    k = np.searchsorted(y, x)
+                    same = int((y[np.minimum(k, len(y) - 1)] == x).sum())
+                    if 100 * same >= percent * (len(x) + len(y) - same):
+                        done.add(parts[j])
+                        out.append((i, ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    found = strays.groupBy("main", "block", "cut").cogroup(data.groupBy("main", "block", "cut")).applyInPandas(meet, "a long, b long")
+    return stored(found, "across")
+
+
 def _prefix_pairs(docs: DataFrame, many: DataFrame, k: int, percent: int) -> DataFrame:
     """Exact candidates among the documents of many (id, component): sets of enough similarity share a shingle among
     the first n - ceil(t * n) + 1 of each when shingles are ordered from rare to common (Chaudhuri et al. 2006)."""
@@ -217,22 +268,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     sides = known.groupBy("key", "component").agg(F.count("*").alias("rows"))
     sides = sides.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.sum("rows").alias("all"), F.max("rows").alias("most"), F.count("*").alias("sides"))
     sides = sides.where("sides > 1 and all > 2").select("key", "main", (F.col("all") - F.col("most")).alias("strays"))
-    scores = guessed.join(counted.select("a", "b", "s"), ["a", "b"], "left").select(F.col("a").alias("first"), F.col("b").alias("id"), F.coalesce("s", "low").alias("low"), F.coalesce("s", "high").alias("high"))
-    open_ = known.join(sides, "key").join(scores, ["first", "id"], "left")
-    open_ = stored(open_.select("key", "id", "component", "main", "strays", *[F.when(F.col("id") == F.col("first"), 1.0).otherwise(F.col(c)).alias(c) for c in ("low", "high")]), "open")
-    few = open_.where(F.col("strays") <= STRAYS)
-    other = few.select("key", F.col("id").alias("y"), F.col("component").alias("other"), F.col("main").alias("m"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    slack = 1 - least + 1e-9
-    near = (F.col("low") - F.col("high2") <= slack) & (F.col("low2") - F.col("high") <= slack)
-    across = few.where("component <> main").join(other, "key").where((F.col("component") != F.col("other")) & ((F.col("other") == F.col("m")) | (F.col("id") < F.col("y")))).where(near)
-    across = across.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
+    open_ = stored(known.join(sides, "key").select("id", "component", "main", "strays"), "open")
+    extra = _across(open_.where(F.col("strays") <= STRAYS).select("main", "id", "component").distinct(), docs, k, percent)
     many = stored(open_.where(F.col("strays") > STRAYS).select("id", "component").distinct(), "many")
     if many.take(1):
-        across = across.unionAll(_prefix_pairs(docs, many, k, percent)).distinct()
-    fresh = across.join(guessed, ["a", "b"], "left_anti")
-    extra = _counted(stored(_estimated(fresh, sketches, least).where(F.col("high") >= least).select("a", "b"), "fresh"), docs, k, percent).where("linked")
+        rest = _estimated(_prefix_pairs(docs, many, k, percent).join(guessed, ["a", "b"], "left_anti"), sketches, least)
+        rest = stored(rest.where(F.col("high") >= least).select("a", "b"), "rest")
+        extra = extra.unionAll(_counted(rest, docs, k, percent).where("linked").select("a", "b"))
+    extra = stored(extra, "extra")
     if extra.take(1):
-        parts = stored(components(links.unionAll(extra.select("a", "b"))), "parts")
+        parts = stored(components(links.unionAll(extra)), "parts")
     out = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     # A class's smallest id stands for it, so a component's smallest representative is its smallest member.
     component = F.coalesce("component", "rep")
