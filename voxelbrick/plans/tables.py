@@ -85,7 +85,7 @@ def s12_roi_text(spark, sf_dir):
 
 def s13_manifest(spark, sf_dir):
     """Rows to JSON texts and back, registered_tif before registered, volume files only."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").cast("int").alias("channel"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, ".json").otherwise(".nrrd")).alias("registered"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("c"), F.col("o_orderkey").cast("string"), F.lit(".TIF"))).alias("registered_tif"), F.round(F.col("o_totalprice").cast("double") / 1000, 2).alias("elapsed_seconds"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").cast("int").alias("channel"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, ".json").otherwise(".nrrd")).alias("registered"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("c"), F.col("o_orderkey").cast("string"), F.lit(".TIF"))).alias("registered_tif"), F.col("o_totalprice").cast("double").alias("elapsed_seconds"))
     return M.read_manifest(M.write_manifest(o, "run"), "run")
 
 
@@ -365,7 +365,7 @@ SQL = {
     "s12_roi_text": """with r as (select l_orderkey, l_linenumber, case l_linenumber%3 when 0 then [l_partkey, l_suppkey, 0, l_partkey+q, l_suppkey+q-3, q] when 1 then [l_partkey, l_suppkey, 1, l_partkey+q, l_suppkey+5, 3] else [l_partkey, l_suppkey, 0, l_suppkey, l_partkey, 9] end b
         from (select *, cast(trunc(l_quantity) as int) q from lineitem)), g as (select *, b[4]>b[1] and b[5]>b[2] and b[6]>b[3] and list_min(b)>=0 ok from r)
         select l_orderkey, l_linenumber, """ + ", ".join(f"cast(case when ok then b[{i + 1}] end as int) {c}" for i, c in enumerate(("x0", "y0", "z0", "x1", "y1", "z1"))) + " from g",
-    "s13_manifest": "select o_custkey run, cast(o_orderkey as int) channel, case when o_orderkey%3=0 then 'c'||o_orderkey||'.TIF' else 'c'||o_orderkey||'.nrrd' end path, round(cast(o_totalprice as double)/1000, 2) elapsed_seconds from orders where o_orderkey%3=0 or o_orderkey%5<>0",
+    "s13_manifest": "select o_custkey run, cast(o_orderkey as int) channel, case when o_orderkey%3=0 then 'c'||o_orderkey||'.TIF' else 'c'||o_orderkey||'.nrrd' end path, cast(o_totalprice as double) elapsed_seconds from orders where o_orderkey%3=0 or o_orderkey%5<>0",
     "s14_metrics_summary": "select event_type channel, " + ", ".join(f"round({f}(value) filter (event_id%2={i}), 6) {p}_{n}" for i, p in ((0, "before"), (1, "after")) for n, f in (("ncc", "avg"), ("nmi", "max"), ("nrmse", "min"))) + " from events group by 1",
     "a9_roi_bbox": X.sql("roi_pts") + f"select roi_id, {_INTS}, x1<=x0 or y1<=y0 as empty from (select roi_id, floor(min(px)) x0, ceil(max(px)) x1, floor(min(py)) y0, ceil(max(py)) y1, 0 z0, 1568 z1 from roi_pts group by 1)",
     "a10_roi_union": X.sql("roi_pts").replace("cast(l_linenumber as int) slice", "case when l_orderkey%4<>0 then cast(l_linenumber as int)-1 end slice") + f"select roi_id, {_INTS.replace('cast(z0 as', 'cast(coalesce(z0, 3) as').replace('cast(z1 as', 'cast(coalesce(z1, 9) as')} from ({_UNION})",
