@@ -133,6 +133,27 @@ def test_vectors(spark):
     assert pq.near_vectors(_vectors(spark, rows[-8:-7])).count() == 1 and pq.near_vectors(_vectors(spark, [])).count() == 0
 
 
+def _links(x):
+    """(links of each vector, smallest vector reachable) by brute force."""
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = v @ v.T >= 0.93
+    label = np.arange(len(v))
+    while (low := np.array([label[n].min() for n in near])).tolist() != label.tolist():
+        label = low
+    return near.sum(1) - 1, label
+
+
+def test_vectors_near_a_subspace(spark, monkeypatch):
+    """Many lists in 64 dimensions, vectors near few of them: no link across lists is lost."""
+    monkeypatch.setattr(pq, "LIST_SIZE", 16)
+    rng = np.random.default_rng(8)
+    x = np.float32(rng.normal(size=(1500, 3)) @ rng.normal(size=(3, 64)) + rng.normal(scale=0.02, size=(1500, 64))).astype(float)
+    got = {r.vec_id: r for r in pq.near_vectors(_vectors(spark, [(i, v.tolist(), 1, 0) for i, v in enumerate(x)])).collect()}
+    links, label = _links(x)
+    assert [got[i].n_links for i in range(len(x))] == links.tolist()
+    assert [got[i].component_id for i in range(len(x))] == label.tolist()
+
+
 def test_warc_round_trip(spark):
     big = "<p>é</p>" * 200
     rows = [(1, "http://a", big, 1), (2, None, big, 1), (3, "u\r\nv", big, 1), (4, "", "small", 1), (5, "x", "small", 1), (6, "x", None, 1), (7, "x", "", 1), (8, "x", LONG, 1)]

@@ -6,10 +6,10 @@ vectors, other lengths than the most frequent one's and vectors with null or non
 1. Equal vectors of a label are one class with a count; the smallest vec_id stands for it.
 2. Coarse centroids and residual codebooks are fitted on at most SAMPLE classes, those with the smallest hash (a
    documented bound); every class is indexed: list, and one code byte for each of PARTS parts of its residual.
-3. Each class probes its own list and the lists that may hold a vector near enough: a vector at distance r from q can be
-   in list c only if its step across the plane midway between c and q's own centroid reaches it. Steps in d dimensions
-   have a part along one direction of r / sqrt(d) on average; lists within REACH times that are probed. (With REACH
-   sqrt(d) no link can be lost; in high dimensions that probes nearly all lists.) Recall is measured in the tests.
+3. Links go both ways, so a class probes its own list and those after it, and leaves out only what can't hold a link: lists
+   whose midway plane between their centroid and the class's own is farther than the threshold's distance, and lists whose
+   nearest and farthest vectors from their centroid exclude one by the triangle inequality. No link is lost by that; in
+   64 dimensions it may leave most lists.
 4. Lists are cut in blocks of about BLOCK classes, on either side, so that no list or label is held by one task.
    Within a pair of blocks, asymmetric table lookups give distances, those up to the threshold's plus SLACK are
    candidates, and exact cosines decide. Counts are summed; only a spanning forest of the links leaves the task.
@@ -29,9 +29,12 @@ COSINE = 0.93
 SAMPLE, LIST_SIZE, MOST_LISTS = 16_384, 256, 1024
 PARTS, CODES = 16, 256
 BLOCK = 1024
-REACH = 4.0
 #: Squared distances from the lookup may be this much larger than the true ones (residual quantisation error).
 SLACK = 0.25
+#: Allowance for rounding in distances that exclude.
+NEAR = 1e-6
+#: Pairs whose exact cosines are taken at once.
+AT_ONCE = 65_536
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -52,8 +55,9 @@ class Index:
         """rows: classes of the most frequent label, which make the number of lists."""
         rng = np.random.default_rng(seed)
         lists = int(np.clip(rows // LIST_SIZE, 1, min(MOST_LISTS, max(1, len(sample) // 16))))
-        self.radius, self.reach = radius, radius * min(1.0, REACH / np.sqrt(sample.shape[1]))
+        self.radius = radius
         self.coarse = _kmeans(sample, lists, 8, rng)
+        self.apart = np.stack([np.sqrt(((self.coarse - c) ** 2).sum(axis=1)) for c in self.coarse])
         rest = sample - self.coarse[self.nearest(sample)]
         cuts = np.linspace(0, sample.shape[1], min(PARTS, sample.shape[1]) + 1).astype(int)
         self.cuts = list(zip(cuts, cuts[1:], strict=False))
@@ -66,11 +70,14 @@ class Index:
         rest = x - self.coarse[lists]
         return np.stack([(rest[:, a:b] @ k.T - 0.5 * (k * k).sum(axis=1)).argmax(axis=1).astype(np.uint8) for (a, b), k in zip(self.cuts, self.books, strict=True)], axis=1)
 
-    def probes(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """(n, lists) booleans: the lists whose side of the midway plane is within reach."""
-        d2 = ((x * x).sum(axis=1)[:, None] + (self.coarse**2).sum(axis=1)) - 2 * x @ self.coarse.T
-        apart = np.sqrt(np.maximum(((self.coarse[own][:, None] - self.coarse[None]) ** 2).sum(axis=2), 1e-12))
-        return (d2 - d2[np.arange(len(x)), own][:, None]) / (2 * apart) <= self.reach + 1e-9
+    def far(self, x: np.ndarray) -> np.ndarray:
+        """(n, lists) distances to the centroids."""
+        return np.sqrt(np.maximum(((x * x).sum(axis=1)[:, None] + (self.coarse**2).sum(axis=1)) - 2 * x @ self.coarse.T, 0))
+
+    def probes(self, far: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """(n, lists) booleans: own list and later ones whose side of the midway plane is within the radius. far: from far()."""
+        step = (far**2 - far[np.arange(len(far)), own][:, None] ** 2) / (2 * np.maximum(self.apart[own], 1e-6))
+        return (step <= self.radius + NEAR) & (np.arange(len(self.coarse)) >= own[:, None])
 
     def lookup(self, q: np.ndarray, c: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances (queries, vectors of list c) by tables of q's residual against the codebooks."""
@@ -105,24 +112,31 @@ def _forest(links: np.ndarray, size: int) -> np.ndarray:
 
 
 def _matched(queries: pd.DataFrame, data: pd.DataFrame, index: Index, cosine: float) -> pd.DataFrame:
-    """A block of queries against a block of one list: links counted for each query, and the smallest class it reaches here."""
+    """A block of queries against a block of one list: links counted for each class, and the smallest class it reaches here.
+
+    A pair of one list comes both ways and counts for its query; other pairs come once and count for both."""
     if not len(queries) or not len(data):
         return pd.DataFrame({"rep": [], "links": [], "root": []})
     q, x = units(queries["v"]), units(data["v"])
     codes = np.frombuffer(b"".join(data["codes"]), np.uint8).reshape(len(data), -1)
-    near = index.lookup(q, int(data["list"].iloc[0]), codes) <= index.radius**2 + SLACK
+    here = int(data["list"].iloc[0])
+    near = index.lookup(q, here, codes) <= index.radius**2 + SLACK
+    near &= np.abs(index.far(q)[:, here][:, None] - data["mid"].to_numpy()) <= index.radius + NEAR
     i, j = np.nonzero(near)
     qi, dj = queries["rep"].to_numpy(), data["rep"].to_numpy()
     keep = qi[i] != dj[j]
     i, j = i[keep], j[keep]
-    exact = np.einsum("nd,nd->n", q[i], x[j]) >= cosine
+    cuts = [slice(k, k + AT_ONCE) for k in range(0, len(i), AT_ONCE)]
+    exact = np.concatenate([np.zeros(0, bool), *(np.einsum("nd,nd->n", q[i[k]], x[j[k]]) >= cosine for k in cuts)])
     i, j = i[exact], j[exact]
     links = np.bincount(i, data["copies"].to_numpy()[j], len(q)).astype(np.int64)
+    other = queries["own"].to_numpy()[i] != here
+    back = np.bincount(j[other], queries["copies"].to_numpy()[i[other]], len(x)).astype(np.int64)
     names, place = np.unique(np.concatenate([qi, dj]), return_inverse=True)
     root = _forest(np.stack([place[i], place[len(qi) + j]], axis=1), len(names)) if len(i) else np.arange(len(names))
     linked = np.unique(np.concatenate([place[i], place[len(qi) + j]]))
     count = np.zeros(len(names), np.int64)
-    np.add.at(count, place[: len(qi)], links)
+    np.add.at(count, place, np.concatenate([links, back]))
     return pd.DataFrame({"rep": names[linked], "links": count[linked], "root": names[root[linked]]})
 
 
@@ -151,21 +165,25 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 x = units(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
                 own = sent.value.nearest(x)
                 codes = [bytes(c) for c in sent.value.codes(x, own)]
-                probes = [np.flatnonzero(p).astype(np.int32) for p in sent.value.probes(x, own)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(own.astype(np.int32)), pa.array(codes, pa.binary()), pa.array(probes, pa.list_(pa.int32()))], names=["label", "v", "rep", "copies", "list", "codes", "probes"])
+                far = sent.value.far(x)
+                probes = [[{"list": int(c), "far": float(f[c])} for c in np.flatnonzero(p)] for p, f in zip(sent.value.probes(far, own), far, strict=True)]
+                mid = far[np.arange(len(x)), own]
+                made = [pa.array(own.astype(np.int32)), pa.array(mid), pa.array(codes, pa.binary()), pa.array(probes, pa.list_(pa.struct([("list", pa.int32()), ("far", pa.float64())])))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *made], names=["label", "v", "rep", "copies", "list", "mid", "codes", "probes"])
 
     kind, array = (classes.schema[c].dataType.simpleString() for c in ("label", "v"))
-    coded_ = classes.select("label", "v", "rep", "copies").mapInArrow(coded, f"label {kind}, v {array}, rep long, copies long, list int, codes binary, probes array<int>")
+    coded_ = classes.select("label", "v", "rep", "copies").mapInArrow(coded, f"label {kind}, v {array}, rep long, copies long, list int, mid double, codes binary, probes array<struct<list:int,far:double>>")
     coded_ = stored(coded_, "coded")
-    blocks = coded_.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = coded_.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("mid").alias("inner"), F.max("mid").alias("outer"))
     blocks = stored(blocks, "blocks")
-    asks = coded_.select("label", "v", "rep", F.explode("probes").alias("list"))
+    asks = coded_.select("label", "v", "rep", "copies", F.col("list").alias("own"), F.explode("probes").alias("p")).select("label", "v", "rep", "copies", "own", "p.list", "p.far")
+    asks = asks.join(blocks, ["label", "list"]).where(F.col("far").between(F.col("inner") - index.radius - NEAR, F.col("outer") + index.radius + NEAR)).drop("far", "blocks", "inner", "outer")
     sides = asks.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("sides"))
     both = stored(blocks.join(sides, ["label", "list"]), "cuts")
     asks = asks.join(both, ["label", "list"]).withColumn("side", F.pmod(F.xxhash64("rep"), "sides").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     data = coded_.join(both, ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     key = ["label", "list", "block", "side"]
-    asks, data = asks.select(*key, "rep", "v").toDF(*key, "rep", "v"), data.select(*key, "rep", "v", "codes", "copies").toDF(*key, "rep", "v", "codes", "copies")
+    asks, data = asks.select(*key, "rep", "v", "own", "copies").toDF(*key, "rep", "v", "own", "copies"), data.select(*key, "rep", "v", "mid", "codes", "copies").toDF(*key, "rep", "v", "mid", "codes", "copies")
     found = asks.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(lambda q, d: _matched(q, d, sent.value, cosine), "rep long, links long, root long")
     found = stored(found, "found")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
