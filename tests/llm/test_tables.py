@@ -154,6 +154,18 @@ def test_vectors_near_a_subspace(spark, monkeypatch):
     assert [got[i].component_id for i in range(len(x))] == label.tolist()
 
 
+def test_vectors_outside_the_sample(spark, monkeypatch):
+    """Few vectors far from the many that the codebooks are fitted on link as they should."""
+    monkeypatch.setattr(pq, "SAMPLE", 128)
+    rng = np.random.default_rng(9)
+    cone = rng.normal(size=64) + rng.normal(scale=0.05, size=(1500, 64))
+    x = np.float32(np.concatenate([cone, np.repeat(rng.normal(size=(20, 64)), 3, axis=0) + rng.normal(scale=0.1, size=(60, 64))])).astype(float)
+    got = {r.vec_id: r for r in pq.near_vectors(_vectors(spark, [(i, v.tolist(), 1, 0) for i, v in enumerate(x)])).collect()}
+    links, label = _links(x)
+    assert [got[i].n_links for i in range(len(x))] == links.tolist()
+    assert [got[i].component_id for i in range(len(x))] == label.tolist()
+
+
 def test_warc_round_trip(spark):
     big = "<p>é</p>" * 200
     rows = [(1, "http://a", big, 1), (2, None, big, 1), (3, "u\r\nv", big, 1), (4, "", "small", 1), (5, "x", "small", 1), (6, "x", None, 1), (7, "x", "", 1), (8, "x", LONG, 1)]

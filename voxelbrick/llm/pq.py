@@ -11,8 +11,8 @@ vectors, other lengths than the most frequent one's and vectors with null or non
    nearest and farthest vectors from their centroid exclude one by the triangle inequality. No link is lost by that; in
    64 dimensions it may leave most lists.
 4. Lists are cut in blocks of about BLOCK classes, on either side, so that no list or label is held by one task.
-   Within a pair of blocks, asymmetric table lookups give distances, those up to the threshold's plus SLACK are
-   candidates, and exact cosines decide. Counts are summed; only a spanning forest of the links leaves the task.
+   Within a pair of blocks, asymmetric table lookups give distances to coded vectors; those up to the threshold's plus
+   the vector's own quantisation error are candidates, so none is lost however the codes fit, and exact cosines decide. Counts are summed; only a spanning forest of the links leaves the task.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ COSINE = 0.93
 SAMPLE, LIST_SIZE, MOST_LISTS = 16_384, 256, 1024
 PARTS, CODES = 16, 256
 BLOCK = 1024
-#: Squared distances from the lookup may be this much larger than the true ones (residual quantisation error).
-SLACK = 0.25
 #: Allowance for rounding in distances that exclude.
 NEAR = 1e-6
 #: Pairs whose exact cosines are taken at once.
@@ -70,6 +68,11 @@ class Index:
         rest = x - self.coarse[lists]
         return np.stack([(rest[:, a:b] @ k.T - 0.5 * (k * k).sum(axis=1)).argmax(axis=1).astype(np.uint8) for (a, b), k in zip(self.cuts, self.books, strict=True)], axis=1)
 
+    def errors(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Distances of vectors from what their codes stand for."""
+        rest = x - self.coarse[lists]
+        return np.sqrt(sum(((rest[:, a:b] - k[codes[:, p]]) ** 2).sum(axis=1) for p, ((a, b), k) in enumerate(zip(self.cuts, self.books, strict=True))))
+
     def far(self, x: np.ndarray) -> np.ndarray:
         """(n, lists) distances to the centroids."""
         return np.sqrt(np.maximum(((x * x).sum(axis=1)[:, None] + (self.coarse**2).sum(axis=1)) - 2 * x @ self.coarse.T, 0))
@@ -120,7 +123,7 @@ def _matched(queries: pd.DataFrame, data: pd.DataFrame, index: Index, cosine: fl
     q, x = units(queries["v"]), units(data["v"])
     codes = np.frombuffer(b"".join(data["codes"]), np.uint8).reshape(len(data), -1)
     here = int(data["list"].iloc[0])
-    near = index.lookup(q, here, codes) <= index.radius**2 + SLACK
+    near = np.sqrt(np.maximum(index.lookup(q, here, codes), 0)) <= index.radius + data["error"].to_numpy() + NEAR
     near &= np.abs(index.far(q)[:, here][:, None] - data["mid"].to_numpy()) <= index.radius + NEAR
     i, j = np.nonzero(near)
     qi, dj = queries["rep"].to_numpy(), data["rep"].to_numpy()
@@ -164,15 +167,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             if b.num_rows:
                 x = units(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
                 own = sent.value.nearest(x)
-                codes = [bytes(c) for c in sent.value.codes(x, own)]
+                codes = sent.value.codes(x, own)
+                error = sent.value.errors(x, own, codes)
                 far = sent.value.far(x)
                 probes = [[{"list": int(c), "far": float(f[c])} for c in np.flatnonzero(p)] for p, f in zip(sent.value.probes(far, own), far, strict=True)]
                 mid = far[np.arange(len(x)), own]
-                made = [pa.array(own.astype(np.int32)), pa.array(mid), pa.array(codes, pa.binary()), pa.array(probes, pa.list_(pa.struct([("list", pa.int32()), ("far", pa.float64())])))]
-                yield pa.RecordBatch.from_arrays([*b.columns, *made], names=["label", "v", "rep", "copies", "list", "mid", "codes", "probes"])
+                made = [pa.array(own.astype(np.int32)), pa.array(mid), pa.array(error), pa.array([bytes(c) for c in codes], pa.binary()), pa.array(probes, pa.list_(pa.struct([("list", pa.int32()), ("far", pa.float64())])))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *made], names=["label", "v", "rep", "copies", "list", "mid", "error", "codes", "probes"])
 
     kind, array = (classes.schema[c].dataType.simpleString() for c in ("label", "v"))
-    coded_ = classes.select("label", "v", "rep", "copies").mapInArrow(coded, f"label {kind}, v {array}, rep long, copies long, list int, mid double, codes binary, probes array<struct<list:int,far:double>>")
+    coded_ = classes.select("label", "v", "rep", "copies").mapInArrow(coded, f"label {kind}, v {array}, rep long, copies long, list int, mid double, error double, codes binary, probes array<struct<list:int,far:double>>")
     coded_ = stored(coded_, "coded")
     blocks = coded_.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("mid").alias("inner"), F.max("mid").alias("outer"))
     blocks = stored(blocks, "blocks")
@@ -183,7 +187,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     asks = asks.join(both, ["label", "list"]).withColumn("side", F.pmod(F.xxhash64("rep"), "sides").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     data = coded_.join(both, ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     key = ["label", "list", "block", "side"]
-    asks, data = asks.select(*key, "rep", "v", "own", "copies").toDF(*key, "rep", "v", "own", "copies"), data.select(*key, "rep", "v", "mid", "codes", "copies").toDF(*key, "rep", "v", "mid", "codes", "copies")
+    asks, data = asks.select(*key, "rep", "v", "own", "copies").toDF(*key, "rep", "v", "own", "copies"), data.select(*key, "rep", "v", "mid", "error", "codes", "copies").toDF(*key, "rep", "v", "mid", "error", "codes", "copies")
     found = asks.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(lambda q, d: _matched(q, d, sent.value, cosine), "rep long, links long, root long")
     found = stored(found, "found")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
