@@ -101,6 +101,17 @@ def test_chat_chain(spark):
     assert chat.format_trees(chat.chain(df.where("false"))).count() == 0
 
 
+def test_chat_without_conversation_id(spark):
+    """Null conv_id is one conversation: its branches, ranks and digests come out like those of any other."""
+    rows = [(c, *r) for c in (None, 5) for r in ((1, None, "user", "q", 0.0), (2, 1, "assistant", "bad", 0.1), (3, 1, "assistant", "good", 0.9), (4, 3, "user", "more", None))]
+    tree = spark.createDataFrame(rows, "conv_id long, node_id long, parent_id long, role string, text string, score double")
+    got = sorted((r.conv_id or 0, r.leaf, r.path_rank, [t for _, t in chat.parsed(r.formatted)]) for r in chat.format_trees(tree, keep=None).collect())
+    assert got == [(c, *r) for c in (0, 5) for r in ((2, 2, ["q", "bad"]), (4, 1, ["q", "good", "more"]))]
+    flat = spark.createDataFrame([(c, i, "assistant", f"t{i}") for c in (None, 5) for i in range(9)], "conv_id long, turn long, role string, text string")
+    a, b = sorted((tuple(r) for r in chat.chat_digest(chat.format_trees(chat.chain(flat))).collect()), key=str)
+    assert {a[0], b[0]} == {None, 5} and a[1:] == b[1:] and a[1] == 9
+
+
 def test_chat_branches(spark):
     tree = spark.createDataFrame([(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", 0.1), (1, 3, 1, "assistant", "good", 0.9), (1, 4, 3, "user", "more", None), (2, 7, 99, "user", "orphan", 1.0)], "conv_id long, node_id long, parent_id long, role string, text string, score double")
     got = [(r.conv_id, r.leaf, r.path_rank, [t for _, t in chat.parsed(r.formatted)]) for r in chat.format_trees(tree, keep=None).orderBy("conv_id", "path_rank").collect()]

@@ -8,7 +8,8 @@ each chosen path becomes one text:
 
 Inside a text every `<`, backslashes, `|` gets one backslash more, so that no control string can appear in it;
 reading back takes one away. In a role, %, |, < and > are percent-encoded. loss_spans are the code points of
-each assistant's text, end exclusive, as written (escaped). Null texts and roles count as empty.
+each assistant's text, end exclusive, as written (escaped). Null texts and roles count as empty. The messages of null
+conv_id are one conversation like any other, with null conv_id in the result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,14 @@ END = "<|end|>\n"
 _ROLE = (("%", "%25"), ("|", "%7C"), ("<", "%3C"), (">", "%3E"))
 
 
+def _joined(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a.join(b, keys, how), but the null conv_id meets itself."""
+    for k in keys:
+        b = b.withColumnRenamed(k, f"of_{k}")
+    on = [F.col(k).eqNullSafe(F.col(f"of_{k}")) if k == "conv_id" else F.col(k) == F.col(f"of_{k}") for k in keys]
+    return a.join(b, on, how).drop(*[f"of_{k}" for k in keys])
+
+
 def chain(messages: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as trees without branches: by turn, ties by role and text; score 0."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
@@ -40,17 +49,17 @@ def paths(tree: DataFrame) -> DataFrame:
     that isn't there makes a root. A cycle raises ValueError. Hot conversations are split, keys are messages."""
     ids = tree.select("conv_id", "node_id", "parent_id")
     here = ids.select("conv_id", F.col("node_id").alias("parent_id"))
-    jump = stored(ids.where("parent_id is not null").join(here, ["conv_id", "parent_id"], "left_semi").select("conv_id", "node_id", F.col("parent_id").alias("up")), "jump")
-    leaves = ids.join(jump.select("conv_id", F.col("up").alias("node_id")), ["conv_id", "node_id"], "left_anti")
+    jump = stored(_joined(ids.where("parent_id is not null"), here, ["conv_id", "parent_id"], "left_semi").select("conv_id", "node_id", F.col("parent_id").alias("up")), "jump")
+    leaves = _joined(ids, jump.select("conv_id", F.col("up").alias("node_id")), ["conv_id", "node_id"], "left_anti")
     found = leaves.select("conv_id", F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("back"))
     step = 1
     while (n := jump.count()) > 0:
         if step > (1 << 40) or step > 2 * n + 2**20:
             raise ValueError("the replies form a cycle")
-        more = found.join(jump, ["conv_id", "node_id"]).select("conv_id", "leaf", F.col("up").alias("node_id"), (F.col("back") + step).alias("back"))
+        more = _joined(found, jump, ["conv_id", "node_id"]).select("conv_id", "leaf", F.col("up").alias("node_id"), (F.col("back") + step).alias("back"))
         found = stored(found.unionAll(more), "paths")
         above = jump.select("conv_id", F.col("node_id").alias("up"), F.col("up").alias("up2"))
-        jump = stored(jump.join(above, ["conv_id", "up"]).select("conv_id", "node_id", F.col("up2").alias("up")), "jump")
+        jump = stored(_joined(jump, above, ["conv_id", "up"]).select("conv_id", "node_id", F.col("up2").alias("up")), "jump")
         step *= 2
     return found
 
@@ -66,7 +75,7 @@ def format_trees(tree: DataFrame, keep: int | None = 1) -> DataFrame:
     a conversation. A null score counts as 0."""
     steps = paths(tree)
     scored = tree.select("conv_id", "node_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    ranked = steps.join(scored, ["conv_id", "node_id"]).groupBy("conv_id", "leaf").agg(F.sum("score").alias("path_score"))
+    ranked = _joined(steps, scored, ["conv_id", "node_id"]).groupBy("conv_id", "leaf").agg(F.sum("score").alias("path_score"))
     ranked = ranked.withColumn("path_rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("path_score"), "leaf")))
     if keep is not None:
         ranked = ranked.where(F.col("path_rank") <= keep)
@@ -74,7 +83,7 @@ def format_trees(tree: DataFrame, keep: int | None = 1) -> DataFrame:
     for a, b in _ROLE:
         role = F.replace(role, F.lit(a), F.lit(b))
     body = tree.select("conv_id", "node_id", F.concat(F.lit("<|turn:"), role, F.lit("|>\n")).alias("head"), escaped(F.col("text")).alias("body"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("learn"))
-    rows = steps.join(ranked, ["conv_id", "leaf"]).join(body, ["conv_id", "node_id"])
+    rows = _joined(_joined(steps, ranked, ["conv_id", "leaf"]), body, ["conv_id", "node_id"])
     before = Window.partitionBy("conv_id", "leaf").orderBy(F.desc("back"))
     whole = F.length("head") + F.length("body") + len(END)
     rows = rows.withColumn("start", F.sum(whole.cast("long")).over(before) - F.length("body") - len(END))
