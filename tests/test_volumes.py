@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from voxelbrick.functions import kernels as K
 from voxelbrick.operators import bricks as B
 from voxelbrick.operators import estimate, intensity, metrics, resample, tiling
+from voxelbrick.plans import volumes
+from voxelbrick.sources import fixtures as X
 from voxelbrick.sources import tiff
 
 SHAPE = (9, 11, 13)
@@ -169,3 +171,23 @@ def test_stream_leaves_out_what_is_there(spark, tmp_path):
     n = go("c1").count()
     assert go("c1").count() == n and go("c2").count() == n
     assert np.array_equal(array(go("c1"), SHAPE)[:-1], v[1:])
+
+
+def _still_in(region):
+    """X.shifted, but the voxels of a region stay where they are."""
+    real = X.shifted
+
+    def shifted(v, by, shape):
+        return real(v, by, shape).where(f"not ({region})").unionByName(v.where(region))
+
+    return shifted
+
+
+def test_shift_searches_see_the_whole_volume(spark, sf, monkeypatch):
+    """A corner that didn't move doesn't decide the shift."""
+    monkeypatch.setattr(X, "shifted", _still_in("z < 8 and y < 16 and x < 32"))
+    got = {r.channel: (r.dz, r.dy, r.dx) for r in volumes.e6_intracycle(spark, sf).collect()}
+    assert got == {1: (1, 0, 0), 2: (0, 2, -1), 3: (-1, 1, 2)}
+    monkeypatch.undo()
+    monkeypatch.setattr(X, "shifted", _still_in("z < 8 and y < 15"))
+    assert {(r.dz, r.dy, r.dx) for r in volumes.x1_roi_registration(spark, sf).collect()} == {X.PLANTED}

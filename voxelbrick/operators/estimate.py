@@ -34,7 +34,8 @@ def shift_scores(fixed: DataFrame, moving: DataFrame, radius: int, group: list[s
     for a in "zyx":
         m = m.withColumn(f"d{a}", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumn(a, (F.col(a) - F.col(f"d{a}")).cast("int"))
     f = fixed.select(*group, "z", "y", "x", F.col("v").cast("double").alias("a"))
-    return f.join(m, [*group, "z", "y", "x"]).groupBy(*group, "dz", "dy", "dx").agg(F.count("*").alias("n"), F.coalesce(F.nanvl(F.corr("a", "b"), F.lit(0.0)), F.lit(0.0)).alias("ncc"))
+    # the planner's size of m leaves out the explosion, so that it would broadcast it
+    return f.hint("merge").join(m, [*group, "z", "y", "x"]).groupBy(*group, "dz", "dy", "dx").agg(F.count("*").alias("n"), F.coalesce(F.nanvl(F.corr("a", "b"), F.lit(0.0)), F.lit(0.0)).alias("ncc"))
 
 
 def search_shift(fixed: DataFrame, moving: DataFrame, radius: int, group: list[str] | None = None, digits: int = 9) -> DataFrame:

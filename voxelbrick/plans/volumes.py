@@ -281,14 +281,13 @@ def e5_refine(spark, sf_dir):
 def e6_intracycle(spark, sf_dir):
     """Each other channel's shift to the reference channel of its cycle (channel 0, which is skipped)."""
     v, shape = volume(spark, sf_dir)
-    small = v.where("z < 8 and y < 16 and x < 32")
     chans = None
     for c, by in ((1, (1, 0, 0)), (2, (0, 2, -1)), (3, (-1, 1, 2))):
         one = X.shifted(v, by, shape).withColumn("channel", F.lit(c))
         chans = one if chans is None else chans.unionAll(one)
     ref = None
     for c in (1, 2, 3):
-        one = small.withColumn("channel", F.lit(c))
+        one = v.withColumn("channel", F.lit(c))
         ref = one if ref is None else ref.unionAll(one)
     return estimate.search_shift(ref, chans, 2, ["channel"]).select("channel", "dz", "dy", "dx", F.round("ncc", 6).alias("ncc"))
 
@@ -336,7 +335,7 @@ def x1_roi_registration(spark, sf_dir):
     m, _ = moved(spark, sf_dir)
     size = tuple(b - a for a, b in zip(*BOX, strict=True))
     fc, mc = B.crop(f, *BOX, BRICK), B.crop(m, *BOX, BRICK)
-    s = estimate.search_shift(B.to_voxels(fc).where("z < 9 and y < 12"), B.to_voxels(mc), 3).first()
+    s = estimate.search_shift(B.to_voxels(fc), B.to_voxels(mc), 3).first()
     after = resample.warp(mc, size, size, BRICK, t=(float(s.dz), float(s.dy), float(s.dx)))
     r = metrics.report(fc, mc, after, "roi")
     return r.select("pair_id", "phase", F.lit(s.dz).alias("dz"), F.lit(s.dy).alias("dy"), F.lit(s.dx).alias("dx"), *[F.round(c, 6).alias(c) for c in ("ncc", "nrmse")])
