@@ -269,21 +269,45 @@ def test_near_duplicates(spark, sf, k):
     assert {i: r.component_id for i, r in got.items()} == part and all(got[i].n_shingles == len(s) and got[i].kept == (part[i] == i) for i, s in sets.items())
 
 
-def test_near_duplicates_of_a_loose_group(spark, monkeypatch):
-    """Copies that differ so much that links hang on pairs: by pairs, and by the prefix join."""
-    rng = np.random.default_rng(8)
-    base = [f"w{i}" for i in range(60)]
-    rows = []
-    for i in range(60):
-        w = list(base)
-        for p in rng.choice(60, 3, replace=False):
-            w[p] = f"v{rng.integers(200)}"
-        rows.append((i, " ".join(w)))
-    want = brute_components(rows, 2, 80)[0]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2).collect()} == want
-    monkeypatch.setattr(minhash, "STRAYS", 0)
-    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2).collect()} == want
+def loose_group(rng, n, words, edits, other):
+    """n copies of a text with 2 to edits words replaced, out of `other` ones, that links hang on pairs."""
+    out = []
+    for i in range(n):
+        w = [f"w{j}" for j in range(words)]
+        for p in rng.choice(words, rng.integers(2, edits + 1), replace=False):
+            w[p] = f"v{rng.integers(other)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("merged, rows, shingles", [(4, 2048, 1 << 19), (0, 2048, 1 << 19), (4, 16, 1 << 19), (4, 2048, 500)])
+def test_near_duplicates_of_a_loose_group(spark, monkeypatch, merged, rows, shingles):
+    """Buckets as one unit and one by one; blocks cut by rows and by shingles."""
+    monkeypatch.setattr(minhash, "MERGED", merged)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
+    docs = loose_group(np.random.default_rng(8), 60, 60, 3, 200)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2).collect()} == brute_components(docs, 2, 80)[0]
+
+
+def test_near_duplicates_of_a_large_loose_group(spark):
+    """2,500 documents, most pairs at a similarity of 0.6 to 0.8, and repeated rows among them."""
+    docs = loose_group(np.random.default_rng(9), 2500, 80, 5, 30)
+    want = brute_components(docs, 2, 80)[0]
+    assert 100 < len(set(want.values())) < 2400
+    df = spark.createDataFrame(docs + docs[:50], "doc_id long, text string")
+    got = minhash.near_duplicates(df, 2).collect()
+    assert len(got) == 2550 and {r.doc_id: r.component_id for r in got} == want
+
+
+def test_intersections(monkeypatch):
+    monkeypatch.setattr(minhash, "AT_ONCE", 50)
+    monkeypatch.setattr(minhash, "COLUMNS", 3)
+    rng = np.random.default_rng(1)
+    sides = [[np.unique(np.concatenate([rng.integers(0, 40, rng.integers(0, 30)), rng.integers(0, 4000, 20)])).astype(np.uint64) for _ in range(n)] for n in (40, 25)]
+    got = minhash.intersections(*[[x.tobytes() for x in s] for s in sides])
+    assert got.tolist() == [[len(np.intersect1d(p, q)) for q in sides[1]] for p in sides[0]]
 
 
 def test_near_duplicates_of_odd_rows(odd, none):

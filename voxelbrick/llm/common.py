@@ -173,6 +173,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select("b", "b").distinct())
 
 
+def forest(links: np.ndarray, size: int) -> np.ndarray:
+    """The smallest index linked with each of `size` indices, by label propagation over the pairs links (n, 2)."""
+    root = np.arange(size)
+    while True:
+        low = np.minimum(root[links[:, 0]], root[links[:, 1]])
+        new = root.copy()
+        np.minimum.at(new, links[:, 0], low)
+        np.minimum.at(new, links[:, 1], low)
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            return root
+        root = new
+
+
 def env_path(name: str) -> str:
     """A public tokenizer's vocabulary file, by the installed package that holds it."""
     import public_tokenizers

@@ -9,11 +9,13 @@ and some bucket has s_g >= s, so that with 48 bands of 7 a pair at 0.8 is missed
 Steps, each of them written to the shared folder:
 1. sketch: one map over the texts. Equal sets are one class from here on, its smallest id stands for it.
 2. links: members of a band's bucket are paired with its smallest and its largest member, not all with all;
-   pairs whose collision-corrected estimate is far below the threshold go, the rest are counted on full sets.
-3. Components of the links. A bucket with members in several components isn't settled: members of other components
-   than its largest are compared with the rest. The Jaccard distance is a metric, so two members whose similarities to
-   the bucket's smallest member differ by more than the threshold's distance can't be linked and are passed over.
-   A bucket with more than STRAYS members outside its largest component goes to an exact prefix join instead.
+   pairs whose collision-corrected estimate is SIGMAS deviations below the threshold go (of pairs at the threshold about
+   3e-7), the rest are counted on full sets.
+3. Components of the links. A bucket with members in several components isn't settled: its members outside the component
+   that has most of it are compared with all its members. That is done in blocks of bounded rows and bytes, on either side,
+   where matrix products and an inverted list count intersections exactly; only a spanning forest of the links leaves a task.
+   Buckets of one largest component are compared as one unit, each set sent once a block, unless that makes over MERGED
+   times the comparisons that they make one by one.
 4. Components again, and each class's members take its component.
 """
 
@@ -21,19 +23,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, dropped, map_texts, mix, shingle_hashes, stored, texts_of
+from .common import bounded_batches, components, dropped, forest, map_texts, mix, shingle_hashes, stored, texts_of
 
 BUCKETS, SEEDS, ROWS = 4, 84, 7
 MANTISSA = 3
 REGISTERS = BUCKETS * SEEDS
 BANDS = REGISTERS // ROWS
 #: Pairs are confirmed from this many standard deviations of the estimate below the threshold.
-SIGMAS = 4.0
-#: Members of one band's bucket outside its largest component that are still compared by pairs.
-STRAYS = 256
+SIGMAS = 5.0
+#: Comparisons of merged buckets for each one of theirs.
+MERGED = 4
+#: Sets and shingles in a block, about.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 19
+#: Entries of a block's inverted list, and columns of its matrices, that are counted at once.
+AT_ONCE, COLUMNS = 1 << 21, 1024
 _MULTIPLIERS = (np.random.default_rng(20240607).integers(0, 1 << 32, SEEDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 _EMPTY = np.uint8(0xFF)
 
@@ -107,84 +113,139 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("id", "regs").mapInArrow(run, "key long, id long")
 
 
-def _estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """pairs (a, b) with bounds low and high of their similarity, SIGMAS deviations about the estimate, and at most the ratio of the sizes."""
+def _likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose similarity may reach least: by the estimate and SIGMAS deviations, and by the sizes."""
     one = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("regs").alias(f"r{c}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
+    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "na", "ra", "nb", "rb")
 
     def run(batches):
         for x in batches:
             if not x.num_rows:
                 continue
-            get = lambda c: np.frombuffer(b"".join(x.column(x.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(-1, REGISTERS)
-            num = lambda c: np.asarray(x.column(x.schema.get_field_index(c))).astype(np.float64)
-            ra, rb, na, nb = get("ra"), get("rb"), num("na"), num("nb")
+            ra, rb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in (3, 5))
+            na, nb = (np.asarray(x.column(c)).astype(np.float64) for c in (2, 4))
             used = ((ra != _EMPTY) | (rb != _EMPTY)).sum(axis=1)
             # Buckets of few shingles differ in size, though each counts alike in the estimate.
             slack = SIGMAS * np.sqrt(least * (1 - least) * (1 / used + (BUCKETS / np.minimum(na, nb)) ** 2))
-            guess = estimate(ra, rb, na, nb)
-            high = np.minimum(guess + slack, np.minimum(na, nb) / np.maximum(na, nb))
-            low = np.clip(guess - slack, 0, high)
-            yield pa.RecordBatch.from_arrays([*(x.column(x.schema.get_field_index(c)) for c in "ab"), pa.array(low), pa.array(high)], names=["a", "b", "low", "high"])
+            high = np.minimum(estimate(ra, rb, na, nb) + slack, np.minimum(na, nb) / np.maximum(na, nb))
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(high >= least))
 
-    return both.mapInArrow(run, "a long, b long, low double, high double")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, set): sorted shingle hashes, 8 bytes each, of the documents in ids."""
+    """(id, n, set): sorted shingle hashes, 8 bytes each, of the documents in ids."""
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        made = [shingle_hashes(t, k).tobytes() for t in texts_of(b.column(1))]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["id", "set"])
+        made = [shingle_hashes(t, k) for t in texts_of(b.column(1))]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["id", "n", "set"])
 
-    return map_texts(docs.join(ids, "id", "left_semi").select("id", "text"), fn, "id long, set binary")
+    return map_texts(docs.join(ids, "id", "left_semi").select("id", "text"), fn, "id long, n long, set binary").where("n > 0").distinct()
 
 
-def _counted(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with their similarity and linked: 100 * intersection >= percent * union, counted on the full sets."""
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stored(_sets(docs, ids, k), "sets")
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union, counted on the full sets."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
 
     def run(batches):
         for x in batches:
-            a, b, sa, sb = (x.column(x.schema.get_field_index(c)) for c in ("a", "b", "sa", "sb"))
-            same, union = np.zeros(x.num_rows), np.zeros(x.num_rows)
+            keep = np.zeros(x.num_rows, bool)
             for i in range(x.num_rows):
-                p, q = np.frombuffer(sa[i].as_py(), np.uint64), np.frombuffer(sb[i].as_py(), np.uint64)
-                union[i] = len(np.union1d(p, q))
-                same[i] = len(p) + len(q) - union[i]
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(same / np.maximum(union, 1)), pa.array(100 * same >= percent * union)], names=["a", "b", "s", "linked"])
-
-    out = stored(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, s double, linked boolean"), "counted")
-    dropped(sets)
+                p, q = np.frombuffer(x.column(2)[i].as_py(), np.uint64), np.frombuffer(x.column(3)[i].as_py(), np.uint64)
+                union = len(np.union1d(p, q))
+                keep[i] = 100 * (len(p) + len(q) - union) >= percent * union
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _entries(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and the row each is of, ordered by shingle."""
+    each = [np.frombuffer(s, np.uint64) for s in sets]
+    shingle, row = np.concatenate(each), np.repeat(np.arange(len(each)), [len(s) for s in each])
+    order = np.argsort(shingle, kind="stable")
+    return shingle[order], row[order]
+
+
+def intersections(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """(len(a), len(b)) sizes of the intersections. Shingles of many pairs are counted by matrix products, others by an inverted list."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    (sa, ra), (sb, rb) = _entries(a), _entries(b)
+    ua, fa, ca = np.unique(sa, return_index=True, return_counts=True)
+    ub, fb, cb = np.unique(sb, return_index=True, return_counts=True)
+    _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    fa, ca, fb, cb = fa[ia], ca[ia], fb[ib], cb[ib]
+    common = ca * cb * 32 > out.size
+    dense = np.flatnonzero(common)
+    for at in range(0, len(dense), COLUMNS):
+        part = dense[at : at + COLUMNS]
+        sides = []
+        for size, rows, first, count in ((len(a), ra, fa[part], ca[part]), (len(b), rb, fb[part], cb[part])):
+            column = np.repeat(np.arange(len(part)), count)
+            where = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            m = np.zeros((size, len(part)), np.float32)
+            m[rows[where], column] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    fa, ca, fb, cb = fa[~common], ca[~common], fb[~common], cb[~common]
+    # One piece for each shingle and row of a: it meets the shingle's rows of b.
+    here = np.repeat(fa - np.concatenate([[0], np.cumsum(ca)[:-1]]), ca) + np.arange(ca.sum()) if len(ca) else np.zeros(0, int)
+    first, count = np.repeat(fb, ca), np.repeat(cb, ca)
+    total = np.cumsum(count)
+    start = 0
+    while start < len(here):
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + AT_ONCE)))
+        n = count[start:end]
+        j = np.repeat(first[start:end] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        out += np.bincount(np.repeat(ra[here[start:end]], n) * len(b) + rb[j], minlength=out.size).reshape(out.shape)
+        start = end
     return out
 
 
-def _prefix_pairs(docs: DataFrame, many: DataFrame, k: int, percent: int) -> DataFrame:
-    """Exact candidates among the documents of many (id, component): sets of enough similarity share a shingle among
-    the first n - ceil(t * n) + 1 of each when shingles are ordered from rare to common (Chaudhuri et al. 2006)."""
-    sets = stored(_sets(docs, many.select("id").distinct(), k), "rest")
-    shingles = sets.mapInArrow(_unpacked, "id long, n long, shingle long")
-    often = stored(shingles.groupBy("shingle").agg(F.count("*").alias("df")), "often")
-    place = Window.partitionBy("id").orderBy("df", "shingle")
-    first = shingles.join(often, "shingle").withColumn("at", F.row_number().over(place))
-    first = first.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).join(many, "id")
-    first = stored(first.select("id", "shingle", "n", "component"), "prefix")
-    # A shingle's most frequent component is one side only, so that a large group of copies isn't paired with itself.
-    sides = first.groupBy("shingle", "component").agg(F.count("*").alias("rows")).groupBy("shingle").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("sides")).where("sides > 1")
-    first = stored(first.join(sides.select("shingle", "main"), "shingle"), "sides")
-    o = first.select(F.col("id").alias("y"), "shingle", F.col("n").alias("m"), F.col("component").alias("other"))
-    pairs = first.where("component <> main").join(o, "shingle").where("component <> other").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    return pairs.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
-
-
-def _unpacked(batches):
-    for b in batches:
-        sets = [np.frombuffer(s, np.int64) for s in b.column(1).to_pylist()]
-        n = np.array([len(s) for s in sets], np.int64)
-        if n.sum():
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column(0)), n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=["id", "n", "shingle"])
+def _across(strays: pa.Table, rows: pa.Table, percent: int) -> pa.Table:
+    """Links between a block of strays and a block of rows (component, n, set) in different components: (a, b), b the least component that a reaches here."""
+    empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not strays.num_rows or not rows.num_rows:
+        return empty
+    get = lambda t, c: t.column(c).combine_chunks()
+    ca, cb, na, nb = (np.asarray(get(t, c)) for c in ("component", "n") for t in (strays, rows))
+    same = intersections(get(strays, "set").to_pylist(), get(rows, "set").to_pylist()).astype(np.int64)
+    i, j = np.nonzero((100 * same >= percent * (na[:, None] + nb - same)) & (ca[:, None] != cb))
+    if not len(i):
+        return empty
+    names, place = np.unique(np.concatenate([ca[i], cb[j]]), return_inverse=True)
+    root = forest(np.unique(place.reshape(2, -1).T, axis=0), len(names))
+    return pa.table({"a": names, "b": names[root]})
+
+
+def _unsettled(met: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket of met. Buckets of up to three members were compared whole."""
+    known = met.where("size > 3").select("key", "id").join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
+    known = stored(known.select("key", "id", F.coalesce("component", "id").alias("component")), "known")
+    sides = known.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    sides = sides.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.sum("rows").alias("all"), F.max("rows").alias("most"), F.count("*").alias("sides"))
+    sides = stored(sides.where("sides > 1").select("key", "main", (F.col("all") * (F.col("all") - F.col("most"))).alias("cost")), "sides")
+    open_ = stored(known.join(sides.drop("cost"), "key"), "open")
+    stray = (F.col("component") != F.col("main")).cast("long")
+    merged = stored(open_.select("main", "id", "component").distinct(), "merged")
+    costs = merged.groupBy("main").agg((F.count("*") * F.sum(stray)).alias("at_once")).join(sides.groupBy("main").agg(F.sum("cost").alias("apart")), "main")
+    costs = stored(costs.select("main", (F.col("at_once") <= MERGED * F.col("apart")).alias("merge")), "costs")
+    units = merged.withColumn("key", F.lit(0).cast("long")).join(costs.where("merge"), "main").unionByName(open_.join(costs.where("not merge"), "main")).drop("merge")
+    units = stored(units.join(sets.select("id", "n").groupBy("id").agg(F.max("n").alias("n")), "id"), "units")
+
+    blocks = lambda rows, n: F.ceil(F.greatest(rows / BLOCK_ROWS, n / BLOCK_SHINGLES)).cast("int")
+    cuts = units.groupBy("main", "key").agg(blocks(F.sum(stray), F.sum(stray * F.col("n"))).alias("lefts"), blocks(F.count("*"), F.sum("n")).alias("rights"))
+    dealt = units.drop("n").join(stored(cuts, "cuts"), ["main", "key"]).withColumn("left", F.pmod(F.xxhash64("id"), "lefts")).withColumn("right", F.pmod(F.xxhash64(F.lit(1), "id"), "rights"))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    where = ["main", "key", "left", "right"]
+    names = [*where, "component", "n", "set"]
+    strays = dealt.where("component <> main").withColumn("right", each("rights")).join(sets, "id").select(*names).toDF(*names)
+    rows = dealt.withColumn("left", each("lefts")).join(sets, "id").select(*names).toDF(*names)
+    found = strays.groupBy(*where).cogroup(rows.groupBy(*where)).applyInArrow(lambda s, r: _across(s, r, percent), "a long, b long")
+    found = stored(found, "found")
+    for t in (known, sides, open_, merged, costs, units):
+        dropped(t)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,44 +256,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sketches = stored(sketch(docs, k), "sketches")
-    classes = sketches.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    members = stored(sketches.select("id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
-    sketches = sketches.where("n > 0").select("id", "n", "regs")
-    bands = stored(_bands(sketches.join(members.where("n > 0 and id = rep").select("id"), "id", "left_semi")), "bands")
-    met = bands.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    met = stored(bands.join(met, "key"), "met")
+    same = sketches.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    same = stored(same.drop("copies"), "same")
+    members = stored(sketches.select("id", "h1", "h2", "n").join(same, ["h1", "h2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
+    reps = sketches.where("n > 0").select("id", "n", "regs").join(members.where("n > 0 and id = rep").select("id"), "id", "left_semi").distinct()
+    reps = stored(reps, "reps")
+    dropped(sketches)
+    dropped(same)
+    bands = stored(_bands(reps), "bands")
+    ends = bands.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("size")).where("first < last")
+    ends = stored(ends, "ends")
+    met = stored(bands.join(ends, "key"), "met")
     dropped(bands)
+    dropped(ends)
 
-    least = percent / 100
-    ends = F.array(F.struct(F.col("first").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("last").alias("b")))
-    pairs = met.select(F.explode(ends).alias("p")).select("p.*").where("a < b").distinct()
-    guessed = stored(_estimated(pairs, sketches, least), "guessed")
-    counted = _counted(guessed.where(F.col("high") >= least).select("a", "b"), docs, k, percent)
-    links = counted.where("linked").select("a", "b")
+    both = F.array(F.struct(F.col("first").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("last").alias("b")))
+    pairs = met.select(F.explode(both).alias("p")).select("p.*").where("a < b").distinct()
+    likely = stored(_likely(pairs, reps, percent / 100), "likely")
+    dropped(reps)
+    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).unionAll(met.where("size > 3").select("id")).distinct()
+    sets = stored(_sets(docs, ids, k), "sets")
+    links = stored(_linked(likely, sets, percent), "links")
     parts = stored(components(links), "parts")
-
-    # Buckets whose members are in several components.
-    known = met.select("key", "first", "id").join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
-    known = stored(known.select("key", "first", "id", F.coalesce("component", "id").alias("component")), "known")
-    sides = known.groupBy("key", "component").agg(F.count("*").alias("rows"))
-    sides = sides.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.sum("rows").alias("all"), F.max("rows").alias("most"), F.count("*").alias("sides"))
-    sides = sides.where("sides > 1 and all > 2").select("key", "main", (F.col("all") - F.col("most")).alias("strays"))
-    scores = guessed.join(counted.select("a", "b", "s"), ["a", "b"], "left").select(F.col("a").alias("first"), F.col("b").alias("id"), F.coalesce("s", "low").alias("low"), F.coalesce("s", "high").alias("high"))
-    open_ = known.join(sides, "key").join(scores, ["first", "id"], "left")
-    open_ = stored(open_.select("key", "id", "component", "main", "strays", *[F.when(F.col("id") == F.col("first"), 1.0).otherwise(F.col(c)).alias(c) for c in ("low", "high")]), "open")
-    few = open_.where(F.col("strays") <= STRAYS)
-    other = few.select("key", F.col("id").alias("y"), F.col("component").alias("other"), F.col("main").alias("m"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    slack = 1 - least + 1e-9
-    near = (F.col("low") - F.col("high2") <= slack) & (F.col("low2") - F.col("high") <= slack)
-    across = few.where("component <> main").join(other, "key").where((F.col("component") != F.col("other")) & ((F.col("other") == F.col("m")) | (F.col("id") < F.col("y")))).where(near)
-    across = across.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
-    many = stored(open_.where(F.col("strays") > STRAYS).select("id", "component").distinct(), "many")
-    if many.take(1):
-        across = across.unionAll(_prefix_pairs(docs, many, k, percent)).distinct()
-    fresh = across.join(guessed, ["a", "b"], "left_anti")
-    extra = _counted(stored(_estimated(fresh, sketches, least).where(F.col("high") >= least).select("a", "b"), "fresh"), docs, k, percent).where("linked")
-    if extra.take(1):
-        parts = stored(components(links.unionAll(extra.select("a", "b"))), "parts")
+    found = _unsettled(met, parts, sets, percent)
+    for t in (likely, links, met, sets):
+        dropped(t)
+    if found.take(1):
+        parts = stored(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found)), "parts")
+    dropped(found)
     out = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     # A class's smallest id stands for it, so a component's smallest representative is its smallest member.
     component = F.coalesce("component", "rep")

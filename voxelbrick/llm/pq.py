@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, hashed_sample, stored
+from .common import components, forest, hashed_sample, stored
 
 COSINE = 0.93
 SAMPLE, LIST_SIZE, MOST_LISTS = 16_384, 256, 1024
@@ -100,20 +100,6 @@ def units(rows) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _forest(links: np.ndarray, size: int) -> np.ndarray:
-    """The smallest index linked with each of `size` indices, by label propagation over the pairs links (n, 2)."""
-    root = np.arange(size)
-    while True:
-        low = np.minimum(root[links[:, 0]], root[links[:, 1]])
-        new = root.copy()
-        np.minimum.at(new, links[:, 0], low)
-        np.minimum.at(new, links[:, 1], low)
-        new = np.minimum(new, new[new])
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _matched(queries: pd.DataFrame, data: pd.DataFrame, index: Index, cosine: float) -> pd.DataFrame:
     """A block of queries against a block of one list: links counted for each class, and the smallest class it reaches here.
 
@@ -136,7 +122,7 @@ def _matched(queries: pd.DataFrame, data: pd.DataFrame, index: Index, cosine: fl
     other = queries["own"].to_numpy()[i] != here
     back = np.bincount(j[other], queries["copies"].to_numpy()[i[other]], len(x)).astype(np.int64)
     names, place = np.unique(np.concatenate([qi, dj]), return_inverse=True)
-    root = _forest(np.stack([place[i], place[len(qi) + j]], axis=1), len(names)) if len(i) else np.arange(len(names))
+    root = forest(np.stack([place[i], place[len(qi) + j]], axis=1), len(names)) if len(i) else np.arange(len(names))
     linked = np.unique(np.concatenate([place[i], place[len(qi) + j]]))
     count = np.zeros(len(names), np.int64)
     np.add.at(count, place, np.concatenate([links, back]))
