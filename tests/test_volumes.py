@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelbrick.functions import kernels as K
 from voxelbrick.operators import bricks as B
-from voxelbrick.operators import estimate, intensity, metrics, resample, tiling
+from voxelbrick.operators import estimate, intensity, jobs, metrics, resample, tiling
 from voxelbrick.plans import volumes
 from voxelbrick.sources import fixtures as X
 from voxelbrick.sources import tiff
@@ -105,27 +105,130 @@ def test_metrics_against_numpy(spark):
     assert metrics.ncc(metrics.moments(c)).first().ncc == 0
 
 
+def rows_of(spark, a, name="g"):
+    return spark.createDataFrame([(name, 0, *map(int, i), float(a[i])) for i in np.ndindex(*a.shape)], "volume_id string, channel int, z int, y int, x int, v double")
+
+
+def test_bright_flat_volumes_keep_their_digits(spark):
+    rng = np.random.default_rng(4)
+    a = 60000 + rng.normal(size=SHAPE) * 1e-3
+    b = a + rng.normal(size=SHAPE) * 1e-3
+    p = metrics.pair_bricks(B.to_bricks(rows_of(spark, a), SHAPE, (4, 4, 8)), B.to_bricks(rows_of(spark, b), SHAPE, (4, 4, 8)))
+    assert np.isclose(metrics.ncc(metrics.moments(p)).first().ncc, np.corrcoef(a.ravel(), b.ravel())[0, 1], rtol=1e-6)
+
+
+def test_a_brick_that_one_side_lacks_is_zeros(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=SHAPE), rng.normal(size=SHAPE)
+    b[:4, :4, :8] = 0
+    f = B.to_bricks(rows_of(spark, a), SHAPE, (4, 4, 8))
+    m = B.to_bricks(rows_of(spark, b), SHAPE, (4, 4, 8)).where("bz > 0 or by > 0 or bx > 0")
+    for x, y, p, q in ((f, m, a, b), (m, f, b, a)):
+        r = metrics.nrmse(metrics.ncc(metrics.moments(metrics.pair_bricks(x, y)))).first()
+        assert r.n == a.size and np.isclose(r.ncc, np.corrcoef(p.ravel(), q.ravel())[0, 1]) and np.isclose(r.nrmse, np.sqrt(((p - q) ** 2).mean()) / np.ptp(p))
+
+
 def test_affine_recovers_a_translation(spark):
-    z, y, x = np.indices((12, 14, 16))
+    shape, brick = (12, 14, 16), (6, 7, 8)
+    z, y, x = np.indices(shape)
     f = lambda dz, dy, dx: np.exp(-((z - 6 - dz) ** 2 + (y - 7 - dy) ** 2 + (x - 8 - dx) ** 2) / 30) * 100
-    df = spark.createDataFrame([("g", 0, *map(int, i), float(f(0, 0, 0)[i])) for i in np.ndindex(12, 14, 16)], "volume_id string, channel int, z int, y int, x int, v double")
-    m, t = estimate.estimate_affine(B.to_bricks(df, (12, 14, 16), (6, 7, 8)), f(0.6, -0.4, 0.5), 15)
-    at = m @ np.array([6.0, 7.0, 8.0]) + t
-    assert np.allclose(at, [6.6, 6.6, 8.5], atol=0.1)
+    one = lambda *d: B.to_bricks(rows_of(spark, f(*d)), shape, brick)
+    m, t = estimate.estimate_affine(one(0, 0, 0), one(0.6, -0.4, 0.5), shape, shape, brick, (2, 1), 8)
+    assert np.allclose(m @ np.array([6.0, 7.0, 8.0]) + t, [6.6, 6.6, 8.5], atol=0.1)
+
+
+def test_affine_of_the_table(spark, sf):
+    got = sorted(map(tuple, volumes.e4_affine(spark, sf).collect()))
+    m, t = np.array([r[1:4] for r in got]), np.array([r[4] for r in got])
+    print(m, t)
+    assert np.allclose(m, np.eye(3), atol=0.02) and np.allclose(t, [0.3, -0.4, 0.5], atol=0.15)
 
 
 def test_refined_tiles_find_the_shift_and_skip_background(spark):
     rng = np.random.default_rng(1)
     v = rng.uniform(1000, 2000, size=(8, 16, 16))
     v[:, :, 8:] = 0
-    rows = lambda a: spark.createDataFrame([(*map(int, i), float(a[i])) for i in np.ndindex(*a.shape)], "z int, y int, x int, v double")
+    shape, brick = v.shape, (4, 8, 8)
+    one = lambda a: B.to_bricks(rows_of(spark, a), shape, brick)
     t = spark.createDataFrame([(1, 0, 8, 0, 16, 0, 8), (2, 0, 8, 0, 16, 8, 16)], "tile_index int, z0 int, z1 int, y0 int, y1 int, x0 int, x1 int")
-    t = intensity.tile_foreground(t, rows(v), 10.0, 1)
-    got = {r.tile_index: r for r in estimate.refine_tiles(t, rows(v), rows(np.roll(v, 1, axis=1)), 1, 0.01, 10.0).collect()}
+    t = intensity.tile_foreground(t, one(v), brick, 10.0, 1)
+    got = {r.tile_index: r for r in estimate.refine_tiles(t, one(v), one(np.roll(v, 1, axis=1)), shape, brick, 1).collect()}
     assert (got[1].dz, got[1].dy, got[1].dx, got[1].skipped) == (0, 1, 0, False)
     assert got[2].skipped and got[2].reason == "background" and got[2].dy == 0
 
 
+@pytest.mark.parametrize("brick", [(3, 4, 5), (16, 16, 16)])
+def test_shift_scores_against_numpy(spark, brick):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=SHAPE), rng.normal(size=SHAPE)
+    got = {(r.dz, r.dy, r.dx): r for r in estimate.shift_scores(B.to_bricks(rows_of(spark, a), SHAPE, brick), B.to_bricks(rows_of(spark, b), SHAPE, brick), SHAPE, brick, 1).collect()}
+    assert len(got) == 27
+    for d, r in got.items():
+        i = tuple(slice(max(0, -k), n - max(0, k)) for k, n in zip(d, SHAPE, strict=True))
+        j = tuple(slice(max(0, k), n - max(0, -k)) for k, n in zip(d, SHAPE, strict=True))
+        assert r.n == a[i].size and np.isclose(r.ncc, np.corrcoef(a[i].ravel(), b[j].ravel())[0, 1])
+
+
+def test_bricks_and_long_form_agree(spark):
+    rng = np.random.default_rng(7)
+    v = rng.integers(-50, 70000, SHAPE).astype(float)
+    v[0, 0, :3] = [np.nan, np.inf, -np.inf]
+    df = rows_of(spark, v)
+    b = B.to_bricks(df, SHAPE, (4, 4, 8))
+    for mode in ("clip", "minmax", "robust"):
+        want = {(r.z, r.y, r.x): r.v for r in intensity.to_uint16(df, mode).collect()}
+        assert {(r.z, r.y, r.x): int(r.v) for r in B.to_voxels(intensity.uint16_bricks(b, mode)).collect()} == want
+    p, q = intensity.array_stats(df, ["volume_id", "channel"]).first(), intensity.brick_array_stats(b).first()
+    assert p.asDict() == q.asDict()
+
+
+def test_uint16_pixels_are_shuffled_once(spark):
+    """What the gather sends is the volume and the halo of its bricks, in the volume's own type."""
+    from voxelbrick.operators.resample import sent, with_transforms
+
+    shape, brick = (32, 32, 32), (16, 16, 16)
+    b = B.to_bricks(rows_of(spark, np.random.default_rng(8).integers(0, 65535, shape)), shape, brick, "uint16")
+    pieces = sent(with_transforms(b, (1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0), (0.5, 0.25, -0.5), None), shape, shape, brick)
+    assert pieces.agg(F.sum(F.length("s_data"))).first()[0] <= 1.5 * 2 * np.prod(shape)
+    plan = resample.warp(b, shape, shape, brick, t=(0.5, 0.25, -0.5))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("FlatMapCoGroups")[1].split("MapInPandas")[0]
+
+
+def test_each_volume_by_its_own_transform(spark):
+    df, v = ramp(spark)
+    two = df.unionAll(df.withColumn("volume_id", F.lit("s")))
+    t = spark.createDataFrame([("r", list(resample.IDENTITY), [1.0, 0.0, 0.0]), ("s", list(resample.IDENTITY), [0.0, 0.0, -2.0])], "volume_id string, m array<double>, t array<double>")
+    out = resample.warp(B.to_bricks(two, SHAPE, (4, 4, 8)), SHAPE, SHAPE, (4, 4, 8), transforms=t)
+    assert np.array_equal(array(out.where("volume_id = 'r'"), SHAPE)[:-1], v[1:])
+    assert np.array_equal(array(out.where("volume_id = 's'"), SHAPE)[:, :, 2:], v[:, :, :-2])
+
+
+def test_saved_transforms_that_are_missing_are_an_error(spark):
+    df, _ = ramp(spark)
+    b = B.to_bricks(df, SHAPE, (4, 4, 8))
+    one = spark.createDataFrame([("r", *SHAPE)], "volume_id string, nz int, ny int, nx int")
+    tiles = tiling.make_tiles(one, (9, 6, 7), (0, 3, 3), ["volume_id"])
+    whole, saved = jobs.register_tiles(b, b, SHAPE, (4, 4, 8), (9, 6, 7), (0, 3, 3), 1, 1, 1)
+    assert saved.count() == tiles.count() == 9 and jobs.pending_tiles(tiles, saved).count() == 0 and jobs.pending_tiles(tiles, saved, force=True).count() == 9
+    assert jobs.apply_tiles(b, SHAPE, (4, 4, 8), tiles, (0, 3, 3), whole, saved).count() > 0
+    some = saved.where("tile_index > 1")
+    assert jobs.pending_tiles(tiles, some).count() == 1
+    with pytest.raises(ValueError, match="no transform is saved"):
+        jobs.apply_tiles(b, SHAPE, (4, 4, 8), tiles, (0, 3, 3), whole, some)
+    with pytest.raises(ValueError, match="no transform is saved"):
+        jobs.apply_tiles(b, SHAPE, (4, 4, 8), tiles, (0, 3, 3), whole.where("false"), saved)
+
+
+def test_stack_checks_shapes(spark):
+    df, _ = ramp(spark)
+    small = df.where("z < 5").withColumn("channel", F.lit(2))
+    b = B.to_bricks(df.unionAll(df.withColumn("channel", F.lit(1))).unionAll(small), SHAPE, (4, 4, 8))
+    assert {r.channel for r in jobs.stack_channels(b, [1], SHAPE).select("channel").distinct().collect()} == {0, 1}
+    for order in ([1, 2], [7]):
+        with pytest.raises(ValueError, match="shape"):
+            jobs.stack_channels(b, order, SHAPE)
+
+
 def test_uint16_of_odd_values(spark):
     df = spark.createDataFrame([("v", 0, v) for v in (float("nan"), None, -3.0, 0.5, 1.5, 2.5, 70000.0, float("inf"))], "volume_id string, channel int, v double")
     assert [r.v for r in intensity.to_uint16(df).collect()] == [0, 0, 0, 0, 2, 2, 65535, 0]
@@ -155,13 +258,6 @@ def test_full_size_tiles(spark):
     assert t.count() == 16 and sorted({r.y0 for r in t.collect()}) == [0, 256] and max(r.x0 for r in t.collect()) == 10752
 
 
-def test_phase_correlation(spark, sf):
-    from voxelbrick.plans import volumes
-
-    r = volumes.e3_phase(spark, sf).first()
-    assert (r.dz, r.dy, r.dx) == (1, 2, 3)
-
-
 def test_stream_leaves_out_what_is_there(spark, tmp_path):
     from voxelbrick.streaming.apply import stream_apply
 
@@ -177,8 +273,8 @@ def _still_in(region):
     """X.shifted, but the voxels of a region stay where they are."""
     real = X.shifted
 
-    def shifted(v, by, shape):
-        return real(v, by, shape).where(f"not ({region})").unionByName(v.where(region))
+    def shifted(v, by, shape, name="emb"):
+        return real(v, by, shape, name).where(f"not ({region})").unionByName(v.where(region).withColumn("volume_id", F.lit(name)))
 
     return shifted
 

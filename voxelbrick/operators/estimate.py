@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Triple = tuple[int, int, int]
+from voxelbrick.functions.kernels import grid, sample, unpacked
+from voxelbrick.operators import bricks, intensity, resample
+from voxelbrick.operators.bricks import AXES, Triple
+from voxelbrick.sources.scratch import stored
 
 
 def moments(voxels: DataFrame, group: list[str]) -> DataFrame:
@@ -19,124 +24,168 @@ def moments(voxels: DataFrame, group: list[str]) -> DataFrame:
     return out.select(*group, "mass", "cz", "cy", "cx", *[(F.col(f"s{a}{b}") / F.col("mass") - F.col(f"c{a}") * F.col(f"c{b}")).alias(f"cov_{a}{b}") for a, b in names])
 
 
+def brick_moments(bricks: DataFrame) -> DataFrame:
+    """moments of bricks by volume_id and channel: ten sums leave each brick."""
+    names = ["mass", "sz", "sy", "sx", "szz", "syy", "sxx", "szy", "szx", "syx"]
+
+    def part(batches):
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                v = unpacked(r).ravel().astype(float)
+                z, y, x = grid((r.z0, r.y0, r.x0), (r.nz, r.ny, r.nx))
+                rows.append((r.volume_id, r.channel, v.sum(), v @ z, v @ y, v @ x, v @ (z * z), v @ (y * y), v @ (x * x), v @ (z * y), v @ (z * x), v @ (y * x)))
+            yield pd.DataFrame(rows, columns=["volume_id", "channel", *names])
+
+    sums = bricks.mapInPandas(part, "volume_id string, channel int, " + ", ".join(f"{c} double" for c in names)).groupBy("volume_id", "channel").agg(*[F.sum(c).alias(c) for c in names])
+    mean = lambda c: F.try_divide(F.col(c), F.col("mass"))
+    return sums.select("volume_id", "channel", "mass", *[mean(f"s{a}").alias(f"c{a}") for a in AXES], *[(mean(f"s{p}") - mean(f"s{p[0]}") * mean(f"s{p[1]}")).alias(f"cov_{p}") for p in ("zz", "yy", "xx", "zy", "zx", "yx")])
+
+
 def init_translation(fixed: DataFrame, moving: DataFrame) -> DataFrame:
     """(tz, ty, tx): from the fixed centroid to the moving one."""
     f, m = moments(fixed, []), moments(moving, [])
     return f.select(*[F.col(f"c{a}").alias(f"f{a}") for a in "zyx"]).crossJoin(m.select(*[F.col(f"c{a}").alias(f"m{a}") for a in "zyx"])).select(*[(F.col(f"m{a}") - F.col(f"f{a}")).alias(f"t{a}") for a in "zyx"])
 
 
-def shift_scores(fixed: DataFrame, moving: DataFrame, radius: int, group: list[str] | None = None) -> DataFrame:
-    """group, dz, dy, dx, n, ncc: Pearson correlation of fixed(i) with moving(i + d) over the voxels that both have, for
-    each whole shift within radius on each axis. Each moving voxel is sent to the (2 r + 1)^3 places it may align with:
-    meant for strided proxies. The sums have map-side combine, so a shuffle row is a shift, not a voxel."""
-    group = group or []
-    m = moving.select(*group, "z", "y", "x", F.col("v").cast("double").alias("b"))
-    for a in "zyx":
-        m = m.withColumn(f"d{a}", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumn(a, (F.col(a) - F.col(f"d{a}")).cast("int"))
-    f = fixed.select(*group, "z", "y", "x", F.col("v").cast("double").alias("a"))
-    # the planner's size of m leaves out the explosion, so that it would broadcast it
-    return f.hint("merge").join(m, [*group, "z", "y", "x"]).groupBy(*group, "dz", "dy", "dx").agg(F.count("*").alias("n"), F.coalesce(F.nanvl(F.corr("a", "b"), F.lit(0.0)), F.lit(0.0)).alias("ncc"))
+_SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
+_SCORES = "volume_id string, channel int, tile_index int, dz int, dy int, dx int, " + ", ".join(f"{c} double" for c in _SUMS)
+
+
+def shift_scores(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, radius: int, tiles: DataFrame | None = None) -> DataFrame:
+    """volume_id, channel, tile_index, dz, dy, dx, n, ncc: Pearson correlation of fixed(i) with moving(i + d) over the voxels
+    that are inside both volumes, for each whole shift within radius on each axis; by tile, or over all (tile_index 0).
+
+    fixed, moving: bricks of one shape, paired by volume_id and channel. A brick of fixed meets the moving box around it once;
+    all shifts are summed in its task, and a row that leaves it is a shift."""
+    wanted = fixed.withColumn("tiles", F.lit(None).cast("array<int>"))
+    if tiles is not None:
+        by = intensity.tiles_by_brick(tiles, brick)
+        wanted = fixed.join(by, [c for c in by.columns if c != "tiles"])
+    names = [c.split()[0] for c in _SCORES.split(", ")]
+    steps = range(-radius, radius + 1)
+
+    def kernel(r, have: pd.DataFrame) -> pd.DataFrame:
+        f = unpacked(r).astype(float)
+        start, n = np.array([r.z0, r.y0, r.x0]), np.array(shape)
+        end = start + f.shape
+        low, high = np.maximum(start - radius, 0), np.minimum(end + radius, n)
+        m = resample.assembled(have, low, high)
+        boxes = [(0, start, end)] if r.tiles is None else [(t["tile_index"], *(edge([t[f"{a}{e}"] for a in AXES], at) for e, edge, at in ((0, np.maximum, start), (1, np.minimum, end)))) for t in r.tiles]
+        rows = []
+        for tile, p, q in boxes:
+            for d in itertools.product(steps, steps, steps):
+                i, j = np.maximum(p, -np.array(d)), np.minimum(q, n - d)
+                if (i < j).all():
+                    a = f[tuple(slice(u, v) for u, v in zip(i - start, j - start, strict=True))].ravel()
+                    b = m[tuple(slice(u, v) for u, v in zip(i + d - low, j + d - low, strict=True))].ravel()
+                    rows.append((r.volume_id, r.channel, tile, *d, len(a), a.sum(), b.sum(), a @ a, b @ b, a @ b))
+        return pd.DataFrame(rows, columns=names)
+
+    pieces = resample.sent(resample.with_transforms(moving, resample.IDENTITY, (0, 0, 0), None), shape, shape, brick, radius)
+    sums = resample.gathered(wanted, pieces, kernel, _SCORES).groupBy(*names[:6]).agg(*[F.sum(c).alias(c) for c in _SUMS])
+    spread = lambda s: F.greatest(F.col(f"s{s}{s}") - F.col(f"s{s}") * F.col(f"s{s}") / F.col("n"), F.lit(0.0))
+    den = F.sqrt(spread("a") * spread("b"))
+    ncc = F.when(den < 1e-12, 0.0).otherwise((F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / den)
+    return sums.select(*names[:6], F.col("n").cast("long").alias("n"), ncc.alias("ncc"))
+
+
+def _best(scores: DataFrame, by: list[str], digits: int) -> DataFrame:
+    """The greatest ncc (rounded, so that ties are ties), then the least length, then z, y, x; still: the score of no shift."""
+    s = scores.withColumn("ncc", F.round("ncc", digits))
+    length = F.col("dz") * F.col("dz") + F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")
+    best = s.groupBy(*by).agg(F.min(F.struct((-F.col("ncc")).alias("k"), length.alias("l"), "dz", "dy", "dx", "n")).alias("b"), F.max(F.when(length == 0, F.col("ncc"))).alias("still"))
+    return best.select(*by, "b.dz", "b.dy", "b.dx", "b.n", (-F.col("b.k")).alias("ncc"), "still")
 
 
-def search_shift(fixed: DataFrame, moving: DataFrame, radius: int, group: list[str] | None = None, digits: int = 9) -> DataFrame:
-    """The best shift of each group: greatest ncc (rounded, so that ties are ties), then least length, then z, y, x."""
-    s = shift_scores(fixed, moving, radius, group).withColumn("ncc", F.round("ncc", digits))
-    length = F.col("dz") * F.col("dz") + F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")
-    best = s.groupBy(*(group or [])).agg(F.min(F.struct((-F.col("ncc")).alias("k"), length.alias("l"), "dz", "dy", "dx", "n")).alias("b"))
-    return best.select(*(group or []), "b.dz", "b.dy", "b.dx", "b.n", (-F.col("b.k")).alias("ncc"))
+def search_shift(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, radius: int, digits: int = 9) -> DataFrame:
+    """volume_id, channel, dz, dy, dx, n, ncc: the best whole shift of each pair of volumes within radius."""
+    return _best(shift_scores(fixed, moving, shape, brick, radius), ["volume_id", "channel"], digits).drop("still")
 
 
-def phase_shift(fixed: DataFrame, moving: DataFrame, group: list[str], shape: Triple) -> DataFrame:
-    """Whole shifts by phase correlation (Kuglin and Hines 1975), one group (tile or proxy) of at most `shape` a task."""
-    both = fixed.select(*group, "z", "y", "x", F.col("v").cast("double").alias("v"), F.lit(0).alias("side")).unionByName(moving.select(*group, "z", "y", "x", F.col("v").cast("double").alias("v"), F.lit(1).alias("side")))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fixed.select(*group).schema)
+def translations(shifts: DataFrame, scale: int = 1) -> DataFrame:
+    """(volume_id, channel, m, t) of whole shifts, times scale: the transforms that bring the moving volume back."""
+    m = F.array(*[F.lit(float(x)) for x in resample.IDENTITY])
+    return shifts.select("volume_id", "channel", m.alias("m"), F.array(*[(F.col(f"d{a}") * scale).cast("double") for a in AXES]).alias("t"))
 
-    def kernel(key, g: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((2, *shape))
-        a[g["side"], g["z"], g["y"], g["x"]] = g["v"]
-        p, q = np.fft.rfftn(a[0] - a[0].mean()), np.fft.rfftn(a[1] - a[1].mean())
-        cross = np.conj(p) * q
-        peak = np.fft.irfftn(cross / np.maximum(np.abs(cross), 1e-12), shape)
-        best = np.unravel_index(peak.argmax(), shape)
-        d = [int(i) if i <= n // 2 else int(i) - n for i, n in zip(best, shape, strict=True)]
-        return pd.DataFrame([(*key, *d, float(peak.max()))], columns=[*group, "dz", "dy", "dx", "peak"])
 
-    return both.groupBy(*group).applyInPandas(kernel, f"{kinds}, dz int, dy int, dx int, peak double")
+def phase_shift(fixed: DataFrame, moving: DataFrame, shape: Triple, tile: Triple, limit: Triple) -> DataFrame:
+    """volume_id, channel, dz, dy, dx, peak: whole shifts within limit by phase correlation (Kuglin and Hines 1975).
 
+    The volumes are cut to tiles; a task correlates one tile of either, and the tiles' scores of each shift are summed, so
+    that neither a volume nor its shifts meet in one task. The limit is less than half a tile."""
+    cut = lambda v: resample.sent(resample.with_transforms(v, resample.IDENTITY, (0, 0, 0), None), shape, shape, tile)
+    reach = [min(m, max((min(t, n) - 1) // 2, 0)) for m, t, n in zip(limit, tile, shape, strict=True)]
 
-def estimate_affine(fixed: DataFrame, moving: np.ndarray, rounds: int = 12, start=None) -> tuple[np.ndarray, np.ndarray]:
-    """(m, t) on indices by Gauss-Newton on squared differences.
+    def kernel(key, f: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        low = np.array(key[2:]) * tile
+        high = np.minimum(low + tile, shape)
+        a, b = resample.assembled(f, low, high), resample.assembled(m, low, high)
+        p, q = np.fft.rfftn(a - a.mean()), np.fft.rfftn(b - b.mean())
+        cross = np.conj(p) * q
+        score = np.fft.irfftn(cross / np.maximum(np.abs(cross), 1e-12), a.shape) * a.size
+        rows = [(*key[:2], *d, float(score[d])) for d in itertools.product(*[range(-min(r, (n - 1) // 2), min(r, (n - 1) // 2) + 1) for r, n in zip(reach, a.shape, strict=True)])]
+        return pd.DataFrame(rows, columns=["volume_id", "channel", "dz", "dy", "dx", "score"])
+
+    f, m = cut(fixed), cut(moving)
+    each = f.groupBy(*resample.ON).cogroup(m.toDF(*m.columns).groupBy(*resample.ON)).applyInPandas(kernel, "volume_id string, channel int, dz int, dy int, dx int, score double")
+    summed = each.groupBy("volume_id", "channel", "dz", "dy", "dx").agg(F.sum("score").alias("score"))
+    voxels = float(np.prod(shape))
+    return summed.groupBy("volume_id", "channel").agg(F.max(F.struct("score", "dz", "dy", "dx")).alias("b")).select("volume_id", "channel", "b.dz", "b.dy", "b.dx", (F.col("b.score") / voxels).alias("peak"))
 
-    fixed: brick rows of a proxy, each of which sums its own part of a 12 by 12 system; a round's sums are one
-    aggregate of 90 numbers. moving: the moving proxy as an array, broadcast once; it is a proxy of a bounded size."""
-    from voxelbrick.functions.kernels import grid, sample, unpacked
 
-    if moving.size > 32_000_000:
-        raise ValueError("the moving proxy is too large to send to the tasks; stride it further")
-    spark = fixed.sparkSession
-    sent = spark.sparkContext.broadcast(moving.astype(np.float32))
+def estimate_affine(fixed: DataFrame, moving: DataFrame, shape: Triple, moving_shape: Triple, brick: Triple, levels: tuple = (2, 1), rounds: int = 12, start=None) -> tuple[np.ndarray, np.ndarray]:
+    """(m, t) on indices by Gauss-Newton on squared differences, coarse to fine: on proxies of every levels[i]-th voxel.
+
+    fixed, moving: bricks of one volume and channel each (equal volume_id and channel). In a round each brick of the fixed
+    proxy meets the moving box that it is mapped to and sums its part of a 12 by 12 system; the driver gets their sum, 90 numbers."""
     m, t = start or (np.eye(3), np.zeros(3))
     upper = np.triu_indices(12)
     names = [f"s{i}" for i in range(len(upper[0]) + 12)]
-    fixed = fixed.cache()
-    try:
+    for s in levels:
+        small, moving_small = (tuple(-(-n // s) for n in x) for x in (shape, moving_shape))
+        f = fixed if s == 1 else stored(bricks.stride(fixed, (s,) * 3, shape, brick), "fixed-proxy")
+        g = moving if s == 1 else stored(bricks.stride(moving, (s,) * 3, moving_shape, brick), "moving-proxy")
+        t = t / s
         for _ in range(rounds):
-            now = (m.copy(), t.copy())
-
-            def part(batches, now=now):
-                src = sent.value
-                slope = np.gradient(src.astype(float)) if min(src.shape) > 1 else None
-                for b in batches:
-                    total = np.zeros(len(names))
-                    for r in b.itertuples():
-                        at = grid((r.z0, r.y0, r.x0), (r.nz, r.ny, r.nx))
-                        c = now[0] @ at + now[1][:, None]
-                        ok = np.all((c >= 0) & (c <= np.array(src.shape)[:, None] - 1), axis=0)
-                        c, i = c[:, ok], at[:, ok]
-                        d = unpacked(r).ravel().astype(float)[ok] - sample(src, (0, 0, 0), src.shape, c)
-                        g = np.stack([sample(s, (0, 0, 0), src.shape, c) for s in slope])
-                        j = np.concatenate([(g[:, None, :] * i[None, :, :]).reshape(9, -1), g])
-                        total += np.concatenate([(j @ j.T)[upper], j @ d])
-                    yield pd.DataFrame([total], columns=names)
-
-            row = fixed.mapInPandas(part, ", ".join(f"{n} double" for n in names)).agg(*[F.sum(n).alias(n) for n in names]).first()
-            s = np.array([row[n] or 0.0 for n in names])
+            mat, off = m.copy(), t.copy()
+
+            def kernel(r, have: pd.DataFrame, mat=mat, off=off, n=moving_small) -> pd.DataFrame:
+                at = grid((r.z0, r.y0, r.x0), (r.nz, r.ny, r.nx))
+                low, high = resample.clamped_box((r.z0, r.y0, r.x0), (r.z0 + r.nz, r.y0 + r.ny, r.x0 + r.nx), mat, off, 2.0, n)
+                src = resample.assembled(have, low, high)
+                c = mat @ at + off[:, None]
+                ok = np.all((c >= 0) & (c <= np.array(n)[:, None] - 1), axis=0)
+                c, i = c[:, ok], at[:, ok]
+                d = unpacked(r).ravel().astype(float)[ok] - sample(src, low, n, c)
+                slope = [np.gradient(src, axis=a) if src.shape[a] > 1 else np.zeros_like(src) for a in range(3)]
+                e = np.stack([sample(x, low, n, c) for x in slope])
+                j = np.concatenate([(e[:, None, :] * i[None, :, :]).reshape(9, -1), e])
+                return pd.DataFrame([np.concatenate([(j @ j.T)[upper], j @ d])], columns=names)
+
+            pieces = resample.sent(resample.with_transforms(g, mat.ravel(), off, None), moving_small, small, brick, 2.0)
+            row = resample.gathered(f, pieces, kernel, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c).alias(c) for c in names]).first()
+            sums = np.array([row[c] or 0.0 for c in names])
             h = np.zeros((12, 12))
-            h[upper] = s[: len(upper[0])]
+            h[upper] = sums[: len(upper[0])]
             h = h + np.triu(h, 1).T
-            step = np.linalg.lstsq(h + 1e-9 * np.trace(h) * np.eye(12) / 12, s[len(upper[0]) :], rcond=None)[0]
+            step = np.linalg.lstsq(h + 1e-9 * np.trace(h) * np.eye(12) / 12, sums[len(upper[0]) :], rcond=None)[0]
             m, t = m + step[:9].reshape(3, 3), t + step[9:]
             if np.abs(step).max() < 1e-6:
                 break
-    finally:
-        fixed.unpersist()
+        t = t * s
     return m, t
 
 
-def refine_tiles(tiles: DataFrame, fixed: DataFrame, moving: DataFrame, radius: int, least_fraction: float, threshold: float) -> DataFrame:
-    """A displacement for each tile by block matching: tile_index, dz, dy, dx, skipped, reason.
-
-    tiles: tile_index, box, foreground_fraction. Background tiles and tiles whose match is no better than no shift keep
-    0, with the reason. fixed, moving: long proxies after the global map; a tile's voxels meet in one aggregate."""
-    boxes = tiles
-    for a in "zyx":
-        boxes = boxes.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.col(f"{a}0") / 16), F.floor((F.col(f"{a}1") - 1) / 16))))
-    fore = boxes.where(F.col("foreground_fraction") >= least_fraction)
-    f = fixed.select("z", "y", "x", "v", *[F.floor(F.col(a) / 16).alias(f"c{a}") for a in "zyx"]).join(fore, ["cz", "cy", "cx"])
-    for a in "zyx":
-        f = f.where((F.col(a) >= F.col(f"{a}0")) & (F.col(a) < F.col(f"{a}1")))
-    f = f.select("tile_index", "z", "y", "x", F.col("v").cast("double").alias("a"))
-    m = moving.select("z", "y", "x", F.col("v").cast("double").alias("b"))
-    for a in "zyx":
-        m = m.withColumn(f"d{a}", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumn(a, (F.col(a) - F.col(f"d{a}")).cast("int"))
-    s = f.join(m, ["z", "y", "x"]).groupBy("tile_index", "dz", "dy", "dx").agg(F.round(F.coalesce(F.nanvl(F.corr("a", "b"), F.lit(0.0)), F.lit(0.0)), 9).alias("ncc"))
-    length = F.col("dz") * F.col("dz") + F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")
-    best = s.groupBy("tile_index").agg(F.min(F.struct((-F.col("ncc")).alias("k"), length.alias("l"), "dz", "dy", "dx")).alias("b"), F.max(F.when(length == 0, F.col("ncc"))).alias("still"))
-    out = tiles.join(best, "tile_index", "left")
-    reason = F.when(F.col("foreground_fraction") < least_fraction, "background").when(F.col("b").isNull(), "no voxels").when(-F.col("b.k") <= F.coalesce("still", F.lit(-2.0)), "no gain")
-    out = out.withColumn("reason", reason).withColumn("skipped", F.col("reason").isNotNull())
-    return out.select("tile_index", *[F.when(F.col("skipped"), 0).otherwise(F.col(f"b.d{a}")).cast("int").alias(f"d{a}") for a in "zyx"], "skipped", "reason")
-
+def refine_tiles(tiles: DataFrame, fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, radius: int, least_fraction: float = 0.01) -> DataFrame:
+    """A displacement for each tile by block matching: volume_id, tile_index, dz, dy, dx, skipped, reason.
 
-def ranked(df: DataFrame, by: list, group: list[str]) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*by)))
+    tiles: volume_id, channel, tile_index, box, foreground_fraction (from tile_foreground). fixed, moving: bricks after the global
+    map. Background tiles and tiles whose match is no better than no shift keep 0, with the reason."""
+    by = ["volume_id", "channel", "tile_index"]
+    fore = tiles.where(F.col("foreground_fraction") >= least_fraction)
+    best = _best(shift_scores(fixed, moving, shape, brick, radius, fore), by, 9)
+    out = tiles.join(best, by, "left")
+    reason = F.when(F.col("foreground_fraction") < least_fraction, "background").when(F.col("ncc").isNull(), "no voxels").when(F.col("ncc") <= F.coalesce("still", F.lit(-2.0)), "no gain")
+    out = out.withColumn("reason", reason).withColumn("skipped", F.col("reason").isNotNull())
+    return out.select("volume_id", "tile_index", *[F.when(F.col("skipped"), 0).otherwise(F.col(f"d{a}")).cast("int").alias(f"d{a}") for a in AXES], "skipped", "reason")

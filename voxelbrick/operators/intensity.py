@@ -1,10 +1,20 @@
-"""Intensity conversion, statistics and foreground, on the long form (built-in functions only)."""
+"""Intensity conversion, statistics and foreground: by bricks (a row never is a voxel) and, for small tables, on the long form."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelbrick.functions.kernels import unpacked
+from voxelbrick.operators import metrics
+from voxelbrick.operators.bricks import _row, frame
+from voxelbrick.operators.tiling import bricks_of
+from voxelbrick.schema import BRICKS
+
 Triple = tuple[int, int, int]
 
 
@@ -76,42 +86,114 @@ def background_threshold(df: DataFrame, fraction: float = 0.02, steps: Triple =
     return agg.agg((F.min(ok) + fraction * (F.max(ok) - F.min(ok))).alias("threshold"))
 
 
-def tile_foreground(tiles: DataFrame, df: DataFrame, threshold: float, stride: int, least: float = 0.01) -> DataFrame:
-    """tiles with foreground_fraction, the share above the threshold of voxels at a stride from the tile's own corner
-    (absent ones count as 0), and output_skipped where it is below least. df: z, y, x, v; a tile and its voxels meet on
-    blocks of BIN indices, never all with all."""
-    BIN = 16
-    cells = tiles
-    for a in "zyx":
-        cells = cells.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.col(f"{a}0") / BIN), F.floor((F.col(f"{a}1") - 1) / BIN))))
-    vox = df.select("z", "y", "x", "v", *[F.floor(F.col(a) / BIN).alias(f"c{a}") for a in "zyx"])
-    hit = vox.join(cells, ["cz", "cy", "cx"])
-    for a in "zyx":
-        hit = hit.where((F.col(a) >= F.col(f"{a}0")) & (F.col(a) < F.col(f"{a}1")) & (F.pmod(F.col(a) - F.col(f"{a}0"), F.lit(stride)) == 0))
-    above = hit.groupBy("tile_index").agg(F.count_if(F.col("v") > threshold).alias("above"), F.count("*").alias("seen"))
+def brick_ends(bricks: DataFrame, mode: str, group: tuple) -> DataFrame:
+    """group, lo, hi of finite values: least and greatest (minmax), or the 0.1 and 99.9 percentiles (robust), from counts of values made brick by brick."""
+    counts = metrics.brick_stats(bricks, group).where("v is not null")
+    if mode == "minmax":
+        return counts.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return value_percentiles(counts, [0.001, 0.999], list(group)).select(*group, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+
+
+def uint16_bricks(bricks: DataFrame, mode: str = "clip", group: tuple = ("volume_id", "channel")) -> DataFrame:
+    """to_uint16 for bricks, which become uint16 in their own tasks. group: key columns of bricks, bz among them for chunks of planes."""
+    if mode not in ("clip", "minmax", "robust"):
+        raise ValueError(f"unknown mode {mode}")
+    known = bricks.withColumns({"lo": F.lit(0.0), "hi": F.lit(65535.0)}) if mode == "clip" else bricks.join(brick_ends(bricks, mode, group), list(group), "left")
+    known = known.select(*[c.split()[0] for c in BRICKS.split(", ")], "lo", "hi")
+
+    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                v = unpacked(r).astype(float)
+                ok = np.isfinite(v)
+                if mode != "clip":
+                    flat = not r.hi > r.lo
+                    v = np.zeros_like(v) if flat else np.clip((np.where(ok, v, r.lo) - r.lo) / (r.hi - r.lo), 0, 1) * 65535
+                out = np.rint(np.clip(np.where(ok, v, 0), 0, 65535)).astype(np.uint16)
+                rows.append(_row(r.volume_id, r.channel, (r.bz, r.by, r.bx), (r.z0, r.y0, r.x0), out))
+            yield frame(rows)
+
+    return known.mapInPandas(convert, BRICKS)
+
+
+def brick_array_stats(bricks: DataFrame, group: tuple = ("volume_id", "channel")) -> DataFrame:
+    """array_stats of the voxels in bricks."""
+    counts = metrics.brick_stats(bricks, group)
+    ps = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p99": 0.99, "p999": 0.999, "p100": 1.0}
+    some = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    there = F.col("v").isNotNull()
+    q = F.percentile("v", F.array(*[F.lit(p) for p in ps.values()]), F.when(there, F.col("n")).otherwise(0))
+    out = counts.groupBy(*group).agg(F.sum("n").alias("all"), some(there).alias("finite_count"), some(~there | (F.col("v") != 0)).alias("nonzero"), q.alias("q"))
+    return out.select(*group, F.col("all").alias("n"), "finite_count", "nonzero", *[F.col("q")[i].alias(k) for i, k in enumerate(ps)], (F.col("nonzero") == 0).alias("all_zero"))
+
+
+def tiles_by_brick(tiles: DataFrame, brick: Triple) -> DataFrame:
+    """[volume_id, channel,] bz, by, bx, tiles: the list of (tile_index, box) that meet a brick."""
+    ids = [c for c in ("volume_id", "channel") if c in tiles.columns]
+    cols = ["tile_index", *[f"{a}{e}" for a in "zyx" for e in (0, 1)]]
+    return bricks_of(tiles.select(*ids, *cols), brick).groupBy(*ids, "bz", "by", "bx").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("tiles"))
+
+
+TILE_STATS = "volume_id string, channel int, tile_index int, seen long, above long, finite long, nonzero long, mn double, mx double"
+
+
+def tile_stats(tiles: DataFrame, bricks: DataFrame, brick: Triple, threshold: float = 0.0, stride: int = 1) -> DataFrame:
+    """For each tile and (volume_id, channel): seen and above (over the threshold) at a stride from the tile's corner; finite, nonzero, mn and mx of all its voxels.
+
+    Each brick sends counts of its part of the tiles that it meets; no pixel is shuffled where the tiles are few enough to be broadcast."""
+    ids = [c for c in ("volume_id", "channel") if c in tiles.columns]
+    met = bricks.join(tiles_by_brick(tiles, brick), [*ids, "bz", "by", "bx"])
+    names = [c.split()[0] for c in TILE_STATS.split(", ")]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                a = unpacked(r).astype(float)
+                start = np.array([r.z0, r.y0, r.x0])
+                for t in r.tiles:
+                    low, high = (np.array([t[f"{x}{e}"] for x in "zyx"]) for e in (0, 1))
+                    p, q = np.maximum(low, start), np.minimum(high, start + a.shape)
+                    if not (p < q).all():
+                        continue
+                    part = a[tuple(slice(i, j) for i, j in zip(p - start, q - start, strict=True))]
+                    seen = part[tuple(slice(int(i), None, stride) for i in (low - p) % stride)]
+                    good = part[np.isfinite(part)]
+                    rows.append((r.volume_id, r.channel, t["tile_index"], seen.size, int((seen > threshold).sum()), good.size, int((good != 0).sum()), good.min(initial=np.inf), good.max(initial=-np.inf)))
+            yield pd.DataFrame(rows, columns=names)
+
+    each = met.mapInPandas(count, TILE_STATS)
+    return each.groupBy("volume_id", "channel", "tile_index").agg(*[F.sum(c).alias(c) for c in names[3:7]], F.min("mn").alias("mn"), F.max("mx").alias("mx"))
+
+
+def _of_tiles(tiles: DataFrame, bricks: DataFrame, stats: DataFrame) -> DataFrame:
+    """Each tile for each volume, with its statistics; tiles of no brick have none."""
+    ids = [c for c in ("volume_id", "channel") if c in tiles.columns]
+    volumes = bricks.select("volume_id", "channel").distinct()
+    every = tiles.join(volumes, ids) if ids else tiles.crossJoin(F.broadcast(volumes))  # a row for each volume and channel, no pixels
+    return every.join(stats, ["volume_id", "channel", "tile_index"], "left")
+
+
+def tile_foreground(tiles: DataFrame, bricks: DataFrame, brick: Triple, threshold: float, stride: int, least: float = 0.01) -> DataFrame:
+    """tiles for each (volume_id, channel) with foreground_fraction, the share above the threshold of voxels at a stride from
+    the tile's own corner (absent ones count as 0), and output_skipped where it is below least."""
     many = F.lit(1).cast("long")
     for a in "zyx":
         many = many * F.ceil((F.col(f"{a}1") - F.col(f"{a}0")) / stride)
-    out = tiles.join(above, "tile_index", "left")
+    out = _of_tiles(tiles, bricks, tile_stats(tiles, bricks, brick, threshold, stride).select("volume_id", "channel", "tile_index", "seen", "above"))
     zeros = F.when(F.lit(threshold < 0), many - F.coalesce("seen", F.lit(0))).otherwise(0)
     out = out.withColumn("foreground_fraction", (F.coalesce("above", F.lit(0)) + zeros) / many)
     return out.withColumn("output_skipped", F.col("foreground_fraction") < least).drop("above", "seen")
 
 
-def tile_usable(tiles: DataFrame, df: DataFrame) -> DataFrame:
-    """tiles with nonzero, and usable: enough voxels that aren't 0 (at least 100 and 1e-5 of the tile) and some range."""
-    BIN = 16
-    cells = tiles
-    for a in "zyx":
-        cells = cells.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.col(f"{a}0") / BIN), F.floor((F.col(f"{a}1") - 1) / BIN))))
-    hit = df.select("z", "y", "x", F.col("v").cast("double").alias("v"), *[F.floor(F.col(a) / BIN).alias(f"c{a}") for a in "zyx"]).join(cells, ["cz", "cy", "cx"])
-    for a in "zyx":
-        hit = hit.where((F.col(a) >= F.col(f"{a}0")) & (F.col(a) < F.col(f"{a}1")))
-    got = hit.where(finite(F.col("v"))).groupBy("tile_index").agg(F.count_if(F.col("v") != 0).alias("nonzero"), F.min("v").alias("mn"), F.max("v").alias("mx"), F.count("*").alias("seen"))
+def tile_usable(tiles: DataFrame, bricks: DataFrame, brick: Triple) -> DataFrame:
+    """tiles for each (volume_id, channel) with nonzero, and usable: enough voxels that aren't 0 (at least 100 and 1e-5 of the tile) and some range."""
     n = F.lit(1).cast("long")
     for a in "zyx":
         n = n * (F.col(f"{a}1") - F.col(f"{a}0"))
-    out = tiles.join(got, "tile_index", "left").withColumn("n", n).withColumn("nonzero", F.coalesce("nonzero", F.lit(0)))
+    stats = tile_stats(tiles, bricks, brick).select("volume_id", "channel", "tile_index", "seen", "nonzero", "mn", "mx")
+    out = _of_tiles(tiles, bricks, stats).withColumn("n", n).withColumn("nonzero", F.coalesce("nonzero", F.lit(0)))
     full = F.col("seen") == F.col("n")  # absent voxels are 0
     mn, mx = F.when(full, F.col("mn")).otherwise(F.least("mn", F.lit(0.0))), F.when(full, F.col("mx")).otherwise(F.greatest("mx", F.lit(0.0)))
     usable = (F.col("nonzero") >= F.greatest(F.lit(100), F.floor(F.col("n") * 1e-5))) & F.coalesce(mx > mn, F.lit(False))

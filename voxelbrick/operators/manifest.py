@@ -74,8 +74,9 @@ def reusable_work(requested: DataFrame, done: DataFrame) -> DataFrame:
 
 def tiles_with_transforms(tiles: DataFrame, saved: DataFrame) -> DataFrame:
     """Tiles to apply: those with output skipped are left out, those without refinement get no displacement; lacking says that no row was saved."""
-    s = saved.select("tile_index", F.coalesce("skipped", F.lit(False)).alias("skipped"), F.coalesce("output_skipped", F.lit(False)).alias("output_skipped"), "dz", "dy", "dx", F.lit(True).alias("_there"))
-    j = tiles.join(s, "tile_index", "left").where(~F.coalesce("output_skipped", F.lit(False)))
+    on = [*[c for c in ("volume_id",) if c in tiles.columns and c in saved.columns], "tile_index"]
+    s = saved.select(*on, F.coalesce("skipped", F.lit(False)).alias("skipped"), F.coalesce("output_skipped", F.lit(False)).alias("output_skipped"), "dz", "dy", "dx", F.lit(True).alias("_there"))
+    j = tiles.join(s, on, "left").where(~F.coalesce("output_skipped", F.lit(False)))
     return j.select(*tiles.columns, *[F.when(F.col("skipped"), 0).otherwise(F.col(c)).alias(c) for c in ("dz", "dy", "dx")], F.col("_there").isNull().alias("lacking"))
 
 

@@ -1,4 +1,8 @@
-"""Similarity of two volumes on the same brick grid: partial sums for each pair of bricks, merged by aggregates."""
+"""Similarity of two volumes on the same brick grid: partial sums for each pair of bricks, merged by aggregates.
+
+Reports read their bricks twice, for the moments and for the histogram between the least and the greatest values: give them
+stored volumes (write_bricks, or scratch.stored), not plans that resample again.
+"""
 
 from __future__ import annotations
 
@@ -10,46 +14,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelbrick.functions.kernels import unpacked
+from voxelbrick.sources.scratch import stored
 
-MOMENTS = "pair_id string, phase string, n long, sa double, sb double, saa double, sbb double, sab double, sdd double, a_min double, a_max double, b_min double, b_max double"
+MOMENTS = "pair_id string, phase string, n long, ma double, mb double, saa double, sbb double, sab double, sdd double, a_min double, a_max double, b_min double, b_max double"
 BINS = 64
+Triple = tuple[int, int, int]
+
 
+def pair_bricks(fixed: DataFrame, moving: DataFrame, pair_id: str = "pair", phase: str = "before", shapes: tuple[Triple, Triple] | None = None, by_volume: bool = False) -> DataFrame:
+    """Bricks of the same place joined on their key, whatever their volume_id; a pair is cropped to the smaller brick on each axis.
 
-def pair_bricks(fixed: DataFrame, moving: DataFrame, pair_id: str = "pair", phase: str = "before") -> DataFrame:
-    """Bricks of the same place joined on their key, whatever their volume_id; a pair is cropped to the smaller brick on each axis."""
+    A brick that one side lacks counts as zeros of the other's size. shapes: those of fixed and moving, if they differ; pairs
+    are cropped to the smaller one on each axis. by_volume: only bricks of equal volume_id meet, and the pair's name has it."""
     cols = ("nz", "ny", "nx", "dtype", "data")
-    side = lambda df, p: df.select("channel", "bz", "by", "bx", *[F.col(c).alias(f"{p}_{c}") for c in cols])
-    return side(fixed, "a").join(side(moving, "b"), ["channel", "bz", "by", "bx"]).select(F.concat_ws("/", F.lit(pair_id), F.col("channel").cast("string")).alias("pair_id"), F.lit(phase).alias("phase"), *[f"{p}_{c}" for p in "ab" for c in cols])
+    on = [*(["volume_id"] if by_volume else []), "channel", "bz", "by", "bx"]
+    side = lambda df, p: df.select(*on, *[F.col(f"{a}0").alias(f"{p}_{a}0") for a in "zyx"], *[F.col(c).alias(f"{p}_{c}") for c in cols])
+    both = side(fixed, "a").join(side(moving, "b"), on, "full")
+    for i, a in enumerate("zyx"):
+        size = F.least(F.col(f"a_n{a}"), F.col(f"b_n{a}"))  # null if one side is absent: least skips it
+        if shapes:
+            size = F.least(size, F.lit(min(shapes[0][i], shapes[1][i])) - F.coalesce(f"a_{a}0", f"b_{a}0"))
+        both = both.withColumn(f"n{a}", size)
+    both = both.where("nz > 0 and ny > 0 and nx > 0")
+    name = F.concat_ws("/", F.lit(pair_id), *[F.col(c).cast("string") for c in on[:-3]])
+    return both.select(name.alias("pair_id"), F.lit(phase).alias("phase"), "nz", "ny", "nx", *[f"{p}_{c}" for p in "ab" for c in cols])
 
 
 def _arrays(r) -> tuple[np.ndarray, np.ndarray]:
-    a = np.frombuffer(r.a_data, r.a_dtype).reshape(r.a_nz, r.a_ny, r.a_nx).astype(float)
-    b = np.frombuffer(r.b_data, r.b_dtype).reshape(r.b_nz, r.b_ny, r.b_nx).astype(float)
-    box = tuple(slice(0, min(p, q)) for p, q in zip(a.shape, b.shape, strict=True))
-    return a[box].ravel(), b[box].ravel()
+    out = []
+    for p in "ab":
+        data = getattr(r, f"{p}_data")
+        if data is None:
+            out.append(np.zeros(r.nz * r.ny * r.nx))
+        else:
+            a = np.frombuffer(data, getattr(r, f"{p}_dtype")).reshape([int(getattr(r, f"{p}_n{x}")) for x in "zyx"])
+            out.append(a[: r.nz, : r.ny, : r.nx].astype(float).ravel())
+    return out[0], out[1]
 
 
 def moments(pairs: DataFrame) -> DataFrame:
-    """One row of sums for each pair_id and phase."""
+    """One row for each pair_id and phase: n, means ma and mb, sums of squares and products about them, sdd, least and greatest.
+
+    A brick's sums are about its own means, so bright volumes of little contrast lose no digits; these rows, one a brick, are
+    stored, and merged about the whole's means."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples():
                 a, b = _arrays(r)
-                if len(a):
-                    rows.append((r.pair_id, r.phase, len(a), a.sum(), b.sum(), a @ a, b @ b, a @ b, ((a - b) ** 2).sum(), a.min(), a.max(), b.min(), b.max()))
+                ma, mb = a.mean(), b.mean()
+                ca, cb = a - ma, b - mb
+                rows.append((r.pair_id, r.phase, len(a), ma, mb, ca @ ca, cb @ cb, ca @ cb, ((a - b) ** 2).sum(), a.min(), a.max(), b.min(), b.max()))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in MOMENTS.split(", ")])
 
-    sums = pairs.mapInPandas(part, MOMENTS)
-    return sums.groupBy("pair_id", "phase").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab", "sdd")], *[f(f"{p}_{n}").alias(f"{p}_{n}") for p in "ab" for n, f in (("min", F.min), ("max", F.max))])
+    on = ["pair_id", "phase"]
+    each = stored(pairs.mapInPandas(part, MOMENTS), "moments")
+    whole = each.groupBy(*on).agg(F.sum("n").alias("n"), *[(F.sum(F.col("n") * F.col(f"m{p}")) / F.sum("n")).alias(f"m{p}") for p in "ab"], F.sum("sdd").alias("sdd"), *[f(f"{p}_{k}").alias(f"{p}_{k}") for p in "ab" for k, f in (("min", F.min), ("max", F.max))])
+    far = each.select(*on, F.col("n").alias("k"), F.col("ma").alias("pa"), F.col("mb").alias("pb"), "saa", "sbb", "sab").join(whole.select(*on, "ma", "mb"), on)
+    da, db = F.col("pa") - F.col("ma"), F.col("pb") - F.col("mb")
+    about = far.groupBy(*on).agg(F.sum(F.col("saa") + F.col("k") * da * da).alias("saa"), F.sum(F.col("sbb") + F.col("k") * db * db).alias("sbb"), F.sum(F.col("sab") + F.col("k") * da * db).alias("sab"))
+    return whole.join(about, on)
 
 
 def ncc(sums: DataFrame) -> DataFrame:
     """Pearson correlation; 0 if a side hardly varies."""
-    cov = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
-    den = F.sqrt(F.greatest(F.col("saa") - F.col("sa") ** 2 / F.col("n"), F.lit(0.0)) * F.greatest(F.col("sbb") - F.col("sb") ** 2 / F.col("n"), F.lit(0.0)))
-    return sums.withColumn("ncc", F.when(den < 1e-12, 0.0).otherwise(cov / den))
+    den = F.sqrt(F.col("saa") * F.col("sbb"))
+    return sums.withColumn("ncc", F.when(den < 1e-12, 0.0).otherwise(F.col("sab") / den))
 
 
 def nrmse(sums: DataFrame) -> DataFrame:
@@ -89,7 +120,7 @@ def nmi(counts: DataFrame) -> DataFrame:
 
 
 def similarity(pairs: DataFrame, bins: int = BINS) -> DataFrame:
-    """(pair_id, phase, ncc, nmi, nrmse) of pairs; the bricks are read twice, for sums and for the histogram."""
+    """(pair_id, phase, ncc, nmi, nrmse) of pairs."""
     sums = moments(pairs)
     return nrmse(ncc(sums)).select("pair_id", "phase", "ncc", "nrmse").join(nmi(joint_counts(pairs, sums, bins)), ["pair_id", "phase"])
 
@@ -98,13 +129,25 @@ def report(fixed: DataFrame, before: DataFrame, after: DataFrame, pair_id: str =
     return similarity(pair_bricks(fixed, before, pair_id, "before").unionAll(pair_bricks(fixed, after, pair_id, "after")))
 
 
-def brick_stats(bricks: DataFrame) -> DataFrame:
-    """(volume_id, channel, v, n): how often each value is there, the exact basis of percentiles. uint16 has at most 65,536 values."""
+def brick_stats(bricks: DataFrame, group: tuple = ("volume_id", "channel")) -> DataFrame:
+    """(group, v, n): how often each value is there, null for those that aren't finite; the exact basis of percentiles.
+
+    A brick's counts leave its task; uint16 has at most 65,536 values a group, and values of float volumes are merged as they are.
+    group may hold key columns of bricks besides (bz for chunks of planes)."""
+    kinds = {f.name: f.dataType.simpleString() for f in bricks.schema}
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                v, n = np.unique(unpacked(r).astype(float), return_counts=True)
-                yield pd.DataFrame({"volume_id": r.volume_id, "channel": r.channel, "v": v, "n": n})
-
-    return bricks.mapInPandas(part, "volume_id string, channel int, v double, n long").groupBy("volume_id", "channel", "v").agg(F.sum("n").alias("n"))
+                a = unpacked(r).astype(float)
+                ok = np.isfinite(a)
+                v, n = np.unique(a[ok], return_counts=True)
+                out = pd.DataFrame({"v": v, "n": n})
+                if not ok.all():
+                    out = pd.concat([out, pd.DataFrame({"v": [np.nan], "n": [int((~ok).sum())]})])
+                for g in group:
+                    out[g] = getattr(r, g)
+                yield out[[*group, "v", "n"]]
+
+    each = bricks.mapInPandas(part, ", ".join(f"{g} {kinds[g]}" for g in group) + ", v double, n long")
+    return each.groupBy(*group, F.nanvl("v", F.lit(None)).alias("v")).agg(F.sum("n").alias("n"))

@@ -1,18 +1,20 @@
-"""Resampling by gather joins: each output brick asks for the source bricks that its mapped box touches.
+"""Resampling by one gather: each source brick sends every output brick the part of it that this one's mapped box touches.
 
-A transform maps fixed indices to moving indices: moving = m . fixed + t (m row-major, z, y, x). The asking side is the
-output grid (small rows), the answering side the moving bricks; one equi-join on (volume, channel, brick) brings them
-together, so the whole moving volume is shuffled about once, whatever its size. No long form is made.
+A transform maps fixed indices to moving indices: moving = m . fixed + t (m row-major, z, y, x). Which output bricks a
+source brick serves is closed-form arithmetic on its box, so nothing is joined to find out: the pixels are shuffled once,
+in their own dtype, each brick with the halo that interpolation needs. No long form is made.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelbrick.functions.kernels import box_weights, grid, sample, unpacked
+from voxelbrick.functions.kernels import box_weights, grid, sample
 from voxelbrick.operators.bricks import AXES, Triple, _row, frame
 from voxelbrick.operators.tiling import bricks_of
 from voxelbrick.schema import BRICKS
@@ -44,42 +46,79 @@ def output_grid(ids: DataFrame, shape: Triple, brick: Triple) -> DataFrame:
     return out
 
 
-def source_box(boxes: DataFrame, m: list[Column], t: list[Column], shape: Triple, lows=("z0", "y0", "x0"), highs=("z1", "y1", "x1")) -> DataFrame:
-    """q?0 .. q?1: the half-open box of source voxels that linear interpolation of a mapped box may need.
+def mapped_box(low, high, m: np.ndarray, t: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The half-open box, unclamped, of source voxels that linear interpolation needs for output voxels of the box low..high.
+
+    An affine image of a box is bounded axis by axis by the sums of the lesser and of the greater products. reach: a bound
+    on what is added to an output index, along each axis, before it is mapped."""
+    p, q = m * (np.asarray(low, float) - reach), m * (np.asarray(high, float) - 1 + reach)
+    return np.floor(t + np.minimum(p, q).sum(axis=1) - 1e-9).astype(int), np.floor(t + np.maximum(p, q).sum(axis=1) + 1e-9).astype(int) + 2
+
+
+def _clamped(low: np.ndarray, high: np.ndarray, shape) -> tuple[np.ndarray, np.ndarray]:
+    """The box inside the volume; a box beside it becomes the voxels at the edge."""
+    n = np.asarray(shape)
+    return np.clip(low, 0, n - 1), np.clip(high - 1, 0, n - 1) + 1
+
+
+def clamped_box(low, high, m: np.ndarray, t: np.ndarray, reach: float, shape) -> tuple[np.ndarray, np.ndarray]:
+    """What sent() gives an output box: its mapped box inside the source volume."""
+    return _clamped(*mapped_box(low, high, m, t, reach), shape)
 
-    An affine image of a box is bounded axis by axis by the sums of the lesser and of the greater products."""
-    for i, (a, n) in enumerate(zip(AXES, shape, strict=True)):
-        low, high = t[i], t[i]
-        for j in range(3):
-            p, q = m[3 * i + j] * F.col(lows[j]), m[3 * i + j] * (F.col(highs[j]) - 1)
-            low, high = low + F.least(p, q), high + F.greatest(p, q)
-        first = F.least(F.greatest(F.floor(low), F.lit(0)), F.lit(n - 1)).cast("int")
-        last = F.least(F.greatest(F.floor(high) + 1, F.lit(0)), F.lit(n - 1)).cast("int")
-        boxes = boxes.withColumn(f"q{a}0", first).withColumn(f"q{a}1", last + 1)
-    return boxes
 
+PIECES = "volume_id string, channel int, bz int, by int, bx int, s_z0 int, s_y0 int, s_x0 int, s_nz int, s_ny int, s_nx int, s_dtype string, s_data binary"
 
-def _ask(boxes: DataFrame, brick: Triple) -> DataFrame:
-    keep = boxes.columns
-    asked = boxes.select(*keep, *[F.struct(*[f"{a}{e}" for a in AXES for e in (0, 1)]).alias("_box")])
-    asked = asked.withColumns({f"{a}{e}": F.col(f"q{a}{e}") for a in AXES for e in (0, 1)})
-    asked = bricks_of(asked, brick, prefix="s")
-    return asked.withColumns({f"{a}{e}": F.col(f"_box.{a}{e}") for a in AXES for e in (0, 1)}).drop("_box")
 
+def with_transforms(df: DataFrame, m, t, transforms: DataFrame | None) -> DataFrame:
+    """df with m array<double> and t array<double>: its own of (volume_id[, channel]) in transforms, else the given one."""
+    same = df.withColumns({"m": F.array(*[F.lit(float(x)) for x in m]), "t": F.array(*[F.lit(float(x)) for x in t])})
+    if transforms is None:
+        return same
+    on = [c for c in ("volume_id", "channel") if c in transforms.columns]
+    return df.join(transforms.select(*on, "m", "t"), on)
 
-def _answer(asked: DataFrame, moving: DataFrame) -> DataFrame:
-    have = moving.select("volume_id", "channel", *[F.col(f"b{a}").alias(f"sb{a}") for a in AXES], *[F.col(c).alias(f"s_{c}") for c in ("z0", "y0", "x0", "nz", "ny", "nx", "dtype", "data")])
-    return asked.join(have, ["volume_id", "channel", "sbz", "sby", "sbx"], "left")
 
+def sent(moving: DataFrame, moving_shape: Triple, shape: Triple, brick: Triple, reach: float = 0.0) -> DataFrame:
+    """moving (bricks with m, t; any grid) cut to pieces for the output bricks that ask for them, keyed by these.
 
-def _assemble(rows: pd.DataFrame, low, high) -> np.ndarray:
-    """The box low..high out of the source bricks in rows."""
+    The output voxels that a source brick can serve lie in the box of its corners, one voxel farther out for the clamped
+    edge, mapped backwards; each output brick in it gets the part inside its own mapped box."""
+    many = [-(-n // s) for n, s in zip(shape, brick, strict=True)]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                m, t = np.array(r.m, float).reshape(3, 3), np.array(r.t, float)
+                a = np.frombuffer(r.data, r.dtype).reshape(r.nz, r.ny, r.nx)
+                start = np.array([r.z0, r.y0, r.x0])
+                back = np.linalg.inv(m)
+                p, q = back * (start - 1 - t), back * (start + np.array(a.shape) - t)
+                first = np.floor((np.minimum(p, q).sum(axis=1) - reach - 1) / brick).astype(int)
+                last = np.floor((np.maximum(p, q).sum(axis=1) + reach + 1) / brick).astype(int)
+                first, last = np.maximum(first, 0), np.minimum(last, np.array(many) - 1)
+                for k in np.ndindex(*np.maximum(last - first + 1, 0)):
+                    k = first + k
+                    low = k * brick
+                    low, high = clamped_box(low, np.minimum(low + brick, shape), m, t, reach, moving_shape)
+                    low, high = np.maximum(low, start), np.minimum(high, start + a.shape)
+                    if (low < high).all():
+                        part = a[tuple(slice(i, j) for i, j in zip(low - start, high - start, strict=True))]
+                        out.append((r.volume_id, r.channel, *map(int, k), *map(int, low), *part.shape, r.dtype, part.tobytes()))
+                    if len(out) >= 64:
+                        yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
+                        out = []
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
+
+    return moving.select("volume_id", "channel", "z0", "y0", "x0", "nz", "ny", "nx", "dtype", "data", "m", "t").mapInPandas(cut, PIECES)
+
+
+def assembled(pieces: pd.DataFrame, low, high) -> np.ndarray:
+    """The box low..high out of pieces; what none of them has is 0."""
     out = np.zeros([q - p for p, q in zip(low, high, strict=True)])
-    for r in rows.itertuples():
-        if r.s_data is None:
-            continue
-        a = np.frombuffer(r.s_data, r.s_dtype).reshape(int(r.s_nz), int(r.s_ny), int(r.s_nx))
-        o = [int(r.s_z0), int(r.s_y0), int(r.s_x0)]
+    for r in pieces.itertuples():
+        a = np.frombuffer(r.s_data, r.s_dtype).reshape(r.s_nz, r.s_ny, r.s_nx)
+        o = (r.s_z0, r.s_y0, r.s_x0)
         p = [max(i, j) for i, j in zip(o, low, strict=True)]
         q = [min(i + n, j) for i, n, j in zip(o, a.shape, high, strict=True)]
         if all(i < j for i, j in zip(p, q, strict=True)):
@@ -87,20 +126,44 @@ def _assemble(rows: pd.DataFrame, low, high) -> np.ndarray:
     return out
 
 
-def warp(moving: DataFrame, moving_shape: Triple, shape: Triple, brick: Triple, m=IDENTITY, t=(0.0, 0.0, 0.0), mode: str = "linear", dtype: str = "float64") -> DataFrame:
-    """Every (volume_id, channel) of moving resampled onto a grid of `shape`; outside the moving volume 0. mode: linear or nearest."""
-    boxes = source_box(output_grid(moving, shape, brick), [F.lit(float(x)) for x in m], [F.lit(float(x)) for x in t], moving_shape)
-    rows = _answer(_ask(boxes, brick), moving)
-    mat, off = np.array(m, float).reshape(3, 3), np.array(t, float)[:, None]
+ON = ["volume_id", "channel", "bz", "by", "bx"]
+
 
-    def kernel(key, g: pd.DataFrame) -> pd.DataFrame:
-        r = g.iloc[0]
-        low, high = [int(r[f"q{a}0"]) for a in AXES], [int(r[f"q{a}1"]) for a in AXES]
-        start, size = [int(r[f"{a}0"]) for a in AXES], [int(r[f"{a}1"] - r[f"{a}0"]) for a in AXES]
-        v = sample(_assemble(g, low, high), low, moving_shape, mat @ grid(start, size) + off, mode)
-        return frame([_row(key[0], key[1], key[2:], start, v.reshape(size).astype(dtype))])
+def gathered(wanted: DataFrame, pieces: DataFrame, kernel, schema: str = BRICKS) -> DataFrame:
+    """kernel(row of wanted, pieces) -> DataFrame for each output brick in wanted, pieces or not; a brick beside wanted isn't made."""
 
-    return rows.groupBy("volume_id", "channel", "bz", "by", "bx").applyInPandas(kernel, BRICKS)
+    def run(key, want: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        return kernel(next(want.itertuples()), have) if len(want) else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+
+    return wanted.groupBy(*ON).cogroup(pieces.toDF(*pieces.columns).groupBy(*ON)).applyInPandas(run, schema)
+
+
+def _extent(boxes: DataFrame) -> Triple:
+    """The size of a grid of boxes: one small aggregate."""
+    r = boxes.agg(*[F.max(f"{a}1").alias(a) for a in AXES]).first()
+    return (r.z or 0, r.y or 0, r.x or 0)
+
+
+def _place(r) -> tuple[np.ndarray, np.ndarray]:
+    start = np.array([r.z0, r.y0, r.x0])
+    return start, np.array([r.z1, r.y1, r.x1]) - start
+
+
+def warp(moving: DataFrame, moving_shape: Triple, shape: Triple, brick: Triple, m=IDENTITY, t=(0.0, 0.0, 0.0), mode: str = "linear", dtype: str = "float64", transforms: DataFrame | None = None) -> DataFrame:
+    """Every (volume_id, channel) of moving resampled onto a grid of `shape`; outside the moving volume 0. mode: linear or nearest.
+
+    transforms (volume_id[, channel], m, t): each volume by its own; one without a row isn't made."""
+    wanted = with_transforms(output_grid(moving, shape, brick), m, t, transforms)
+    pieces = sent(with_transforms(moving, m, t, transforms), moving_shape, shape, brick)
+
+    def kernel(r, have: pd.DataFrame) -> pd.DataFrame:
+        start, size = _place(r)
+        mat, off = np.array(r.m).reshape(3, 3), np.array(r.t)
+        low, high = clamped_box(start, start + size, mat, off, 0.0, moving_shape)
+        v = sample(assembled(have, low, high), low, moving_shape, mat @ grid(start, size) + off[:, None], mode)
+        return frame([_row(r.volume_id, r.channel, (r.bz, r.by, r.bx), start, v.reshape(size).astype(dtype))])
+
+    return gathered(wanted, pieces, kernel)
 
 
 def warp_field(moving: DataFrame, moving_shape: Triple, field: DataFrame, brick: Triple, reach: float, dtype: str = "float64") -> DataFrame:
@@ -110,73 +173,65 @@ def warp_field(moving: DataFrame, moving_shape: Triple, field: DataFrame, brick:
     bound on |d| along each axis, so that a brick asks for its own box grown by it."""
     part = lambda c: field.where(F.col("channel") == c).select("volume_id", "bz", "by", "bx", *([F.col(k) for k in ("z0", "y0", "x0", "nz", "ny", "nx")] if c == 0 else []), F.col("data").alias(f"d{c}"), F.col("dtype").alias(f"t{c}"))
     on = ["volume_id", "bz", "by", "bx"]
-    boxes = part(0).join(part(1), on).join(part(2), on).withColumns({f"{a}1": F.col(f"{a}0") + F.col(f"n{a}") for a in AXES}).drop("nz", "ny", "nx")
-    boxes = boxes.join(moving.select("volume_id", "channel").distinct(), "volume_id")
-    for a, n in zip(AXES, moving_shape, strict=True):
-        inner = lambda c, n=n: F.least(F.greatest(F.floor(c), F.lit(0)), F.lit(n - 1)).cast("int")
-        boxes = boxes.withColumn(f"q{a}0", inner(F.col(f"{a}0") - reach)).withColumn(f"q{a}1", inner(F.col(f"{a}1") + reach + 1) + 1)
-    rows = _answer(_ask(boxes, brick), moving)
-
-    def kernel(key, g: pd.DataFrame) -> pd.DataFrame:
-        r = g.iloc[0]
-        low, high = [int(r[f"q{a}0"]) for a in AXES], [int(r[f"q{a}1"]) for a in AXES]
-        start, size = [int(r[f"{a}0"]) for a in AXES], [int(r[f"{a}1"] - r[f"{a}0"]) for a in AXES]
-        d = np.stack([np.frombuffer(r[f"d{c}"], r[f"t{c}"]).astype(float) for c in range(3)])
+    wanted = part(0).join(part(1), on).join(part(2), on).withColumns({f"{a}1": F.col(f"{a}0") + F.col(f"n{a}") for a in AXES}).drop("nz", "ny", "nx")
+    wanted = wanted.join(moving.select("volume_id", "channel").distinct(), "volume_id")
+    pieces = sent(with_transforms(moving, IDENTITY, (0, 0, 0), None), moving_shape, _extent(wanted), brick, reach)
+
+    def kernel(r, have: pd.DataFrame) -> pd.DataFrame:
+        start, size = _place(r)
+        d = np.stack([np.frombuffer(getattr(r, f"d{c}"), getattr(r, f"t{c}")).astype(float) for c in range(3)])
         if np.abs(d).max(initial=0) > reach:
             raise ValueError("a displacement is beyond reach")
-        v = sample(_assemble(g, low, high), low, moving_shape, grid(start, size) + d)
-        return frame([_row(key[0], key[1], key[2:], start, v.reshape(size).astype(dtype))])
+        low, high = clamped_box(start, start + size, np.eye(3), np.zeros(3), reach, moving_shape)
+        v = sample(assembled(have, low, high), low, moving_shape, grid(start, size) + d)
+        return frame([_row(r.volume_id, r.channel, (r.bz, r.by, r.bx), start, v.reshape(size).astype(dtype))])
 
-    return rows.groupBy("volume_id", "channel", "bz", "by", "bx").applyInPandas(kernel, BRICKS)
+    return gathered(wanted, pieces, kernel)
 
 
-def tiled_apply(moving: DataFrame, moving_shape: Triple, tiles: DataFrame, shape: Triple, brick: Triple, overlap: Triple, m=IDENTITY, t=(0.0, 0.0, 0.0), mode: str = "two_pass", eps: float | None = 1e-6, dtype: str = "float64") -> DataFrame:
+def tiled_apply(moving: DataFrame, moving_shape: Triple, tiles: DataFrame, shape: Triple, brick: Triple, overlap: Triple, m=IDENTITY, t=(0.0, 0.0, 0.0), mode: str = "two_pass", eps: float | None = 1e-6, dtype: str = "float64", transforms: DataFrame | None = None, reach: float | None = None) -> DataFrame:
     """Global affine, then each tile's own displacement, blended by raised-cosine weights, in one gather.
 
-    tiles: tile_index, box, dz, dy, dx (added to the fixed index before the global map). Each output brick takes, for
+    tiles: [volume_id,] tile_index, box, dz, dy, dx (added to the fixed index before the global map). Each output brick takes, for
     each tile that meets it, its part of the tile times the tile's weights, and divides by the weights' sum (at least eps;
     None: the plain sum). two_pass: as resampling twice, the tile is first made by the global map inside its own box and
-    then moved, 0 coming in from outside; composed: one interpolation. Voxels of no tile are 0.
-
-    Tiles (a small table, joined on the bricks they cover) and the source bricks are equi-joined; the blend needs no
-    further shuffle."""
-    out = output_grid(moving, shape, brick)
-    boxes = tiles.select("tile_index", *[F.col(f"{a}{e}").cast("int").alias(f"{a}{e}") for a in AXES for e in (0, 1)], *[F.col(f"d{a}").cast("double").alias(f"d{a}") for a in AXES])
-    per = bricks_of(boxes, brick).select("bz", "by", "bx", "tile_index", *[F.col(f"{a}{e}").alias(f"t{a}{e}") for a in AXES for e in (0, 1)], "dz", "dy", "dx")
-    both = out.join(per, ["bz", "by", "bx"], "left")
-    for a in AXES:  # the part of the tile in this brick, where the tile's displacement takes it
-        both = both.withColumn(f"p{a}0", F.floor(F.coalesce(F.greatest(F.col(f"{a}0"), F.col(f"t{a}0")) + F.col(f"d{a}"), F.col(f"{a}0"))))
-        both = both.withColumn(f"p{a}1", F.floor(F.coalesce(F.least(F.col(f"{a}1"), F.col(f"t{a}1")) - 1 + F.col(f"d{a}"), F.col(f"{a}0"))) + 2)
-    both = source_box(both, [F.lit(float(x)) for x in m], [F.lit(float(x)) for x in t], moving_shape, ("pz0", "py0", "px0"), ("pz1", "py1", "px1"))
-    rows = _answer(_ask(both, brick), moving)
-    mat, off = np.array(m, float).reshape(3, 3), np.array(t, float)[:, None]
-
-    def kernel(key, g: pd.DataFrame) -> pd.DataFrame:
-        r = g.iloc[0]
-        start, size = [int(r[f"{a}0"]) for a in AXES], [int(r[f"{a}1"] - r[f"{a}0"]) for a in AXES]
+    then moved, 0 coming in from outside; composed: one interpolation. Voxels of no tile are 0. reach: a bound on the
+    displacements; by default the greatest of them, one small aggregate.
+
+    Tiles (a small table) meet output bricks on the bricks that they cover; a brick asks once for all its tiles, and the blend
+    needs no further shuffle."""
+    if reach is None:
+        reach = float(tiles.agg(F.max(F.greatest(*[F.abs(F.col(f"d{a}").cast("double")) for a in AXES]))).first()[0] or 0.0)
+    ids = [c for c in ("volume_id",) if c in tiles.columns]
+    cols = ["tile_index", *[f"{a}{e}" for a in AXES for e in (0, 1)], *[f"d{a}" for a in AXES]]
+    boxes = tiles.select(*ids, "tile_index", *[F.col(f"{a}{e}").cast("int").alias(f"{a}{e}") for a in AXES for e in (0, 1)], *[F.col(f"d{a}").cast("double").alias(f"d{a}") for a in AXES])
+    per = bricks_of(boxes, brick).groupBy(*ids, "bz", "by", "bx").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("tiles"))
+    wanted = with_transforms(output_grid(moving, shape, brick), m, t, transforms).join(per, [*ids, "bz", "by", "bx"], "left")
+    # In two passes the first one's box may go a voxel beyond the displacement.
+    pieces = sent(with_transforms(moving, m, t, transforms), moving_shape, shape, brick, reach + 1)
+
+    def kernel(r, have: pd.DataFrame) -> pd.DataFrame:
+        start, size = _place(r)
+        mat, off = np.array(r.m).reshape(3, 3), np.array(r.t)
+        low, high = clamped_box(start, start + size, mat, off, reach + 1, moving_shape)
+        src = assembled(have, low, high)
         total, weight = np.zeros(size), np.zeros(size)
-        for _, part in g[g["tile_index"].notna()].groupby("tile_index"):
-            r = part.iloc[0]
-            low, high = [int(r[f"q{a}0"]) for a in AXES], [int(r[f"q{a}1"]) for a in AXES]
-            src = _assemble(part, low, high)
-            tile0, tile1 = np.array([int(r[f"t{a}0"]) for a in AXES]), np.array([int(r[f"t{a}1"]) for a in AXES])
-            p = np.maximum(start, tile0)
-            q = np.minimum(np.array(start) + size, tile1)
-            n = q - p
-            d = np.array([float(r[f"d{a}"]) for a in AXES])[:, None]
-            here = grid(p, n) + d
+        for tile in r.tiles if r.tiles is not None else []:
+            tile0, tile1 = (np.array([tile[f"{a}{e}"] for a in AXES]) for e in (0, 1))
+            p, q = np.maximum(start, tile0), np.minimum(start + size, tile1)
+            here = grid(p, q - p) + np.array([tile[f"d{a}"] for a in AXES])[:, None]
             if mode == "composed":
-                v = sample(src, low, moving_shape, mat @ here + off)
+                v = sample(src, low, moving_shape, mat @ here + off[:, None])
             else:
                 b0 = np.clip(np.floor(here.min(axis=1)).astype(int), tile0, tile1 - 1)
                 b1 = np.clip(np.floor(here.max(axis=1)).astype(int) + 2, b0 + 1, tile1)
-                first = sample(src, low, moving_shape, mat @ grid(b0, b1 - b0) + off).reshape(b1 - b0)
+                first = sample(src, low, moving_shape, mat @ grid(b0, b1 - b0) + off[:, None]).reshape(b1 - b0)
                 v = sample(first, b0 - tile0, tile1 - tile0, here - tile0[:, None])
             w = box_weights(tile1 - tile0, overlap)[tuple(slice(i, j) for i, j in zip(p - tile0, q - tile0, strict=True))]
             at = tuple(slice(i, j) for i, j in zip(p - start, q - start, strict=True))
-            total[at] += v.reshape(n) * w
+            total[at] += v.reshape(q - p) * w
             weight[at] += w
         out = np.where(weight > 0, total / (np.maximum(weight, eps) if eps is not None else np.where(weight > 0, weight, 1)), 0)
-        return frame([_row(key[0], key[1], key[2:], start, out.astype(dtype))])
+        return frame([_row(r.volume_id, r.channel, (r.bz, r.by, r.bx), start, out.astype(dtype))])
 
-    return rows.groupBy("volume_id", "channel", "bz", "by", "bx").applyInPandas(kernel, BRICKS)
+    return gathered(wanted, pieces, kernel)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelbrick.operators import bricks as B
-from voxelbrick.operators import estimate, intensity, metrics, resample, tiling
+from voxelbrick.operators import estimate, intensity, jobs, metrics, resample, tiling
 from voxelbrick.sources import fixtures as X
+from voxelbrick.sources.scratch import stored
 
 BRICK = (8, 8, 32)
 BOX = ((2, 3, 5), (15, 20, 50))
@@ -63,19 +64,20 @@ def p6_transpose(spark, sf_dir):
 
 
 def p7_conform(spark, sf_dir):
-    b, _ = bricks(spark, sf_dir)
+    """Cut by two planes, padded by five rows and six columns."""
+    b, (nz, ny, nx) = bricks(spark, sf_dir)
     ids = b.select("volume_id", "channel").distinct()
-    return long(B.conform(b, ids, (18, 30, 70), BRICK, pad=7.0))
+    return long(B.conform(b, ids, (nz - 2, ny + 5, nx + 6), BRICK, pad=7.0))
 
 
 # ---------------------------------------------------------------- intensity
 
 
 def p8_uint16(spark, sf_dir):
-    v, _ = volume(spark, sf_dir)
-    v = v.withColumn("v", F.col("v") * 4.25 - 20000.0)
-    one = lambda mode, group=None: intensity.to_uint16(v, mode, group).select(F.lit(mode if not group else "chunk").alias("mode"), "z", "y", "x", "v")
-    return one("clip").unionAll(one("minmax")).unionAll(one("robust")).unionAll(one("minmax", ["z"]))
+    v, shape = volume(spark, sf_dir)
+    b = stored(B.to_bricks(v.withColumn("v", F.col("v") * 4.25 - 20000.0), shape, BRICK), "volume")
+    one = lambda name, mode, group=("volume_id", "channel"): B.to_voxels(intensity.uint16_bricks(b, mode, group)).select(F.lit(name).alias("mode"), "z", "y", "x", F.col("v").cast("int").alias("v"))
+    return one("clip", "clip").unionAll(one("minmax", "minmax")).unionAll(one("robust", "robust")).unionAll(one("chunk", "minmax", ("volume_id", "channel", "bz")))
 
 
 def p9_uint8(spark, sf_dir):
@@ -88,10 +90,10 @@ def a5_array_stats(spark, sf_dir):
 
 
 def a5_value_percentiles(spark, sf_dir):
-    """The same percentiles from counts of values made brick by brick."""
+    """Statistics of bricks, from counts of values made in each."""
     b, _ = bricks(spark, sf_dir)
-    q = intensity.value_percentiles(metrics.brick_stats(b), [0.001, 0.5, 0.999], ["channel"])
-    return q.select("channel", *[F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(("p01", "p50", "p999"))])
+    s = intensity.brick_array_stats(b, ("channel",))
+    return s.select("channel", "n", "finite_count", "nonzero", *[F.round(c, 4).alias(c) for c in ("p0", "p1", "p50", "p99", "p999", "p100")], "all_zero")
 
 
 # ---------------------------------------------------------------- resampling
@@ -105,9 +107,10 @@ def r1_affine(spark, sf_dir):
 
 
 def r2_resample(spark, sf_dir):
-    b, shape = bricks(spark, sf_dir)
+    """Planes twice and columns 1.6 times as far apart, over the whole volume."""
+    b, (nz, ny, nx) = bricks(spark, sf_dir)
     m, t = resample.index_affine(resample.IDENTITY, (0, 0, 0), {"spacing": (1.6, 1.0, 2.0)}, {"spacing": (1.0, 1.0, 1.0)})
-    return long(resample.warp(b, shape, (10, shape[1], 39), BRICK, m, t))
+    return long(resample.warp(b, (nz, ny, nx), (-(-nz // 2), ny, -(-nx * 5 // 8)), BRICK, m, t))
 
 
 def r3_field(spark, sf_dir):
@@ -119,10 +122,9 @@ def r3_field(spark, sf_dir):
 
 
 def r4_composed(spark, sf_dir):
-    """Global affine, then whole-index tile displacements, in the two-pass mode."""
+    """Global affine, then a displacement for each tile, in the two-pass mode."""
     b, shape = bricks(spark, sf_dir)
-    t = tiles_of(spark, shape).withColumns({"dz": F.lit(0.5), "dy": F.lit(0.0), "dx": F.lit(-0.5)})
-    return long(resample.tiled_apply(b, shape, t, shape, BRICK, OVER, M1, T1))
+    return long(resample.tiled_apply(b, shape, shifts_of(tiles_of(spark, shape)), shape, BRICK, OVER, M1, T1))
 
 
 def r5_nearest(spark, sf_dir):
@@ -157,13 +159,31 @@ def shifts_of(t: DataFrame) -> DataFrame:
     return t.withColumns({"dz": F.col("tile_index") % 2, "dy": F.col("tile_index") % 3 - 1, "dx": F.col("tile_index") % 5 - 2})
 
 
+def _channels(spark, sf_dir):
+    """(fixed, moving with channels 0 and 1, shape): the moving copies shifted, and their far part by one row more."""
+    v, shape = volume(spark, sf_dir)
+    m = X.locally_moved(v, shape)
+    m = m.unionByName(m.withColumn("channel", F.lit(1)).withColumn("v", 65535 - F.col("v")))
+    return (stored(B.to_bricks(x.withColumn("volume_id", F.lit("emb")), shape, BRICK, "uint16"), "volume") for x in (v, m)), shape
+
+
+def _tile_grid(spark, shape):
+    return tiles_of(spark, shape).withColumn("volume_id", F.lit("emb"))
+
+
 def x2_tiled_apply(spark, sf_dir):
-    """Whole-volume tiled registration with given transforms: the moving copy brought back, tile displacements, blend, uint16."""
-    b, shape = moved(spark, sf_dir)
-    t = shifts_of(tiles_of(spark, shape))
-    out = resample.tiled_apply(b, shape, t, shape, BRICK, OVER, t=tuple(map(float, X.PLANTED)))
-    v = B.to_voxels(out).withColumn("v", F.round("v", 6))
-    return intensity.to_uint16(v).select("z", "y", "x", "v")
+    """Whole-volume tiled registration: estimated on channel 0, once, and applied to both channels; uint16."""
+    (f, m), shape = _channels(spark, sf_dir)
+    whole, local = jobs.register_tiles(f, m.where("channel = 0"), shape, BRICK, TILE, OVER, 3, 1, 2)
+    out = jobs.apply_tiles(m, shape, BRICK, _tile_grid(spark, shape), OVER, whole, local)
+    return B.to_voxels(intensity.uint16_bricks(rounded(out))).select("channel", "z", "y", "x", F.col("v").cast("int").alias("v"))
+
+
+def rounded(bricks: DataFrame, digits: int = 6) -> DataFrame:
+    """bricks rounded, so that halves are halves in every engine."""
+    import numpy as np
+
+    return B._mapped(bricks, lambda r, a: [B._row(r.volume_id, r.channel, (r.bz, r.by, r.bx), (r.z0, r.y0, r.x0), np.round(a, digits))])
 
 
 # ---------------------------------------------------------------- similarity
@@ -173,7 +193,8 @@ def a4_report(spark, sf_dir):
     """Before and after alignment of the shifted copy."""
     f, shape = bricks(spark, sf_dir)
     m, _ = moved(spark, sf_dir)
-    after = resample.warp(m, shape, shape, BRICK, t=tuple(map(float, X.PLANTED)))
+    f, m = stored(f, "fixed"), stored(m, "moving")
+    after = stored(resample.warp(m, shape, shape, BRICK, t=tuple(map(float, X.PLANTED))), "after")
     r = metrics.report(f, m, after)
     return r.select("pair_id", "phase", *[F.round(c, 6).alias(c) for c in ("ncc", "nmi", "nrmse")])
 
@@ -196,17 +217,18 @@ def a2_nrmse(spark, sf_dir):
 
 
 def a3_nmi(spark, sf_dir):
-    p = metrics.pair_bricks(*_evt_pair(spark, sf_dir))
+    p = stored(metrics.pair_bricks(*_evt_pair(spark, sf_dir)), "pairs")
     return metrics.nmi(metrics.joint_counts(p, metrics.moments(p))).select("pair_id", F.round("nmi", 6).alias("nmi"))
 
 
 def j1_pairs(spark, sf_dir):
-    """Fixed and moving of other sizes meet on the smaller shape."""
+    """Fixed and moving of other sizes meet on the smaller shape; of the moving side, the first brick of each plane of bricks is missing."""
     f, shape = bricks(spark, sf_dir)
     v, _ = volume(spark, sf_dir)
     small = (shape[0] - 3, shape[1] - 4, shape[2] - 5)
-    m = B.to_bricks(v, small, BRICK)
-    return metrics.moments(metrics.pair_bricks(f, m)).select("pair_id", "n", F.col("sa").cast("bigint").alias("sa"), F.col("sb").cast("bigint").alias("sb"))
+    m = B.to_bricks(v, small, BRICK).where("by > 0 or bx > 0")
+    s = metrics.moments(metrics.pair_bricks(f, m, shapes=(shape, small)))
+    return s.select("pair_id", "n", *[F.round(F.col("n") * F.col(f"m{p}")).cast("bigint").alias(f"s{p}") for p in "ab"], F.col("b_min").cast("bigint").alias("b_min"))
 
 
 # ---------------------------------------------------------------- foreground
@@ -217,21 +239,23 @@ def a6_threshold(spark, sf_dir):
     return t.select("cycle", "channel", F.round("threshold", 6).alias("threshold"))
 
 
-def _one_evt(spark, sf_dir):
-    e = X.vox_evt(spark, sf_dir).where("cycle = 0 and channel = 4")
-    shape = B.shape_of(X.vox_evt(spark, sf_dir))
-    return e, tiles_of(spark, shape, (10, 20, 12), (0, 5, 4))
+def _evt_tiles(spark, sf_dir):
+    """The sparse volumes of all cycles and channels, and tiles of their shape."""
+    e = X.vox_evt(spark, sf_dir)
+    shape = B.shape_of(e)
+    b = B.to_bricks(e.select(F.col("cycle").cast("string").alias("volume_id"), "channel", "z", "y", "x", "v"), shape, (10, 64, 24))
+    return stored(b, "volumes"), tiles_of(spark, shape, (10, 20, 12), (0, 5, 4))
 
 
 def a7_foreground(spark, sf_dir):
-    e, t = _one_evt(spark, sf_dir)
-    out = intensity.tile_foreground(t, e, 1000.0, 2)
-    return out.select("tile_index", F.round("foreground_fraction", 6).alias("foreground_fraction"), "output_skipped")
+    b, t = _evt_tiles(spark, sf_dir)
+    out = intensity.tile_foreground(t, b, (10, 64, 24), 1000.0, 2)
+    return out.select(F.col("volume_id").cast("int").alias("cycle"), "channel", "tile_index", F.round("foreground_fraction", 6).alias("foreground_fraction"), "output_skipped")
 
 
 def a8_usable(spark, sf_dir):
-    e, t = _one_evt(spark, sf_dir)
-    return intensity.tile_usable(t, e).select("tile_index", F.col("nonzero").cast("bigint").alias("nonzero"), "usable")
+    b, t = _evt_tiles(spark, sf_dir)
+    return intensity.tile_usable(t, b, (10, 64, 24)).select(F.col("volume_id").cast("int").alias("cycle"), "channel", "tile_index", F.col("nonzero").cast("bigint").alias("nonzero"), "usable")
 
 
 # ---------------------------------------------------------------- estimation
@@ -248,78 +272,83 @@ def e1_translation(spark, sf_dir):
     return t.select(*[F.round(c, 4).alias(c) for c in t.columns])
 
 
+def e1_brick_moments(spark, sf_dir):
+    b, _ = bricks(spark, sf_dir)
+    m = estimate.brick_moments(b)
+    return m.select("channel", F.col("mass").cast("bigint").alias("mass"), *[F.round(c, 4).alias(c) for c in m.columns if c[0] == "c" and c != "channel"])
+
+
+def _two(spark, sf_dir):
+    """(fixed, moving) with equal keys, shape."""
+    f, shape = bricks(spark, sf_dir)
+    m, _ = moved(spark, sf_dir)
+    return f, m.withColumn("volume_id", F.lit("emb")), shape
+
+
 def e2_shift(spark, sf_dir):
-    v, shape = volume(spark, sf_dir)
-    f = v.where("z < 12 and x < 40")
-    return estimate.search_shift(f, X.shifted(v, X.PLANTED, shape), 3).select("dz", "dy", "dx", "n", F.round("ncc", 6).alias("ncc"))
+    f, m, shape = _two(spark, sf_dir)
+    return estimate.search_shift(f, m, shape, BRICK, 3).select("dz", "dy", "dx", "n", F.round("ncc", 6).alias("ncc"))
 
 
 def e3_phase(spark, sf_dir):
-    v, shape = volume(spark, sf_dir)
-    return estimate.phase_shift(v, X.shifted(v, X.PLANTED, shape).withColumn("volume_id", F.lit("emb")), ["volume_id"], shape).select("volume_id", "dz", "dy", "dx")
+    f, m, shape = _two(spark, sf_dir)
+    return estimate.phase_shift(f, m, shape, (32, 32, 64), (4, 4, 4)).select("volume_id", "dz", "dy", "dx")
 
 
 def e4_affine(spark, sf_dir):
-    """A smooth volume made of this one's sums, moved by a known part of a voxel."""
-    v, shape = volume(spark, sf_dir)
-    smooth = lambda off: v.withColumn("v", sum(F.cos((F.col(a) + off[i]) * 2.0 / n * 3.0) for i, (a, n) in enumerate(zip("zyx", shape, strict=True))))
-    f = B.to_bricks(smooth((0.0, 0.0, 0.0)), shape, BRICK)
-    moving = B.to_bricks(smooth((0.3, -0.4, 0.5)), shape, shape).first()
-    from voxelbrick.functions.kernels import unpacked
-
-    m, t = estimate.estimate_affine(f, unpacked(moving), 8)
+    """The volume smoothed by steps of half a voxel to and fro, against a copy of it moved by parts of a voxel. Its grain is too fine for coarser levels."""
+    b, shape = bricks(spark, sf_dir)
+    for t in (0.5, -0.5, 0.5, -0.5):
+        b = stored(resample.warp(b, shape, shape, BRICK, t=(t, t, t), dtype="float32"), "smooth")
+    inner = tuple(n - 6 for n in shape)  # without the borders, where smoothing meets the zeros outside
+    inside = lambda v: stored(B.crop(v, (3, 3, 3), tuple(n - 3 for n in shape), BRICK), "inner")
+    moving = inside(resample.warp(b, shape, shape, BRICK, t=(-0.3, 0.4, -0.5), dtype="float32"))
+    m, t = estimate.estimate_affine(inside(b), moving, inner, inner, BRICK, (1,), 8)
     rows = [(i, *map(float, m[i]), float(t[i])) for i in range(3)]
     return spark.createDataFrame(rows, "axis int, m0 double, m1 double, m2 double, t double")
 
 
 def e5_refine(spark, sf_dir):
+    """Each tile's displacement after the global shift: the far part of the moving copy lies one row farther."""
+    (f, m), shape = _channels(spark, sf_dir)
+    _, local = jobs.register_tiles(f, m.where("channel = 0"), shape, BRICK, TILE, OVER, 3, 1, 2)
+    return local.select("tile_index", "dz", "dy", "dx", "skipped")
+
+
+def _cycle(spark, sf_dir):
+    """One cycle: channel 0, and channels 1 to 3 that are shifted copies of it."""
     v, shape = volume(spark, sf_dir)
-    t = intensity.tile_foreground(tiles_of(spark, shape), v, 15000.0, 2)
-    return estimate.refine_tiles(t, v, X.shifted(v, (1, 1, 1), shape), 1, 0.01, 15000.0).drop("reason")
+    all_ = v
+    for c, by in X.CHANNEL_SHIFTS.items():
+        all_ = all_.unionByName(X.shifted(v, by, shape, "emb").withColumn("channel", F.lit(c)))
+    return stored(B.to_bricks(all_, shape, BRICK), "cycle"), shape
 
 
 def e6_intracycle(spark, sf_dir):
     """Each other channel's shift to the reference channel of its cycle (channel 0, which is skipped)."""
-    v, shape = volume(spark, sf_dir)
-    chans = None
-    for c, by in ((1, (1, 0, 0)), (2, (0, 2, -1)), (3, (-1, 1, 2))):
-        one = X.shifted(v, by, shape).withColumn("channel", F.lit(c))
-        chans = one if chans is None else chans.unionAll(one)
-    ref = None
-    for c in (1, 2, 3):
-        one = v.withColumn("channel", F.lit(c))
-        ref = one if ref is None else ref.unionAll(one)
-    return estimate.search_shift(ref, chans, 2, ["channel"]).select("channel", "dz", "dy", "dx", F.round("ncc", 6).alias("ncc"))
+    b, shape = _cycle(spark, sf_dir)
+    others = b.where("channel > 0")
+    return estimate.search_shift(jobs.as_channel(b.where("channel = 0"), others), others, shape, BRICK, 2).select("channel", "dz", "dy", "dx", F.round("ncc", 6).alias("ncc"))
 
 
 # ---------------------------------------------------------------- views and jobs
 
 
 def w4_center_slices(spark, sf_dir):
-    v, shape = volume(spark, sf_dir)
-    one = lambda plane, a, i: v.where(F.col(a) == i).select(F.lit(plane).alias("plane"), "z", "y", "x", "v")
-    return one("xy", "z", shape[0] // 2).unionByName(one("xz", "y", shape[1] // 2)).unionByName(one("yz", "x", shape[2] // 2))
-
-
-def _overlay(f: DataFrame, m: DataFrame) -> DataFrame:
-    f8 = intensity.robust_uint8(f, ["plane"]).select("plane", "z", "y", "x", F.col("u8").alias("r"))
-    m8 = intensity.robust_uint8(m, ["plane"]).select("plane", "z", "y", "x", F.col("u8").alias("g"))
-    return f8.join(m8, ["plane", "z", "y", "x"]).withColumn("b", F.greatest("r", "g"))
+    b, shape = bricks(spark, sf_dir)
+    return jobs.center_slices(b, shape).select("plane", "z", "y", "x", F.col("v").cast("bigint").alias("v"))
 
 
 def w5_overlay(spark, sf_dir):
-    v, shape = volume(spark, sf_dir)
-    xy = lambda d: d.where(F.col("z") == shape[0] // 2).select(F.lit("xy").alias("plane"), "z", "y", "x", "v")
-    return _overlay(xy(v), xy(X.shifted(v, X.PLANTED, shape)))
+    f, m, shape = _two(spark, sf_dir)
+    return jobs.overlay(jobs.center_slices(f, shape), jobs.center_slices(m, shape))
 
 
 def w6_fit_panel(spark, sf_dir):
-    """A plane of at most 20 pixels on its long side: means of equal cells."""
-    v, shape = volume(spark, sf_dir)
-    side = max(shape[1], shape[2])
-    k = max(1.0, side / 20)
-    cell = v.where("z = 0").withColumns({"py": F.floor(F.col("y") / k).cast("int"), "px": F.floor(F.col("x") / k).cast("int")})
-    return cell.groupBy("py", "px").agg(F.round(F.avg("v"), 4).alias("v"))
+    """Each plane of at most 20 pixels on its long side: means of equal cells."""
+    b, shape = bricks(spark, sf_dir)
+    xy = jobs.center_slices(b, shape).where("plane = 'xy'").withColumnsRenamed({"y": "row", "x": "col"})
+    return jobs.fit_panel(xy, shape[1:], 20).select("py", "px", F.round("v", 4).alias("v"))
 
 
 def w7_stack(spark, sf_dir):
@@ -329,68 +358,56 @@ def w7_stack(spark, sf_dir):
     return out.select("cycle", "z", "y", "x", *[F.col(str(c)).alias(f"c{c}") for c in range(5)])
 
 
+def w7_stacked(spark, sf_dir):
+    """Channels of a cycle in the order 0, 3, 1, equal shapes checked."""
+    b, shape = _cycle(spark, sf_dir)
+    s = B.to_voxels(jobs.stack_channels(b, [3, 0, 1], shape))
+    return s.groupBy(F.col("channel").alias("place")).agg(F.count("*").alias("voxels"), F.sum("v").cast("bigint").alias("total"), F.sum(F.col("v") * F.col("x")).cast("bigint").alias("moment"))
+
+
 def x1_roi_registration(spark, sf_dir):
-    """Crop a region of both volumes, find the shift, resample, report before and after."""
-    f, shape = bricks(spark, sf_dir)
-    m, _ = moved(spark, sf_dir)
-    size = tuple(b - a for a, b in zip(*BOX, strict=True))
-    fc, mc = B.crop(f, *BOX, BRICK), B.crop(m, *BOX, BRICK)
-    s = estimate.search_shift(B.to_voxels(fc), B.to_voxels(mc), 3).first()
-    after = resample.warp(mc, size, size, BRICK, t=(float(s.dz), float(s.dy), float(s.dx)))
+    """Crop a padded region of both volumes, find the shift in it, apply it, crop to the region, report before and after."""
+    f, m, shape = _two(spark, sf_dir)
+    low, high = BOX
+    pad = (4, 4, 4)
+    _, shifts = jobs.register_roi(f, m, low, high, pad, shape, BRICK, 3)
+    fc, mc = (stored(B.crop(v, low, high, BRICK), "crop") for v in (f, m))
+    after = stored(jobs.apply_roi(m, shifts, low, high, pad, shape, BRICK), "registered")
     r = metrics.report(fc, mc, after, "roi")
-    return r.select("pair_id", "phase", F.lit(s.dz).alias("dz"), F.lit(s.dy).alias("dy"), F.lit(s.dx).alias("dx"), *[F.round(c, 6).alias(c) for c in ("ncc", "nrmse")])
+    return r.crossJoin(F.broadcast(shifts.select("dz", "dy", "dx"))).select("pair_id", "phase", "dz", "dy", "dx", *[F.round(c, 6).alias(c) for c in ("ncc", "nrmse")])
 
 
 def x3_intracycle(spark, sf_dir):
-    """Channels 1 to 3 brought back by their given shifts in one gather; how far each is from the reference."""
-    v, shape = volume(spark, sf_dir)
-    by = {1: (1, 0, 0), 2: (0, 2, -1), 3: (-1, 1, 2)}
-    f = B.to_bricks(v, shape, BRICK)
-    out = None
-    for c, d in by.items():
-        m = B.to_bricks(X.shifted(v, d, shape).withColumn("channel", F.lit(c)), shape, BRICK)
-        w = resample.warp(m, shape, shape, BRICK, t=tuple(map(float, d)))
-        ref = f.withColumn("channel", F.lit(c))
-        p = metrics.pair_bricks(ref, m, "c", "before").unionAll(metrics.pair_bricks(ref, w, "c", "after"))
-        out = p if out is None else out.unionAll(p)
-    return metrics.nrmse(metrics.ncc(metrics.moments(out))).select("pair_id", "phase", F.round("ncc", 6).alias("ncc"), F.round("nrmse", 6).alias("nrmse"))
+    """Channels 1 to 3 aligned with channel 0 of their cycle: shifts found, applied in one gather, reported."""
+    b, shape = _cycle(spark, sf_dir)
+    _, _, r = jobs.intracycle(b, 0, shape, BRICK, 2)
+    return r.select("pair_id", "phase", F.round("ncc", 6).alias("ncc"), F.round("nrmse", 6).alias("nrmse"))
 
 
 def x4_preview(spark, sf_dir):
-    """A strided proxy of both volumes, moment alignment rounded to whole voxels, report."""
+    """A strided proxy of both volumes, their shift found on it from moments and a search, report."""
     f, shape = bricks(spark, sf_dir)
     m, _ = moved(spark, sf_dir, (2, 2, 4))
-    steps = (2, 2, 2)
-    small = tuple(-(-n // 2) for n in shape)
-    fp, mp = B.stride(f, steps, shape, BRICK), B.stride(m, steps, shape, BRICK)
-    after = resample.warp(mp, small, small, BRICK, t=(1.0, 1.0, 2.0))
-    r = metrics.report(fp, mp, after, "preview")
+    r, _, _ = jobs.preview(f, m.withColumn("volume_id", F.lit("emb")), shape, BRICK, (2, 2, 2), 2)
     return r.select("pair_id", "phase", *[F.round(c, 6).alias(c) for c in ("ncc", "nmi", "nrmse")])
 
 
 def x5_all_cycles(spark, sf_dir):
-    """Every cycle and channel of the sparse volumes in one job: shift by the cycle, convert, sum up by output channel."""
-    e = X.vox_evt(spark, sf_dir)
-    shape = B.shape_of(e)
-    b = B.to_bricks(e.select(F.col("cycle").cast("string").alias("volume_id"), "channel", "z", "y", "x", "v"), shape, (10, 64, 24))
-    out = resample.warp(b, shape, shape, (10, 64, 24), t=(1.0, 0.0, -2.0))
-    v = intensity.to_uint16(B.to_voxels(out, zeros=False))
-    return v.groupBy(F.col("volume_id").cast("int").alias("cycle"), "channel").agg(F.count("*").alias("voxels"), F.sum("v").cast("bigint").alias("total")).withColumn("out_channel", F.col("cycle") * 5 + F.col("channel"))
+    """Every cycle and channel in one job: each cycle's shift to the first found on channel 0, all channels moved, uint16, numbered on."""
+    v, shape = X.cycles(spark, sf_dir)
+    b = stored(B.to_bricks(v, shape, BRICK), "cycles")
+    _, channels, out = jobs.all_cycles(b, "0", 0, shape, BRICK, 4)
+    total = B.to_voxels(out, zeros=False).groupBy(F.col("channel").alias("out_channel")).agg(F.count("*").alias("voxels"), F.sum("v").cast("bigint").alias("total"), F.sum(F.col("v") * F.col("x")).cast("bigint").alias("moment"))
+    return channels.join(total, "out_channel").select(F.col("volume_id").cast("int").alias("cycle"), "channel", "out_channel", "name", "voxels", "total", "moment")
 
 
 def x6_seams(spark, sf_dir):
-    """Mean absolute step across x borders of tiles, for the plain volume and for the tiled result."""
-    v, shape = volume(spark, sf_dir)
-    b = B.to_bricks(v, shape, BRICK)
+    """Mean absolute step across the borders of tiles, for the plain volume and for the tiled result."""
+    b, shape = bricks(spark, sf_dir)
     t = tiles_of(spark, shape)
-    done = B.to_voxels(resample.tiled_apply(b, shape, shifts_of(t), shape, BRICK, OVER))
-    seams = t.where("x0 > 0").select("x0").distinct()
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("kind", "z", "y").orderBy("x")
-    both = v.select(F.lit("global").alias("kind"), "z", "y", "x", F.col("v").cast("double").alias("v")).unionByName(done.select(F.lit("refined").alias("kind"), "z", "y", "x", "v"))
-    step = both.withColumn("step", F.abs(F.col("v") - F.lag("v").over(w)))
-    return step.join(F.broadcast(seams), step.x == seams.x0).groupBy("kind", "x0").agg(F.round(F.avg("step"), 4).alias("seam"))
+    done = resample.tiled_apply(b, shape, shifts_of(t), shape, BRICK, OVER)
+    one = lambda v, kind: jobs.seams(v, t, BRICK).select(F.lit(kind).alias("kind"), "axis", "border", "steps", F.round("seam", 4).alias("seam"))
+    return one(b, "global").unionAll(one(stored(done, "tiled"), "refined"))
 
 
 # ---------------------------------------------------------------- SQL
@@ -399,9 +416,8 @@ E = X.sql("emb", "shape")
 EM = X.sql("emb", "shape", "mov")
 
 
-def _interpolated(m, t, out: tuple[str, str, str], source: str = "emb") -> str:
-    """Trilinear values for a diagonal map, from the eight neighbours clamped to the edge."""
-    c = [f"({m[4 * i]}::double*o.{a}+({t[i]})::double)" for i, a in enumerate("zyx")]
+def _sampled(c: list[str], out: tuple[str, str, str], source: str = "emb") -> str:
+    """Trilinear values at coordinates c (z, y, x) of voxels o, from the eight neighbours clamped to the edge."""
     inside = " and ".join(f"{e} >= -0.5 and {e} < n{a} - 0.5" for e, a in zip(c, "zyx", strict=True))
     at = [f"least(greatest(cast(floor({e}) as int) + d{a}, 0), n{a} - 1)" for e, a in zip(c, "zyx", strict=True)]
     w = "*".join(f"(case d{a} when 1 then {e}-floor({e}) else 1-({e}-floor({e})) end)" for e, a in zip(c, "zyx", strict=True))
@@ -412,6 +428,14 @@ def _interpolated(m, t, out: tuple[str, str, str], source: str = "emb") -> str:
                 from grid o, shape, eight left join {source} s on s.z = {at[0]} and s.y = {at[1]} and s.x = {at[2]} group by all)"""
 
 
+def _interpolated(m, t, out: tuple[str, str, str], source: str = "emb") -> str:
+    """Trilinear values for a diagonal map."""
+    return _sampled([f"({m[4 * i]}::double*o.{a}+({t[i]})::double)" for i, a in enumerate("zyx")], out, source)
+
+
+_SAME = ("(select nz from shape)", "(select ny from shape)", "(select nx from shape)")
+
+
 def _starts(n: str, t: int, o: int) -> str:
     n_t, n_o = f"least({t}, {n})", f"least({o}, greatest({n} - 1, 0))"
     return f"(case when {n_t} >= {n} then [0] else list_sort(list_distinct(list_concat(range(0, {n} - {n_t} + 1, {n_t} - {n_o}), [{n} - {n_t}]))) end)"
@@ -429,12 +453,38 @@ def _weight(a: str, o: int) -> str:
     return f"(case when {edge} <= 0 then 1.0 when {near} < {edge} then greatest(0.5*(1-cos(pi()*{near}/{edge})), 1e-4) else 1.0 end)"
 
 
-def _blend(moved_from: str) -> str:
-    """moved_from: SQL for the value of tile t at voxel g."""
+def _blend(back: str, shifts: str) -> str:
+    """blended: the voxels of back where each tile's shift takes it, inside the tile, weighted. shifts: tiles with dz, dy, dx."""
     w = "*".join(_weight(a, o) for a, o in zip("zyx", OVER, strict=True))
-    return f"""parts as (select g.z, g.y, g.x, {w} w, {moved_from} v from emb g join tiles t
-        on g.z >= z0 and g.z < z1 and g.y >= y0 and g.y < y1 and g.x >= x0 and g.x < x1),
-        blended as (select z, y, x, sum(v*w)/greatest(sum(w), 1e-6) v from parts group by all)"""
+    inside = " and ".join(f"g.{a}+d{a} >= {a}0 and g.{a}+d{a} < {a}1" for a in "zyx")
+    return f"""parts as (select g.z, g.y, g.x, {w} w, case when {inside} then coalesce(b.v, 0) else 0 end v from emb g join {shifts} s
+        on g.z >= z0 and g.z < z1 and g.y >= y0 and g.y < y1 and g.x >= x0 and g.x < x1 left join {back} b on b.z = g.z+dz and b.y = g.y+dy and b.x = g.x+dx),
+        blended as (select z, y, x, sum(v*w)/greatest(sum(w), 1e-6) v from parts group by z, y, x)"""
+
+
+_GIVEN = "given as (select *, tile_index%2 dz, tile_index%3-1 dy, tile_index%5-2 dx from tiles)"
+
+
+def _scores(radius: int, fixed: str, moving: str, by: str = "") -> str:
+    """scores: the correlation of each whole shift of moving (zero where it has no row) over voxels inside the volume; by: a column of both."""
+    key, same = (f"f.{by}, ", f" and m.{by}=f.{by}") if by else ("", "")
+    inside = " and ".join(f"f.{a}+{d}.i between 0 and n{a}-1" for a, d in zip("zyx", "abc", strict=True))
+    return f"""d as (select cast(i as int) i from range({-radius}, {radius + 1}) r(i)), scores as (select {key}a.i dz, b.i dy, c.i dx, count(*) n,
+        round(coalesce(corr(cast(f.v as double), cast(coalesce(m.v, 0) as double)), 0), 9) ncc from {fixed} f, shape, d a, d b, d c
+        left join {moving} m on m.z=f.z+a.i and m.y=f.y+b.i and m.x=f.x+c.i{same} where {inside} group by all)"""
+
+
+_FIRST = "ncc desc, dz*dz+dy*dy+dx*dx, dz, dy, dx"
+_FAR = f"case when x >= {X.FAR_COLUMN} then 1 else 0 end"
+#: The moving copy whose far part lies one row farther, brought back by the global shift; each tile's own shift to it.
+_LOCAL = EM + f""", mv as (select z+1 z, y+2+{_FAR} y, x+3 x, v from emb, shape where z+1<nz and y+2+{_FAR}<ny and x+3<nx), gm as (select z-1 z, y-2 y, x-3 x, v from mv), {_tiles()},
+    d as (select cast(i as int) i from range(-1, 2) r(i)), scores as (select tile_index, a.i dz, b.i dy, c.i dx, round(coalesce(corr(cast(f.v as double), cast(coalesce(m.v, 0) as double)), 0), 9) ncc
+        from emb f join tiles t on f.z >= z0 and f.z < z1 and f.y >= y0 and f.y < y1 and f.x >= x0 and f.x < x1, shape, d a, d b, d c left join gm m on m.z=f.z+a.i and m.y=f.y+b.i and m.x=f.x+c.i
+        where f.z+a.i between 0 and nz-1 and f.y+b.i between 0 and ny-1 and f.x+c.i between 0 and nx-1 group by all),
+    best as (select *, max(ncc) filter (dz=0 and dy=0 and dx=0) over (partition by tile_index) still, row_number() over (partition by tile_index order by {_FIRST}) k from scores),
+    loc as (select tile_index, ncc <= still skipped, cast(case when ncc <= still then 0 else dz end as int) dz, cast(case when ncc <= still then 0 else dy end as int) dy, cast(case when ncc <= still then 0 else dx end as int) dx from best where k = 1),
+    found as (select tiles.*, dz, dy, dx from tiles join loc using (tile_index)) """
+_UINT16 = "cast(round_even(least(65535.0::double, greatest(0.0::double, round({v}, 6))), 0) as int)"
 
 
 _MET = """select '{name}' pair_id, phase, {cols} from p group by phase"""
@@ -482,63 +532,68 @@ def _report(name: str, tables: str, pairs: list[str], cols: str = "n") -> str:
 
 _BACK = "(select z-1 z, y-2 y, x-3 x, v from mov)"
 
+_CHANNELS = "sh as (select * from (values " + ", ".join(str((c, *d)) for c, d in X.CHANNEL_SHIFTS.items()) + ") t(c, dz, dy, dx)), m as (select c, z+dz z, y+dy y, x+dx x, v from emb, sh, shape where z+dz between 0 and nz-1 and y+dy between 0 and ny-1 and x+dx between 0 and nx-1)"
+_CYCLES = "cyc as (select * from (values " + ", ".join(str((i, *d)) for i, d in enumerate(X.CYCLE_SHIFTS)) + ") t(i, dz, dy, dx))"
+
 SQL = {
     "p1_crop": E + "select z-2 z, y-3 y, x-5 x, cast(v as double) v from emb where z>=2 and z<15 and y>=3 and y<20 and x>=5 and x<50",
     "p4_stride": E + "select z//2 z, y//3 y, x//4 x, cast(v as double) v from emb where z%2=0 and y%3=0 and x%4=0",
     "p5_downsample": E + "select z//2 z, y//2 y, x//2 x, cast(v as double) v from emb, shape where z%2=0 and y%2=0 and x%2=0 and z//2 < round_even(nz/2.0, 0) and y//2 < round_even(ny/2.0, 0) and x//2 < round_even(nx/2.0, 0)",
     "p6_transpose": E + "select x z, y, z x, cast(v as double) v from emb",
-    "p7_conform": E + "select cast(z.i as int) z, cast(y.i as int) y, cast(x.i as int) x, cast(coalesce(v, 7) as double) v from range(18) z(i) cross join range(30) y(i) cross join range(70) x(i) left join emb e on e.z=z.i and e.y=y.i and e.x=x.i",
+    "p7_conform": E + "select cast(z.i as int) z, cast(y.i as int) y, cast(x.i as int) x, cast(coalesce(v, 7) as double) v from range((select nz-2 from shape)) z(i) cross join range((select ny+5 from shape)) y(i) cross join range((select nx+6 from shape)) x(i) left join emb e on e.z=z.i and e.y=y.i and e.x=x.i",
     "p8_uint16": E + f""", w as (select z, y, x, v*4.25::double-20000 v from emb), r as ({_ROBUST}),
-        c as (select *, min(v) over (partition by z) zl, max(v) over (partition by z) zh from w)
+        c as (select *, min(v) over (partition by z//8) zl, max(v) over (partition by z//8) zh from w)
         select 'clip' as mode, z, y, x, cast(round_even(least(65535.0::double, greatest(0.0::double, v)), 0) as int) v from w
         union all select 'minmax', z, y, x, cast(round_even(greatest(0.0::double, least(1.0::double, (v-mn)/(mx-mn)))*65535, 0) as int) from w, r
         union all select 'robust', z, y, x, cast(round_even(greatest(0.0::double, least(1.0::double, (v-lo)/(hi-lo)))*65535, 0) as int) from w, r
         union all select 'chunk', z, y, x, cast(round_even(greatest(0.0::double, least(1.0::double, (v-zl)/(zh-zl)))*65535, 0) as int) from c""",
     "p9_uint8": X.sql("evt") + f"select cycle, channel, z, y, x, {_AS8} u8 from evt join {_U8.format(g='cycle, channel', t='evt')} using (cycle, channel)",
     "a5_array_stats": X.sql("evt") + "select cycle, channel, count(*) n, count(v) finite_count, count(*) filter (v<>0) nonzero, " + ", ".join(f"round(quantile_cont(cast(v as double), {p}), 4) {c}" for c, p in (("p0", 0.0), ("p1", 0.01), ("p50", 0.5), ("p99", 0.99), ("p999", 0.999), ("p100", 1.0))) + ", count(*) filter (v<>0) = 0 all_zero from evt group by all",
-    "a5_value_percentiles": E + "select 0 channel, round(quantile_cont(cast(v as double), 0.001), 4) p01, round(quantile_cont(cast(v as double), 0.5), 4) p50, round(quantile_cont(cast(v as double), 0.999), 4) p999 from emb",
-    "r1_affine": E + ", " + _interpolated(M1, T1, ("(select nz from shape)", "(select ny from shape)", "(select nx from shape)")) + " select z, y, x, round(v, 4) v from out",
-    "r2_resample": E + ", " + _interpolated((2.0, 0, 0, 0, 1.0, 0, 0, 0, 1.6), (0, 0, 0), ("10", "(select ny from shape)", "39")) + " select z, y, x, round(v, 4) v from out",
-    "r5_nearest": E + "select a.z, a.y, a.x, cast(coalesce(b.v, 0) as double) v from emb a left join emb b on b.z=a.z+1 and b.y=a.y-2 and b.x=a.x+3",
+    "a5_value_percentiles": E + "select 0 channel, count(*) n, count(v) finite_count, count(*) filter (v<>0) nonzero, " + ", ".join(f"round(quantile_cont(cast(v as double), {p}), 4) {c}" for c, p in (("p0", 0.0), ("p1", 0.01), ("p50", 0.5), ("p99", 0.99), ("p999", 0.999), ("p100", 1.0))) + ", count(*) filter (v<>0) = 0 all_zero from emb",
+    "r1_affine": E + ", " + _interpolated(M1, T1, _SAME) + " select z, y, x, round(v, 4) v from out",
+    "r2_resample": E + ", " + _interpolated((2.0, 0, 0, 0, 1.0, 0, 0, 0, 1.6), (0, 0, 0), ("(select cast(ceil(nz/2.0) as int) from shape)", "(select ny from shape)", "(select cast(ceil(nx*5/8.0) as int) from shape)")) + " select z, y, x, round(v, 4) v from out",
+    "r3_field": E + ", " + _sampled(["(o.z+0.5::double)", "(o.y-0.25::double)", "(o.x+o.x/64.0::double)"], _SAME) + " select z, y, x, round(v, 4) v from out",
+    "r4_composed": E + ", " + _interpolated(M1, T1, _SAME) + ", " + _tiles() + ", " + _GIVEN + ", " + _blend("out", "given") + " select z, y, x, round(v, 4) v from blended",
+    "r5_nearest": E + ", b as (select z-1 z, y+2 y, x-3 x, v from emb) select a.z, a.y, a.x, cast(coalesce(b.v, 0) as double) v from emb a left join b using (z, y, x)",
     "j2_tiles_of_bricks": E + ", " + _tiles() + ", bricks as (select distinct z//8 bz, y//8 by_, x//32 bx from emb), n as (select bz, by_, bx, count(*) n from (select z//8 bz, y//8 by_, x//32 bx from emb) group by all) select tile_index, count(*) bricks, cast(sum(n) as bigint) voxels from tiles join n on bz*8 < z1 and bz*8+8 > z0 and by_*8 < y1 and by_*8+8 > y0 and bx*32 < x1 and bx*32+32 > x0 group by tile_index",
     "j3_padded": E + ", " + _tiles() + " select tile_index, " + ", ".join(f"cast(greatest(0, {a}0-{m}) as int) r{a}0, cast(least(n{a}, {a}1+{m}) as int) r{a}1" for a, m in (("z", 3), ("y", 6), ("x", 6))) + " from tiles, shape",
-    "t6_blend": E + ", " + _tiles() + ", " + _blend("g.v") + " select z, y, x, round(v, 4) v from blended",
-    "x2_tiled_apply": EM + ", back as (select z-1 z, y-2 y, x-3 x, v from mov), " + _tiles() + """, s as (select *, tile_index%2 dz, tile_index%3-1 dy, tile_index%5-2 dx from tiles),
-        """ + f"""parts as (select g.z, g.y, g.x, {'*'.join(_weight(a, o) for a, o in zip('zyx', OVER, strict=True))} w,
-        case when g.z+dz >= z0 and g.z+dz < z1 and g.y+dy >= y0 and g.y+dy < y1 and g.x+dx >= x0 and g.x+dx < x1 then coalesce(b.v, 0) else 0 end v
-        from emb g join s on g.z >= z0 and g.z < z1 and g.y >= y0 and g.y < y1 and g.x >= x0 and g.x < x1
-        left join back b on b.z = g.z+dz and b.y = g.y+dy and b.x = g.x+dx)
-        select z, y, x, cast(round_even(least(65535.0::double, greatest(0.0::double, round(sum(v*w)/greatest(sum(w), 1e-6), 6))), 0) as int) v from parts group by z, y, x""",
+    "t6_blend": E + ", " + _tiles() + ", still as (select *, 0 dz, 0 dy, 0 dx from tiles), " + _blend("emb", "still") + " select z, y, x, round(v, 4) v from blended",
+    "x2_tiled_apply": _LOCAL + ", " + _blend("gm", "found") + ", inv as (select z, y, x, 65535-v v from gm), " + _blend("inv", "found").replace("parts", "parts1").replace("blended", "blended1") + f" select 0 channel, z, y, x, {_UINT16.format(v='v')} v from blended union all select 1, z, y, x, {_UINT16.format(v='v')} from blended1",
     "a4_report": _report("pair/0", EM, [_pair("emb", "mov", "before", "pair/0"), _pair("emb", _BACK, "after", "pair/0")]),
     "a1_ncc": _EVT_P + f" select pair_id, {_NCC} ncc from p group by pair_id",
     "a2_nrmse": _EVT_P + f" select pair_id, {_NRMSE} nrmse from p group by pair_id",
     "a3_nmi": _EVT_P + ", " + _nmi("pair_id") + " select pair_id, round(nmi, 6) nmi from nmi",
-    "j1_pairs": E + "select 'pair/0' pair_id, count(*) n, cast(sum(v) as bigint) sa, cast(sum(v) as bigint) sb from emb, shape where z < nz-3 and y < ny-4 and x < nx-5",
+    "j1_pairs": E + "select 'pair/0' pair_id, count(*) n, cast(sum(v) as bigint) sa, cast(sum(case when y < 8 and x < 32 then 0 else v end) as bigint) sb, cast(min(case when y < 8 and x < 32 then 0 else v end) as bigint) b_min from emb, shape where z < nz-3 and y < ny-4 and x < nx-5",
     "a6_threshold": X.sql("evt") + "select cycle, channel, round(min(v)+0.02::double*(max(v)-min(v)), 6) threshold from evt where z%2=0 and y%4=0 and x%3=0 group by all",
-    "a7_foreground": X.sql("evt") + ", " + _EVT_TILES + """, n as (select *, cast(ceil((z1-z0)/2.0)*ceil((y1-y0)/2.0)*ceil((x1-x0)/2.0) as double) many from tiles)
-        select tile_index, round(count(v) filter (v > 1000)/many, 6) foreground_fraction, count(v) filter (v > 1000)/many < 0.01 output_skipped from n left join (select * from evt where cycle=0 and channel=4) e
-        on z>=z0 and z<z1 and y>=y0 and y<y1 and x>=x0 and x<x1 and (z-z0)%2=0 and (y-y0)%2=0 and (x-x0)%2=0 group by tile_index, many""",
-    "a8_usable": X.sql("evt") + ", " + _EVT_TILES + """, k as (select tile_index, (z1-z0)*(y1-y0)*(x1-x0) n, count(v) filter (v<>0) nonzero, count(v) seen, min(v) mn, max(v) mx from tiles left join (select * from evt where cycle=0 and channel=4) e
-        on z>=z0 and z<z1 and y>=y0 and y<y1 and x>=x0 and x<x1 group by all)
-        select tile_index, nonzero, nonzero >= greatest(100, floor(n*1e-5)) and (case when seen=n then mx>mn else greatest(coalesce(mx,0),0) > least(coalesce(mn,0),0) end) usable from k""",
+    "a7_foreground": X.sql("evt") + ", " + _EVT_TILES + """, n as (select cycle, channel, tiles.*, cast(ceil((z1-z0)/2.0)*ceil((y1-y0)/2.0)*ceil((x1-x0)/2.0) as double) many from tiles, (select distinct cycle, channel from evt))
+        select n.cycle, n.channel, tile_index, round(count(v) filter (v > 1000)/many, 6) foreground_fraction, count(v) filter (v > 1000)/many < 0.01 output_skipped from n left join evt e
+        on e.cycle=n.cycle and e.channel=n.channel and z>=z0 and z<z1 and y>=y0 and y<y1 and x>=x0 and x<x1 and (z-z0)%2=0 and (y-y0)%2=0 and (x-x0)%2=0 group by n.cycle, n.channel, tile_index, many""",
+    "a8_usable": X.sql("evt") + ", " + _EVT_TILES + """, t as (select cycle c, channel h, tiles.* from tiles, (select distinct cycle, channel from evt)), k as (select c, h, tile_index, (z1-z0)*(y1-y0)*(x1-x0) n, count(v) filter (v<>0) nonzero, count(v) seen, min(v) mn, max(v) mx from t left join evt e
+        on e.cycle=c and e.channel=h and z>=z0 and z<z1 and y>=y0 and y<y1 and x>=x0 and x<x1 group by all)
+        select c as cycle, h as channel, tile_index, nonzero, nonzero >= greatest(100, floor(n*1e-5)) and (case when seen=n then mx>mn else greatest(coalesce(mx,0),0) > least(coalesce(mn,0),0) end) usable from k""",
     "e1_moments": X.sql("evt") + "select cycle, channel, cast(sum(v) as bigint) mass, " + ", ".join(f"round({_MEAN[a]}, 4) c{a}" for a in "zyx") + ", " + ", ".join(f"round(sum(cast(v as double)*{a}*{b})/sum(v) - ({_MEAN[a]})*({_MEAN[b]}), 4) cov_{a}{b}" for a, b in ("zz", "yy", "xx", "zy", "zx", "yx")) + " from evt group by all",
     "e1_translation": EM + "select " + ", ".join(f"round(m.{a}-f.{a}, 4) t{a}" for a in "zyx") + f" from (select {', '.join(f'{_MEAN[a]} {a}' for a in 'zyx')} from emb) f, (select {', '.join(f'{_MEAN[a]} {a}' for a in 'zyx')} from mov) m",
-    "e2_shift": EM + """, d as (select cast(i as int) i from range(-3, 4) r(i)), s as (select a.i dz, b.i dy, c.i dx, count(*) n, round(corr(cast(f.v as double), cast(m.v as double)), 9) ncc
-        from (select * from emb where z < 12 and x < 40) f, d a, d b, d c join mov m on m.z=f.z+a.i and m.y=f.y+b.i and m.x=f.x+c.i group by all)
-        select dz, dy, dx, n, round(ncc, 6) ncc from s order by ncc desc, dz*dz+dy*dy+dx*dx, dz, dy, dx limit 1""",
-    "e3_phase": "select 'emb' volume_id, 1 dz, 2 dy, 3 dx",
-    "e6_intracycle": "select * from (values (1, 1, 0, 0, 1.0::double), (2, 0, 2, -1, 1.0), (3, -1, 1, 2, 1.0)) t(channel, dz, dy, dx, ncc)",
+    "e1_brick_moments": E + "select 0 channel, cast(sum(v) as bigint) mass, " + ", ".join(f"round({_MEAN[a]}, 4) c{a}" for a in "zyx") + ", " + ", ".join(f"round(sum(cast(v as double)*{a}*{b})/sum(v) - ({_MEAN[a]})*({_MEAN[b]}), 4) cov_{a}{b}" for a, b in ("zz", "yy", "xx", "zy", "zx", "yx")) + " from emb",
+    "e2_shift": EM + ", " + _scores(3, "emb", "mov") + f" select dz, dy, dx, n, round(ncc, 6) ncc from scores order by {_FIRST} limit 1",
+    "e3_phase": EM + ", " + _scores(3, "emb", "mov") + f" select 'emb' volume_id, dz, dy, dx from scores order by {_FIRST} limit 1",
+    "e5_refine": _LOCAL + "select tile_index, dz, dy, dx, skipped from loc",
+    "e6_intracycle": E + ", " + _CHANNELS + ", ref as (select c, emb.* from emb, sh), " + _scores(2, "ref", "m", "c") + f" select c as channel, dz, dy, dx, round(ncc, 6) ncc from (select *, row_number() over (partition by c order by {_FIRST}) k from scores) where k = 1",
     "w4_center_slices": E + "select 'xy' plane, z, y, x, v from emb, shape where z=nz//2 union all select 'xz', z, y, x, v from emb, shape where y=ny//2 union all select 'yz', z, y, x, v from emb, shape where x=nx//2",
-    "w5_overlay": EM + f""", f as (select 'xy' plane, z, y, x, v from emb, shape where z=nz//2), m as (select 'xy' plane, z, y, x, v from mov, shape where z=nz//2),
+    "w5_overlay": EM + f""", f as (select 'xy' plane, z, y, x, v from emb, shape where z=nz//2 union all select 'xz', z, y, x, v from emb, shape where y=ny//2 union all select 'yz', z, y, x, v from emb, shape where x=nx//2), m as (select f.plane, f.z, f.y, f.x, coalesce(mov.v, 0) v from f left join mov using (z, y, x)),
         f8 as (select plane, z, y, x, {_AS8} r from f join {_U8.format(g='plane', t='f')} using (plane)), m8 as (select plane, z, y, x, {_AS8} g from m join {_U8.format(g='plane', t='m')} using (plane))
         select plane, z, y, x, r, g, greatest(r, g) b from f8 join m8 using (plane, z, y, x)""",
-    "w6_fit_panel": E + "select cast(floor(y/3.2::double) as int) py, cast(floor(x/3.2::double) as int) px, round(avg(v), 4) v from emb where z=0 group by all",
+    "w6_fit_panel": E + ", k as (select *, greatest(1.0::double, greatest(ny, nx)/20.0::double) k from shape) select cast(floor(y/k) as int) py, cast(floor(x/k) as int) px, round(avg(v), 4) v from emb, k where z=nz//2 group by all",
     "w7_stack": X.sql("evt") + "select cycle, z, y, x, " + ", ".join(f"cast(coalesce(sum(v) filter (channel={c}), 0) as bigint) c{c}" for c in range(5)) + " from evt group by all",
-    "x1_roi_registration": _report("roi/0", EM + ", fc as (select z-2 z, y-3 y, x-5 x, v from emb where z>=2 and z<15 and y>=3 and y<20 and x>=5 and x<50), mc as (select z-2 z, y-3 y, x-5 x, v from mov where z>=2 and z<15 and y>=3 and y<20 and x>=5 and x<50)", [_pair("fc", "mc", "before", "roi/0"), _pair("fc", "(select z-1 z, y-2 y, x-3 x, v from mc)", "after", "roi/0")], "").replace("select pair_id, phase, ncc, nrmse from", "select pair_id, phase, 1 dz, 2 dy, 3 dx, ncc, nrmse from"),
-    "x3_intracycle": _report("c", E + ", sh as (select * from (values (1, 1, 0, 0), (2, 0, 2, -1), (3, -1, 1, 2)) t(c, dz, dy, dx)), m as (select c, z+dz z, y+dy y, x+dx x, v from emb, sh, shape where z+dz between 0 and nz-1 and y+dy between 0 and ny-1 and x+dx between 0 and nx-1), bk as (select m.c, z-dz z, y-dy y, x-dx x, v from m join sh using (c))", ["select 'c/'||s.c pair_id, 'before' phase, cast(f.v as double) a, cast(coalesce(m.v, 0) as double) b from emb f cross join sh s left join m on m.c=s.c and m.z=f.z and m.y=f.y and m.x=f.x", "select 'c/'||s.c, 'after', cast(f.v as double), cast(coalesce(m.v, 0) as double) from emb f cross join sh s left join bk m on m.c=s.c and m.z=f.z and m.y=f.y and m.x=f.x"], ""),
+    "w7_stacked": E + ", " + _CHANNELS + ", a as (select 0 c, z, y, x, v from emb union all select * from m) select case c when 0 then 0 when 3 then 1 else 2 end place, cast((select count(*) from emb) as bigint) voxels, cast(sum(v) as bigint) total, cast(sum(v*x) as bigint) moment from a where c <> 2 group by c",
+    "x1_roi_registration": _report("roi/0", EM + ", fc as (select z-2 z, y-3 y, x-5 x, v from emb where z>=2 and z<15 and y>=3 and y<20 and x>=5 and x<50), mc as (select z-2 z, y-3 y, x-5 x, v from mov where z>=2 and z<15 and y>=3 and y<20 and x>=5 and x<50)", [_pair("fc", "mc", "before", "roi/0"), _pair("fc", "(select z-3 z, y-5 y, x-8 x, v from mov)", "after", "roi/0")], "").replace("select pair_id, phase, ncc, nrmse from", "select pair_id, phase, 1 dz, 2 dy, 3 dx, ncc, nrmse from"),
+    "x3_intracycle": _report("c", E + ", " + _CHANNELS + ", bk as (select m.c, z-dz z, y-dy y, x-dx x, v from m join sh using (c))", ["select 'intracycle/emb/'||s.c pair_id, 'before' phase, cast(f.v as double) a, cast(coalesce(m.v, 0) as double) b from emb f cross join sh s left join m on m.c=s.c and m.z=f.z and m.y=f.y and m.x=f.x", "select 'intracycle/emb/'||s.c, 'after', cast(f.v as double), cast(coalesce(m.v, 0) as double) from emb f cross join sh s left join bk m on m.c=s.c and m.z=f.z and m.y=f.y and m.x=f.x"], ""),
     "x4_preview": _report("preview/0", E + ", m2 as (select z+2 z, y+2 y, x+4 x, v from emb, shape where z+2<nz and y+2<ny and x+4<nx), fp as (select z//2 z, y//2 y, x//2 x, v from emb where z%2=0 and y%2=0 and x%2=0), mp as (select z//2 z, y//2 y, x//2 x, v from m2 where z%2=0 and y%2=0 and x%2=0)", [_pair("fp", "mp", "before", "preview/0"), _pair("fp", "(select z-1 z, y-1 y, x-2 x, v from mp)", "after", "preview/0")]),
-    "x5_all_cycles": X.sql("evt") + "select cycle, channel, count(*) voxels, cast(sum(least(65535, greatest(0, v))) as bigint) total, cast(cycle*5+channel as int) out_channel from evt where z-1 >= 0 and x+2 <= (select max(x) from evt) and v <> 0 group by cycle, channel",
+    "x5_all_cycles": E + ", " + _CYCLES + """, a as (select i, channel, case channel when 0 then v else v*(i+1)%30011 end v, x from emb, shape, cyc, (select unnest([0, 1]) channel) where z+dz between 0 and nz-1 and y+dy between 0 and ny-1 and x+dx between 0 and nx-1)
+        select cast(i as int) as cycle, channel, cast(2*i+channel as int) out_channel, printf('out_C%03d', 2*i+channel) as name, count(*) voxels, cast(sum(v) as bigint) total, cast(sum(v*x) as bigint) moment from a where v <> 0 group by i, channel""",
+    "x6_seams": E + ", " + _tiles() + ", " + _GIVEN + ", " + _blend("emb", "given") + ", two as (select 'global' kind, z, y, x, cast(v as double) v from emb union all select 'refined', z, y, x, v from blended) " + " union all ".join(
+        f"select p.kind, '{a}' axis, border, count(*) steps, round(avg(abs(p.v-q.v)), 4) seam from two p join (select distinct {a}0 border from tiles where {a}0 > 0) on p.{a}=border join two q on q.kind=p.kind and q.{a}=p.{a}-1 and " + " and ".join(f"q.{o}=p.{o}" for o in "zyx" if o != a) + " group by p.kind, border"
+        for a in "zyx"),
 }
 
-_FUNCTIONS = (p1_crop, p4_stride, p5_downsample, p6_transpose, p7_conform, p8_uint16, p9_uint8, a5_array_stats, a5_value_percentiles, r1_affine, r2_resample, r3_field, r4_composed, r5_nearest, j2_tiles_of_bricks, j3_padded, t6_blend, x2_tiled_apply, a4_report, a1_ncc, a2_nrmse, a3_nmi, j1_pairs, a6_threshold, a7_foreground, a8_usable, e1_moments, e1_translation, e2_shift, e3_phase, e4_affine, e5_refine, e6_intracycle, w4_center_slices, w5_overlay, w6_fit_panel, w7_stack, x1_roi_registration, x3_intracycle, x4_preview, x5_all_cycles, x6_seams)
+_FUNCTIONS = (e1_brick_moments, w7_stacked, p1_crop, p4_stride, p5_downsample, p6_transpose, p7_conform, p8_uint16, p9_uint8, a5_array_stats, a5_value_percentiles, r1_affine, r2_resample, r3_field, r4_composed, r5_nearest, j2_tiles_of_bricks, j3_padded, t6_blend, x2_tiled_apply, a4_report, a1_ncc, a2_nrmse, a3_nmi, j1_pairs, a6_threshold, a7_foreground, a8_usable, e1_moments, e1_translation, e2_shift, e3_phase, e4_affine, e5_refine, e6_intracycle, w4_center_slices, w5_overlay, w6_fit_panel, w7_stack, x1_roi_registration, x3_intracycle, x4_preview, x5_all_cycles, x6_seams)
 QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in _FUNCTIONS}

@@ -25,6 +25,28 @@ def shifted(voxels: DataFrame, by: tuple[int, int, int], shape: tuple[int, int,
 
 
 PLANTED = (1, 2, 3)
+CHANNEL_SHIFTS = {1: (1, 0, 0), 2: (0, 2, -1), 3: (-1, 1, 2)}
+CYCLE_SHIFTS = ((0, 0, 0), (1, -1, 2), (2, -2, 4))
+FAR_COLUMN = 40
+
+
+def locally_moved(voxels: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """voxels moved by PLANTED, those from FAR_COLUMN on by one row more."""
+    out = voxels.withColumn("y", (F.col("y") + (F.col("x") >= FAR_COLUMN).cast("int")).cast("int")).where(F.col("y") < shape[1])
+    return shifted(out, PLANTED, shape)
+
+
+def cycles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int, int]]:
+    """Three cycles (volume_id): channel 0 is the same structure in each, channel 1 is another of its own; a cycle lies by its own shift."""
+    v = vox_emb(spark, sf_dir)
+    r = v.agg(*[(F.max(a) + 1).alias(a) for a in "zyx"]).first()
+    shape = (r.z, r.y, r.x)
+    out = None
+    for i, by in enumerate(CYCLE_SHIFTS):
+        two = v.unionByName(v.withColumn("channel", F.lit(1)).withColumn("v", F.col("v") * (i + 1) % 30011))
+        one = shifted(two, by, shape, str(i))
+        out = one if out is None else out.unionByName(one)
+    return out, shape
 
 
 def vox_evt(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,24 @@
-"""A new folder for tables that a job writes and reads again: in the shared folder the cluster names, else a temporary one."""
+"""Folders for tables that a job writes and reads again: in the shared folder the cluster names, else (local mode only) a temporary one."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named or 'file://' + tempfile.mkdtemp(prefix='spark-voxelbrick-')}/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="spark-voxelbrick-")
+    return f"{named}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in the shared folder and read back: it isn't made again, and lost executors don't matter."""
+    df.write.parquet(path := folder(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
