@@ -250,7 +250,12 @@ def brute_components(rows, k, percent):
         sets[i] = frozenset() if not w else frozenset([tuple(w)]) if len(w) < k else frozenset(zip(*[w[j:] for j in range(k)], strict=False))
     ids = sorted(sets)
     part = {i: i for i in ids}
-    links = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    place = {x: j for j, x in enumerate({x for s in sets.values() for x in s})}
+    has = np.zeros((len(ids), len(place)), np.float32)
+    for n, i in enumerate(ids):
+        has[n, [place[x] for x in sets[i]]] = 1
+    same, size = has @ has.T, has.sum(axis=1)
+    links = [(ids[i], ids[j]) for i, j in np.argwhere(np.triu((same > 0) & (100 * same >= percent * (size[:, None] + size - same)), 1))]
     moved = True
     while moved:
         moved = False

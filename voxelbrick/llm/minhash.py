@@ -37,7 +37,7 @@ SIGMAS = 5.0
 #: Comparisons of merged buckets for each one of theirs.
 MERGED = 4
 #: Sets and shingles in a block, about.
-BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 19
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 19
 #: Entries of a block's inverted list, and columns of its matrices, that are counted at once.
 AT_ONCE, COLUMNS = 1 << 21, 1024
 _MULTIPLIERS = (np.random.default_rng(20240607).integers(0, 1 << 32, SEEDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
