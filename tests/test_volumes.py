@@ -247,6 +247,14 @@ def test_tiff_round_trip(big, dtype):
         tiff.decode(b"II*")
 
 
+def test_tiff_pages_that_turn_back():
+    data = bytearray(tiff.encode(np.zeros((2, 3, 4), "uint8"), big=False))
+    last = len(data) - 12 - 4
+    data[last : last + 4] = (8).to_bytes(4, "little")
+    with pytest.raises(ValueError, match="turns back"):
+        tiff.decode(bytes(data))
+
+
 def test_index_affine_turns_axes():
     m, t = resample.index_affine(resample.IDENTITY, (3.0, 0, 0), {"spacing": (1, 1, 1)}, {"spacing": (1, 1, 2)})
     assert np.allclose(np.array(m).reshape(3, 3), np.diag([0.5, 1, 1])) and np.allclose(t, [0, 0, 3])
@@ -287,3 +295,26 @@ def test_shift_searches_see_the_whole_volume(spark, sf, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(X, "shifted", _still_in("z < 8 and y < 15"))
     assert {(r.dz, r.dy, r.dx) for r in volumes.x1_roi_registration(spark, sf).collect()} == {X.PLANTED}
+
+
+def test_numbers_that_are_too_long_are_null(spark):
+    from voxelbrick.functions import parse
+
+    rows = ["1,2,3,4,5,99999999999", "ResolutionLevel 0/TimePoint 0/Channel 99999999999/Data", "99999999999", "99999999999,3,4", '{"x": 2147483647, "y": 0, "z": 0, "size_x": 5, "size_y": 1, "size_z": 1}', None, ""]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    got = df.select(*[f(F.col("t")).alias(n) for n, f in (("roi", parse.parse_roi), ("key", parse.parse_dataset_key), ("z", parse.z_range), ("list", parse.parse_channels), ("triple", parse.parse_triplet))]).collect()
+    assert all(v is None for r in got for v in r)
+    assert df.select(parse.channel_order(F.concat(F.lit("ch"), F.lit("9" * 30)))).first()[0] == 10**9
+    names = ["img_100000000000000000000000.tif", "img_9.tif", "img_010.tif", "img_99999999999999999999999.tif"]
+    df = spark.createDataFrame([(r,) for r in names], "t string")
+    assert [r.t for r in df.orderBy(parse.natural_key(F.col("t"))).collect()] == [names[1], names[2], names[3], names[0]]
+
+
+def test_folders_are_compared_with_the_first_slice(spark):
+    from voxelbrick.operators import catalog
+
+    rows = [("c2", f"{i}.tif", "2,2", "u2") for i in range(3)] + [("c10", f"{i}.tif", "9,9", "u1") for i in range(3)] + [("c11", "0.tif", "2,2", "u2")] + [("c12", f"{i}.tif", "2,2", None if i else "u2") for i in range(3)]
+    got = {r.dir: (r.n_slices, r.off_shape, r.off_dtype, r.bad) for r in catalog.validate_slices(spark.createDataFrame(rows, "dir string, file string, shape string, dtype string")).collect()}
+    assert got == {"c2": (3, 0, 0, False), "c10": (3, 3, 3, True), "c11": (1, 0, 0, True), "c12": (3, 0, 2, True)}
+    files = spark.createDataFrame([(1, "/registered/a.tif"), (2, "/x/a_registered.tif"), (2, "/x/b.tif")], "folder int, path string")
+    assert {r.folder: r.path for r in catalog.pick_one(files, ["folder"]).collect()} == {1: "/registered/a.tif", 2: "/x/b.tif"}

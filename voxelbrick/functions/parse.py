@@ -9,10 +9,11 @@ KEY = r"ResolutionLevel\s+(\d+).*?TimePoint\s+(\d+).*?Channel\s+(\d+).*?/Data$"
 
 
 def parse_dataset_key(key: Column) -> Column:
-    """struct(level, timepoint, channel), null if the key has another form. Backslashes count as slashes."""
+    """struct(level, timepoint, channel), null if the key has another form or a number beyond an int. Backslashes count as slashes."""
     k = F.replace(key, F.lit("\\"), F.lit("/"))
-    at = lambda i: F.regexp_extract(k, KEY, i).cast("int")
-    return F.when(k.rlike(KEY), F.struct(at(1).alias("level"), at(2).alias("timepoint"), at(3).alias("channel")))
+    at = lambda i: F.regexp_extract(k, KEY, i).try_cast("int")
+    whole = k.rlike(KEY) & at(1).isNotNull() & at(2).isNotNull() & at(3).isNotNull()
+    return F.when(whole, F.struct(at(1).alias("level"), at(2).alias("timepoint"), at(3).alias("channel")))
 
 
 def spacing_from_extents(low: Column, high: Column, n: Column) -> Column:
@@ -31,27 +32,27 @@ def parse_roi(text: Column) -> Column:
     """struct(x0, y0, z0, x1, y1, z1), ends exclusive, from six numbers or JSON with ends or sizes; null if empty, negative or of another form."""
     j = F.from_json(text, "x0 int, y0 int, z0 int, x1 int, y1 int, z1 int, x int, y int, z int, size_x int, size_y int, size_z int")
     ends = F.array(*[j[c] for c in _BOX])
-    sizes = F.array(j["x"], j["y"], j["z"], j["x"] + j["size_x"], j["y"] + j["size_y"], j["z"] + j["size_z"])
+    sizes = F.array(j["x"], j["y"], j["z"], *[F.try_add(j[a], j[f"size_{a}"]) for a in "xyz"])
     whole = lambda a: F.forall(a, lambda v: v.isNotNull())
-    p = F.transform(_pieces(text), lambda s: F.when(s.rlike("^[+-]?[0-9]+$"), s.cast("int")))
+    p = F.transform(_pieces(text), lambda s: F.when(s.rlike("^[+-]?[0-9]+$"), s.try_cast("int")))
     got = F.when(text.startswith("{"), F.when(whole(ends), ends).when(whole(sizes), sizes)).otherwise(F.when(F.size(p) == 6, p))
-    good = F.coalesce(whole(got) & (got[3] > got[0]) & (got[4] > got[1]) & (got[5] > got[2]) & (F.array_min(got) >= 0), F.lit(False))
-    return F.when(good, F.struct(*[got[i].alias(c) for i, c in enumerate(_BOX)]))
+    good = F.coalesce(whole(got) & (F.get(got, F.lit(3)) > F.get(got, F.lit(0))) & (F.get(got, F.lit(4)) > F.get(got, F.lit(1))) & (F.get(got, F.lit(5)) > F.get(got, F.lit(2))) & (F.array_min(got) >= 0), F.lit(False))
+    return F.when(good, F.struct(*[F.get(got, F.lit(i)).alias(c) for i, c in enumerate(_BOX)]))
 
 
 def z_range(text: Column) -> Column:
     """struct(z0, z1) from one-based inclusive 'first,last'."""
-    p = F.transform(_pieces(text), lambda s: F.when(s.rlike("^[0-9]+$"), s.cast("int")))
-    return F.when((F.size(p) == 2) & (p[0] >= 1) & (p[1] >= p[0]), F.struct((p[0] - 1).alias("z0"), p[1].alias("z1")))
+    p = F.transform(_pieces(text), lambda s: F.when(s.rlike("^[0-9]+$"), s.try_cast("int")))
+    return F.when((F.size(p) == 2) & (F.get(p, F.lit(0)) >= 1) & (F.get(p, F.lit(1)) >= F.get(p, F.lit(0))), F.struct((F.get(p, F.lit(0)) - 1).alias("z0"), F.get(p, F.lit(1)).alias("z1")))
 
 
 def parse_channels(text: Column) -> Column:
-    """Sorted distinct channel numbers of a list such as 0-2,5; null if empty, falling or not numbers."""
+    """Sorted distinct channel numbers of a list such as 0-2,5; null if empty, falling, not numbers or beyond an int."""
     items = _pieces(text)
     good = (F.size(items) > 0) & F.forall(items, lambda s: s.rlike(r"^[0-9]+(\s*-\s*[0-9]+)?$"))
-    first = lambda s: F.regexp_extract(s, r"^([0-9]+)", 1).cast("int")
-    last = lambda s: F.regexp_extract(s, r"([0-9]+)$", 1).cast("int")
-    rising = F.forall(items, lambda s: last(s) >= first(s))
+    first = lambda s: F.regexp_extract(s, r"^([0-9]+)", 1).try_cast("int")
+    last = lambda s: F.regexp_extract(s, r"([0-9]+)$", 1).try_cast("int")
+    rising = F.forall(items, lambda s: F.coalesce(last(s) >= first(s), F.lit(False)))
     return F.when(good, F.when(rising, F.array_sort(F.array_distinct(F.flatten(F.transform(items, lambda s: F.sequence(first(s), F.greatest(last(s), first(s)))))))))
 
 
@@ -59,12 +60,12 @@ def parse_spacing(text: Column) -> Column:
     """Three positive numbers from one or three; null otherwise."""
     p = F.transform(_pieces(text), lambda s: F.when(s.rlike(r"^[+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), s.cast("double")))
     ok = F.forall(p, lambda v: v.isNotNull() & (v > 0))
-    return F.when(ok & (F.size(p) == 1), F.array(p[0], p[0], p[0])).when(ok & (F.size(p) == 3), p)
+    return F.when(ok & (F.size(p) == 1), F.array(F.get(p, F.lit(0)), F.get(p, F.lit(0)), F.get(p, F.lit(0)))).when(ok & (F.size(p) == 3), p)
 
 
 def parse_triplet(text: Column, least: int = 1) -> Column:
     """Three whole numbers of at least `least` (1 for sizes, 0 for overlaps)."""
-    p = F.transform(_pieces(text), lambda s: F.when(s.rlike("^-?[0-9]+$"), s.cast("int")))
+    p = F.transform(_pieces(text), lambda s: F.when(s.rlike("^-?[0-9]+$"), s.try_cast("int")))
     return F.when((F.size(p) == 3) & F.forall(p, lambda v: v.isNotNull() & (v >= least)), p)
 
 
@@ -77,7 +78,7 @@ def matches_channel(path: Column, channel: Column) -> Column:
 def channel_order(path: Column) -> Column:
     """The sort key of sibling files: the number after ex, else em, else ch, else a large one."""
     low = F.lower(path)
-    at = lambda k: F.nullif(F.regexp_extract(low, rf"{k}[_-]?([0-9]+)", 1), F.lit("")).cast("bigint")
+    at = lambda k: F.nullif(F.regexp_extract(low, rf"{k}[_-]?([0-9]+)", 1), F.lit("")).try_cast("bigint")
     return F.coalesce(at("ex"), at("em"), at("ch"), F.lit(10**9).cast("bigint"))
 
 
@@ -116,9 +117,11 @@ def with_channel(stem: Column, channel: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """An orderable array: digit runs as numbers, the rest in lower case, in turn."""
+    """An orderable array: digit runs as numbers of any length (by length without leading zeros, then digits), the rest in lower case, in turn."""
     parts = F.regexp_extract_all(F.lower(name), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.transform(parts, lambda p: F.struct(F.when(p.rlike("^[0-9]"), 0).otherwise(1).alias("kind"), F.when(p.rlike("^[0-9]"), p.cast("bigint")).otherwise(0).alias("num"), F.when(p.rlike("^[0-9]"), "").otherwise(p).alias("text")))
+    digits = lambda p: F.regexp_replace(p, "^0+", "")
+    number = lambda p: p.rlike("^[0-9]")
+    return F.transform(parts, lambda p: F.struct(F.when(number(p), 0).otherwise(1).alias("kind"), F.when(number(p), F.length(digits(p))).otherwise(0).alias("size"), F.when(number(p), digits(p)).otherwise(p).alias("text")))
 
 
 def index_to_physical(axis: int, spacing: list, origin: list, direction: list, index: list[Column]) -> Column:

@@ -78,10 +78,17 @@ def discover_slices(files: DataFrame) -> DataFrame:
 
 
 def validate_slices(files: DataFrame, shape: str = "shape", dtype: str = "dtype") -> DataFrame:
-    """dir, n_slices, n_shapes, n_dtypes, bad: whether the folder differs from the one with the smallest name in count, or varies in itself."""
-    per = files.groupBy("dir").agg(F.count("*").alias("n_slices"), F.count_distinct(shape).alias("n_shapes"), F.count_distinct(dtype).alias("n_dtypes"))
-    first = per.agg(F.min_by("n_slices", "dir").alias("want"))
-    return per.crossJoin(F.broadcast(first)).withColumn("bad", (F.col("n_slices") != F.col("want")) | (F.col("n_shapes") > 1) | (F.col("n_dtypes") > 1)).drop("want")
+    """dir, n_slices, off_shape, off_dtype, bad: against the whole set's first slice (first file of the first folder, natural
+    order): how many of the folder's slices have another shape or dtype, and whether it differs in that or in its number of slices.
+
+    A null shape or dtype differs from any other."""
+    first_dir = files.select("dir").distinct().agg(F.min(F.struct(parse.natural_key(F.col("dir")).alias("k"), "dir")).alias("d")).select("d.dir")
+    inside = files.join(F.broadcast(first_dir), "dir")
+    first = inside.agg(F.min(F.struct(parse.natural_key(F.col("file")).alias("k"), "file", F.col(shape).alias("shape"), F.col(dtype).alias("dtype"))).alias("f"), F.count("*").alias("want")).select(F.col("f.shape").alias("_shape"), F.col("f.dtype").alias("_dtype"), "want")
+    known = files.crossJoin(F.broadcast(first))  # one row
+    off = lambda a, b: F.count_if(~F.col(a).eqNullSafe(F.col(b)))
+    per = known.groupBy("dir").agg(F.count("*").alias("n_slices"), F.first("want").alias("want"), off(shape, "_shape").alias("off_shape"), off(dtype, "_dtype").alias("off_dtype"))
+    return per.withColumn("bad", (F.col("n_slices") != F.col("want")) | (F.col("off_shape") > 0) | (F.col("off_dtype") > 0)).drop("want")
 
 
 def resolve_sources(channels: DataFrame, overrides: DataFrame, default: Column) -> DataFrame:
@@ -106,8 +113,8 @@ def infer_channel_files(files: DataFrame, channels: DataFrame, ids: list[str]) -
 
 
 def pick_one(files: DataFrame, ids: list[str]) -> DataFrame:
-    """The only file of each group that isn't a result of an earlier run, paths compared without case; n says how many there were."""
-    keep = files.where(~F.lower("path").rlike("registered|_roi_|_roi\\.nrrd$"))
+    """The only file of each group that isn't a result of an earlier run (by its name, not its folder), paths compared without case; n says how many there were."""
+    keep = files.where(~F.lower(parse.file_name(F.col("path"))).rlike("registered|_roi_|_roi\\.nrrd$"))
     one = keep.groupBy(*ids, F.lower("path").alias("low")).agg(F.min("path").alias("path"))
     n = one.groupBy(*ids).agg(F.count("*").alias("n"), F.min("path").alias("path"))
     return n.withColumn("path", F.when(F.col("n") == 1, F.col("path")))

@@ -12,7 +12,7 @@ Triple = tuple[int, int, int]
 def axis_starts(length: Column, tile: Column, overlap: Column) -> Column:
     """Starts of tiles along an axis: 0 if the tile covers it; else steps of tile - overlap, and the last that fits."""
     step, last = tile - overlap, length - tile
-    steps = F.when(step > 0, step).otherwise(F.raise_error(F.lit("tile size must be greater than overlap for each axis")).cast("int"))
+    steps = F.when(step > 0, step).otherwise(F.raise_error(F.lit("a tile has to be longer than its overlap")).cast("int"))
     return F.when(tile >= length, F.array(F.lit(0))).otherwise(F.array_union(F.sequence(F.lit(0), last, steps), F.array(last))).cast("array<int>")
 
 

@@ -26,11 +26,18 @@ def s9_tiff_planes(spark, sf_dir):
 
 
 def s8_read_tiff(spark, sf_dir):
-    """Planes on disk through the binaryFile source are the same rows; here as a table of files."""
+    """Planes put into a folder and read through the binaryFile source; where the shared folder isn't a mounted one, from a table of files."""
     p, _ = _planes(spark, sf_dir)
-    p.select("path", "content").write.parquet(path := folder(spark, "tiff"))
-    back = tiff.read_tiff(spark.read.parquet(path), (1, 32, 64))
-    return back.groupBy(F.regexp_extract("volume_id", r"z([0-9]+)", 1).cast("int").alias("z")).agg(F.count("*").alias("bricks"), F.sum(F.col("ny") * F.col("nx")).alias("voxels"), F.max("dtype").alias("dtype"))
+    path = folder(spark, "tiff")
+    if path.startswith("file:"):
+        local = "/" + path.removeprefix("file:").lstrip("/")
+        tiff.save_files(p.select("path", "content"), local).agg(F.sum("bytes")).collect()
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    else:
+        p.select("path", "content").write.parquet(path)
+        files = spark.read.parquet(path)
+    back = tiff.read_tiff(files, (1, 32, 64))
+    return back.groupBy(F.regexp_extract("volume_id", r"z([0-9]+)\.tif", 1).cast("int").alias("z")).agg(F.count("*").alias("bricks"), F.sum(F.col("ny") * F.col("nx")).alias("voxels"), F.max("dtype").alias("dtype"))
 
 
 def s7_stack(spark, sf_dir):
@@ -39,11 +46,10 @@ def s7_stack(spark, sf_dir):
 
 
 def s11_roi_csv(spark, sf_dir):
-    """Vertices written as CSV files with untidy headers, read again and boxed."""
-    p = X.roi_pts(spark, sf_dir).where("roi_id % 50 = 0").select(F.col("px").alias(" x "), F.col("py").alias("Y"), F.col("roi_id"))
-    p.write.partitionBy("roi_id").option("header", True).csv(path := folder(spark, "roi"))
-    v = roi.read_roi_csv(spark, path + "/*/*.csv")
-    return M.roi_bbox(v.withColumn("roi_id", F.lit("all")), 10).select("roi_id", *[F.col(c).cast("int").alias(c) for c in ("x0", "x1", "y0", "y1")])
+    """All vertices written as CSV files with untidy headers, many regions to a file, read again and boxed by region."""
+    p = X.roi_pts(spark, sf_dir).select(F.col("px").alias(" x "), F.col("py").alias("Y"), F.col("roi_id").alias("ROI_ID "))
+    p.write.option("header", True).csv(path := folder(spark, "roi"))
+    return M.roi_bbox(roi.read_roi_csv(spark, path), 10).select(F.col("roi_id").cast("bigint").alias("roi_id"), *[F.col(c).cast("int").alias(c) for c in ("x0", "x1", "y0", "y1")], "empty")
 
 
 def st1_stream_apply(spark, sf_dir):
@@ -62,7 +68,7 @@ SQL = {
     "s9_tiff_planes": E + "select z, y, x, cast(v as double) v from emb",
     "s8_read_tiff": E + "select z, cast(ceil(ny/32.0)*ceil(nx/64.0) as bigint) bricks, cast(ny*nx as bigint) voxels, 'uint16' dtype from shape, (select distinct z from emb)",
     "s7_stack": E + "select z, y, x, cast(v as double) v from emb",
-    "s11_roi_csv": X.sql("roi_pts") + "select 'all' roi_id, cast(floor(min(px)) as int) x0, cast(ceil(max(px)) as int) x1, cast(floor(min(py)) as int) y0, cast(ceil(max(py)) as int) y1 from roi_pts where roi_id%50=0",
+    "s11_roi_csv": X.sql("roi_pts") + ", b as (select roi_id, cast(floor(min(px)) as int) x0, cast(ceil(max(px)) as int) x1, cast(floor(min(py)) as int) y0, cast(ceil(max(py)) as int) y1 from roi_pts group by roi_id) select *, x1 <= x0 or y1 <= y0 as \"empty\" from b",
     "st1_stream_apply": X.sql("evt") + "select cycle, channel, count(*) voxels, cast(sum(v) as bigint) total from evt where z-1 >= 0 and x+2 <= (select max(x) from evt) and v <> 0 group by cycle, channel",
 }
 QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in (s7_stack, s8_read_tiff, s9_tiff_planes, s11_roi_csv, st1_stream_apply)}

@@ -55,7 +55,9 @@ def s5_slices(spark, sf_dir):
 
 
 def s6_validate(spark, sf_dir):
-    f = X.slices(spark, sf_dir).withColumns({"shape": F.lit("2304x12800"), "dtype": F.when(F.col("file").endswith("7.tif"), "uint8").otherwise("uint16")})
+    """Folders of slices: one has another shape throughout, files whose name ends in 7 another sample type."""
+    f = X.slices(spark, sf_dir)
+    f = f.withColumn("shape", F.when(F.col("dir").contains("555"), "100,200").otherwise("100,300")).withColumn("dtype", F.when(F.col("file").like("%7.tif"), "u1").otherwise("u2"))
     return C.validate_slices(f)
 
 
@@ -236,7 +238,7 @@ def j10_tile_transforms(spark, sf_dir):
 
 def w9_pick_one(spark, sf_dir):
     f = _files(spark, sf_dir)
-    more = f.where("folder % 5 = 0").select("folder", F.upper("path").alias("path")).unionAll(f.where("folder % 3 = 0").select("folder", F.concat(F.lit("Registered_"), "path").alias("path")))
+    more = f.where("folder % 5 = 0").select("folder", F.upper("path").alias("path")).unionAll(f.where("folder % 3 = 0").select("folder", F.replace("path", F.lit("/d/"), F.lit("/d/Registered_")).alias("path"))).unionAll(f.where("folder % 7 = 0").select("folder", F.concat(F.lit("/registered"), "path").alias("path")))
     few = f.where(F.col("path").contains("CH01")).unionAll(more.where(F.lower("path").contains("ch01")))
     return C.pick_one(few, ["folder"])
 
@@ -360,7 +362,10 @@ SQL = {
     "s4_spacing": "select p_partkey, round(case when p_size<=1 or p_partkey%4=0 then 1.0::double else abs(cast(p_retailprice as double)-p_size)/(p_size-1) end, 6) spacing from part",
     "s5_slices": X.sql("slices") + """, d as (select dir, cast(row_number() over (order by cast(regexp_extract(dir, '([0-9]+)', 1) as int))-1 as int) dir_index from (select distinct dir from slices))
         select s.dir, file, dir_index, cast(row_number() over (partition by s.dir order by cast(regexp_extract(file, 'img_([0-9]+)_', 1) as bigint), cast(regexp_extract(file, '_([0-9]+)[.]', 1) as bigint))-1 as int) z from slices s join d using (dir)""",
-    "s6_validate": X.sql("slices") + ", p as (select dir, count(*) n_slices, 1::bigint n_shapes, count(distinct file like '%7.tif') n_dtypes from slices group by dir) select *, n_slices <> (select arg_min(n_slices, dir) from p) or n_dtypes > 1 bad from p",
+    "s6_validate": X.sql("slices") + """, s as (select *, case when dir like '%555%' then '100,200' else '100,300' end shape, case when file like '%7.tif' then 'u1' else 'u2' end dtype from slices),
+        d as (select dir from s order by cast(regexp_extract(dir, '([0-9]+)', 1) as int) limit 1),
+        one as (select shape fs, dtype ft, (select count(*) from s join d using (dir)) want from s join d using (dir) order by cast(regexp_extract(file, 'img_([0-9]+)', 1) as bigint), cast(regexp_extract(file, '_([0-9]+)[.]', 1) as bigint) limit 1)
+        select dir, count(*) n_slices, count(*) filter (shape <> fs) off_shape, count(*) filter (dtype <> ft) off_dtype, count(*) <> max(want) or count(*) filter (shape <> fs or dtype <> ft) > 0 bad from s, one group by dir""",
     "s10_bricks": X.sql("evt") + "select cycle, z, y, x, cast(v as double) v from evt where channel=2 and v<>0",
     "s12_roi_text": """with r as (select l_orderkey, l_linenumber, case l_linenumber%3 when 0 then [l_partkey, l_suppkey, 0, l_partkey+q, l_suppkey+q-3, q] when 1 then [l_partkey, l_suppkey, 1, l_partkey+q, l_suppkey+5, 3] else [l_partkey, l_suppkey, 0, l_suppkey, l_partkey, 9] end b
         from (select *, cast(trunc(l_quantity) as int) q from lineitem)), g as (select *, b[4]>b[1] and b[5]>b[2] and b[6]>b[3] and list_min(b)>=0 ok from r)
@@ -395,7 +400,7 @@ SQL = {
     "j9_reuse": "select o_orderkey pair_id, case when o_orderkey%2=0 then 'antsRegistrationSyNQuick[s]' else 'TRSAA' end as type, cast(o_orderkey%3 as int) downsample from orders where o_orderkey%4<>1 and o_orderkey%3=o_orderkey%2",
     "j10_tile_transforms": """select cast(c_custkey as int) tile_index, 0 z0, case when c_custkey%7=0 then null when c_custkey%3=0 then 0 else 1 end dz, cast(case when c_custkey%7=0 then null when c_custkey%3=0 then 0 else c_custkey%4 end as int) dy, case when c_custkey%7=0 then null when c_custkey%3=0 then 0 else -1 end dx, c_custkey%7=0 lacking
         from customer where c_custkey%7=0 or c_custkey%5<>0""",
-    "w9_pick_one": f"with {_FILES}, k as (select folder, path from files where path like '%CH01%' union all select folder, upper(path) from files where folder%5=0 and path like '%CH01%'), one as (select folder, lower(path) low, min(path) path from k group by all) select folder, count(*) n, case when count(*)=1 then min(path) end path from one group by folder",
+    "w9_pick_one": f"with {_FILES}, k as (select folder, path from files where path like '%CH01%' union all select folder, upper(path) from files where folder%5=0 and path like '%CH01%' union all select folder, '/registered'||path from files where folder%7=0 and path like '%CH01%'), one as (select folder, lower(path) low, min(path) path from k group by all) select folder, count(*) n, case when count(*)=1 then min(path) end path from one group by folder",
     "t1_axis_starts": "select p_partkey, cast(row_number() over (partition by p_partkey order by start)-1 as int) i, cast(start as int) start from (select p_partkey, unnest(case when t>=n then [0] else list_sort(list_distinct(list_concat(range(0, n-t+1, t-o), [n-t]))) end) start from (select p_partkey, p_size*37+5 n, p_size%13+20 t, p_partkey%7 o from part))",
     "t2_tiles": _CS + ", " + _tile_sql((1568, 2048, 2048), (0, 512, 512)) + " select * from tiles",
     "t2_first_tiles": _CS + ", " + _tile_sql((500, 700, 2000), (50, 50, 50)) + " select * from tiles where tile_index<=4",

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 
 def read_roi_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(roi_id: the file's name, px, py) of the vertices in CSV files. Without X or Y it is a ValueError."""
+    """(roi_id, px, py) of the vertices in CSV files; roi_id is that column if there is one, else the file's name. Without X or Y it is a ValueError; coordinates that are no numbers are null."""
     df = spark.read.option("header", True).csv(path)
     names = {c.replace("﻿", "").strip().lower(): c for c in df.columns}
     if not {"x", "y"} <= names.keys():
         raise ValueError("the CSV needs columns X and Y")
-    num = lambda c: F.trim(F.col(f"`{names[c]}`")).cast("double")
-    return df.select(F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1).alias("roi_id"), num("x").alias("px"), num("y").alias("py"))
+    num = lambda c: F.trim(F.col(f"`{names[c]}`")).try_cast("double")
+    name = F.trim(F.col(f"`{names['roi_id']}`")) if "roi_id" in names else F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1)
+    return df.select(name.alias("roi_id"), num("x").alias("px"), num("y").alias("py"))

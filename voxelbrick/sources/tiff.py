@@ -35,7 +35,11 @@ def _pages(data: bytes) -> Iterator[tuple[str, dict]]:
     big = version == 43
     at = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
     head, size, entry = ("Q", 8, 20) if big else ("H", 2, 12)
+    seen = set()
     while at:
+        if at in seen or at >= len(data):
+            raise ValueError("the chain of pages turns back or leaves the file")
+        seen.add(at)
         n = struct.unpack_from(order + head, data, at)[0]
         tags = {}
         for i in range(n):
