@@ -189,8 +189,8 @@ def test_warc_records(dictionary):
     lead = warc.leading_frame(zstandard.ZstdCompressor().compress(d)) if d else b""
     whole = lead + b"".join(frame(*x) for x in pages)
     got = [r for _, r, problem in warc.records_of(whole) if problem is None]
-    assert [(r["page_id"], r["payload"]) for r in got] == [(i, None if i == 5 else p) for i, _, p in pages]
-    assert got[5]["refers_to"] == 3 and got[5]["payload_bytes"] == len(pages[5][2])
+    assert [(r["record_id"], r["payload"]) for r in got] == [(f"urn:page:{i}", None if i == 5 else p) for i, _, p in pages]
+    assert got[5]["refers_to"] == "urn:page:3" and got[5]["payload_bytes"] == len(pages[5][2])
     cut = list(warc.records_of(whole[:-3]))
     assert cut[-1][2] and sum(x[2] is None for x in cut) == 29
     bad = press.compress(warc.record(1, "u", b"abc", hashlib.sha1(b"abd").digest(), 3, None))
@@ -198,6 +198,94 @@ def test_warc_records(dictionary):
     assert list(warc.records_of(b"")) == [] and next(iter(warc.records_of(b"nonsense, not an archive")))[2]
 
 
+FOREIGN = [
+    b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: application/warc-fields\r\nContent-Length: 13\r\n\r\nsoftware: x\r\n\r\n\r\n",
+    b"WARC/1.1\r\nWARC-Type: request\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Record-ID: <urn:uuid:2>\r\nWARC-Target-URI: <http://a/>\r\nContent-Type: application/http; msgtype=request\r\nContent-Length: 18\r\n\r\nGET / HTTP/1.1\r\n\r\n\r\n\r\n",
+    b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Record-ID: <urn:uuid:3>\r\nWARC-Target-URI: http://a/\r\n b\r\nContent-Type: application/http\r\nContent-Length: 27\r\n\r\nHTTP/1.1 200 OK\r\nA: b\r\n\r\nhi\r\n\r\n",
+    b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Record-ID: <urn:uuid:4>\r\nWARC-Block-Digest: md5:5d41402abc4b2a76b9719d911017c592\r\nContent-Type: text/dns\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n",
+    b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Record-ID: <urn:uuid:5>\r\nWARC-Payload-Digest: blake9:zz\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+    b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Record-ID: <urn:uuid:6>\r\nWARC-Refers-To: <urn:uuid:3>\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+    b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Record-ID: <urn:uuid:7>\r\nWARC-Block-Digest: sha1:aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa\r\nContent-Length: 2\r\n\r\nxx\r\n\r\n",
+    b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+]
+
+
+def test_warc_of_other_writers():
+    """Other ids, types, blocks and digests, without a dictionary; a skippable frame between records."""
+    import struct
+
+    import zstandard
+
+    press = zstandard.ZstdCompressor()
+    skip = struct.pack("<II", 0x184D2A50, 3) + b"abc"
+    got = list(warc.records_of(press.compress(FOREIGN[0]) + skip + b"".join(map(press.compress, FOREIGN[1:]))))
+    good = [(r["record_id"], r["record_type"], r["payload"], r["url"], r["refers_to"]) for _, r, problem in got if problem is None]
+    assert good == [
+        ("urn:uuid:1", "warcinfo", b"software: x\r\n", None, None), ("urn:uuid:2", "request", b"", "http://a/", None), ("urn:uuid:3", "response", b"hi", "http://a/ b", None),
+        ("urn:uuid:4", "response", b"hello", None, None), ("urn:uuid:5", "metadata", b"", None, None), ("urn:uuid:6", "revisit", None, None, "urn:uuid:3"),
+    ]
+    assert "digest" in got[6][2] and "warc-record-id" in got[7][2]
+    bomb = press.compress(FOREIGN[3].replace(b"hello", b"0" * 10_000_000))
+    assert "decodes to more" in list(warc.records_of(bomb, most=1_000_000))[0][2]
+
+
+def test_warc_reading_is_linear():
+    import time
+
+    import zstandard
+
+    rng = np.random.default_rng(0)
+    pages = [rng.bytes(1500) for _ in range(8000)]
+    press = zstandard.ZstdCompressor()
+    frames = [press.compress(warc.record(i, "u", p, hashlib.sha1(p).digest(), len(p), None)) for i, p in enumerate(pages)]
+    took = []
+    for n in (2000, 8000):
+        began = time.process_time()
+        assert sum(problem is None for _, _, problem in warc.records_of(b"".join(frames[:n]))) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
+
+
+def test_trees_against_plain_code():
+    """Scores by a walk for each row and tree; the first tree by trying every cut of every node."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    y = (x[:, 0] + rng.normal(scale=0.5, size=300) > 0).astype(float)
+    m = quality.fit(x, y, trees=6, depth=3)
+    for row, score in zip(x, m.scores(x), strict=True):
+        total = m.start
+        for t in range(6):
+            node = 0
+            while node < m.feature.shape[1]:
+                node = 2 * node + (2 if row[m.feature[t, node]] > m.cut[t, node] else 1)
+            total += m.value[t, node - m.feature.shape[1]]
+        assert np.isclose(score, 1 / (1 + np.exp(-total)))
+    p = y.mean()
+    g, h = y - p, np.full(300, p * (1 - p))
+    gain = lambda a: g[a].sum() ** 2 / (h[a].sum() + quality.L2)
+    here = {0: np.ones(300, bool)}
+    for node in range(7):
+        a, best = here[node], 1e-6
+        for f in range(4):
+            for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])):
+                low = a & (x[:, f] <= c)
+                if min(h[low].sum(), h[a & ~low].sum()) >= quality.LEAST_HESSIAN:
+                    best = max(best, gain(low) + gain(a & ~low) - gain(a))
+        low = a & (x[:, m.feature[0, node]] <= m.cut[0, node])
+        if best > 1e-6:
+            assert np.isclose(gain(low) + gain(a & ~low) - gain(a), best)
+        here[2 * node + 1], here[2 * node + 2] = low, a & ~low
+    for leaf in range(8):
+        a = here[7 + leaf]
+        assert np.isclose(m.value[0, leaf], quality.RATE * g[a].sum() / (h[a].sum() + quality.L2))
+
+
+def test_short_items_match_at_word_borders():
+    m = decontam.Matcher([(1, "cat"), (2, "a b")], 0.08)
+    assert m.search("concatenate the strings") == [] and m.search("x a by") == []
+    assert m.search("the cat sat") == [(1, 0, 4, 7)] and m.search("cat") == [(1, 0, 0, 3)] and m.search("x a b") == [(2, 0, 2, 5)]
+
+
 def test_pq_lookup_and_units():
     rng = np.random.default_rng(3)
     x = pq.units(rng.normal(size=(2000, 32)))
@@ -208,5 +296,5 @@ def test_pq_lookup_and_units():
     k = np.flatnonzero(own == c)
     d = ix.lookup(x[:50], c, codes[k])
     true = ((x[:50, None] - x[k][None]) ** 2).sum(axis=2)
-    assert np.abs(d - true).mean() < 0.2 and ix.probes(x, own)[np.arange(2000), own].all()
+    assert np.abs(d - true).mean() < 0.2 and ix.probes(ix.far(x), own)[np.arange(2000), own].all()
     assert np.allclose(np.linalg.norm(pq.units([[1e300, 1e300], [1e-300, 0]]), axis=1), 1)

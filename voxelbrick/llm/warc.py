@@ -2,9 +2,13 @@
 
 An archive is a row (path, content): the columns of Spark's binaryFile source, so `spark.read.format("binaryFile")`
 reads archives that lie as files, and archives written here are a Parquet table on whatever store Spark writes to.
-The first frame is skippable (magic 0x184D2A5D) and holds the dictionary, itself possibly compressed. A record's
-headers and lengths are checked on reading: version line, mandatory fields, Content-Length against the block, one
-frame per record, the end of the record, the payload's digest. Errors are rows (problem is not null), not crashes.
+The first frame is skippable (magic 0x184D2A5D) and holds the dictionary, itself possibly compressed. Archives of any writer
+are read: every type of record, any record id, blocks that aren't HTTP, digests or none. A record's headers and lengths are
+checked: version line, mandatory fields, Content-Length against the block, one frame per record, the end of the record, the
+HTTP length and the digests where there are such. Errors are rows (problem is not null), not crashes.
+
+A page without page_id is written under a urn:uuid made of its url and payload, and has page_id null when read. Rows that repeat
+a page_id are records of their own.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 
 import pandas as pd
 import pyarrow as pa
@@ -29,15 +34,23 @@ REVISIT_BYTES = 1000
 #: About so many bytes of payload in one archive, and so many pages to train the dictionary on (a bounded sample).
 ARCHIVE_BYTES, SAMPLE, DICTIONARY_BYTES = 8_000_000, 1000, 65_536
 LEVEL = 3
+#: A frame that decodes to more bytes is a problem, not a record.
+MOST_BYTES = 1 << 30
+#: Bytes that are handed to the decoder at first; each further piece is four times as long.
+FIRST_PIECE = 1 << 14
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
-def record(page_id: int, url: str | None, payload: bytes, sha1: bytes, length: int, refers_to: int | None) -> bytes:
+def _urn(page_id: int | None, url: str | None, sha1: bytes) -> str:
+    return f"urn:page:{page_id}" if page_id is not None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {sha1.hex()}')}"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, length: int, refers_to: int | None) -> bytes:
     """One WARC/1.1 record: a response with its payload, or a revisit with the HTTP header only."""
     http = _HTTP % length
     block = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: <{_urn(page_id, url, sha1)}>", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {(url or '').replace(chr(13), '%0D').replace(chr(10), '%0A')}", "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}", f"Content-Length: {len(block)}",
     ]
@@ -65,39 +78,95 @@ def split_archive(content: bytes) -> tuple[bytes, int]:
     return body, 8 + n
 
 
+def _digest(text: str) -> tuple[str, bytes] | None:
+    """(algorithm, digest) of a labelled digest in base 32 or hex; None for one of an algorithm that isn't checked."""
+    name, _, value = text.partition(":")
+    name = name.strip().lower().replace("-", "")
+    size = {"sha1": 20, "sha256": 32, "md5": 16}.get(name)
+    if size is None:
+        return None
+    value = value.strip()
+    if len(value) == 2 * size:
+        return name, bytes.fromhex(value)
+    return name, base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+
+
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Names in lower case, the first of each; a line that begins with a space goes on with the one before."""
+    out, last = {}, None
+    for line in lines:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+            continue
+        k, colon, v = line.partition(":")
+        if not colon:
+            raise ValueError("a header line without a colon")
+        last = k.strip().lower()
+        out.setdefault(last, v.strip())
+    return out
+
+
 def parse_record(raw: bytes) -> dict:
-    """Fields of a whole record, checked; ValueError says what is wrong."""
+    """Fields of a whole record, checked; ValueError says what is wrong.
+
+    payload: an HTTP message's body, else the block; null for revisits. payload_bytes and payload_digest (hex SHA-1) are the
+    payload's, for revisits those that their headers state."""
     head, sep, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     if not sep or not lines[0].startswith("WARC/1."):
         raise ValueError("no WARC version line or header end")
-    fields = {}
-    for line in lines[1:]:
-        k, colon, v = line.partition(":")
-        if not colon:
-            raise ValueError("a header line without a colon")
-        fields[k.strip().lower()] = v.strip()
+    fields = _fields(lines[1:])
     for k in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if k not in fields:
             raise ValueError(f"no {k}")
     n = int(fields["content-length"])
-    if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
+    if n < 0 or len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise ValueError("Content-Length and record differ")
-    http, sep, payload = rest[:n].partition(b"\r\n\r\n")
-    length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
-    if not sep or length is None:
-        raise ValueError("no HTTP header or length")
-    revisit = fields["warc-type"] == "revisit"
-    sha1 = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:"))
-    if revisit and (payload or "warc-refers-to" not in fields):
+    kind, block = fields["warc-type"].lower(), rest[:n]
+    payload, length = block, None
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        http, sep, payload = block.partition(b"\r\n\r\n")
+        if not sep:
+            raise ValueError("no end of the HTTP header")
+        said = _fields([x for x in http.decode("latin-1").split("\r\n")[1:] if ":" in x or x[:1] in (" ", "\t")])
+        length = int(said["content-length"]) if said.get("content-length", "").isdigit() else None
+        if kind == "response" and length is not None and "transfer-encoding" not in said and length != len(payload):
+            raise ValueError("the payload's length differs from the HTTP header's")
+    revisit = kind == "revisit"
+    if revisit and (payload and length is not None or "warc-refers-to" not in fields and "warc-refers-to-target-uri" not in fields):
         raise ValueError("a revisit with a payload or without what it refers to")
-    if not revisit and (len(payload) != length or hashlib.sha1(payload).digest() != sha1):
-        raise ValueError("the payload's length or digest differs")
-    page = lambda s: int(s.removeprefix("<urn:page:").removesuffix(">"))
-    return {"page_id": page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload": None if revisit else payload, "payload_bytes": length, "payload_digest": sha1.hex(), "record_type": fields["warc-type"], "refers_to": page(fields["warc-refers-to"]) if revisit else None}
-
-
-def records_of(content: bytes):
+    stated = {k: _digest(fields[k]) for k in ("warc-payload-digest", "warc-block-digest") if k in fields}
+    for k, data in (("warc-block-digest", block), *((("warc-payload-digest", payload),) if not revisit else ())):
+        if stated.get(k) and hashlib.new(stated[k][0], data).digest() != stated[k][1]:
+            raise ValueError(f"the {k.split('-')[1]}'s digest differs")
+    sha1 = hashlib.sha1(payload).hexdigest()
+    if revisit:
+        d = stated.get("warc-payload-digest")
+        sha1 = d[1].hex() if d and d[0] == "sha1" else None
+    bare = lambda k: fields[k].removeprefix("<").removesuffix(">") if k in fields else None
+    return {
+        "record_id": bare("warc-record-id"), "record_type": kind, "date": fields["warc-date"], "url": bare("warc-target-uri"), "content_type": fields.get("content-type"),
+        "payload": None if revisit else payload, "payload_bytes": length if revisit else len(payload), "payload_digest": sha1, "refers_to": bare("warc-refers-to"),
+    }
+
+
+def _frame(made: zstandard.ZstdDecompressor, view: memoryview, at: int, most: int) -> tuple[bytes, int]:
+    """(decoded frame, where it ends). Pieces of the archive go to the decoder until the frame is whole, so that nothing after it is copied."""
+    one, out, size, piece = made.decompressobj(), [], 0, FIRST_PIECE
+    while not one.eof:
+        part = view[at : at + piece]
+        if not len(part):
+            raise ValueError("the frame is cut short")
+        out.append(one.decompress(part))
+        size += len(out[-1])
+        if size > most:
+            raise ValueError(f"the frame decodes to more than {most} bytes")
+        at += len(part)
+        piece *= 4
+    return b"".join(out), at - len(one.unused_data)
+
+
+def records_of(content: bytes, most: int = MOST_BYTES):
     """(offset, fields or None, problem or None) of each frame. A frame that can't be decoded ends the archive."""
     try:
         dictionary, at = split_archive(content)
@@ -107,15 +176,17 @@ def records_of(content: bytes):
         return
     view = memoryview(content)
     while at < len(content):
+        here = at
+        if len(content) - at >= 8:  # a skippable frame between records is passed over
+            magic, n = struct.unpack_from("<II", content, at)
+            if magic & SKIPPABLE_MASK == SKIPPABLE & SKIPPABLE_MASK:
+                at += 8 + n
+                continue
         try:
-            one = made.decompressobj()
-            raw = one.decompress(view[at:])
-            if not one.eof:
-                raise ValueError("the frame is cut short")
+            raw, at = _frame(made, view, at, most)
         except (ValueError, zstandard.ZstdError) as e:
-            yield at, None, str(e)
+            yield here, None, str(e)
             return
-        here, at = at, len(content) - len(one.unused_data)
         try:
             yield here, parse_record(raw), None
         except (ValueError, KeyError, UnicodeDecodeError) as e:
@@ -125,11 +196,11 @@ def records_of(content: bytes):
 def planned(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with payload_bytes, sha1 and refers_to. Null html is an empty payload.
 
-    Sizes and digests are aggregated with map-side combine, so a payload that many pages share is no hot group."""
+    Sizes and digests are aggregated with map-side combine and stored, so that a payload of many pages is split as any skewed key."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
     largest = p.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    p = p.join(largest, "sha1", "left")
+    p = p.join(stored(largest, "payloads"), "sha1", "left")
     refers = F.when((F.col("payload_bytes") >= REVISIT_BYTES) & (F.col("first") != F.col("page_id")), F.col("first"))
     return p.select("page_id", "url", "payload", "payload_bytes", "sha1", refers.alias("refers_to"))
 
@@ -174,14 +245,19 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
     return stored(frames.groupBy("archive").applyInPandas(packed, "path string, content binary"), "archives")
 
 
-FIELDS = "path string, offset long, page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, problem string"
+_COLUMNS = {
+    "path": pa.string(), "offset": pa.int64(), "record_id": pa.string(), "record_type": pa.string(), "date": pa.string(), "url": pa.string(), "content_type": pa.string(),
+    "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.string(), "problem": pa.string(),
+}
+FIELDS = "path string, offset long, record_id string, record_type string, date string, url string, content_type string, payload binary, payload_bytes long, payload_digest string, refers_to string, problem string"
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """The records of archives (path, content), one row each; a row with a problem for each record that fails a check."""
     bounded_batches(archives.sparkSession)
-    names = ["path", "offset", "page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in _COLUMNS.items()], names=list(_COLUMNS))
 
     def run(batches):
         for b in batches:
@@ -190,9 +266,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 for offset, fields, problem in records_of(content.as_py()):
                     rows.append({"path": path, "offset": offset, "problem": problem} | (fields or {}))
                     if len(rows) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in zip(names, kinds, strict=True)], names=names)
+                        yield batch(rows)
                         rows = []
-                yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in zip(names, kinds, strict=True)], names=names)
+                yield batch(rows)
 
     return archives.select("path", "content").mapInArrow(run, FIELDS)
 
@@ -216,5 +292,7 @@ def save_files(archives: DataFrame, folder: str) -> DataFrame:
 
 
 def warc_digest(pages: DataFrame) -> DataFrame:
-    """The contract's columns, from archives written and read back."""
-    return read_archives(write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+    """The contract's columns, from archives written and read back. page_id and refers_to are the numbers in urn:page ids."""
+    page = lambda c: F.nullif(F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1), F.lit("")).try_cast("long")
+    back = read_archives(write_archives(pages))
+    return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "problem")
