@@ -1,15 +1,16 @@
 r"""Chat formatting of reply trees.
 
-Messages form trees by parent. Root-to-leaf paths are enumerated by iterative self-joins with doubling jumps
-(rounds grow with the logarithm of the depth), branches are ranked by the sum of their messages' scores, and
-each chosen path becomes one text:
+Messages form trees by parent. Iterative self-joins with doubling jumps (rounds grow with the logarithm of the depth) sum
+each message's scores up to its root; leaves are ranked by that sum, and the same jumps then enumerate the root-to-leaf paths
+of the chosen leaves only. Each becomes one text:
 
     <|turn:ROLE|>\nTEXT<|end|>\n
 
 Inside a text every `<`, backslashes, `|` gets one backslash more, so that no control string can appear in it;
 reading back takes one away. In a role, %, |, < and > are percent-encoded. loss_spans are the code points of
 each assistant's text, end exclusive, as written (escaped). Null texts and roles count as empty. The messages of null
-conv_id are one conversation like any other, with null conv_id in the result.
+conv_id are one conversation like any other, with null conv_id in the result. Messages whose ancestors form a cycle have no
+root: their conversation has one row more, without a text, whose problem says so; its other paths are as ever.
 """
 
 from __future__ import annotations
@@ -42,25 +43,38 @@ def chain(messages: DataFrame) -> DataFrame:
     return m.select("conv_id", "node_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1).alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def paths(tree: DataFrame) -> DataFrame:
-    """(conv_id, leaf, node_id, back): the messages of each root-to-leaf path, back steps above the leaf.
+def jumps(tree: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(the rounds' jumps, sums). Round k's jumps (conv_id, node_id, up) lead 2**k messages up; sums has (conv_id, node_id,
+    total: of the scores from the message to its root, rootless: its ancestors form a cycle).
 
-    After k rounds a path has its last 2**k messages and each message knows its ancestor 2**k above. A parent
-    that isn't there makes a root. A cycle raises ValueError. Hot conversations are split, keys are messages."""
-    ids = tree.select("conv_id", "node_id", "parent_id")
+    A parent that isn't there makes a root. Rounds end when no message has so many ancestors, or none can: more than messages."""
+    ids = tree.select("conv_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     here = ids.select("conv_id", F.col("node_id").alias("parent_id"))
     jump = stored(_joined(ids.where("parent_id is not null"), here, ["conv_id", "parent_id"], "left_semi").select("conv_id", "node_id", F.col("parent_id").alias("up")), "jump")
-    leaves = _joined(ids, jump.select("conv_id", F.col("up").alias("node_id")), ["conv_id", "node_id"], "left_anti")
-    found = leaves.select("conv_id", F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("back"))
-    step = 1
-    while (n := jump.count()) > 0:
-        if step > (1 << 40) or step > 2 * n + 2**20:
-            raise ValueError("the replies form a cycle")
-        more = _joined(found, jump, ["conv_id", "node_id"]).select("conv_id", "leaf", F.col("up").alias("node_id"), (F.col("back") + step).alias("back"))
+    sums = ids.select("conv_id", "node_id", F.col("score").alias("total"))
+    rounds, most = [], None
+    while jump.take(1):
+        if most is None:
+            most = ids.groupBy("conv_id").count().agg(F.max("count")).first()[0]
+        if 1 << len(rounds) > most:
+            break
+        rounds.append(jump)
+        above = _joined(jump, sums.select("conv_id", F.col("node_id").alias("up"), F.col("total").alias("more")), ["conv_id", "up"]).select("conv_id", "node_id", "more")
+        sums = stored(_joined(sums, above, ["conv_id", "node_id"], "left").select("conv_id", "node_id", (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")), "sums")
+        farther = jump.select("conv_id", F.col("node_id").alias("up"), F.col("up").alias("up2"))
+        jump = stored(_joined(jump, farther, ["conv_id", "up"]).select("conv_id", "node_id", F.col("up2").alias("up")), "jump")
+    lost = jump.select("conv_id", "node_id", F.lit(True).alias("rootless"))
+    return rounds, _joined(sums, lost, ["conv_id", "node_id"], "left").select("conv_id", "node_id", "total", F.coalesce("rootless", F.lit(False)).alias("rootless"))
+
+
+def paths(leaves: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """(conv_id, leaf, node_id, back): the messages of the root-to-leaf path of each of leaves (conv_id, leaf), back steps above it.
+
+    After k rounds a path has its last 2**k messages. Hot conversations are split: keys are messages."""
+    found = leaves.select("conv_id", "leaf", F.col("leaf").alias("node_id"), F.lit(0).cast("long").alias("back"))
+    for k, jump in enumerate(rounds):
+        more = _joined(found, jump, ["conv_id", "node_id"]).select("conv_id", "leaf", F.col("up").alias("node_id"), (F.col("back") + (1 << k)).alias("back"))
         found = stored(found.unionAll(more), "paths")
-        above = jump.select("conv_id", F.col("node_id").alias("up"), F.col("up").alias("up2"))
-        jump = stored(_joined(jump, above, ["conv_id", "up"]).select("conv_id", "node_id", F.col("up2").alias("up")), "jump")
-        step *= 2
     return found
 
 
@@ -69,16 +83,21 @@ def escaped(text):
 
 
 def format_trees(tree: DataFrame, keep: int | None = 1) -> DataFrame:
-    """tree (conv_id, node_id, parent_id, role, text, score) to conv_id, leaf, path_rank, path_score, formatted, loss_spans.
+    """tree (conv_id, node_id, parent_id, role, text, score) to conv_id, leaf, path_rank, path_score, formatted, loss_spans, problem.
 
     keep: paths of each conversation, best first (ties: smallest leaf); None keeps all. node_id is unique within
-    a conversation. A null score counts as 0."""
-    steps = paths(tree)
-    scored = tree.select("conv_id", "node_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    ranked = _joined(steps, scored, ["conv_id", "node_id"]).groupBy("conv_id", "leaf").agg(F.sum("score").alias("path_score"))
+    a conversation. A null score counts as 0. problem is null but in the rows of messages without a root."""
+    rounds, sums = jumps(tree)
+    sums = stored(sums, "scored")
+    ids = tree.select("conv_id", "node_id")
+    parents = tree.where("parent_id is not null").select("conv_id", F.col("parent_id").alias("node_id")).distinct()
+    leaves = _joined(_joined(ids, parents, ["conv_id", "node_id"], "left_anti"), sums.where("not rootless"), ["conv_id", "node_id"])
+    ranked = leaves.select("conv_id", F.col("node_id").alias("leaf"), F.col("total").alias("path_score"))
     ranked = ranked.withColumn("path_rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("path_score"), "leaf")))
     if keep is not None:
         ranked = ranked.where(F.col("path_rank") <= keep)
+    ranked = stored(ranked, "leaves")
+    steps = paths(ranked, rounds)
     role = F.coalesce("role", F.lit(""))
     for a, b in _ROLE:
         role = F.replace(role, F.lit(a), F.lit(b))
@@ -90,7 +109,10 @@ def format_trees(tree: DataFrame, keep: int | None = 1) -> DataFrame:
     turns = F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("at"), F.concat("head", "body", F.lit(END)).alias("part"), "start", F.length("body").alias("n"), "learn")))
     out = rows.groupBy("conv_id", "leaf", "path_rank", "path_score").agg(turns.alias("turns"))
     spans = F.transform(F.filter("turns", lambda t: t["learn"]), lambda t: F.struct(t["start"].alias("start"), (t["start"] + t["n"]).alias("end")))
-    return out.select("conv_id", "leaf", "path_rank", "path_score", F.array_join("turns.part", "").alias("formatted"), spans.alias("loss_spans"))
+    good = out.select("conv_id", "leaf", "path_rank", "path_score", F.array_join("turns.part", "").alias("formatted"), spans.alias("loss_spans"), F.lit(None).cast("string").alias("problem"))
+    lost = sums.where("rootless").groupBy("conv_id").agg(F.count("*").alias("n"))
+    empty = {c: F.lit(None).cast(good.schema[c].dataType) for c in good.columns[1:-1]}
+    return good.unionByName(lost.select("conv_id", *[v.alias(c) for c, v in empty.items()], F.concat(F.col("n").cast("string"), F.lit(" messages without a root: their replies form a cycle")).alias("problem")))
 
 
 _TURN = re.compile(r"<\|turn:([^|]*)\|>\n(.*?)<\|end\|>\n", re.S)
@@ -108,7 +130,7 @@ def parsed(formatted: str) -> list[tuple[str, str]]:
 
 
 def chat_digest(formatted: DataFrame) -> DataFrame:
-    """The contract's columns, read back from the formatted texts and their loss masks."""
+    """The contract's columns, read back from the formatted texts and their loss masks. Rows with a problem have no text and are left out."""
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -121,4 +143,4 @@ def chat_digest(formatted: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return map_texts(formatted.select("conv_id", "formatted", "loss_spans"), fn, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_texts(formatted.where("formatted is not null").select("conv_id", "formatted", "loss_spans"), fn, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
