@@ -132,14 +132,14 @@ def _matched(queries: pd.DataFrame, data: pd.DataFrame, index: Index, cosine: fl
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding, label); other columns are dropped.
 
-    vec_id is unique and not null. n_links counts the other vectors linked directly, copies included."""
+    vec_id is unique: rows that repeat it give a row each, share their links and are one node. n_links counts the other rows
+    linked directly, copies included. A row without vec_id links with nothing, has no component and isn't kept."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), "label")
     finite = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    good = rows.where(finite & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull())
+    good = rows.where(finite & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     usual = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    alone = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     if usual is None:
-        return alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     good = stored(good.where(F.size("v") == usual.d), "vectors")
     classes = stored(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
     largest, n = classes.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
@@ -180,7 +180,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()).select(F.col("node").alias("rep"), "component")
     per_class = classes.select("label", "v", "rep", "copies").join(counts, "rep", "left").join(parts, "rep", "left")
     per_class = per_class.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = good.join(per_class, ["label", "v"]).select("vec_id", "n_links", "component_id")
-    out = alone.join(linked, "vec_id", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    # Stored, so that a vector of many copies is split as any skewed key; vectors outside the comparison meet no class.
+    per_class = stored(per_class, "linked")
+    out = rows.join(per_class, ["label", "v"], "left")
+    there = F.col("vec_id").isNotNull()
+    component = F.when(there, F.coalesce("component_id", "vec_id"))
+    return out.select("vec_id", F.when(there, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
