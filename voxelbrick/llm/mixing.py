@@ -31,28 +31,30 @@ _EPS = 1e-9
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _ranked(sources: DataFrame) -> DataFrame:
-    """rank from 0 by source's code points, null last: ranked inside range partitions, plus the rows of those before."""
-    order = F.col("source").asc_nulls_last()
-    cut = stored(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "sources")
-    before = cut.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return cut.join(before, "part").withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1 + F.col("base")).drop("part", "base")
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with, for each name, the sum of a column over the rows before in order: inside range partitions, plus the partitions before."""
+    cut = stored(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ordered")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    before = cut.groupBy("part").agg(*[F.sum(c).alias(k) for k, c in sums.items()]).select("part", *[F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(f"base_{k}") for k in sums])
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(before, "part").select("*", *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"base_{k}")).alias(k) for k, c in sums.items()])
+    return out.drop("part", *[f"base_{k}" for k in sums])
 
 
 def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(source, source_size) with rank, weight, target: share of all words by weight, none above most times its size."""
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = stored(_ranked(sources).withColumn("weight", w), "ranked")
-    total = share * (ranked.agg(F.sum("source_size")).first()[0] or 0)
-    cap, level = most * F.col("source_size"), None
-    while True:  # the level only rises, and each round but the last caps one more source
-        over = F.lit(False) if level is None else cap <= F.col("weight") * level
-        capped, free = ranked.agg(F.sum(F.when(over, cap).otherwise(0.0)), F.sum(F.when(~over, F.col("weight")).otherwise(0.0))).first()
-        new = (total - capped) / free if free else level or 0.0
-        if level is not None and new <= level * (1 + 1e-15):
-            break
-        level = new
-    return ranked.withColumn("target", F.least(cap, F.col("weight") * F.lit(float(level))))
+    """(source, source_size) with rank, weight, target: share of all words by weight, none above most times its size.
+
+    rank is by source's code points from 0, null last. In order of cap over weight, the capped sources come first: the level
+    of the others follows from running sums, and the first source that it leaves below its cap decides it."""
+    ranked = _running(sources, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    ranked = stored(ranked.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")), "ranked")
+    total, sum_weight, highest = ranked.agg(F.sum("source_size"), F.sum("weight"), F.max(F.col("cap") / F.col("weight"))).first()
+    ratio = F.col("cap") / F.col("weight")
+    steps = _running(ranked.withColumn("ratio", ratio), [F.col("ratio"), F.col("rank")], {"capped": F.col("cap"), "used": F.col("weight")})
+    level = (F.lit(float(share * (total or 0))) - F.col("capped")) / (F.lit(float(sum_weight or 0)) - F.col("used"))
+    first = steps.withColumn("level", level).where(F.col("level") <= F.col("ratio")).agg(F.min(F.struct("ratio", "rank", "level")).alias("f")).first().f
+    return ranked.withColumn("target", F.least(F.col("cap"), F.col("weight") * F.lit(float(first.level if first else highest or 0.0)))).drop("cap")
 
 
 def _uniform(*key: Column) -> Column:
@@ -105,30 +107,35 @@ def rounded(units: DataFrame, largest: int, seed: int = SEED, block: int = BLOCK
     return reduce(DataFrame.unionAll, decided)
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long"))
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
+
+
+MADE = ("size", "source_size", "target", "taken", "copies")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs (doc_id, text, source) to one row per document: doc_id, source, size, source_size, target, copies, taken.
+    """docs (doc_id, text, source) to one row per document: doc_id, size, source_size, target, taken, then source and copies.
 
     options: weights, share, most, seed. Other columns are dropped. An empty table gives no rows."""
-    return _mixed(docs, **options).drop("nth")
+    return _mixed(docs, **options).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, with all their columns, and size, source_size, target, copies, taken (replaced if there)."""
-    made = ["size", "source_size", "target", "copies", "taken"]
-    docs = _sized(docs.drop(*made))
-    same = Window.partitionBy("source", "doc_id", "size").orderBy("text")
-    numbered = docs.withColumn("nth", F.row_number().over(same).cast("long"))
-    took = _mixed(docs, **options).where("copies > 0").select(*[F.col(c).alias(f"_{c}") for c in ("nth", "doc_id", "source", *made)])
-    on = F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("size") == F.col("_size")) & (F.col("nth") == F.col("_nth"))
-    return numbered.join(took, on).select(*[c for c in docs.columns if c != "size"], *[F.col(f"_{c}").alias(c) for c in made])
+    """The documents that the mix takes, with all their columns, and size, source_size, target, taken, copies (replaced if there).
+
+    docs' columns may have any other names: they travel as one struct."""
+    kept = [c for c in docs.columns if c not in MADE]
+    rows = docs.select(F.struct(*kept).alias("doc"), _size(F.col("text")).alias("size"))
+    same = Window.partitionBy("doc.source", "doc.doc_id", "size").orderBy("doc.text")
+    rows = rows.withColumn("nth", F.row_number().over(same).cast("long"))
+    took = _mixed(docs.select("doc_id", "text", "source"), **options).where("copies > 0").select(*[F.col(c).alias(f"t_{c}") for c in ("nth", "doc_id", "source", *MADE)])
+    on = F.col("doc.source").eqNullSafe(F.col("t_source")) & F.col("doc.doc_id").cast("long").eqNullSafe(F.col("t_doc_id")) & (F.col("size") == F.col("t_size")) & (F.col("nth") == F.col("t_nth"))
+    return rows.join(took, on).select(*[F.col("doc")[c].alias(c) for c in kept], *[F.col(f"t_{c}").alias(c) for c in MADE])
 
 
 def _mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    sized = _sized(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size(F.col("text")).alias("size"))
     units = stored(sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("rows")), "units")
     goal = stored(targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("units")), weights, share, most), "targets")
     largest = goal.agg(F.max("units")).first()[0] or 0
