@@ -3,10 +3,12 @@
 Texts and items are normalised (lower case, runs of other than letters and digits become one space). An item of m code
 points may differ from a passage by k = floor(m * ERRORS) edits. Cut in k + 1 pieces, at least one piece is in the
 passage unchanged: an automaton over the pieces finds exact piece hits, each hit names an item and a place, and Myers'
-bit-parallel distance (1999) verifies a window around it. Items shorter than SHORTEST code points take no edits.
+bit-parallel distance (1999) verifies a window around it. Items shorter than SHORTEST code points take no edits, and count
+only between word borders.
 
-The items go to the tasks in blocks of at most BLOCK code points of pieces (a checked size): a larger benchmark makes
-more blocks, and the documents are read once for each. Every document is compared whole; none leaves its task.
+The items go to the tasks in blocks of about BLOCK code points (by hash, from the checked total), one after the other: the
+driver and a worker hold one block at a time, a larger benchmark makes more of them, and the documents are read once
+for each. Every document is compared whole; none leaves its task.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, stored
 
 ERRORS = 0.08
 SHORTEST = 24
-BLOCK = 8_000_000
+BLOCK = 1_000_000
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -48,7 +50,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], errors: float):
         self.items = items
         self.budget = [budget(t, errors) for _, t in items]
-        self.grams = [{t[j : j + 3] for j in range(len(t) - 2)} for _, t in items]
+        self.grams: dict[int, set[str]] = {}
         self.masks: dict[int, dict[str, int]] = {}
         owners: dict[str, list[tuple[int, int]]] = {}
         for i, (_, text) in enumerate(items):
@@ -104,6 +106,8 @@ class Matcher:
                 done = best.get(i)
                 if done and done[0] == 0:
                     continue
+                if k == 0 and not (0 <= start <= len(text) - m and text[start - 1 : start] in ("", " ") and text[start + m : start + m + 1] in ("", " ")):
+                    continue
                 low, high = max(0, start - k), start + m + k
                 if high - low < m - k or len(text) - low < m - k:
                     continue
@@ -114,7 +118,10 @@ class Matcher:
                     continue
                 tried.add((i, start))
                 window = text[low:high]
-                if len(self.grams[i].difference([window[j : j + 3] for j in range(len(window) - 2)])) > 3 * k:
+                grams = self.grams.get(i)
+                if grams is None:
+                    grams = self.grams[i] = {self.items[i][1][j : j + 3] for j in range(m - 2)}
+                if len(grams.difference([window[j : j + 3] for j in range(len(window) - 2)])) > 3 * k:
                     continue
                 d, end = self.distance(i, window)
                 if d <= k and (not done or d < done[0]):
@@ -122,38 +129,36 @@ class Matcher:
         return [(self.items[i][0], *x) for i, x in sorted(best.items())]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _matcher(items: tuple, errors: float) -> Matcher:
     return Matcher(list(items), errors)
 
 
-def _blocks(benchmark: DataFrame, most: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, fetched block by block: the query set, never the documents.
+def _blocks(benchmark: DataFrame, most: int):
+    """The items in blocks of bounded size, fetched one by one: the query set, never the documents.
 
     Items that are empty after normalising are left out; of equal item_ids each row is an item of its own."""
     sized = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n, chars = sized.agg(F.count("*"), F.sum(F.length("text"))).first()
+    chars = sized.agg(F.sum(F.length("text"))).first()[0]
     many = max(1, -(-(chars or 0) // most))
-    out = []
     for b in range(many):
-        rows = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(many)) == b).distinct().orderBy("item_id", "text").collect()
+        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == b).distinct().orderBy("item_id", "text").collect()
         items = [(r.item_id, t) for r in rows if (t := normalised(r.text))]
         if items:
-            out.append(items)
-    return out
+            yield items, many > 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, distance, start, end): the best passage of each item in each document that holds it.
 
     start and end are code points of the normalised text. A document that appears twice gives its rows twice. A map over
-    the documents for each block of items: no shuffle, and the text goes no further. An item that is found in a
-    document only within its budget of edits; null and empty texts hold nothing."""
+    the documents for each block of items: no shuffle, and the text goes no further; with several blocks, each one's
+    rows are stored before the next is fetched. An item that is found in a document only within its budget of edits; null and
+    empty texts hold nothing."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def one(items: list[tuple[int, str]]) -> DataFrame:
-        spark = docs.sparkSession
-        sent = spark.sparkContext.broadcast(tuple(items))
+    def one(items: list[tuple[int, str]], several: bool) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(tuple(items))
 
         def fn(b: pa.RecordBatch) -> pa.RecordBatch:
             m = _matcher(sent.value, errors)
@@ -164,9 +169,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS,
             names = ["doc_id", "item_id", "distance", "start", "end"]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=names)
 
-        return map_texts(docs, fn, "doc_id long, item_id long, distance long, start long, end long")
+        found = map_texts(docs, fn, "doc_id long, item_id long, distance long, start long, end long")
+        if several:
+            found = stored(found, "contaminated")
+            sent.unpersist()
+        return found
 
-    found = [one(items) for items in _blocks(benchmark, block)]
+    found = [one(*b) for b in _blocks(benchmark, block)]
     if not found:
         return docs.where("false").select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("item_id", "distance", "start", "end")])
     return reduce(DataFrame.unionAll, found)
