@@ -119,6 +119,39 @@ def test_chat_branches(spark):
     assert [r.leaf for r in chat.format_trees(tree).orderBy("conv_id").collect()] == [4, 7]
 
 
+def test_chat_cycles(spark):
+    """A cycle costs a row with a problem, not the job; other paths of the conversation stay."""
+    rows = [(1, 1, 2), (1, 2, 1), (1, 3, 2), (1, 4, None), (1, 5, 4), (2, 1, 1), (None, 7, 8), (None, 8, 7), (3, 1, None)]
+    tree = spark.createDataFrame([(c, n, p, "user", f"m{n}", 1.0) for c, n, p in rows], "conv_id long, node_id long, parent_id long, role string, text string, score double")
+    got = chat.format_trees(tree, keep=None)
+    assert sorted((r.conv_id, r.leaf) for r in got.where("problem is null").collect()) == [(1, 5), (3, 1)]
+    assert sorted((r.conv_id or 0, r.problem.split()[0]) for r in got.where("formatted is null").collect()) == [(0, "2"), (1, "3"), (2, "1")]
+    assert chat.chat_digest(got).count() == 2
+
+
+def test_chat_bushy_tree_against_brute_force(spark):
+    """Only the chosen leaves' paths are made, and they are the best ones."""
+    rng = np.random.default_rng(6)
+    rows, parent = [], {}
+    for c in range(3):
+        for n in range(300):
+            parent[c, n] = None if n == 0 else int(rng.integers(max(0, n - 40), n))
+            rows.append((c, n, parent[c, n], "assistant", f"{c}.{n}", float(np.round(rng.normal(), 3))))
+    score = {(c, n): s for c, n, _, _, _, s in rows}
+
+    def path(c, n):
+        return ([] if parent[c, n] is None else path(c, parent[c, n])) + [n]
+
+    tree = spark.createDataFrame(rows, "conv_id long, node_id long, parent_id long, role string, text string, score double")
+    got = chat.format_trees(tree, keep=4).collect()
+    for c in range(3):
+        leaves = {n for n in range(300)} - {parent[c, n] for n in range(300)}
+        want = sorted((-sum(score[c, i] for i in path(c, n)), n) for n in leaves)[:4]
+        have = sorted((r.path_rank, r.leaf, r.path_score, r.formatted) for r in got if r.conv_id == c)
+        assert [h[1] for h in have] == [n for _, n in want] and np.allclose([h[2] for h in have], [-s for s, _ in want])
+        assert [[t for _, t in chat.parsed(h[3])] for h in have] == [[f"{c}.{i}" for i in path(c, n)] for _, n in want]
+
+
 def _vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, list int")
 
@@ -154,17 +187,30 @@ def _links(x):
     return near.sum(1) - 1, label
 
 
-def test_vectors_near_a_subspace(spark, monkeypatch):
-    """Many lists in 64 dimensions, vectors near few of them: no link across lists is lost."""
+@pytest.mark.parametrize("rank", [3, 8, 64])
+def test_vectors_near_a_subspace(spark, monkeypatch, rank):
+    """200 lists in 64 dimensions, vectors near few of these: no link across lists is lost, and both ends count it."""
     monkeypatch.setattr(pq, "LIST_SIZE", 16)
     rng = np.random.default_rng(8)
-    x = np.float32(rng.normal(size=(1500, 3)) @ rng.normal(size=(3, 64)) + rng.normal(scale=0.02, size=(1500, 64))).astype(float)
+    x = rng.normal(size=(3200, rank)) @ rng.normal(size=(rank, 64)) + rng.normal(scale=0.02, size=(3200, 64))
+    x[1600:2400] = x[:800] + rng.normal(scale=0.2, size=(800, 64))
+    x = np.float32(x).astype(float)
     got = {r.vec_id: r for r in pq.near_vectors(_vectors(spark, [(i, v.tolist(), 1, 0) for i, v in enumerate(x)])).collect()}
     links, label = _links(x)
-    assert [got[i].n_links for i in range(len(x))] == links.tolist()
+    assert links.sum() > 1000 and [got[i].n_links for i in range(len(x))] == links.tolist()
     assert [got[i].component_id for i in range(len(x))] == label.tolist()
 
 
+def test_vectors_of_odd_ids(spark):
+    """Repeated vec_ids give a row each; a row without vec_id links with nothing."""
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(1, a, 1, 0), (1, a, 1, 0), (2, a, 1, 0), (2, b, 1, 0), (None, a, 1, 0), (None, None, 1, 0), (5, b, None, 0), (6, [], 1, 0)]
+    got = pq.near_vectors(_vectors(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got if r.vec_id != 2} == {(1, 2, 1, True), (None, 0, None, False), (5, 0, 5, True), (6, 0, 6, True)}
+    assert pq.near_vectors(_vectors(spark, [(None, a, 1, 0), (3, None, 1, 0)])).count() == 2
+
+
 def test_vectors_outside_the_sample(spark, monkeypatch):
     """Few vectors far from the many that the codebooks are fitted on link as they should."""
     monkeypatch.setattr(pq, "SAMPLE", 128)
@@ -187,8 +233,11 @@ def test_warc_round_trip(spark):
         data = (html or "").encode()
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
     assert [(got[i].record_type, got[i].refers_to) for i in range(1, 6)] == [("revisit", 3), ("revisit", 3), ("response", None), ("response", None), ("response", None)]
-    back = {r.page_id: r for r in warc.read_archives(warc.write_archives(pages, 4000)).collect()}
-    assert bytes(back[3].payload).decode() == big and bytes(back[6].payload) == b"" and back[1].payload is None
+    back = {r.record_id: r for r in warc.read_archives(warc.write_archives(pages, 4000)).collect()}
+    assert bytes(back["urn:page:3"].payload).decode() == big and bytes(back["urn:page:6"].payload) == b"" and back["urn:page:1"].payload is None
+    odd = pages.where("page_id < 4").unionAll(pages.where("page_id = 3")).unionAll(pages.where("page_id < 3").withColumn("page_id", F.lit(None).cast("long")))
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.problem or "") for r in warc.warc_digest(odd).collect())
+    assert got == [(0, "response", 0, ""), (0, "response", 0, ""), (1, "revisit", 3, ""), (2, "revisit", 3, ""), (3, "response", 0, ""), (3, "response", 0, "")]
     assert warc.warc_digest(pages.where("false")).count() == 0
 
 
@@ -196,7 +245,7 @@ def test_warc_files(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", "x" * i) for i in range(1, 40)], "page_id long, url string, html string")
     made = warc.save_files(warc.write_archives(pages, 300), str(tmp_path)).collect()
     files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
-    assert len(made) > 1 and sorted(r.page_id for r in warc.read_archives(files).collect()) == list(range(1, 40))
+    assert len(made) > 1 and sorted(r.record_id for r in warc.read_archives(files).collect()) == sorted(f"urn:page:{i}" for i in range(1, 40))
 
 
 def test_mixing(spark, sf, odd, none):
@@ -232,6 +281,34 @@ def test_mixing(spark, sf, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.mixture(none).count() == 0
 
 
+def test_mixing_columns(spark, sf):
+    assert mixing.mix(spark.read.parquet(f"{sf}/documents.parquet")).columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+    names = ["nth", "t_doc_id", "doc", "rank", "s", "_nth", "base"]
+    docs = spark.createDataFrame([(i, "a b c", "x", *[777 + i] * len(names)) for i in range(6)], "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    took = mixing.mixture(docs).collect()
+    assert took and all(r[n] == 777 + r.doc_id for r in took for n in names)
+
+
+def test_mixing_targets_of_many_sources(spark):
+    """Levels by running sums against rounds of capping, with ties, empty sources and a null one."""
+    rng = np.random.default_rng(3)
+    sizes = [int(s) for s in rng.choice([0, 1, 5, 5, 100, 4000], 200)]
+    rows = [(None if i == 7 else f"s{i:03d}", s, 1) for i, s in enumerate(sizes)]
+    got = {r.source: r for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long, units long").repartition(5)).collect()}
+    order = sorted((n for n, _, _ in rows if n), key=str) + [None]
+    size = {n: s for n, s, _ in rows}
+    weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(order)}
+    assert {n: got[n]["rank"] for n in order} == {n: i for i, n in enumerate(order)}
+    capped, total = set(), 1.5 * sum(sizes)
+    while True:
+        level = (total - sum(2 * size[n] for n in capped)) / sum(weight[n] for n in order if n not in capped)
+        more = {n for n in order if n not in capped and weight[n] * level > 2 * size[n]}
+        if not more:
+            break
+        capped |= more
+    assert all(math.isclose(got[n].target, 2 * size[n] if n in capped else weight[n] * level, rel_tol=1e-9) for n in order)
+
+
 def test_rounding_keeps_expectations(spark):
     """Over many seeds each document is taken about as often as its fraction says."""
     ids = spark.range(40).select(F.lit(0).alias("rank"), F.lit(40).alias("many"), F.struct(F.col("id").alias("doc_id"), (F.col("id") + 5).alias("size")).alias("id"), F.lit(0.3).alias("f"), (F.col("id") + 5).cast("double").alias("w"))
@@ -343,6 +420,17 @@ def test_quality_held_out_accuracy(spark):
     assert np.mean([rows[r.doc_id].predicted == r.quality for r in y]) > 0.95
 
 
+def test_repeated_documents_do_not_grow_the_sample(spark, labels, monkeypatch):
+    rows = [(i, f"text {i} {k}") for i in (1, 5, 6, 8) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(x)))
+    quality.train(docs, labels)
+    monkeypatch.setattr(toxicity, "fit", lambda a, b: seen.append(len(a) + len(b)))
+    toxicity.train(docs, labels)
+    assert max(seen) <= 4
+
+
 def test_toxicity(spark, sf, odd, none, labels):
     m = toxicity.train(odd, labels)
     assert toxicity.tag(odd, m).count() == len(ODD) and toxicity.tag(none, m).count() == 0
@@ -377,3 +465,13 @@ def test_pipeline_stages(spark, sf, odd, none):
         assert stage(spark, none, sf).count() == 0
         plain = odd.drop("score", "pii_spans")
         assert stage(spark, plain, sf).count() <= len(ODD)
+
+
+def test_near_dedup_of_repeated_ids(spark, sf):
+    """Of rows with one doc_id the one with the first text stays, whatever the partitions."""
+    import corpus_pipeline as P
+
+    rows = [(1, f"some text number {i} of many words", "en", f"s{i}", i) for i in (3, 1, 2)] + [(1, None, "en", "s9", 9), (2, "other", "en", "a", 1), (2, "other", "en", "b", 1), (None, "x", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = [sorted(map(str, P.near_dedup(spark, docs.repartition(n), sf).collect())) for n in (1, 3, 5)]
+    assert len(got[0]) == 3 and got[0] == got[1] == got[2]

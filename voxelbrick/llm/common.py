@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is named (tests)."""
+    """The shared folder the cluster names; a folder of our own only where none is named, in local mode."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = sc.getCheckpointDir()
         if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = "file://" + tempfile.mkdtemp(prefix="spark-voxelbrick-")
             sc.setCheckpointDir(named)
     return named
@@ -150,20 +152,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of edges (a long, b long); component is the smallest node reachable.
 
     Alternating large-star and small-star (Kiveris et al. 2014): each round is two aggregations with map-side
-    combine and two equi-joins, so a hot centre is split like any skewed join key; no group is collected.
+    combine, stored, and two equi-joins with them, so a hot centre is split like any skewed join key; no group is collected.
     Rounds end when no edge changes. Self-loops, nulls and repeated edges are ignored."""
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "large")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         new = stored(small, "edges")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        dropped(now)
+        for t in (now, least, large, low):
+            dropped(t)
         now = new
         if state == before:
             break

@@ -126,10 +126,10 @@ def _table(texts: list[bytes | None]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees from labelled rows outside the held-out fold, at most `sample` of them; null labels don't count, and of
-    several labels of one document the least does."""
+    several labels of one document the least does; of several texts the first in order does, so that repeated rows don't grow the sample."""
     y = labels.where(F.col("quality").isNotNull() & (fold() != HELD_OUT)).groupBy("doc_id").agg(F.min("quality").alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         x = _table(b.column(1).cast(pa.binary()).to_pylist())

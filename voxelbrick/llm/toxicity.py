@@ -187,11 +187,12 @@ def fold(doc_id: str = "doc_id", folds: int = FOLDS):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """A field from labelled rows outside the held-out fold: `sample` toxic and `sample` clean ones, by hash of doc_id.
 
-    Null labels don't count; of several labels of one document the greatest does."""
+    Null labels don't count; of several labels of one document the greatest does, of several texts the first in order."""
     y = labels.where(F.col("toxic").isNotNull() & (fold() != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     short = docs.where(F.length("text") <= LONGEST).select("doc_id", "text")
     pick = lambda v: y.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = short.join(F.broadcast(pick(1).unionAll(pick(0))), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    rows = short.join(F.broadcast(pick(1).unionAll(pick(0))), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    got = rows.toPandas().sort_values(["doc_id", "text"])
     return fit(got["text"][got["y"] == 1].tolist(), got["text"][got["y"] == 0].tolist())
 
 
