@@ -6,7 +6,7 @@ each stage's result as Parquet in the shared folder and reads it again for the n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelbrick.llm import decontam, minhash, mixing, pii, quality
@@ -25,10 +25,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group of near-duplicates: five-word shingles, similarity 0.8.
 
-    Of rows with one doc_id one stays; rows without a doc_id stay."""
-    kept = minhash.near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    Of rows with one doc_id the first by text (null first), then by a hash of the row, stays; rows without a doc_id stay."""
+    kept = minhash.near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1")
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
