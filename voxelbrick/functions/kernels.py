@@ -15,37 +15,55 @@ def unpacked(row) -> np.ndarray:
     return np.frombuffer(row.data, row.dtype).reshape(row.nz, row.ny, row.nx)
 
 
+def _neighbours(c: np.ndarray, n: int, origin: int, size: int, mode: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of coordinates along one axis: the index in src and the weight of each neighbour; weight 0 where they are outside the volume.
+
+    Neighbours are clamped to the volume's edge; those outside src get weight 0, as voxels that count as 0."""
+    inside = (c >= -0.5) & (c < n - 0.5)
+    low = np.floor(c + 0.5 if mode == "nearest" else c).astype(np.int64)
+    frac = c - low
+    out = []
+    for i, w in ((low, np.ones(len(c))),) if mode == "nearest" else ((low, 1 - frac), (low + 1, frac)):
+        k = np.clip(i, 0, n - 1) - origin
+        ok = (k >= 0) & (k < size)
+        w = np.where(ok & inside, w, 0)
+        if w.any():
+            out.append((np.where(ok, k, 0), w))
+    return out
+
+
 def sample(src: np.ndarray, origin, shape, coords: np.ndarray, mode: str = "linear") -> np.ndarray:
     """Values of a volume of `shape` at continuous coords (3, n), from src, a box of it that starts at origin.
 
     A point inside [-0.5, n - 0.5) on every axis takes its neighbours clamped to the volume's edge; any other is 0.
     Voxels outside src count as 0: the caller gives a box that covers what the points need."""
-    shape, origin = np.asarray(shape)[:, None], np.asarray(origin)[:, None]
-    inside = ((coords >= -0.5) & (coords < shape - 0.5)).all(axis=0)
+    axes = [_neighbours(np.asarray(c), int(n), int(o), k, mode) for c, n, o, k in zip(coords, shape, origin, src.shape, strict=True)]
+    flat, (_, ny, nx) = src.ravel(), src.shape
     out = np.zeros(coords.shape[1])
-    c = coords[:, inside]
-    size = np.array(src.shape)[:, None]
+    for z, wz in axes[0]:
+        for y, wy in axes[1]:
+            row, w2 = (z * ny + y) * nx, wz * wy
+            for x, wx in axes[2]:
+                w = w2 * wx
+                out += np.where(w != 0, flat.take(row + x) * w, 0)
+    return out
 
-    def at(i: np.ndarray) -> np.ndarray:
-        k = np.clip(i, 0, shape - 1) - origin
-        ok = ((k >= 0) & (k < size)).all(axis=0)
-        k = np.where(ok, k, 0)
-        return np.where(ok, src[k[0], k[1], k[2]], 0).astype(np.float64)
 
-    if mode == "nearest":
-        out[inside] = at(np.floor(c + 0.5).astype(np.int64))
+def sample_box(src: np.ndarray, origin, shape, m: np.ndarray, t: np.ndarray, start, size, mode: str = "linear") -> np.ndarray:
+    """sample() at m . i + t for the indices i of a box. A diagonal m is done axis by axis."""
+    if (m == np.diag(np.diag(m))).all():
+        out = src.astype(np.float64, copy=False)
+        for a in range(3):
+            c = m[a, a] * np.arange(start[a], start[a] + size[a]) + t[a]
+            near = _neighbours(c, int(shape[a]), int(origin[a]), src.shape[a], mode)
+            wide = [-1 if i == a else 1 for i in range(3)]
+            total = np.zeros([len(c) if i == a else n for i, n in enumerate(out.shape)])
+            for k, w in near:
+                part = out.take(k, axis=a)
+                total += part if (w == 1).all() else np.where(w.reshape(wide) != 0, part * w.reshape(wide), 0)
+            out = total
         return out
-    low = np.floor(c).astype(np.int64)
-    frac = c - low
-    total = np.zeros(c.shape[1])
-    for d in np.ndindex(2, 2, 2):
-        w = np.ones(c.shape[1])
-        for axis, bit in enumerate(d):
-            w = w * (frac[axis] if bit else 1 - frac[axis])
-        if w.any():
-            total += w * at(low + np.array(d)[:, None])
-    out[inside] = total
-    return out
+    return sample(src, origin, shape, m @ grid(start, size) + np.asarray(t)[:, None], mode).reshape(size)
 
 
 def grid(start, size) -> np.ndarray:

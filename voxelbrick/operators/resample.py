@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelbrick.functions.kernels import box_weights, grid, sample
+from voxelbrick.functions.kernels import box_weights, grid, sample, sample_box
 from voxelbrick.operators.bricks import AXES, Triple, _row, frame
 from voxelbrick.operators.tiling import bricks_of
 from voxelbrick.schema import BRICKS
@@ -160,7 +160,7 @@ def warp(moving: DataFrame, moving_shape: Triple, shape: Triple, brick: Triple,
         start, size = _place(r)
         mat, off = np.array(r.m).reshape(3, 3), np.array(r.t)
         low, high = clamped_box(start, start + size, mat, off, 0.0, moving_shape)
-        v = sample(assembled(have, low, high), low, moving_shape, mat @ grid(start, size) + off[:, None], mode)
+        v = sample_box(assembled(have, low, high), low, moving_shape, mat, off, start, size, mode)
         return frame([_row(r.volume_id, r.channel, (r.bz, r.by, r.bx), start, v.reshape(size).astype(dtype))])
 
     return gathered(wanted, pieces, kernel)
@@ -219,17 +219,17 @@ def tiled_apply(moving: DataFrame, moving_shape: Triple, tiles: DataFrame, shape
         for tile in r.tiles if r.tiles is not None else []:
             tile0, tile1 = (np.array([tile[f"{a}{e}"] for a in AXES]) for e in (0, 1))
             p, q = np.maximum(start, tile0), np.minimum(start + size, tile1)
-            here = grid(p, q - p) + np.array([tile[f"d{a}"] for a in AXES])[:, None]
+            d = np.array([tile[f"d{a}"] for a in AXES])
             if mode == "composed":
-                v = sample(src, low, moving_shape, mat @ here + off[:, None])
+                v = sample_box(src, low, moving_shape, mat, mat @ d + off, p, q - p)
             else:
-                b0 = np.clip(np.floor(here.min(axis=1)).astype(int), tile0, tile1 - 1)
-                b1 = np.clip(np.floor(here.max(axis=1)).astype(int) + 2, b0 + 1, tile1)
-                first = sample(src, low, moving_shape, mat @ grid(b0, b1 - b0) + off[:, None]).reshape(b1 - b0)
-                v = sample(first, b0 - tile0, tile1 - tile0, here - tile0[:, None])
+                b0 = np.clip(np.floor(p + d).astype(int), tile0, tile1 - 1)
+                b1 = np.clip(np.floor(q - 1 + d).astype(int) + 2, b0 + 1, tile1)
+                first = sample_box(src, low, moving_shape, mat, off, b0, b1 - b0)
+                v = sample_box(first, b0 - tile0, tile1 - tile0, np.eye(3), d - tile0, p, q - p)
             w = box_weights(tile1 - tile0, overlap)[tuple(slice(i, j) for i, j in zip(p - tile0, q - tile0, strict=True))]
             at = tuple(slice(i, j) for i, j in zip(p - start, q - start, strict=True))
-            total[at] += v.reshape(q - p) * w
+            total[at] += v * w
             weight[at] += w
         out = np.where(weight > 0, total / (np.maximum(weight, eps) if eps is not None else np.where(weight > 0, weight, 1)), 0)
         return frame([_row(r.volume_id, r.channel, (r.bz, r.by, r.bx), start, out.astype(dtype))])
