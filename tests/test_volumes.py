@@ -266,15 +266,27 @@ def test_full_size_tiles(spark):
     assert t.count() == 16 and sorted({r.y0 for r in t.collect()}) == [0, 256] and max(r.x0 for r in t.collect()) == 10752
 
 
-def test_stream_leaves_out_what_is_there(spark, tmp_path):
+def test_stream_waits_for_whole_volumes_and_leaves_out_what_is_there(spark, tmp_path):
     from voxelbrick.streaming.apply import stream_apply
 
     df, v = ramp(spark)
-    B.to_bricks(df, SHAPE, (4, 4, 8)).write.parquet(str(tmp_path / "in"))
-    go = lambda c: stream_apply(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / c), SHAPE, (4, 4, 8), (1.0, 0.0, 0.0))
-    n = go("c1").count()
-    assert go("c1").count() == n and go("c2").count() == n
-    assert np.array_equal(array(go("c1"), SHAPE)[:-1], v[1:])
+    b = B.to_bricks(df.unionAll(df.withColumn("volume_id", F.lit("s"))), SHAPE, (4, 4, 8)).cache()
+    complete = b.groupBy("volume_id").agg(F.count("*").alias("bricks"))
+    t = spark.createDataFrame([(n, list(resample.IDENTITY), [1.0, 0.0, 0.0]) for n in "rs"], "volume_id string, m array<double>, t array<double>")
+    go = lambda c="c", target="out", t=t, **o: stream_apply(spark, str(tmp_path / "in"), str(tmp_path / target), str(tmp_path / c), SHAPE, (4, 4, 8), t, complete, **o)
+    b.where("volume_id = 'r' or bz = 0").write.parquet(str(tmp_path / "in"))
+    assert {r.volume_id for r in go().select("volume_id").distinct().collect()} == {"r"}
+    b.where("volume_id = 's' and bz > 0").write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        out = go()
+        assert out.count() == b.count() and all(np.array_equal(array(out.where(F.col("volume_id") == n), SHAPE)[:-1], v[1:]) for n in "rs")
+    one = spark.createDataFrame([(n, *SHAPE) for n in "rs"], "volume_id string, nz int, ny int, nx int")
+    tiles = tiling.make_tiles(one, (9, 6, 7), (0, 3, 3), ["volume_id"])
+    saved = tiles.select("volume_id", "tile_index", *[F.lit(0).alias(f"d{a}") for a in "zyx"], F.lit(False).alias("skipped"), F.lit(False).alias("output_skipped"))
+    blended = go("c2", "out2", tiles=tiles, saved=saved, overlap=(0, 3, 3))
+    assert np.allclose(array(blended.where("volume_id = 'r'"), SHAPE)[:-1, 1:-1, 1:-1], v[1:, 1:-1, 1:-1])
+    with pytest.raises(Exception, match="no transform is saved for s"):
+        go("c3", "out3", t=t.where("volume_id = 'r'"))
 
 
 def _still_in(region):

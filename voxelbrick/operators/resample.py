@@ -138,6 +138,13 @@ def gathered(wanted: DataFrame, pieces: DataFrame, kernel, schema: str = BRICKS)
     return wanted.groupBy(*ON).cogroup(pieces.toDF(*pieces.columns).groupBy(*ON)).applyInPandas(run, schema)
 
 
+def downsample_linear(moving: DataFrame, shape: Triple, brick: Triple, factor: float) -> DataFrame:
+    """Every volume at factor times its spacing, on round(n / factor) voxels an axis from the same origin; as it is for factors up to 1."""
+    if factor <= 1:
+        return moving
+    return warp(moving, shape, tuple(max(1, round(n / factor)) for n in shape), brick, tuple(factor * x for x in IDENTITY))
+
+
 def _extent(boxes: DataFrame) -> Triple:
     """The size of a grid of boxes: one small aggregate."""
     r = boxes.agg(*[F.max(f"{a}1").alias(a) for a in AXES]).first()

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from voxelbrick.operators import bricks as B
 from voxelbrick.operators import manifest as M
+from voxelbrick.operators import resample
 from voxelbrick.plans.volumes import BRICK, bricks, long
 from voxelbrick.sources import fixtures as X
 from voxelbrick.sources import roi, tiff
-from voxelbrick.sources.scratch import folder
+from voxelbrick.sources.scratch import folder, stored
 from voxelbrick.streaming.apply import stream_apply
 
 
@@ -53,12 +54,14 @@ def s11_roi_csv(spark, sf_dir):
 
 
 def st1_stream_apply(spark, sf_dir):
-    """Each cycle's bricks as new files, resampled by the stream; sums of the result by cycle and channel."""
+    """Each cycle's bricks as new files, resampled by the stream with saved transforms; sums of the result by cycle and channel."""
     e = X.vox_evt(spark, sf_dir)
     shape = B.shape_of(e)
-    b = B.to_bricks(e.select(F.col("cycle").cast("string").alias("volume_id"), "channel", "z", "y", "x", "v"), shape, (10, 64, 24))
+    b = stored(B.to_bricks(e.select(F.col("cycle").cast("string").alias("volume_id"), "channel", "z", "y", "x", "v"), shape, (10, 64, 24)), "bricks")
     b.write.parquet(source := folder(spark, "cycles"))
-    out = stream_apply(spark, source, folder(spark, "applied"), folder(spark, "stream"), shape, (10, 64, 24), (1.0, 0.0, -2.0))
+    complete = b.groupBy("volume_id").agg(F.count("*").alias("bricks"))
+    t = complete.select("volume_id", F.array(*[F.lit(x) for x in resample.IDENTITY]).alias("m"), F.array(F.lit(1.0), F.lit(0.0), F.lit(-2.0)).alias("t"))
+    out = stream_apply(spark, source, folder(spark, "applied"), folder(spark, "stream"), shape, (10, 64, 24), t, complete)
     v = B.to_voxels(out, zeros=False)
     return v.groupBy(F.col("volume_id").cast("int").alias("cycle"), "channel").agg(F.count("*").alias("voxels"), F.sum("v").cast("bigint").alias("total"))
 

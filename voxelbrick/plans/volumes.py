@@ -54,8 +54,7 @@ def p4_stride(spark, sf_dir):
 
 def p5_downsample(spark, sf_dir):
     b, shape = bricks(spark, sf_dir)
-    half = tuple(round(n / 2) for n in shape)
-    return long(resample.warp(b, shape, half, BRICK, (2.0, 0, 0, 0, 2.0, 0, 0, 0, 2.0)))
+    return long(resample.downsample_linear(b, shape, BRICK, 2.0))
 
 
 def p6_transpose(spark, sf_dir):

@@ -5,31 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelbrick.operators import resample
-from voxelbrick.schema import BRICKS, KEY, fields
-
-
-def stream_apply(spark: SparkSession, source: str, target: str, checkpoint: str, shape, brick, t, m=resample.IDENTITY):
-    """Reads new brick files under source, resamples them and appends to target, once for each (volume, channel, brick).
-
-    Stateless, so without a watermark: all bricks of a volume arrive in one batch. A batch that runs again after a
-    failure leaves out the bricks that target has already. It stops when everything there now is done."""
-
-    def batch(new: DataFrame, _: int) -> None:
-        out = resample.warp(new, shape, shape, brick, m=m, t=t)
-        try:
-            done = spark.read.schema(BRICKS).parquet(target).select(*KEY)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            done = spark.createDataFrame([], fields(BRICKS)).select(*KEY)
-        out.join(done, KEY, "left_anti").select(*fields(BRICKS).names).write.mode("append").parquet(target)
+from voxelbrick.operators import jobs, resample
+from voxelbrick.operators.bricks import Triple
+from voxelbrick.schema import BRICKS, fields
+
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at path; empty where there is none yet."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
+
+def stream_apply(
+    spark: SparkSession, source: str, target: str, checkpoint: str, shape: Triple, brick: Triple, transforms: DataFrame, complete: DataFrame,
+    tiles: DataFrame | None = None, saved: DataFrame | None = None, overlap: Triple = (0, 0, 0), force: bool = False,
+) -> DataFrame:
+    """Reads new brick files under source, applies saved transforms (volume_id, m, t) to whole volumes and writes these to target.
+
+    complete (volume_id, bricks): how many bricks a volume has in all its channels. Bricks are kept beside the target until
+    their volume is whole, however many batches that takes, and a volume is made once: a batch that runs again after a
+    failure writes the same partitions anew, and volumes listed as done are passed over unless force. With tiles (volume_id, tile_index,
+    box) and saved tile transforms the volumes are tiled and blended. A volume without a transform is an error. Stateless
+    but for these tables, so without a watermark; it stops when everything there now is done."""
+    staging, done = f"{target}-staging", f"{target}-done"
+
+    def batch(new: DataFrame, number: int) -> None:
+        new.write.mode("overwrite").partitionBy("volume_id").parquet(f"{staging}/batch={number}")
+        have = _table(spark, staging, f"{BRICKS}, batch long")
+        counts = have.groupBy("volume_id").agg(F.count("*").alias("have"))
+        ready = counts.join(complete, "volume_id").where("have >= bricks").select("volume_id")
+        # A volume of this very batch may be done in part: it is made again.
+        finished = _table(spark, done, "volume_id string, batch long").where(F.col("batch") < number).select("volume_id")
+        ready = ready if force else ready.join(finished, "volume_id", "left_anti")
+        names = [r.volume_id for r in ready.collect()]  # the volumes that one batch completes, a few
+        if not names:
+            return
+        bricks = have.where(F.col("volume_id").isin(names)).select(*fields(BRICKS).names)
+        lost = ready.join(transforms, "volume_id", "left_anti").take(1)
+        if lost:
+            raise ValueError(f"no transform is saved for {lost[0].volume_id}")
+        if tiles is None:
+            out = resample.warp(bricks, shape, shape, brick, transforms=transforms)
+        else:
+            out = jobs.apply_tiles(bricks, shape, brick, tiles.where(F.col("volume_id").isin(names)), overlap, transforms, saved)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("volume_id").parquet(target)
+        spark.createDataFrame([(n,) for n in names], "volume_id string").write.mode("overwrite").parquet(f"{done}/batch={number}")
 
     stream = spark.readStream.schema(BRICKS).parquet(source)
     q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(BRICKS).parquet(target)
-
-
-def totals(bricks: DataFrame) -> DataFrame:
-    return bricks.groupBy("volume_id", "channel").agg(F.count("*").alias("bricks"))
+    return _table(spark, target, BRICKS)
