@@ -294,7 +294,7 @@ def test_pq_lookup_and_units():
     codes = ix.codes(x, own)
     c = int(np.bincount(own).argmax())
     k = np.flatnonzero(own == c)
-    d = ix.lookup(x[:50], c, codes[k])
+    d = ix.lookup(x[:50], c, codes[k]).T
     true = ((x[:50, None] - x[k][None]) ** 2).sum(axis=2)
     assert np.abs(d - true).mean() < 0.2 and ix.probes(ix.far(x), own)[np.arange(2000), own].all()
     assert np.allclose(np.linalg.norm(pq.units([[1e300, 1e300], [1e-300, 0]]), axis=1), 1)

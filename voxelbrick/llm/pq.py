@@ -30,7 +30,7 @@ SAMPLE, LIST_SIZE, MOST_LISTS = 16_384, 256, 1024
 PARTS, CODES = 16, 256
 BLOCK = 1024
 #: Allowance for rounding in distances that exclude.
-NEAR = 1e-6
+NEAR, NEAR_LOOKUP = 1e-6, 1e-4
 #: Pairs whose exact cosines are taken at once.
 AT_ONCE = 65_536
 
@@ -83,13 +83,15 @@ class Index:
         return (step <= self.radius + NEAR) & (np.arange(len(self.coarse)) >= own[:, None])
 
     def lookup(self, q: np.ndarray, c: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances (queries, vectors of list c) by tables of q's residual against the codebooks."""
-        rest = q - self.coarse[c]
-        out = np.zeros((len(q), len(codes)))
+        """Squared distances (vectors of list c, queries) by tables of q's residual against the codebooks, single precision.
+
+        A table's row is a code, so that a vector's part takes a whole row of queries at once."""
+        rest = (q - self.coarse[c]).astype(np.float32)
+        out = np.zeros((len(codes), len(q)), np.float32)
         for p, ((a, b), k) in enumerate(zip(self.cuts, self.books, strict=True)):
-            r = rest[:, a:b]
-            table = (r * r).sum(axis=1)[:, None] + (k * k).sum(axis=1) - 2 * r @ k.T
-            out += table[:, codes[:, p]]
+            r, k = rest[:, a:b], k.astype(np.float32)
+            table = (k * k).sum(axis=1)[:, None] + (r * r).sum(axis=1) - 2 * k @ r.T
+            out += table[codes[:, p]]
         return out
 
 
@@ -109,9 +111,10 @@ def _matched(queries: pd.DataFrame, data: pd.DataFrame, index: Index, cosine: fl
     q, x = units(queries["v"]), units(data["v"])
     codes = np.frombuffer(b"".join(data["codes"]), np.uint8).reshape(len(data), -1)
     here = int(data["list"].iloc[0])
-    near = np.sqrt(np.maximum(index.lookup(q, here, codes), 0)) <= index.radius + data["error"].to_numpy() + NEAR
-    near &= np.abs(index.far(q)[:, here][:, None] - data["mid"].to_numpy()) <= index.radius + NEAR
-    i, j = np.nonzero(near)
+    most = (index.radius + data["error"].to_numpy() + NEAR_LOOKUP) ** 2
+    near = index.lookup(q, here, codes) <= most.astype(np.float32)[:, None]
+    near &= np.abs(data["mid"].to_numpy()[:, None] - index.far(q)[:, here]) <= index.radius + NEAR
+    j, i = np.nonzero(near)
     qi, dj = queries["rep"].to_numpy(), data["rep"].to_numpy()
     keep = qi[i] != dj[j]
     i, j = i[keep], j[keep]
