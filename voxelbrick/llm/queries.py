@@ -9,10 +9,12 @@ from .common import table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and counts of personal data in every document. Null and empty texts have none; every row gives a row, repeated or without doc_id too."""
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -7, formatted and read back. Null texts and roles are empty; null conv_id is a conversation; equal turns go by role and text."""
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -20,35 +22,43 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of equal labels. Vectors that can't be compared, and rows without vec_id, link with nothing."""
     return pq.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back. Null html is an empty payload; a page without page_id has a record, repeated rows have one each."""
     return warc.warc_digest(table(spark, sf_dir, "pages"))
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text. Null is empty; every row gives a row."""
     return bpe.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mixture takes of each document. Null and empty texts have size 0; a null source is a source; repeated rows share copies."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document: a row for each document and item found. Null and empty texts or items match nothing."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicates, two-word shingles. Texts without words link with nothing; rows without doc_id aren't kept; rows of one doc_id are one document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every whole text; empty texts get one too. Labels without a value don't count."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every whole text; texts without words score 0. Labels without a value don't count."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.tag(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("toxic_spans")
 
