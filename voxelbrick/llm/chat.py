@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, stored
 
 END = "<|end|>\n"
-_ROLE = (("%", "%25"), ("|", "%7C"), ("<", "%3C"), (">", "%3E"))
+ROLE_ESCAPES = (("%", "%25"), ("|", "%7C"), ("<", "%3C"), (">", "%3E"))
 
 
 def _joined(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -99,7 +99,7 @@ def format_trees(tree: DataFrame, keep: int | None = 1) -> DataFrame:
     ranked = stored(ranked, "leaves")
     steps = paths(ranked, rounds)
     role = F.coalesce("role", F.lit(""))
-    for a, b in _ROLE:
+    for a, b in ROLE_ESCAPES:
         role = F.replace(role, F.lit(a), F.lit(b))
     body = tree.select("conv_id", "node_id", F.concat(F.lit("<|turn:"), role, F.lit("|>\n")).alias("head"), escaped(F.col("text")).alias("body"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("learn"))
     rows = _joined(_joined(steps, ranked, ["conv_id", "leaf"]), body, ["conv_id", "node_id"])
@@ -123,7 +123,7 @@ def parsed(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of each turn."""
     out = []
     for role, text in _TURN.findall(formatted):
-        for a, b in reversed(_ROLE):
+        for a, b in reversed(ROLE_ESCAPES):
             role = role.replace(b, a)
         out.append((role, _STUFFED.sub(r"<\1|", text)))
     return out

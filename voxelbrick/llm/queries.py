@@ -15,8 +15,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -7, formatted and read back. Null texts and roles are empty; null conv_id is a conversation; equal turns go by role and text."""
-    said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.createDataFrame([(-7, 0, "user", _SAID), (-7, 1, "assistant", _SAID)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.chat_digest(chat.format_trees(chat.chain(rows)))
 
@@ -67,7 +66,27 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_chat, op4_near_vectors, op5_warc, op6_tokens, op7_mixing, op8_near_duplicates, op9_quality, op10_toxicity)}
 
 
+_SAID = "</s>[INST] ok [/INST]"
+_BY = "order by turn nulls first, role nulls first, text nulls first"
+_ROLE = "coalesce(role, '')"
+for _a, _b in chat.ROLE_ESCAPES:
+    _ROLE = f"replace({_ROLE}, '{_a}', '{_b}')"
+#: The smallest node reachable over links (a, b) for each of nodes (id).
+_REACHED = "both_ways as (select a, b from links union all select b, a from links), reached(id, root) as (select id, id from nodes union select e.b, r.root from reached r join both_ways e on e.a = r.id), classes as (select id, min(root) component_id from reached group by id)"
+
 SQL = {
+    "op3_chat": rf"""
+        with c as (select conv_id, turn, role, text from conversations union all from (values (-7, 0, 'user', '{_SAID}'), (-7, 1, 'assistant', '{_SAID}'))),
+        t as (select *, coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10) said, coalesce(text, '') learnt,
+              length('<|turn:' || {_ROLE} || '|>' || chr(10)) + length(regexp_replace(coalesce(text, ''), '<(\\*)[|]', '<\1\\|', 'g')) + {len(chat.END)} whole from c),
+        g as (select conv_id, count(*) n_turns, string_agg(said, '' {_BY}) said, coalesce(string_agg(learnt, '' {_BY}) filter (role = 'assistant'), '') learnt, sum(whole) whole from t group by conv_id)
+        select conv_id, n_turns, sha256(said) turns_sha256, length(learnt)::bigint loss_chars, sha256(learnt) loss_sha256, whole::bigint formatted_chars from g""",
+    "op4_near_vectors": f"""
+        with recursive v as (select vec_id, label, embedding::double[] e from embeddings where label is not null and embedding is not null),
+        good as (select * from v where list_bool_and([x is not null and isfinite(x) for x in e]) and list_bool_or([x <> 0 for x in e])),
+        links as (select a.vec_id a, b.vec_id b from good a join good b on a.label = b.label and a.vec_id < b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93),
+        nodes as (select vec_id id from embeddings), {_REACHED}
+        select id vec_id, (select count(*) from both_ways where a = id) n_links, component_id, id = component_id kept from classes""",
     "op5_warc": """
         with p as (select page_id, coalesce(html, '') html, octet_length(encode(coalesce(html, ''))) n from pages),
         f as (select page_id, n, sha1(encode(html)) d, max(page_id) over (partition by html) last from p)
@@ -75,6 +94,14 @@ SQL = {
                case when n >= 1000 and last <> page_id then 'revisit' else 'response' end record_type,
                case when n >= 1000 and last <> page_id then last end refers_to, null::varchar problem
         from f""",
+    "op8_near_duplicates": rf"""
+        with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+        s as (select doc_id, unnest(list_distinct(case when len(w) < 2 then w else [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] end)) g from w),
+        n as (select doc_id, count(*) n from s group by doc_id),
+        pairs as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+        links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+        nodes as (select doc_id id from documents), {_REACHED}
+        select id doc_id, coalesce(n, 0) n_shingles, component_id, id = component_id kept from classes left join n on n.doc_id = id""",
 }
 
 
