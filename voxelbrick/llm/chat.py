@@ -47,24 +47,23 @@ def jumps(tree: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """(the rounds' jumps, sums). Round k's jumps (conv_id, node_id, up) lead 2**k messages up; sums has (conv_id, node_id,
     total: of the scores from the message to its root, rootless: its ancestors form a cycle).
 
-    A parent that isn't there makes a root. Rounds end when no message has so many ancestors, or none can: more than messages."""
-    ids = tree.select("conv_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-    here = ids.select("conv_id", F.col("node_id").alias("parent_id"))
-    jump = stored(_joined(ids.where("parent_id is not null"), here, ["conv_id", "parent_id"], "left_semi").select("conv_id", "node_id", F.col("parent_id").alias("up")), "jump")
-    sums = ids.select("conv_id", "node_id", F.col("score").alias("total"))
+    A parent that isn't there makes a root. A round joins only messages that have so many ancestors; rounds end when none has,
+    or none can: more than messages."""
+    ids = tree.select("conv_id", "node_id", F.col("parent_id").alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"))
+    there = ids.select("conv_id", F.col("node_id").alias("up"), F.lit(True).alias("there"))
+    now = _joined(ids, there, ["conv_id", "up"], "left").select("conv_id", "node_id", F.when(F.col("there"), F.col("up")).alias("up"), "total")
+    now = stored(now, "messages")
     rounds, most = [], None
-    while jump.take(1):
+    while (far := now.where("up is not null")).take(1):
         if most is None:
-            most = ids.groupBy("conv_id").count().agg(F.max("count")).first()[0]
+            most = now.groupBy("conv_id").count().agg(F.max("count")).first()[0]
         if 1 << len(rounds) > most:
             break
-        rounds.append(jump)
-        above = _joined(jump, sums.select("conv_id", F.col("node_id").alias("up"), F.col("total").alias("more")), ["conv_id", "up"]).select("conv_id", "node_id", "more")
-        sums = stored(_joined(sums, above, ["conv_id", "node_id"], "left").select("conv_id", "node_id", (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")), "sums")
-        farther = jump.select("conv_id", F.col("node_id").alias("up"), F.col("up").alias("up2"))
-        jump = stored(_joined(jump, farther, ["conv_id", "up"]).select("conv_id", "node_id", F.col("up2").alias("up")), "jump")
-    lost = jump.select("conv_id", "node_id", F.lit(True).alias("rootless"))
-    return rounds, _joined(sums, lost, ["conv_id", "node_id"], "left").select("conv_id", "node_id", "total", F.coalesce("rootless", F.lit(False)).alias("rootless"))
+        rounds.append(far.select("conv_id", "node_id", "up"))
+        above = now.select("conv_id", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("more"))
+        farther = _joined(far, above, ["conv_id", "up"]).select("conv_id", "node_id", F.col("up2").alias("up"), (F.col("total") + F.col("more")).alias("total"))
+        now = stored(now.where("up is null").unionAll(farther), "messages")
+    return rounds, now.select("conv_id", "node_id", "total", F.col("up").isNotNull().alias("rootless"))
 
 
 def paths(leaves: DataFrame, rounds: list[DataFrame]) -> DataFrame:
