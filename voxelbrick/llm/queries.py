@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, minhash, mixing, pii, pq, quality, toxicity, warc
+from . import bpe, chat, decontam, minhash, mixing, negatives, pii, pq, quality, rules, toxicity, variants, warc
 from .common import table
 
 
@@ -62,8 +63,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.tag(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("toxic_spans")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their nearest more frequent spelling. Null texts have no words; repeated rows count as often as they are there."""
+    return variants.variants(variants.counted(table(spark, sf_dir, "documents")))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and risk-controlled rules, languages as strata. Null and empty texts have no words and fail; every row gives a row."""
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector. Rows without id, label or a whole vector take no part; of rows with one vec_id the first by label and vector counts."""
+    vec_id, label = F.col("vec_id"), F.col("label").cast("long")
+    rows = negatives.quantised(table(spark, sf_dir, "embeddings"), relabel=F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.hard_negatives(rows, vec_id % 50 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_chat, op4_near_vectors, op5_warc, op6_tokens, op7_mixing, op8_near_duplicates, op9_quality, op10_toxicity)}
+    both = (op1_pii, op2_decontamination, op3_chat, op4_near_vectors, op5_warc, op6_tokens, op7_mixing, op8_near_duplicates, op9_quality, op10_toxicity, op11_spelling_variants, op12_quality_rules, op13_hard_negatives)
+    return {f.__name__: f for f in both}
 
 
 _SAID = "</s>[INST] ok [/INST]"
@@ -102,6 +121,14 @@ SQL = {
         links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
         nodes as (select doc_id id from documents), {_REACHED}
         select id doc_id, coalesce(n, 0) n_shingles, component_id, id = component_id kept from classes left join n on n.doc_id = id""",
+    "op13_hard_negatives": """
+        with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, [floor(256 * x::double) for x in embedding] q from embeddings
+                   where vec_id is not null and label is not null and embedding is not null and list_bool_and([x is not null and isfinite(x) for x in embedding])),
+        s as (select a.vec_id a, b.vec_id b, a.l = b.l same, list_inner_product(a.q, b.q)::bigint s from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+        p as (select a, b, s from s where same qualify row_number() over (partition by a order by s desc, b) <= 5),
+        n as (select p.a, p.b, p.s ps, s.b nb, s.s ns, row_number() over (partition by p.a, p.b order by s.s desc, s.b) k
+              from p join s on s.a = p.a and not s.same and 50 * p.s <= 100 * s.s and 100 * s.s <= 95 * p.s)
+        select a anchor_id, b positive_id, k::integer rank, nb negative_id, ps positive_score, ns negative_score from n where k <= 3""",
 }
 
 
