@@ -91,6 +91,25 @@ class Matcher:
                 best, end = score, j + 1
         return best, end
 
+    def begin(self, i: int, window: str, d: int, end: int) -> int:
+        """Where the passage of distance d that ends at `end` begins: the shortest that has this distance, from the end backwards.
+
+        Row j of the table holds the distances of the item's last j characters to the window's last ones; only the band of d around its diagonal is kept."""
+        item, m, far = self.items[i][1], len(self.items[i][1]), d + 1
+        back = window[max(0, end - m - d) : end][::-1]
+        row = [j if j <= d else far for j in range(m + 1)]  # against nothing of the window
+        for n, c in enumerate(back, 1):
+            low, high = max(1, n - d), min(m, n + d)
+            new = [far] * (m + 1)
+            if n <= d:
+                new[0] = n
+            for j in range(low, high + 1):
+                new[j] = min(row[j - 1] + (item[m - j] != c), row[j] + 1, new[j - 1] + 1)
+            row = new
+            if row[m] <= d:
+                return end - n
+        return max(0, end - m)
+
     def search(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, start, end) of the best passage for each item within its budget; places in the normalised text."""
         best: dict[int, tuple[int, int, int]] = {}
@@ -125,7 +144,7 @@ class Matcher:
                     continue
                 d, end = self.distance(i, window)
                 if d <= k and (not done or d < done[0]):
-                    best[i] = d, max(0, low + end - m), low + end
+                    best[i] = d, low + self.begin(i, window, d, end), low + end
         return [(self.items[i][0], *x) for i, x in sorted(best.items())]
 
 
@@ -151,7 +170,7 @@ def _blocks(benchmark: DataFrame, most: int):
 def contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, distance, start, end): the best passage of each item in each document that holds it.
 
-    start and end are code points of the normalised text. A document that appears twice gives its rows twice. A map over
+    start and end are code points of the normalised text, of the shortest passage of that distance that ends there. A document that appears twice gives its rows twice. A map over
     the documents for each block of items: no shuffle, and the text goes no further; with several blocks, each one's
     rows are stored before the next is fetched. An item that is found in a document only within its budget of edits; null and
     empty texts hold nothing."""

@@ -1,7 +1,7 @@
 """Embedding near-duplicates by product quantisation (Jegou et al. 2011) over coarse inverted lists.
 
-Vectors are compared only when their labels are equal and not null, by cosine in double precision. Null and zero
-vectors, other lengths than the most frequent one's and vectors with null or non-finite components link with nothing.
+Vectors are compared only when their labels are equal and not null, by cosine in double precision. Only
+vectors of one length are compared. Null and zero vectors and those with null or non-finite components link with nothing.
 
 1. Equal vectors of a label are one class with a count; the smallest vec_id stands for it.
 2. Coarse centroids and residual codebooks are fitted on at most SAMPLE classes, those with the smallest hash (a
@@ -135,20 +135,44 @@ def _matched(queries: pd.DataFrame, data: pd.DataFrame, index: Index, cosine: fl
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding, label); other columns are dropped.
 
-    vec_id is unique: rows that repeat it give a row each, share their links and are one node. n_links counts the other rows
+    Vectors are compared with those of their label and of their length. vec_id is unique: rows that repeat it give a row each, share their links and are one node. n_links counts the other rows
     linked directly, copies included. A row without vec_id links with nothing, has no component and isn't kept."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), "label")
     finite = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     good = rows.where(finite & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    usual = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if usual is None:
+    # Vectors meet those of their label and length. Lengths between two powers of two are compared together, padded with zeros.
+    scale = F.ceil(F.log2(F.size("v"))).cast("int")
+    lengths = good.groupBy(scale.alias("scale")).agg(F.max(F.size("v")).alias("most"), F.min(F.size("v")).alias("least")).orderBy("scale").collect()  # a row for each power of two
+    if not lengths:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    good = stored(good.where(F.size("v") == usual.d), "vectors")
+    linked = None
+    for r in lengths:
+        some = good.where(scale == r.scale)
+        if r.most == r.least:
+            one = _linked(some, cosine).select("label", "v", "n_links", "component_id")
+        else:
+            key = F.concat(F.col("label").cast("string"), F.lit(":"), F.size("v").cast("string"))
+            zeros = F.array_repeat(F.lit(0).cast(good.schema["v"].dataType.elementType), F.lit(r.most) - F.size("v"))
+            named = stored(some.select("vec_id", "label", "v", key.alias("key"), F.concat("v", zeros).alias("padded")), "padded")
+            found = _linked(named.select("vec_id", F.col("key").alias("label"), F.col("padded").alias("v")), cosine).toDF("key", "padded", "n_links", "component_id")
+            one = named.select("label", "v", "key", "padded").distinct().join(found, ["key", "padded"]).select("label", "v", "n_links", "component_id")
+        linked = one if linked is None else linked.unionAll(one)
+    # Stored, so that a vector of many copies is split as any skewed key; vectors outside the comparison meet no class.
+    linked = linked if len(lengths) == 1 and lengths[0].most == lengths[0].least else stored(linked, "linked")
+    out = rows.join(linked, ["label", "v"], "left")
+    there = F.col("vec_id").isNotNull()
+    component = F.when(there, F.coalesce("component_id", "vec_id"))
+    return out.select("vec_id", F.when(there, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+def _linked(good: DataFrame, cosine: float) -> DataFrame:
+    """(label, v, n_links, component_id), stored, for each class of equal vectors of good (vec_id, label, v), all of one length."""
+    good = stored(good, "vectors")
     classes = stored(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
     largest, n = classes.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
     sample = hashed_sample(classes, "rep", SAMPLE, n).select("v").toPandas()
     index = Index(units(sample["v"]), largest, float(np.sqrt(2 - 2 * cosine)))
-    spark = vectors.sparkSession
+    spark = good.sparkSession
     sent = spark.sparkContext.broadcast(index)
 
     def coded(batches):
@@ -183,9 +207,4 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()).select(F.col("node").alias("rep"), "component")
     per_class = classes.select("label", "v", "rep", "copies").join(counts, "rep", "left").join(parts, "rep", "left")
     per_class = per_class.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    # Stored, so that a vector of many copies is split as any skewed key; vectors outside the comparison meet no class.
-    per_class = stored(per_class, "linked")
-    out = rows.join(per_class, ["label", "v"], "left")
-    there = F.col("vec_id").isNotNull()
-    component = F.when(there, F.coalesce("component_id", "vec_id"))
-    return out.select("vec_id", F.when(there, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return stored(per_class, "linked")

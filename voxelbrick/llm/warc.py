@@ -34,8 +34,8 @@ REVISIT_BYTES = 1000
 #: About so many bytes of payload in one archive, and so many pages to train the dictionary on (a bounded sample).
 ARCHIVE_BYTES, SAMPLE, DICTIONARY_BYTES = 8_000_000, 1000, 65_536
 LEVEL = 3
-#: A frame that decodes to more bytes is a problem, not a record.
-MOST_BYTES = 1 << 30
+#: So many code points of each sampled page, from a place that a hash of page_id chooses.
+SAMPLE_CHARS = 20_000
 #: Bytes that are handed to the decoder at first; each further piece is four times as long.
 FIRST_PIECE = 1 << 14
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -150,8 +150,9 @@ def parse_record(raw: bytes) -> dict:
     }
 
 
-def _frame(made: zstandard.ZstdDecompressor, view: memoryview, at: int, most: int) -> tuple[bytes, int]:
-    """(decoded frame, where it ends). Pieces of the archive go to the decoder until the frame is whole, so that nothing after it is copied."""
+def _frame(made: zstandard.ZstdDecompressor, view: memoryview, at: int, most: int | None) -> tuple[bytes | None, int]:
+    """(decoded frame, or None if it decodes to more than `most` bytes; where it ends). Pieces of the archive go to the decoder until
+    the frame is whole, so that nothing after it is copied; of a frame that is too large, what is decoded is let go."""
     one, out, size, piece = made.decompressobj(), [], 0, FIRST_PIECE
     while not one.eof:
         part = view[at : at + piece]
@@ -159,15 +160,18 @@ def _frame(made: zstandard.ZstdDecompressor, view: memoryview, at: int, most: in
             raise ValueError("the frame is cut short")
         out.append(one.decompress(part))
         size += len(out[-1])
-        if size > most:
-            raise ValueError(f"the frame decodes to more than {most} bytes")
+        large = most is not None and size > most
+        if large:
+            out.clear()
         at += len(part)
-        piece *= 4
-    return b"".join(out), at - len(one.unused_data)
+        piece *= 1 if large else 4
+    return None if most is not None and size > most else b"".join(out), at - len(one.unused_data)
 
 
-def records_of(content: bytes, most: int = MOST_BYTES):
-    """(offset, fields or None, problem or None) of each frame. A frame that can't be decoded ends the archive."""
+def records_of(content: bytes, most: int | None = None):
+    """(offset, fields or None, problem or None) of each frame. A frame that can't be decoded ends the archive.
+
+    most: a frame that decodes to more bytes is a problem instead of a record, and the next one follows; None: there is no bound."""
     try:
         dictionary, at = split_archive(content)
         made = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
@@ -187,6 +191,9 @@ def records_of(content: bytes, most: int = MOST_BYTES):
         except (ValueError, zstandard.ZstdError) as e:
             yield here, None, str(e)
             return
+        if raw is None:
+            yield here, None, f"the frame decodes to more than {most} bytes"
+            continue
         try:
             yield here, parse_record(raw), None
         except (ValueError, KeyError, UnicodeDecodeError) as e:
@@ -208,20 +215,22 @@ def planned(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Archives (path, content) of pages, one record for each row, written once to the shared folder as a table.
 
-    A row's archive is a hash of page_id: reruns make the same archives, and a lost executor's are made again.
-    The dictionary is trained on at most SAMPLE pages, those with the smallest hash; it is left out if they are few."""
+    A row's archive is a hash of page_id, url and payload, so that rows without page_id, or with one that repeats, are spread like
+    others: reruns make the same archives, and a lost executor's are made again. The dictionary is trained on at most SAMPLE pages, those
+    with the smallest hash, SAMPLE_CHARS code points of each from a hashed place; it is left out if they are few."""
     spark = pages.sparkSession
     bounded_batches(spark)
     total, n = pages.agg(F.sum(F.octet_length("html")), F.count("html")).first()
     many = max(1, -(-(total or 0) // archive_bytes))
-    sample = hashed_sample(pages.where("html is not null"), "page_id", SAMPLE, n).select(F.substring("html", 1, 20_000).alias("h")).collect()
+    place = (F.pmod(F.xxhash64(F.lit(2), "page_id"), F.greatest(F.length("html") - SAMPLE_CHARS, F.lit(0)) + 1) + 1).cast("int")
+    sample = hashed_sample(pages.where("html is not null"), "page_id", SAMPLE, n).select(F.substring("html", place, F.lit(SAMPLE_CHARS)).alias("h")).collect()
     texts = [x.h.encode() for x in sample if x.h]
     try:
         dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes() if len(texts) >= 20 else b""
     except zstandard.ZstdError:
         dictionary = b""
     sent = spark.sparkContext.broadcast(dictionary)
-    rows = planned(pages).withColumn("archive", F.pmod(F.xxhash64("page_id"), F.lit(many)))
+    rows = planned(pages).withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "sha1"), F.lit(many)))
 
     def framed(batches):
         """The frames are made where the pages are, so that only compressed records are shuffled."""
@@ -238,7 +247,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
     frames = rows.select("page_id", "url", "payload", "payload_bytes", "sha1", "refers_to", "archive").mapInArrow(framed, "archive long, page_id long, frame binary")
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("page_id")
+        rows = rows.sort_values(["page_id", "frame"])
         lead = leading_frame(sent.value) if sent.value else b""
         return pd.DataFrame({"path": [f"part-{int(rows['archive'].iloc[0]):07d}.warc.zst"], "content": [lead + b"".join(rows["frame"])]})
 
@@ -252,8 +261,10 @@ _COLUMNS = {
 FIELDS = "path string, offset long, record_id string, record_type string, date string, url string, content_type string, payload binary, payload_bytes long, payload_digest string, refers_to string, problem string"
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """The records of archives (path, content), one row each; a row with a problem for each record that fails a check."""
+def read_archives(archives: DataFrame, most: int | None = None) -> DataFrame:
+    """The records of archives (path, content), one row each; a row with a problem for each record that fails a check.
+
+    most: see records_of."""
     bounded_batches(archives.sparkSession)
 
     def batch(rows: list[dict]) -> pa.RecordBatch:
@@ -263,7 +274,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows = []
-                for offset, fields, problem in records_of(content.as_py()):
+                for offset, fields, problem in records_of(content.as_py(), most):
                     rows.append({"path": path, "offset": offset, "problem": problem} | (fields or {}))
                     if len(rows) == 256:
                         yield batch(rows)
