@@ -138,7 +138,10 @@ def search(asked: DataFrame, blocks: DataFrame, same: bool, most: int, shards: i
     key = ["dim", "label"] if same else ["dim"]
     left = packed(asked, key, QUERIES, True).toDF(*key, "qblock", *[f"q_{c.split()[0]}" for c in PACKED.split(", ")]).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     right = blocks.withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)))
-    pairs = left.join(right, [*key, "shard"]).select("dim", *[f"q_{c}" for c in ("ids", "labels", "matrix", "asked")], "ids", "labels", "matrix")
+    # Few bytes, much work: dealt to as many tasks as there are shards at least, and not put together again for being small.
+    tasks = max(shards, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left, right = (v.repartition(tasks, *key, "shard") for v in (left, right))
+    pairs = left.hint("merge").join(right, [*key, "shard"]).select("dim", *[f"q_{c}" for c in ("ids", "labels", "matrix", "asked")], "ids", "labels", "matrix")
 
     def run(batches):
         for b in batches:
