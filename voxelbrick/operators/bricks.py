@@ -129,6 +129,41 @@ def stride(bricks: DataFrame, steps: Triple, shape: Triple, brick: Triple) -> Da
     return regrid(_mapped(bricks, pick), tuple(-(-n // s) for n, s in zip(shape, steps, strict=True)), brick)
 
 
+def pooled(bricks: DataFrame, steps: list[Triple], shape: Triple, brick: Triple) -> DataFrame:
+    """Means of blocks of steps[level] voxels, float32, for each level in one scan: bricks with a column level; sizes are ceil(n / step).
+
+    Each brick gives its share of each block's mean, so what is shuffled is 1 / (step ** 3) of the volume. Voxel i of a level is the
+    middle of voxels i * step to (i + 1) * step - 1."""
+    sizes = [tuple(-(-n // s) for n, s in zip(shape, by, strict=True)) for by in steps]
+
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                start = (r.z0, r.y0, r.x0)
+                rows = []
+                for level, by in enumerate(steps):
+                    part, first = unpacked(r).astype(np.float64), []
+                    for axis, (s, o, n) in enumerate(zip(by, start, shape, strict=True)):
+                        k0, k1 = o // s, (o + part.shape[axis] - 1) // s
+                        cuts = np.maximum(np.arange(k0, k1 + 1) * s - o, 0)
+                        full = np.minimum(np.arange(k0 + 1, k1 + 2) * s, n) - np.arange(k0, k1 + 1) * s
+                        part = np.add.reduceat(part, cuts, axis=axis) / full.reshape([-1 if i == axis else 1 for i in range(3)])
+                        first.append(k0)
+                    rows += [(level, *_row(r.volume_id, r.channel, k, at, piece)) for k, at, piece in _cut(r.volume_id, r.channel, np.array(first), part, brick)]
+                yield pd.DataFrame(rows, columns=["level", *_COLUMNS])
+
+    def merge(key, rows: pd.DataFrame) -> pd.DataFrame:
+        start = [k * s for k, s in zip(key[3:], brick, strict=True)]
+        out = np.zeros([min(s, n - a) for s, n, a in zip(brick, sizes[key[0]], start, strict=True)])
+        for r in rows.itertuples():
+            a = unpacked(r)
+            out[tuple(slice(p - o, p - o + n) for p, o, n in zip((r.z0, r.y0, r.x0), start, a.shape, strict=True))] += a
+        return pd.DataFrame([(int(key[0]), *_row(key[1], key[2], key[3:], start, out.astype(np.float32)))], columns=["level", *_COLUMNS])
+
+    kind = f"level int, {BRICKS}"
+    return bricks.select(*_COLUMNS).mapInPandas(shares, kind).groupBy("level", *KEY).applyInPandas(merge, kind)
+
+
 def conform(bricks: DataFrame, ids: DataFrame, shape: Triple, brick: Triple, pad: float = 0.0, dtype: str = "float64") -> DataFrame:
     """Each (volume_id, channel) of ids padded or cropped at the high ends to shape; every brick of the target is there."""
     many = [-(-n // s) for n, s in zip(shape, brick, strict=True)]

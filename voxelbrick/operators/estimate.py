@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelbrick.functions.kernels import grid, sample, unpacked
-from voxelbrick.operators import bricks, intensity, resample
+from voxelbrick.operators import bricks, intensity, metrics, resample
 from voxelbrick.operators.bricks import AXES, Triple
 from voxelbrick.sources.scratch import stored
 
@@ -25,8 +25,8 @@ def moments(voxels: DataFrame, group: list[str]) -> DataFrame:
 
 
 def brick_moments(bricks: DataFrame) -> DataFrame:
-    """moments of bricks by volume_id and channel: ten sums leave each brick."""
-    names = ["mass", "sz", "sy", "sx", "szz", "syy", "sxx", "szy", "szx", "syx"]
+    """moments of bricks by volume_id and channel, and n, their voxels: eleven sums leave each brick."""
+    names = ["n", "mass", "sz", "sy", "sx", "szz", "syy", "sxx", "szy", "szx", "syx"]
 
     def part(batches):
         for b in batches:
@@ -34,12 +34,12 @@ def brick_moments(bricks: DataFrame) -> DataFrame:
             for r in b.itertuples():
                 v = unpacked(r).ravel().astype(float)
                 z, y, x = grid((r.z0, r.y0, r.x0), (r.nz, r.ny, r.nx))
-                rows.append((r.volume_id, r.channel, v.sum(), v @ z, v @ y, v @ x, v @ (z * z), v @ (y * y), v @ (x * x), v @ (z * y), v @ (z * x), v @ (y * x)))
+                rows.append((r.volume_id, r.channel, float(len(v)), v.sum(), v @ z, v @ y, v @ x, v @ (z * z), v @ (y * y), v @ (x * x), v @ (z * y), v @ (z * x), v @ (y * x)))
             yield pd.DataFrame(rows, columns=["volume_id", "channel", *names])
 
     sums = bricks.mapInPandas(part, "volume_id string, channel int, " + ", ".join(f"{c} double" for c in names)).groupBy("volume_id", "channel").agg(*[F.sum(c).alias(c) for c in names])
     mean = lambda c: F.try_divide(F.col(c), F.col("mass"))
-    return sums.select("volume_id", "channel", "mass", *[mean(f"s{a}").alias(f"c{a}") for a in AXES], *[(mean(f"s{p}") - mean(f"s{p[0]}") * mean(f"s{p[1]}")).alias(f"cov_{p}") for p in ("zz", "yy", "xx", "zy", "zx", "yx")])
+    return sums.select("volume_id", "channel", "n", "mass", *[mean(f"s{a}").alias(f"c{a}") for a in AXES], *[(mean(f"s{p}") - mean(f"s{p[0]}") * mean(f"s{p[1]}")).alias(f"cov_{p}") for p in ("zz", "yy", "xx", "zy", "zx", "yx")])
 
 
 def init_translation(fixed: DataFrame, moving: DataFrame) -> DataFrame:
@@ -52,55 +52,110 @@ _SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
 _SCORES = "volume_id string, channel int, tile_index int, dz int, dy int, dx int, " + ", ".join(f"{c} double" for c in _SUMS)
 
 
-def shift_scores(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, radius: int, tiles: DataFrame | None = None) -> DataFrame:
-    """volume_id, channel, tile_index, dz, dy, dx, n, ncc: Pearson correlation of fixed(i) with moving(i + d) over the voxels
-    that are inside both volumes, for each whole shift within radius on each axis; by tile, or over all (tile_index 0).
+def centres(fixed: DataFrame, moving: DataFrame) -> DataFrame:
+    """volume_id, channel, fc, mc: the mean of either side's voxels."""
 
-    fixed, moving: bricks of one shape, paired by volume_id and channel. A brick of fixed meets the moving box around it once;
-    all shifts are summed in its task, and a row that leaves it is a shift."""
-    wanted = fixed.withColumn("tiles", F.lit(None).cast("array<int>"))
-    if tiles is not None:
+    def part(batches):
+        for b in batches:
+            yield pd.DataFrame([(r.volume_id, r.channel, float(r.nz * r.ny * r.nx), unpacked(r).sum(dtype=float)) for r in b.itertuples()], columns=["volume_id", "channel", "n", "s"])
+
+    mean = lambda v, name: v.mapInPandas(part, "volume_id string, channel int, n double, s double").groupBy("volume_id", "channel").agg((F.sum("s") / F.sum("n")).alias(name))
+    return mean(fixed, "fc").join(mean(moving, "mc"), ["volume_id", "channel"])
+
+
+def _shifted(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, radius: int, tiles: DataFrame | None, start: DataFrame | None, extra: DataFrame, score, schema: str) -> DataFrame:
+    """score(row, overlap of fixed, overlap of moving) -> rows, for each brick, tile (0 without tiles) and whole shift within radius of start.
+
+    A brick of fixed meets the moving box around it once; all shifts are scored in its task. extra: columns by volume_id and channel."""
+    wanted = fixed.join(extra, ["volume_id", "channel"])
+    if start is None:
+        wanted = wanted.withColumns({f"s{a}": F.lit(0) for a in AXES})
+        ahead = resample.with_transforms(moving, resample.IDENTITY, (0, 0, 0), None)
+    else:
+        wanted = wanted.join(start.select("volume_id", "channel", *[F.col(f"s{a}").cast("int").alias(f"s{a}") for a in AXES]), ["volume_id", "channel"])
+        ahead = resample.with_transforms(moving, resample.IDENTITY, (0, 0, 0), translations(start.withColumnsRenamed({f"s{a}": f"d{a}" for a in AXES})))
+    if tiles is None:
+        wanted = wanted.withColumn("tiles", F.lit(None).cast("array<int>"))
+    else:
         by = intensity.tiles_by_brick(tiles, brick)
-        wanted = fixed.join(by, [c for c in by.columns if c != "tiles"])
-    names = [c.split()[0] for c in _SCORES.split(", ")]
+        wanted = wanted.join(by, [c for c in by.columns if c != "tiles"])
+    names = [c.split()[0] for c in schema.split(", ")]
     steps = range(-radius, radius + 1)
 
     def kernel(r, have: pd.DataFrame) -> pd.DataFrame:
         f = unpacked(r).astype(float)
-        start, n = np.array([r.z0, r.y0, r.x0]), np.array(shape)
-        end = start + f.shape
-        low, high = np.maximum(start - radius, 0), np.minimum(end + radius, n)
+        at, s, n = np.array([r.z0, r.y0, r.x0]), np.array([r.sz, r.sy, r.sx]), np.array(shape)
+        end = at + f.shape
+        low, high = resample.clamped_box(at, end, np.eye(3), s.astype(float), float(radius), shape)
         m = resample.assembled(have, low, high)
-        boxes = [(0, start, end)] if r.tiles is None else [(t["tile_index"], *(edge([t[f"{a}{e}"] for a in AXES], at) for e, edge, at in ((0, np.maximum, start), (1, np.minimum, end)))) for t in r.tiles]
+        boxes = [(0, at, end)] if r.tiles is None else [(t["tile_index"], *(edge([t[f"{a}{e}"] for a in AXES], x) for e, edge, x in ((0, np.maximum, at), (1, np.minimum, end)))) for t in r.tiles]
         rows = []
         for tile, p, q in boxes:
             for d in itertools.product(steps, steps, steps):
-                i, j = np.maximum(p, -np.array(d)), np.minimum(q, n - d)
+                d = s + d
+                i, j = np.maximum(p, -d), np.minimum(q, n - d)
                 if (i < j).all():
-                    a = f[tuple(slice(u, v) for u, v in zip(i - start, j - start, strict=True))].ravel()
+                    a = f[tuple(slice(u, v) for u, v in zip(i - at, j - at, strict=True))].ravel()
                     b = m[tuple(slice(u, v) for u, v in zip(i + d - low, j + d - low, strict=True))].ravel()
-                    rows.append((r.volume_id, r.channel, tile, *d, len(a), a.sum(), b.sum(), a @ a, b @ b, a @ b))
+                    rows += [(r.volume_id, r.channel, tile, *map(int, d), *x) for x in score(r, a, b)]
         return pd.DataFrame(rows, columns=names)
 
-    pieces = resample.sent(resample.with_transforms(moving, resample.IDENTITY, (0, 0, 0), None), shape, shape, brick, radius)
-    sums = resample.gathered(wanted, pieces, kernel, _SCORES).groupBy(*names[:6]).agg(*[F.sum(c).alias(c) for c in _SUMS])
+    return resample.gathered(wanted, resample.sent(ahead, shape, shape, brick, float(radius)), kernel, schema)
+
+
+def shift_scores(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, radius: int, tiles: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
+    """volume_id, channel, tile_index, dz, dy, dx, n, ncc: Pearson correlation of fixed(i) with moving(i + d) over the voxels
+    that are inside both volumes, for each whole shift within radius of start on each axis; by tile, or over all (tile_index 0).
+
+    fixed, moving: bricks of one shape, paired by volume_id and channel. start: volume_id, channel, sz, sy, sx, whole numbers; nothing is
+    resampled for it. Sums are about each side's mean, so bright volumes of little contrast lose no digits."""
+
+    def score(r, a, b):
+        a, b = a - r.fc, b - r.mc
+        return [(len(a), a.sum(), b.sum(), a @ a, b @ b, a @ b)]
+
+    names = [c.split()[0] for c in _SCORES.split(", ")]
+    sums = _shifted(fixed, moving, shape, brick, radius, tiles, start, centres(fixed, moving), score, _SCORES).groupBy(*names[:6]).agg(*[F.sum(c).alias(c) for c in _SUMS])
     spread = lambda s: F.greatest(F.col(f"s{s}{s}") - F.col(f"s{s}") * F.col(f"s{s}") / F.col("n"), F.lit(0.0))
     den = F.sqrt(spread("a") * spread("b"))
-    ncc = F.when(den < 1e-12, 0.0).otherwise((F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / den)
+    ncc = F.when(den < 1e-12, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / den)))
     return sums.select(*names[:6], F.col("n").cast("long").alias("n"), ncc.alias("ncc"))
 
 
-def _best(scores: DataFrame, by: list[str], digits: int) -> DataFrame:
-    """The greatest ncc (rounded, so that ties are ties), then the least length, then z, y, x; still: the score of no shift."""
-    s = scores.withColumn("ncc", F.round("ncc", digits))
+def shift_information(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, radius: int, tiles: DataFrame | None = None, start: DataFrame | None = None, bins: int = 32) -> DataFrame:
+    """shift_scores with nmi, normalised mutual information, in place of ncc: for volumes of different stains.
+
+    Values are binned between each side's own least and greatest; the cells of a shift's joint histogram are counted brick by brick and
+    merged with map-side combine, at most bins * bins rows a shift."""
+    ends = lambda v, p: intensity.brick_ends(v, "minmax", ("volume_id", "channel")).toDF("volume_id", "channel", f"{p}_lo", f"{p}_hi")
+    extra = stored(ends(fixed, "f").join(ends(moving, "m"), ["volume_id", "channel"]), "ends")
+
+    def score(r, a, b):
+        c = np.bincount(metrics.bin_index(a, r.f_lo, r.f_hi, bins) * bins + metrics.bin_index(b, r.m_lo, r.m_hi, bins), minlength=bins * bins)
+        k = np.flatnonzero(c)
+        return zip((k // bins).tolist(), (k % bins).tolist(), c[k].tolist(), strict=True)
+
+    keys = ["volume_id", "channel", "tile_index", "dz", "dy", "dx"]
+    schema = "volume_id string, channel int, tile_index int, dz int, dy int, dx int, i int, j int, c long"
+    cells = _shifted(fixed, moving, shape, brick, radius, tiles, start, extra, score, schema).groupBy(*keys, "i", "j").agg(F.sum("c").alias("c"))
+    cells = stored(cells, "cells")
+    return metrics.nmi(cells, tuple(keys)).join(cells.groupBy(*keys).agg(F.sum("c").alias("n")), keys).select(*keys, "n", "nmi")
+
+
+def _best(scores: DataFrame, by: list[str], digits: int, score: str = "ncc") -> DataFrame:
+    """The greatest score (rounded, so that ties are ties), then the least length, then z, y, x; still: the score of no shift."""
+    s = scores.withColumn(score, F.round(score, digits))
     length = F.col("dz") * F.col("dz") + F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")
-    best = s.groupBy(*by).agg(F.min(F.struct((-F.col("ncc")).alias("k"), length.alias("l"), "dz", "dy", "dx", "n")).alias("b"), F.max(F.when(length == 0, F.col("ncc"))).alias("still"))
-    return best.select(*by, "b.dz", "b.dy", "b.dx", "b.n", (-F.col("b.k")).alias("ncc"), "still")
+    best = s.groupBy(*by).agg(F.min(F.struct((-F.col(score)).alias("k"), length.alias("l"), "dz", "dy", "dx", "n")).alias("b"), F.max(F.when(length == 0, F.col(score))).alias("still"))
+    return best.select(*by, "b.dz", "b.dy", "b.dx", "b.n", (-F.col("b.k")).alias(score), "still")
+
+
+METRICS = {"ncc": shift_scores, "nmi": shift_information}
 
 
-def search_shift(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, radius: int, digits: int = 9) -> DataFrame:
-    """volume_id, channel, dz, dy, dx, n, ncc: the best whole shift of each pair of volumes within radius."""
-    return _best(shift_scores(fixed, moving, shape, brick, radius), ["volume_id", "channel"], digits).drop("still")
+def search_shift(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, radius: int, digits: int = 9, metric: str = "ncc", start: DataFrame | None = None) -> DataFrame:
+    """volume_id, channel, dz, dy, dx, n and the metric: the best whole shift of each pair of volumes within radius of start. metric: ncc or nmi."""
+    return _best(METRICS[metric](fixed, moving, shape, brick, radius, start=start), ["volume_id", "channel"], digits, metric).drop("still")
 
 
 def translations(shifts: DataFrame, scale: int = 1) -> DataFrame:
@@ -134,58 +189,31 @@ def phase_shift(fixed: DataFrame, moving: DataFrame, shape: Triple, tile: Triple
     return summed.groupBy("volume_id", "channel").agg(F.max(F.struct("score", "dz", "dy", "dx")).alias("b")).select("volume_id", "channel", "b.dz", "b.dy", "b.dx", (F.col("b.score") / voxels).alias("peak"))
 
 
-def estimate_affine(fixed: DataFrame, moving: DataFrame, shape: Triple, moving_shape: Triple, brick: Triple, levels: tuple = (2, 1), rounds: int = 12, start=None) -> tuple[np.ndarray, np.ndarray]:
-    """(m, t) on indices by Gauss-Newton on squared differences, coarse to fine: on proxies of every levels[i]-th voxel.
+def estimate_affine(fixed: DataFrame, moving: DataFrame, shape: Triple, moving_shape: Triple, brick: Triple, levels: tuple = (2, 1), rounds: int = 20, start=None) -> tuple[np.ndarray, np.ndarray]:
+    """(m, t) on indices for one volume and channel each (equal volume_id and channel): register.staged, coarse to fine, on proxies of every levels[i]-th voxel."""
+    from voxelbrick.operators import register
 
-    fixed, moving: bricks of one volume and channel each (equal volume_id and channel). In a round each brick of the fixed
-    proxy meets the moving box that it is mapped to and sums its part of a 12 by 12 system; the driver gets their sum, 90 numbers."""
+    key = fixed.select("volume_id", "channel").first()
     m, t = start or (np.eye(3), np.zeros(3))
-    upper = np.triu_indices(12)
-    names = [f"s{i}" for i in range(len(upper[0]) + 12)]
-    for s in levels:
-        small, moving_small = (tuple(-(-n // s) for n in x) for x in (shape, moving_shape))
-        f = fixed if s == 1 else stored(bricks.stride(fixed, (s,) * 3, shape, brick), "fixed-proxy")
-        g = moving if s == 1 else stored(bricks.stride(moving, (s,) * 3, moving_shape, brick), "moving-proxy")
-        t = t / s
-        for _ in range(rounds):
-            mat, off = m.copy(), t.copy()
-
-            def kernel(r, have: pd.DataFrame, mat=mat, off=off, n=moving_small) -> pd.DataFrame:
-                at = grid((r.z0, r.y0, r.x0), (r.nz, r.ny, r.nx))
-                low, high = resample.clamped_box((r.z0, r.y0, r.x0), (r.z0 + r.nz, r.y0 + r.ny, r.x0 + r.nx), mat, off, 2.0, n)
-                src = resample.assembled(have, low, high)
-                c = mat @ at + off[:, None]
-                ok = np.all((c >= 0) & (c <= np.array(n)[:, None] - 1), axis=0)
-                c, i = c[:, ok], at[:, ok]
-                d = unpacked(r).ravel().astype(float)[ok] - sample(src, low, n, c)
-                slope = [np.gradient(src, axis=a) if src.shape[a] > 1 else np.zeros_like(src) for a in range(3)]
-                e = np.stack([sample(x, low, n, c) for x in slope])
-                j = np.concatenate([(e[:, None, :] * i[None, :, :]).reshape(9, -1), e])
-                return pd.DataFrame([np.concatenate([(j @ j.T)[upper], j @ d])], columns=names)
-
-            pieces = resample.sent(resample.with_transforms(g, mat.ravel(), off, None), moving_small, small, brick, 2.0)
-            row = resample.gathered(f, pieces, kernel, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c).alias(c) for c in names]).first()
-            sums = np.array([row[c] or 0.0 for c in names])
-            h = np.zeros((12, 12))
-            h[upper] = sums[: len(upper[0])]
-            h = h + np.triu(h, 1).T
-            step = np.linalg.lstsq(h + 1e-9 * np.trace(h) * np.eye(12) / 12, sums[len(upper[0]) :], rcond=None)[0]
-            m, t = m + step[:9].reshape(3, 3), t + step[9:]
-            if np.abs(step).max() < 1e-6:
-                break
+    for k, s in enumerate(levels):
+        f, g = (v if s == 1 else stored(bricks.stride(v, (s,) * 3, n, brick), "proxy") for v, n in ((fixed, shape), (moving, moving_shape)))
+        found = register.staged(f, g, register.smaller(shape, (s,) * 3), register.smaller(moving_shape, (s,) * 3), brick, {tuple(key): (m, np.asarray(t) / s)}, register.STAGES if k == 0 else register.STAGES[-1:], rounds)
+        m, t = found[tuple(key)]
         t = t * s
     return m, t
 
 
-def refine_tiles(tiles: DataFrame, fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, radius: int, least_fraction: float = 0.01) -> DataFrame:
+def refine_tiles(tiles: DataFrame, fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, radius: int, least_fraction: float | None = 0.01, metric: str = "ncc") -> DataFrame:
     """A displacement for each tile by block matching: volume_id, tile_index, dz, dy, dx, skipped, reason.
 
-    tiles: volume_id, channel, tile_index, box, foreground_fraction (from tile_foreground). fixed, moving: bricks after the global
-    map. Background tiles and tiles whose match is no better than no shift keep 0, with the reason."""
+    tiles: volume_id, channel, tile_index, box, foreground_fraction (from tile_foreground), and usable if it was tested. fixed, moving: bricks
+    after the global map. Background tiles (below least_fraction; None: none are), unusable ones and tiles whose match is no better than no
+    shift keep 0, with the reason."""
     by = ["volume_id", "channel", "tile_index"]
-    fore = tiles.where(F.col("foreground_fraction") >= least_fraction)
-    best = _best(shift_scores(fixed, moving, shape, brick, radius, fore), by, 9)
+    usable = F.col("usable") if "usable" in tiles.columns else F.lit(True)
+    dark = F.lit(False) if least_fraction is None else F.col("foreground_fraction") < least_fraction
+    best = _best(METRICS[metric](fixed, moving, shape, brick, radius, tiles.where(usable & ~dark)), by, 9, metric)
     out = tiles.join(best, by, "left")
-    reason = F.when(F.col("foreground_fraction") < least_fraction, "background").when(F.col("ncc").isNull(), "no voxels").when(F.col("ncc") <= F.coalesce("still", F.lit(-2.0)), "no gain")
+    reason = F.when(dark, "background").when(~usable, "unusable").when(F.col(metric).isNull(), "no voxels").when(F.col(metric) <= F.coalesce("still", F.lit(-2.0)), "no gain")
     out = out.withColumn("reason", reason).withColumn("skipped", F.col("reason").isNotNull())
     return out.select("volume_id", "tile_index", *[F.when(F.col("skipped"), 0).otherwise(F.col(f"d{a}")).cast("int").alias(f"d{a}") for a in AXES], "skipped", "reason")

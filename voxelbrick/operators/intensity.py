@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelbrick.functions.kernels import unpacked
-from voxelbrick.operators import metrics
+from voxelbrick.operators import ranks
 from voxelbrick.operators.bricks import _row, frame
 from voxelbrick.operators.tiling import bricks_of
 from voxelbrick.schema import BRICKS
@@ -29,11 +29,6 @@ def percentiles(df: DataFrame, at: list[float], group: list[str], value: str = "
     return df.groupBy(*group).agg(q.alias("q"))
 
 
-def value_percentiles(counts: DataFrame, at: list[float], group: list[str]) -> DataFrame:
-    """The same from (group, v, n) counts of values: exact, and no row for each voxel is sorted."""
-    return counts.groupBy(*group).agg(F.percentile("v", F.array(*[F.lit(p) for p in at]), F.col("n")).alias("q"))
-
-
 def to_uint16(df: DataFrame, mode: str = "clip", group: list[str] | None = None) -> DataFrame:
     """df with v as 0..65535, half to even. clip: as it is; minmax, robust (0.1 and 99.9 percentiles): rescaled within the
     group (a volume, or a chunk of one). Not finite: 0. A group without range: 0."""
@@ -86,12 +81,31 @@ def background_threshold(df: DataFrame, fraction: float = 0.02, steps: Triple =
     return agg.agg((F.min(ok) + fraction * (F.max(ok) - F.min(ok))).alias("threshold"))
 
 
+def brick_sums(bricks: DataFrame, group: tuple) -> DataFrame:
+    """group, n, finite_count, nonzero (of all, so NaN counts), lo, hi (of finite values, null if none): a row leaves each brick."""
+    kinds = {f.name: f.dataType.simpleString() for f in bricks.schema}
+    names = ["n", "finite_count", "nonzero", "lo", "hi"]
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                a = unpacked(r)
+                ok = a[np.isfinite(a)]
+                rows.append((*[getattr(r, g) for g in group], a.size, ok.size, int((a != 0).sum()), float(ok.min()) if ok.size else None, float(ok.max()) if ok.size else None))
+            yield pd.DataFrame(rows, columns=[*group, *names])
+
+    schema = ", ".join(f"{g} {kinds[g]}" for g in group) + ", n long, finite_count long, nonzero long, lo double, hi double"
+    each = bricks.mapInPandas(part, schema)
+    clean = lambda c: F.nanvl(c, F.lit(None).cast("double"))
+    return each.groupBy(*group).agg(*[F.sum(c).alias(c) for c in names[:3]], F.min(clean("lo")).alias("lo"), F.max(clean("hi")).alias("hi"))
+
+
 def brick_ends(bricks: DataFrame, mode: str, group: tuple) -> DataFrame:
-    """group, lo, hi of finite values: least and greatest (minmax), or the 0.1 and 99.9 percentiles (robust), from counts of values made brick by brick."""
-    counts = metrics.brick_stats(bricks, group).where("v is not null")
+    """group, lo, hi of finite values: least and greatest (minmax), or the 0.1 and 99.9 percentiles (robust; exact, see ranks)."""
     if mode == "minmax":
-        return counts.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return value_percentiles(counts, [0.001, 0.999], list(group)).select(*group, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+        return brick_sums(bricks, group).where("finite_count > 0").select(*group, "lo", "hi")
+    return ranks.percentiles(bricks, [0.001, 0.999], group).select(*group, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def uint16_bricks(bricks: DataFrame, mode: str = "clip", group: tuple = ("volume_id", "channel")) -> DataFrame:
@@ -118,14 +132,11 @@ def uint16_bricks(bricks: DataFrame, mode: str = "clip", group: tuple = ("volume
 
 
 def brick_array_stats(bricks: DataFrame, group: tuple = ("volume_id", "channel")) -> DataFrame:
-    """array_stats of the voxels in bricks."""
-    counts = metrics.brick_stats(bricks, group)
+    """array_stats of the voxels in bricks, whose percentiles are exact for any dtype (see ranks)."""
     ps = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p99": 0.99, "p999": 0.999, "p100": 1.0}
-    some = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    there = F.col("v").isNotNull()
-    q = F.percentile("v", F.array(*[F.lit(p) for p in ps.values()]), F.when(there, F.col("n")).otherwise(0))
-    out = counts.groupBy(*group).agg(F.sum("n").alias("all"), some(there).alias("finite_count"), some(~there | (F.col("v") != 0)).alias("nonzero"), q.alias("q"))
-    return out.select(*group, F.col("all").alias("n"), "finite_count", "nonzero", *[F.col("q")[i].alias(k) for i, k in enumerate(ps)], (F.col("nonzero") == 0).alias("all_zero"))
+    q = ranks.percentiles(bricks, list(ps.values()), group).drop("n")
+    out = brick_sums(bricks, group).join(q, list(group), "left")
+    return out.select(*group, "n", "finite_count", "nonzero", *[F.get("q", F.lit(i)).alias(k) for i, k in enumerate(ps)], (F.col("nonzero") == 0).alias("all_zero"))
 
 
 def tiles_by_brick(tiles: DataFrame, brick: Triple) -> DataFrame:
@@ -138,12 +149,19 @@ def tiles_by_brick(tiles: DataFrame, brick: Triple) -> DataFrame:
 TILE_STATS = "volume_id string, channel int, tile_index int, seen long, above long, finite long, nonzero long, mn double, mx double"
 
 
-def tile_stats(tiles: DataFrame, bricks: DataFrame, brick: Triple, threshold: float = 0.0, stride: int = 1) -> DataFrame:
+def with_threshold(df: DataFrame, threshold: float | DataFrame) -> DataFrame:
+    """df with the column threshold: one for all, or that of its (volume_id, channel)."""
+    if isinstance(threshold, DataFrame):
+        return df.join(threshold.select("volume_id", "channel", "threshold"), ["volume_id", "channel"], "left")
+    return df.withColumn("threshold", F.lit(float(threshold)))
+
+
+def tile_stats(tiles: DataFrame, bricks: DataFrame, brick: Triple, threshold: float | DataFrame = 0.0, stride: int = 1) -> DataFrame:
     """For each tile and (volume_id, channel): seen and above (over the threshold) at a stride from the tile's corner; finite, nonzero, mn and mx of all its voxels.
 
     Each brick sends counts of its part of the tiles that it meets; no pixel is shuffled where the tiles are few enough to be broadcast."""
     ids = [c for c in ("volume_id", "channel") if c in tiles.columns]
-    met = bricks.join(tiles_by_brick(tiles, brick), [*ids, "bz", "by", "bx"])
+    met = with_threshold(bricks.join(tiles_by_brick(tiles, brick), [*ids, "bz", "by", "bx"]), threshold)
     names = [c.split()[0] for c in TILE_STATS.split(", ")]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +178,7 @@ def tile_stats(tiles: DataFrame, bricks: DataFrame, brick: Triple, threshold: fl
                     part = a[tuple(slice(i, j) for i, j in zip(p - start, q - start, strict=True))]
                     seen = part[tuple(slice(int(i), None, stride) for i in (low - p) % stride)]
                     good = part[np.isfinite(part)]
-                    rows.append((r.volume_id, r.channel, t["tile_index"], seen.size, int((seen > threshold).sum()), good.size, int((good != 0).sum()), good.min(initial=np.inf), good.max(initial=-np.inf)))
+                    rows.append((r.volume_id, r.channel, t["tile_index"], seen.size, int((seen > r.threshold).sum()), good.size, int((good != 0).sum()), good.min(initial=np.inf), good.max(initial=-np.inf)))
             yield pd.DataFrame(rows, columns=names)
 
     each = met.mapInPandas(count, TILE_STATS)
@@ -175,16 +193,17 @@ def _of_tiles(tiles: DataFrame, bricks: DataFrame, stats: DataFrame) -> DataFram
     return every.join(stats, ["volume_id", "channel", "tile_index"], "left")
 
 
-def tile_foreground(tiles: DataFrame, bricks: DataFrame, brick: Triple, threshold: float, stride: int, least: float = 0.01) -> DataFrame:
-    """tiles for each (volume_id, channel) with foreground_fraction, the share above the threshold of voxels at a stride from
+def tile_foreground(tiles: DataFrame, bricks: DataFrame, brick: Triple, threshold: float | DataFrame, stride: int, least: float = 0.01) -> DataFrame:
+    """threshold: one number, or (volume_id, channel, threshold). tiles for each (volume_id, channel) with foreground_fraction, the share above the threshold of voxels at a stride from
     the tile's own corner (absent ones count as 0), and output_skipped where it is below least."""
     many = F.lit(1).cast("long")
     for a in "zyx":
         many = many * F.ceil((F.col(f"{a}1") - F.col(f"{a}0")) / stride)
     out = _of_tiles(tiles, bricks, tile_stats(tiles, bricks, brick, threshold, stride).select("volume_id", "channel", "tile_index", "seen", "above"))
-    zeros = F.when(F.lit(threshold < 0), many - F.coalesce("seen", F.lit(0))).otherwise(0)
+    out = with_threshold(out, threshold)
+    zeros = F.when(F.col("threshold") < 0, many - F.coalesce("seen", F.lit(0))).otherwise(0)
     out = out.withColumn("foreground_fraction", (F.coalesce("above", F.lit(0)) + zeros) / many)
-    return out.withColumn("output_skipped", F.col("foreground_fraction") < least).drop("above", "seen")
+    return out.withColumn("output_skipped", F.col("foreground_fraction") < least).drop("above", "seen", "threshold")
 
 
 def tile_usable(tiles: DataFrame, bricks: DataFrame, brick: Triple) -> DataFrame:

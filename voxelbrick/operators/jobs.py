@@ -1,8 +1,9 @@
 """Whole jobs on bricks: region, tiled, intra-cycle and all-cycle registration, preview, panels, stacks.
 
 fixed and moving are bricks of one grid and shape, paired by volume_id and channel. Transforms are estimated from the
-voxels, returned as small tables that a user saves (write_bricks, Parquet), and applied apart, so that a later run can
-reuse them. What is read more than once is stored in the shared folder.
+voxels (operators/register.py: whole shifts, or stages up to affine, on proxies), returned as small tables that a user saves
+(Parquet), and applied apart. A later run gives the saved table back (saved=...): rows of the same type and downsample are
+reused and nothing of their volumes is read, unless force. What is read more than once is stored in the shared folder.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from voxelbrick.functions.kernels import unpacked
 from voxelbrick.operators import bricks as B
-from voxelbrick.operators import estimate, intensity, manifest, metrics, resample, tiling
+from voxelbrick.operators import estimate, fields, intensity, manifest, metrics, resample, tiling
+from voxelbrick.operators.register import find_translation, from_level, register, smaller, to_level  # noqa: F401
 from voxelbrick.operators.bricks import AXES, Triple
 from voxelbrick.sources.scratch import stored
 
@@ -26,56 +28,107 @@ def as_channel(bricks: DataFrame, ids: DataFrame) -> DataFrame:
     return bricks.drop("volume_id", "channel").crossJoin(F.broadcast(ids.select("volume_id", "channel").distinct())).select(*B._COLUMNS)
 
 
-def halved(shape: Triple, steps: Triple) -> Triple:
-    return tuple(-(-n // s) for n, s in zip(shape, steps, strict=True))
-
-
-def find_translation(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, radius: int) -> DataFrame:
-    """volume_id, channel, dz, dy, dx, n, ncc: moments give a start in whole voxels, a search within radius around it decides."""
-    on = ["volume_id", "channel"]
-    f, m = (estimate.brick_moments(v) for v in (fixed, moving))
-    start = f.select(*on, *[F.col(f"c{a}").alias(f"f{a}") for a in AXES]).join(m.select(*on, *[F.col(f"c{a}").alias(f"m{a}") for a in AXES]), on)
-    start = stored(start.select(*on, *[F.coalesce(F.rint(F.col(f"m{a}") - F.col(f"f{a}")), F.lit(0.0)).cast("int").alias(f"d{a}") for a in AXES]), "start")
-    near = stored(resample.warp(moving, shape, shape, brick, transforms=estimate.translations(start)), "started")
-    found = estimate.search_shift(fixed, near, shape, brick, radius)
-    first = start.select(*on, *[F.col(f"d{a}").alias(f"s{a}") for a in AXES])
-    return stored(found.join(first, on).select(*on, *[(F.col(f"d{a}") + F.col(f"s{a}")).alias(f"d{a}") for a in AXES], "n", "ncc"), "translation")
-
-
 # ---------------------------------------------------------------- preview
 
 
-def preview(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, steps: Triple = (16, 16, 16), radius: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(report, shifts of the proxies in proxy voxels, moved proxy): everything on every steps-th voxel, no tiles."""
-    small = halved(shape, steps)
-    f, m = (stored(B.stride(v, steps, shape, brick), "proxy") for v in (fixed, moving))
-    shifts = find_translation(f, m, small, brick, radius)
-    after = stored(resample.warp(m, small, small, brick, transforms=estimate.translations(shifts)), "preview")
-    return metrics.report(f, m, after, "preview"), shifts, after
+def preview(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, steps: Triple = (16, 16, 16), radius: int = 3, kind: str = "shift", metric: str = "ncc") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(report, transforms, moved proxy): everything on proxies, no tiles.
+
+    kind "shift": proxies of every steps-th voxel, transforms in proxy voxels; other kinds (rigid, affine, ...): the volumes are registered
+    on means of blocks and the report is on these, transforms are those of full-resolution indices."""
+    small = smaller(shape, steps)
+    if kind == "shift":
+        f, m = (stored(B.stride(v, steps, shape, brick), "proxy") for v in (fixed, moving))
+        by = estimate.translations(find_translation(f, m, small, brick, radius, metric))
+        out = by
+    else:
+        f, m = (stored(B.pooled(v, [steps], shape, brick).drop("level"), "proxy") for v in (fixed, moving))
+        out = register(f, m, small, brick, kind, (1, 1, 1), (1,), radius, metric)
+        by = out.select("volume_id", "channel", "m", "t")
+        full = [(r.volume_id, r.channel, *(x.tolist() for x in map(np.ravel, from_level(r.m, r.t, steps))), r.type, "x".join(map(str, steps))) for r in out.collect()]  # a row for each volume
+        out = fixed.sparkSession.createDataFrame(full, out.schema)
+    after = stored(resample.warp(m, small, small, brick, transforms=by), "preview")
+    return metrics.report(f, m, after, "preview"), out, after
 
 
 # ---------------------------------------------------------------- whole volumes in tiles
 
 
-def background(fixed: DataFrame, shape: Triple, brick: Triple, fraction: float = 0.02, steps: Triple = (16, 16, 16)) -> float:
-    """min + fraction * (max - min) of the finite voxels of a strided proxy."""
-    r = intensity.brick_ends(B.stride(fixed, steps, shape, brick), "minmax", ("channel",)).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
-    return 0.0 if r.lo is None else r.lo + fraction * (r.hi - r.lo)
+def background(fixed: DataFrame, shape: Triple, brick: Triple, fraction: float = 0.02, steps: Triple = (16, 16, 16)) -> DataFrame:
+    """volume_id, channel, threshold: min + fraction * (max - min) of the finite voxels of each volume's own strided proxy."""
+    ends = intensity.brick_ends(B.stride(fixed, steps, shape, brick), "minmax", ("volume_id", "channel"))
+    return ends.select("volume_id", "channel", (F.col("lo") + fraction * (F.col("hi") - F.col("lo"))).alias("threshold"))
 
 
-def register_tiles(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, tile: Triple, overlap: Triple, radius: int = 4, tile_radius: int = 1, stride: int = 4, least: float = 0.01) -> tuple[DataFrame, DataFrame]:
+def register_tiles(
+    fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, tile: Triple, overlap: Triple, radius: int = 4, tile_radius: int = 1, stride: int = 4, least: float = 0.01,
+    kind: str = "shift", steps: Triple = (1, 1, 1), levels: tuple = (1,), tile_steps: Triple = (1, 1, 1), metric: str = "ncc", skip_background: bool = False,
+    saved: tuple[DataFrame, DataFrame] | None = None, force: bool = False,
+) -> tuple[DataFrame, DataFrame]:
     """(transforms by volume_id, tile transforms), both stored, from the registration channel of each volume.
 
-    The global translation first, then a displacement for each tile whose foreground is large enough. moving holds one channel a
-    volume. To apply them to the other channels of the volume: apply_tiles."""
-    one = fixed.select("volume_id", "channel").distinct().withColumns({f"n{a}": F.lit(n) for a, n in zip(AXES, shape, strict=True)})
-    tiles = tiling.make_tiles(one, tile, overlap, ["volume_id", "channel"])
-    shifts = find_translation(fixed, moving, shape, brick, radius)
-    whole = stored(estimate.translations(shifts).drop("channel"), "transforms")
-    near = stored(resample.warp(moving, shape, shape, brick, transforms=whole), "globally-moved")
-    fore = stored(intensity.tile_foreground(tiles, fixed, brick, background(fixed, shape, brick), stride, least), "foreground")
-    local = estimate.refine_tiles(fore, fixed, near, shape, brick, tile_radius, least)
-    return whole, stored(fore.drop("channel").join(local, ["volume_id", "tile_index"]), "tile-transforms")
+    First a global transform of the given kind on proxies (steps, levels: see register), then a displacement for each tile, in steps
+    of tile_steps on proxies of that size. Tiles that can't be matched (too few voxels other than 0, or no range, on either side) keep the
+    global result. skip_background: so do tiles whose share of voxels above their own volume's threshold is below least, and their
+    output is left 0. moving holds one channel a volume; to apply the result to the others: apply_tiles. saved: (transforms, tile
+    transforms) of earlier runs; volumes of the same type and downsample keep theirs."""
+    ids = moving.select("volume_id", "channel").distinct()
+    whole = register(fixed, moving, shape, brick, kind, steps, levels, radius, metric, saved=saved[0].drop("channel").join(ids, "volume_id") if saved else None, force=force)
+    known = whole.drop("channel")
+    every = tiling.make_tiles(ids.withColumns({f"n{a}": F.lit(n) for a, n in zip(AXES, shape, strict=True)}), tile, overlap, ["volume_id", "channel"])
+    kinds = {"type": F.lit(kind), "downsample": F.lit("x".join(map(str, tile_steps)))}
+    had = saved[1] if saved and not force else None
+    todo = every
+    if had is not None:
+        same = had.join(known.select("volume_id", F.col("type").alias("t_")), "volume_id").where((F.col("type") == F.col("t_")) & (F.col("downsample") == kinds["downsample"]))
+        todo = pending_tiles(every, same)
+    todo = stored(todo, "tiles")
+    left = todo.select("volume_id", "channel").distinct()
+    if todo.isEmpty():
+        return known, had
+    some = [v.join(F.broadcast(left), ["volume_id", "channel"]) for v in (fixed, moving)]  # a row for each volume
+    size = smaller(shape, tile_steps)
+    if tile_steps == (1, 1, 1):
+        f = some[0]
+        near = resample.warp(some[1], shape, shape, brick, transforms=known, dtype=_kept(kind, moving))
+    else:
+        f, g = (stored(B.pooled(v, [tile_steps], shape, brick).drop("level"), "tile-proxies") for v in some)
+        rows = [(r.volume_id, *(x.ravel().tolist() for x in to_level(r.m, r.t, tile_steps))) for r in known.collect()]  # a row for each volume
+        near = resample.warp(g, size, size, brick, transforms=fixed.sparkSession.createDataFrame(rows, "volume_id string, m array<double>, t array<double>"), dtype="float32")
+    near = stored(near, "globally-moved")
+    fore = intensity.tile_foreground(todo, some[0], brick, background(some[0], shape, brick), stride, least)
+    if not skip_background:
+        fore = fore.withColumn("output_skipped", F.lit(False))
+    fore = stored(fore, "foreground")
+    small = fore
+    for a, s in zip(AXES, tile_steps, strict=True):
+        small = small.withColumns({f"{a}0": F.floor(F.col(f"{a}0") / s).cast("int"), f"{a}1": F.ceil(F.col(f"{a}1") / s).cast("int")})
+    usable = [intensity.tile_usable(small.select(*todo.columns), v, brick).select("volume_id", "channel", "tile_index", F.col("usable").alias(k)) for k, v in (("u0", f), ("u1", near))]
+    small = stored(small.join(usable[0], ["volume_id", "channel", "tile_index"]).join(usable[1], ["volume_id", "channel", "tile_index"]).withColumn("usable", F.col("u0") & F.col("u1")).drop("u0", "u1"), "usable")
+    local = estimate.refine_tiles(small, f, near, size, brick, tile_radius, least if skip_background else None, metric)
+    local = local.withColumns({f"d{a}": (F.col(f"d{a}") * s).cast("int") for a, s in zip(AXES, tile_steps, strict=True)})
+    out = fore.drop("channel").join(local, ["volume_id", "tile_index"]).withColumns(kinds)
+    if had is not None:
+        out = out.unionByName(had.join(out.select("volume_id", "tile_index"), ["volume_id", "tile_index"], "left_anti"), allowMissingColumns=True)
+    return known, stored(out, "tile-transforms")
+
+
+def _kept(kind: str, moving: DataFrame) -> str:
+    """The dtype of a warped copy: a volume moved by whole voxels keeps its own, if there is one; else float32, or float64 for float64."""
+    types = [r.dtype for r in moving.select("dtype").distinct().take(2)]
+    return types[0] if len(types) == 1 and (kind == "shift" or types[0] == "float64") else "float32" if "float64" not in types else "float64"
+
+
+def register_dense(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, transforms: DataFrame, steps: Triple = (4, 4, 4), **options) -> DataFrame:
+    """A displacement field for each volume on proxies of `steps` voxels, after its transform: fields.demons, whose options these are.
+
+    In place of tile displacements: one field for the whole volume, so it has no seams. To apply both: fields.warp_coarse."""
+    size = smaller(shape, steps)
+    f, g = (stored(B.pooled(v, [steps], shape, brick).drop("level"), "tile-proxies") for v in (fixed, moving))
+    rows = [(r.volume_id, *(x.ravel().tolist() for x in to_level(r.m, r.t, steps))) for r in transforms.collect()]  # a row for each volume
+    by = fixed.sparkSession.createDataFrame(rows, "volume_id string, m array<double>, t array<double>")
+    near = stored(resample.warp(g, size, size, brick, transforms=by, dtype="float32"), "globally-moved")
+    return fields.demons(f, near, size, brick, **options)
 
 
 def apply_tiles(moving: DataFrame, shape: Triple, brick: Triple, tiles: DataFrame, overlap: Triple, transforms: DataFrame, saved: DataFrame, **options) -> DataFrame:
@@ -98,39 +151,47 @@ def pending_tiles(tiles: DataFrame, saved: DataFrame | None, force: bool = False
 # ---------------------------------------------------------------- cycles
 
 
-def intracycle(volumes: DataFrame, reference: int, shape: Triple, brick: Triple, radius: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(shifts, corrected channels, report): each other channel of a volume against the reference channel of the same volume.
+def intracycle(volumes: DataFrame, reference: int, shape: Triple, brick: Triple, radius: int = 3, kind: str = "shift", steps: Triple = (1, 1, 1), levels: tuple = (1,), metric: str = "nmi", saved: DataFrame | None = None, force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(transforms, corrected channels, report): each other channel of a volume against the reference channel of the same volume.
 
-    The reference channel is passed over. All volumes and channels in one job."""
+    The reference channel is passed over. All volumes and channels in one job. Channels are different stains, so the search is by mutual
+    information by default."""
     others = stored(volumes.where(F.col("channel") != reference), "others")
     ids = others.select("volume_id", "channel").distinct()
     ref = volumes.where(F.col("channel") == reference).drop("channel")
     fixed = stored(ref.join(F.broadcast(ids), "volume_id").select(*B._COLUMNS), "reference")  # ids: a row for each channel
-    shifts = find_translation(fixed, others, shape, brick, radius)
-    after = stored(resample.warp(others, shape, shape, brick, transforms=estimate.translations(shifts)), "corrected")
+    by = register(fixed, others, shape, brick, kind, steps, levels, radius, metric, saved=saved, force=force)
+    after = stored(resample.warp(others, shape, shape, brick, transforms=by), "corrected")
     pairs = metrics.pair_bricks(fixed, others, "intracycle", "before", by_volume=True).unionAll(metrics.pair_bricks(fixed, after, "intracycle", "after", by_volume=True))
-    return shifts, after, metrics.similarity(pairs)
+    return by, after, metrics.similarity(pairs)
 
 
-def all_cycles(volumes: DataFrame, first: str, reference: int, shape: Triple, brick: Triple, radius: int = 4, mode: str = "clip") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(shifts by cycle, channels, uint16 bricks under output channels): every cycle (volume_id) onto the first one.
+def all_cycles(
+    volumes: DataFrame, first: str, reference: int, shape: Triple, brick: Triple, radius: int = 4, mode: str = "clip", kind: str = "shift", steps: Triple = (1, 1, 1), levels: tuple = (1,),
+    saved: DataFrame | None = None, force: bool = False, folder: str = "",
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(transforms by cycle, channels, uint16 bricks under output channels, report, manifest): every cycle (volume_id) onto the first one.
 
     The reference channel of each cycle is aligned with that of the first; the other channels follow it, all in one gather.
-    channels: volume_id, channel, offset, out_channel, name, numbered cycle after cycle. The result's volume_id is 'all'."""
+    channels: volume_id, channel, offset, out_channel, name, numbered cycle after cycle. The result's volume_id is 'all'. report: each
+    cycle's reference channel against the first's, before and after, from what was read and made. manifest: channel paths in order,
+    folder/name. With steps the first cycle's proxy is what is copied for each other cycle, else its reference channel."""
     ref = volumes.where(F.col("channel") == reference)
     moving = stored(ref.where(F.col("volume_id") != first), "cycles")
-    fixed = as_channel(ref.where(F.col("volume_id") == first), moving)
-    shifts = find_translation(fixed, moving, shape, brick, radius)
+    one = ref.where(F.col("volume_id") == first)
+    transforms = register(one, moving, shape, brick, kind, steps, levels, radius, shared=True, saved=saved, force=force)
     still = volumes.select("volume_id", "channel").where(F.col("volume_id") == first).distinct().withColumns({f"d{a}": F.lit(0) for a in AXES})
-    by = estimate.translations(shifts).unionByName(estimate.translations(still)).drop("channel").distinct()
-    out = intensity.uint16_bricks(resample.warp(volumes, shape, shape, brick, transforms=by), mode)
+    by = transforms.select("volume_id", "m", "t").unionByName(estimate.translations(still).drop("channel").distinct())
+    out = stored(intensity.uint16_bricks(resample.warp(volumes, shape, shape, brick, transforms=by), mode), "registered")
     ids = volumes.select("volume_id", "channel").distinct()
     n = ids.groupBy("volume_id").agg(F.count("*").alias("n")).withColumn("run", F.lit(0))
     offsets = manifest.cycle_offsets(n, ["run"], "volume_id").select("volume_id", "offset")
-    channels = manifest.pack_channels(ids.join(offsets, "volume_id"), ["volume_id"], "offset")
-    named = out.join(F.broadcast(channels.select("volume_id", "channel", "out_channel")), ["volume_id", "channel"])
+    channels = stored(manifest.pack_channels(ids.join(offsets, "volume_id"), ["volume_id"], "offset"), "channels")
+    named = out.join(F.broadcast(channels.select("volume_id", "channel", "out_channel")), ["volume_id", "channel"])  # a row for each channel
     packed = named.withColumns({"volume_id": F.lit("all"), "channel": F.col("out_channel")}).select(*B._COLUMNS)
-    return shifts, channels, packed
+    pairs = metrics.pair_one(one, moving, "cycle", "before").unionAll(metrics.pair_one(one, out.where((F.col("channel") == reference) & (F.col("volume_id") != first)), "cycle", "after"))
+    paths = channels.select(F.lit("all").alias("run"), F.col("volume_id").alias("cycle"), "channel", F.concat(F.lit(folder), "name").alias("path"))
+    return transforms, channels, packed, metrics.similarity(stored(pairs, "pairs")), manifest.cycle_manifest(paths, ["run"])
 
 
 def stack_channels(bricks: DataFrame, order: list[int], shape: Triple) -> DataFrame:
@@ -154,25 +215,75 @@ def grown(low: Triple, high: Triple, pad: Triple, shape: Triple) -> tuple[Triple
     return tuple(max(0, p - k) for p, k in zip(low, pad, strict=True)), tuple(min(n, q + k) for n, q, k in zip(shape, high, pad, strict=True))
 
 
-def register_roi(fixed: DataFrame, moving: DataFrame, low: Triple, high: Triple, pad: Triple, shape: Triple, brick: Triple, radius: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(fixed crop, shifts), both stored: the shift of moving's channels against fixed inside the padded region.
+def roi_crops(fixed: DataFrame, moving: DataFrame, low: Triple, high: Triple, pad: Triple, shape: Triple, brick: Triple, fixed_crop: DataFrame | None = None) -> tuple[DataFrame, DataFrame, Triple]:
+    """(fixed crop, moving crop, size), the crops stored: the padded region of both.
 
-    fixed may be a crop of an earlier run (of the padded region) if its shape is that box's: then it is used as it is."""
+    fixed_crop: the fixed crop of an earlier run of the same region; it is used as it is, and fixed isn't read. Its size is checked."""
     p, q = grown(low, high, pad, shape)
-    f = stored(B.crop(fixed, p, q, brick), "fixed-crop")
-    m = stored(B.crop(moving, p, q, brick), "moving-crop")
     size = tuple(b - a for a, b in zip(p, q, strict=True))
-    return f, find_translation(f, m, size, brick, radius)
+    if fixed_crop is None:
+        fixed_crop = stored(B.crop(fixed, p, q, brick), "fixed-crop")
+    else:
+        r = fixed_crop.agg(*[F.max(F.col(f"{a}0") + F.col(f"n{a}")).alias(a) for a in AXES]).first()
+        if (r.z, r.y, r.x) != size:
+            raise ValueError(f"the saved crop has shape {(r.z, r.y, r.x)}, the padded region {size}")
+    return fixed_crop, stored(B.crop(moving, p, q, brick), "moving-crop"), size
+
+
+def register_roi(
+    fixed: DataFrame, moving: DataFrame, low: Triple, high: Triple, pad: Triple, shape: Triple, brick: Triple, radius: int = 3, kind: str = "shift", steps: Triple = (1, 1, 1), levels: tuple = (1,),
+    metric: str = "ncc", fixed_crop: DataFrame | None = None, saved: DataFrame | None = None, force: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(fixed crop, transforms), both stored: moving's channels against fixed inside the padded region (volume_id, channel pairs).
+
+    Transforms are those of the padded region's indices. fixed_crop: see roi_crops; saved, force: see register. The stages apart: roi_crops
+    makes the crops, register the transforms (its proxies are the downsampled stage), apply_roi the result."""
+    f, m, size = roi_crops(fixed, moving, low, high, pad, shape, brick, fixed_crop)
+    return f, register(f, m, size, brick, kind, steps, levels, radius, metric, saved=saved, force=force)
 
 
-def apply_roi(moving: DataFrame, shifts: DataFrame, low: Triple, high: Triple, pad: Triple, shape: Triple, brick: Triple) -> DataFrame:
-    """Channels of moving (volume_id, channel with a shift) moved inside the padded region and cropped to the region."""
+def apply_roi(moving: DataFrame, transforms: DataFrame, low: Triple, high: Triple, pad: Triple, shape: Triple, brick: Triple, dtype: str = "float64") -> DataFrame:
+    """Channels of moving moved by transforms (volume_id[, channel], m, t) inside the padded region, and cropped to the region."""
     p, q = grown(low, high, pad, shape)
     size = tuple(b - a for a, b in zip(p, q, strict=True))
-    moved = resample.warp(B.crop(moving, p, q, brick), size, size, brick, transforms=estimate.translations(shifts))
+    moved = resample.warp(B.crop(moving, p, q, brick), size, size, brick, transforms=transforms, dtype=dtype)
     return B.crop(moved, tuple(a - b for a, b in zip(low, p, strict=True)), tuple(a - b for a, b in zip(high, p, strict=True)), brick)
 
 
+def precorrected(transforms: DataFrame, channels: DataFrame) -> DataFrame:
+    """volume_id, channel, m, t: a channel's own correction (channels: volume_id, channel, m, t, reference <- channel) after its volume's
+    transform (transforms: volume_id, m, t, fixed <- reference). Composed, so that pixels are resampled once; a channel without one follows its volume."""
+    both = channels.select("volume_id", "channel", F.col("m").alias("n"), F.col("t").alias("u")).join(transforms.select("volume_id", "m", "t"), "volume_id")
+    at = lambda c, i: F.get(c, F.lit(i))
+    m = [sum((at("n", 3 * i + k) * at("m", 3 * k + j) for k in range(3)), F.lit(0.0)) for i in range(3) for j in range(3)]
+    t = [sum((at("n", 3 * i + k) * at("t", k) for k in range(3)), at("u", i)) for i in range(3)]
+    return both.select("volume_id", "channel", F.array(*m).alias("m"), F.array(*t).alias("t"))
+
+
+def register_roi_channels(
+    fixed: DataFrame, volumes: DataFrame, reference: int, low: Triple, high: Triple, pad: Triple, shape: Triple, brick: Triple, radius: int = 3, kind: str = "shift", steps: Triple = (1, 1, 1),
+    channel_metric: str = "nmi", fixed_crop: DataFrame | None = None, saved: DataFrame | None = None, force: bool = False,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fixed crop, transforms, registered region of all channels): every other channel of a volume is first corrected to the volume's
+    reference channel, on the padded region; the reference channel is registered to fixed; both maps are composed and applied in one gather.
+
+    fixed: bricks with the volume_ids of volumes and channel = reference. transforms: as from register, for all channels; those of the
+    reference channel map the volume, those of the others correct them. saved: such a table; its pairs aren't estimated again."""
+    main = volumes.where(F.col("channel") == reference)
+    crop, by = register_roi(fixed, main, low, high, pad, shape, brick, radius, kind, steps, fixed_crop=fixed_crop, saved=None if saved is None else saved.where(F.col("channel") == reference), force=force)
+    p, q = grown(low, high, pad, shape)
+    size = tuple(b - a for a, b in zip(p, q, strict=True))
+    box = stored(B.crop(volumes, p, q, brick), "padded")
+    others = box.where(F.col("channel") != reference)
+    same = box.where(F.col("channel") == reference).drop("channel").join(F.broadcast(others.select("volume_id", "channel").distinct()), "volume_id").select(*B._COLUMNS)  # a row for each channel
+    own = register(same, others, size, brick, kind, steps, (1,), radius, channel_metric, saved=None if saved is None else saved.where(F.col("channel") != reference), force=force)
+    volume = by.select("volume_id", "m", "t")
+    all_ = by.select("volume_id", "channel", "m", "t").unionByName(precorrected(volume, own))
+    moved = resample.warp(box, size, size, brick, transforms=all_)
+    inner = B.crop(moved, tuple(a - b for a, b in zip(low, p, strict=True)), tuple(a - b for a, b in zip(high, p, strict=True)), brick)
+    return crop, stored(by.unionByName(own), "transforms"), inner
+
+
 # ---------------------------------------------------------------- panels
 
 

@@ -40,6 +40,21 @@ def pair_bricks(fixed: DataFrame, moving: DataFrame, pair_id: str = "pair", phas
     return both.select(name.alias("pair_id"), F.lit(phase).alias("phase"), "nz", "ny", "nx", *[f"{p}_{c}" for p in "ab" for c in cols])
 
 
+def pair_one(fixed: DataFrame, moving: DataFrame, pair_id: str = "pair", phase: str = "before") -> DataFrame:
+    """pair_bricks of one fixed volume with many moving ones of its shape: pair_id/volume_id/channel. What one side lacks is zeros.
+
+    The keys of all pairs are made first, without pixels; the fixed bricks are joined to them by place."""
+    cols = ("nz", "ny", "nx", "dtype", "data")
+    place = ["bz", "by", "bx"]
+    key = ["volume_id", "channel", *place]
+    keys = fixed.select(*place).crossJoin(F.broadcast(moving.select("volume_id", "channel").distinct())).select(*key).unionAll(moving.select(*key)).distinct()  # a row for each volume
+    f = fixed.select(*place, *[F.col(c).alias(f"a_{c}") for c in cols])
+    m = moving.select(*key, *[F.col(c).alias(f"b_{c}") for c in cols])
+    both = keys.join(m, key, "left").join(f, place, "left").withColumns({f"n{a}": F.least(F.col(f"a_n{a}"), F.col(f"b_n{a}")) for a in "zyx"})
+    name = F.concat_ws("/", F.lit(pair_id), "volume_id", F.col("channel").cast("string"))
+    return both.select(name.alias("pair_id"), F.lit(phase).alias("phase"), "nz", "ny", "nx", *[f"{p}_{c}" for p in "ab" for c in cols])
+
+
 def _arrays(r) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for p in "ab":
@@ -88,20 +103,22 @@ def nrmse(sums: DataFrame) -> DataFrame:
     return sums.withColumn("nrmse", F.sqrt(F.col("sdd") / F.col("n")) / F.greatest(F.col("a_max") - F.col("a_min"), F.lit(1e-6)))
 
 
+def bin_index(v: np.ndarray, low: float, high: float, bins: int) -> np.ndarray:
+    """The bin of each value between low and high, the last one closed; equal ends are widened by one half."""
+    if high == low:
+        low, high = low - 0.5, high + 0.5
+    return np.minimum(np.floor((v - low) * bins / (high - low)).astype(np.int64), bins - 1)
+
+
 def joint_counts(pairs: DataFrame, sums: DataFrame, bins: int = BINS) -> DataFrame:
     """(pair_id, phase, i, j, c): the joint histogram between each side's least and greatest value; a constant side is widened by one half."""
     known = pairs.join(F.broadcast(sums.select("pair_id", "phase", "a_min", "a_max", "b_min", "b_max")), ["pair_id", "phase"])
 
-    def index(v: np.ndarray, low: float, high: float) -> np.ndarray:
-        if high == low:
-            low, high = low - 0.5, high + 0.5
-        return np.minimum(np.floor((v - low) * bins / (high - low)).astype(np.int64), bins - 1)
-
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
                 a, b = _arrays(r)
-                c = np.bincount(index(a, r.a_min, r.a_max) * bins + index(b, r.b_min, r.b_max), minlength=bins * bins)
+                c = np.bincount(bin_index(a, r.a_min, r.a_max, bins) * bins + bin_index(b, r.b_min, r.b_max, bins), minlength=bins * bins)
                 k = np.flatnonzero(c)
                 yield pd.DataFrame({"pair_id": r.pair_id, "phase": r.phase, "i": (k // bins).astype(np.int32), "j": (k % bins).astype(np.int32), "c": c[k]})
 
@@ -109,9 +126,9 @@ def joint_counts(pairs: DataFrame, sums: DataFrame, bins: int = BINS) -> DataFra
     return counts.groupBy("pair_id", "phase", "i", "j").agg(F.sum("c").alias("c"))
 
 
-def nmi(counts: DataFrame) -> DataFrame:
-    """(pair_id, phase, nmi) = (Hx + Hy) / Hxy, natural logarithms of p + 1e-12; 0 if Hxy is at most 1e-12."""
-    keys = ["pair_id", "phase"]
+def nmi(counts: DataFrame, keys: tuple = ("pair_id", "phase")) -> DataFrame:
+    """(keys, nmi) = (Hx + Hy) / Hxy of counts (keys, i, j, c), natural logarithms of p + 1e-12; 0 if Hxy is at most 1e-12."""
+    keys = list(keys)
     entropy = lambda df, name: df.withColumn("p", F.col("c") / F.col("total")).groupBy(*keys).agg((-F.sum(F.col("p") * F.log(F.col("p") + 1e-12))).alias(name))
     with_total = counts.join(F.broadcast(counts.groupBy(*keys).agg(F.sum("c").alias("total"))), keys)
     side = lambda k: with_total.groupBy(*keys, k, "total").agg(F.sum("c").alias("c"))
@@ -127,27 +144,3 @@ def similarity(pairs: DataFrame, bins: int = BINS) -> DataFrame:
 
 def report(fixed: DataFrame, before: DataFrame, after: DataFrame, pair_id: str = "pair") -> DataFrame:
     return similarity(pair_bricks(fixed, before, pair_id, "before").unionAll(pair_bricks(fixed, after, pair_id, "after")))
-
-
-def brick_stats(bricks: DataFrame, group: tuple = ("volume_id", "channel")) -> DataFrame:
-    """(group, v, n): how often each value is there, null for those that aren't finite; the exact basis of percentiles.
-
-    A brick's counts leave its task; uint16 has at most 65,536 values a group, and values of float volumes are merged as they are.
-    group may hold key columns of bricks besides (bz for chunks of planes)."""
-    kinds = {f.name: f.dataType.simpleString() for f in bricks.schema}
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                a = unpacked(r).astype(float)
-                ok = np.isfinite(a)
-                v, n = np.unique(a[ok], return_counts=True)
-                out = pd.DataFrame({"v": v, "n": n})
-                if not ok.all():
-                    out = pd.concat([out, pd.DataFrame({"v": [np.nan], "n": [int((~ok).sum())]})])
-                for g in group:
-                    out[g] = getattr(r, g)
-                yield out[[*group, "v", "n"]]
-
-    each = bricks.mapInPandas(part, ", ".join(f"{g} {kinds[g]}" for g in group) + ", v double, n long")
-    return each.groupBy(*group, F.nanvl("v", F.lit(None)).alias("v")).agg(F.sum("n").alias("n"))

@@ -69,6 +69,16 @@ def clamped_box(low, high, m: np.ndarray, t: np.ndarray, reach: float, shape) ->
 PIECES = "volume_id string, channel int, bz int, by int, bx int, s_z0 int, s_y0 int, s_x0 int, s_nz int, s_ny int, s_nx int, s_dtype string, s_data binary"
 
 
+def checked(transforms: DataFrame) -> DataFrame:
+    """transforms, or an error naming one that can't be inverted: found out here, not in a task."""
+    e = lambda i, j: F.get("m", F.lit(3 * i + j))
+    det = sum((e(0, i) * (e(1, (i + 1) % 3) * e(2, (i + 2) % 3) - e(1, (i + 2) % 3) * e(2, (i + 1) % 3)) for i in range(3)), F.lit(0.0))
+    bad = transforms.where(F.coalesce(F.isnan(det) | (F.abs(det) < 1e-12) | (F.size("m") != 9) | (F.size("t") != 3), F.lit(True))).take(1)
+    if bad:
+        raise ValueError(f"a transform that can't be inverted: {bad[0].asDict()}")
+    return transforms
+
+
 def with_transforms(df: DataFrame, m, t, transforms: DataFrame | None) -> DataFrame:
     """df with m array<double> and t array<double>: its own of (volume_id[, channel]) in transforms, else the given one."""
     same = df.withColumns({"m": F.array(*[F.lit(float(x)) for x in m]), "t": F.array(*[F.lit(float(x)) for x in t])})
@@ -81,6 +91,7 @@ def with_transforms(df: DataFrame, m, t, transforms: DataFrame | None) -> DataFr
 def sent(moving: DataFrame, moving_shape: Triple, shape: Triple, brick: Triple, reach: float = 0.0) -> DataFrame:
     """moving (bricks with m, t; any grid) cut to pieces for the output bricks that ask for them, keyed by these.
 
+    Bricks may hold several numbers a voxel, all of one after all of the other (a field's three): they travel as one piece.
     The output voxels that a source brick can serve lie in the box of its corners, one voxel farther out for the clamped
     edge, mapped backwards; each output brick in it gets the part inside its own mapped box."""
     many = [-(-n // s) for n, s in zip(shape, brick, strict=True)]
@@ -90,10 +101,11 @@ def sent(moving: DataFrame, moving_shape: Triple, shape: Triple, brick: Triple,
             out = []
             for r in b.itertuples():
                 m, t = np.array(r.m, float).reshape(3, 3), np.array(r.t, float)
-                a = np.frombuffer(r.data, r.dtype).reshape(r.nz, r.ny, r.nx)
+                a = np.frombuffer(r.data, r.dtype).reshape(-1, r.nz, r.ny, r.nx)
                 start = np.array([r.z0, r.y0, r.x0])
+                end = start + np.array(a.shape[1:])
                 back = np.linalg.inv(m)
-                p, q = back * (start - 1 - t), back * (start + np.array(a.shape) - t)
+                p, q = back * (start - 1 - t), back * (end - t)
                 first = np.floor((np.minimum(p, q).sum(axis=1) - reach - 1) / brick).astype(int)
                 last = np.floor((np.maximum(p, q).sum(axis=1) + reach + 1) / brick).astype(int)
                 first, last = np.maximum(first, 0), np.minimum(last, np.array(many) - 1)
@@ -101,10 +113,10 @@ def sent(moving: DataFrame, moving_shape: Triple, shape: Triple, brick: Triple,
                     k = first + k
                     low = k * brick
                     low, high = clamped_box(low, np.minimum(low + brick, shape), m, t, reach, moving_shape)
-                    low, high = np.maximum(low, start), np.minimum(high, start + a.shape)
+                    low, high = np.maximum(low, start), np.minimum(high, end)
                     if (low < high).all():
-                        part = a[tuple(slice(i, j) for i, j in zip(low - start, high - start, strict=True))]
-                        out.append((r.volume_id, r.channel, *map(int, k), *map(int, low), *part.shape, r.dtype, part.tobytes()))
+                        part = a[(slice(None), *[slice(i, j) for i, j in zip(low - start, high - start, strict=True)])]
+                        out.append((r.volume_id, r.channel, *map(int, k), *map(int, low), *part.shape[1:], r.dtype, part.tobytes()))
                     if len(out) >= 64:
                         yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
                         out = []
@@ -113,17 +125,17 @@ def sent(moving: DataFrame, moving_shape: Triple, shape: Triple, brick: Triple,
     return moving.select("volume_id", "channel", "z0", "y0", "x0", "nz", "ny", "nx", "dtype", "data", "m", "t").mapInPandas(cut, PIECES)
 
 
-def assembled(pieces: pd.DataFrame, low, high) -> np.ndarray:
-    """The box low..high out of pieces; what none of them has is 0."""
-    out = np.zeros([q - p for p, q in zip(low, high, strict=True)])
+def assembled(pieces: pd.DataFrame, low, high, numbers: int | None = None) -> np.ndarray:
+    """The box low..high out of pieces; what none of them has is 0. numbers: those of a voxel, then the first axis of the result."""
+    out = np.zeros([numbers or 1, *[q - p for p, q in zip(low, high, strict=True)]])
     for r in pieces.itertuples():
-        a = np.frombuffer(r.s_data, r.s_dtype).reshape(r.s_nz, r.s_ny, r.s_nx)
+        a = np.frombuffer(r.s_data, r.s_dtype).reshape(-1, r.s_nz, r.s_ny, r.s_nx)
         o = (r.s_z0, r.s_y0, r.s_x0)
         p = [max(i, j) for i, j in zip(o, low, strict=True)]
-        q = [min(i + n, j) for i, n, j in zip(o, a.shape, high, strict=True)]
+        q = [min(i + n, j) for i, n, j in zip(o, a.shape[1:], high, strict=True)]
         if all(i < j for i, j in zip(p, q, strict=True)):
-            out[tuple(slice(i - k, j - k) for i, j, k in zip(p, q, low, strict=True))] = a[tuple(slice(i - k, j - k) for i, j, k in zip(p, q, o, strict=True))]
-    return out
+            out[(slice(None), *[slice(i - k, j - k) for i, j, k in zip(p, q, low, strict=True)])] = a[(slice(None), *[slice(i - k, j - k) for i, j, k in zip(p, q, o, strict=True)])]
+    return out if numbers else out[0]
 
 
 ON = ["volume_id", "channel", "bz", "by", "bx"]
@@ -159,7 +171,11 @@ def _place(r) -> tuple[np.ndarray, np.ndarray]:
 def warp(moving: DataFrame, moving_shape: Triple, shape: Triple, brick: Triple, m=IDENTITY, t=(0.0, 0.0, 0.0), mode: str = "linear", dtype: str = "float64", transforms: DataFrame | None = None) -> DataFrame:
     """Every (volume_id, channel) of moving resampled onto a grid of `shape`; outside the moving volume 0. mode: linear or nearest.
 
-    transforms (volume_id[, channel], m, t): each volume by its own; one without a row isn't made."""
+    transforms (volume_id[, channel], m, t): each volume by its own; one without a row isn't made, one that is singular is an error."""
+    if transforms is not None:
+        checked(transforms)
+    elif abs(np.linalg.det(np.array(m, float).reshape(3, 3))) < 1e-12:
+        raise ValueError(f"a transform that can't be inverted: {m}")
     wanted = with_transforms(output_grid(moving, shape, brick), m, t, transforms)
     pieces = sent(with_transforms(moving, m, t, transforms), moving_shape, shape, brick)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelbrick.operators import bricks as B
-from voxelbrick.operators import estimate, intensity, jobs, metrics, resample, tiling
+from voxelbrick.operators import estimate, fields, intensity, jobs, metrics, register, resample, tiling
 from voxelbrick.sources import fixtures as X
 from voxelbrick.sources.scratch import stored
 
@@ -199,12 +199,14 @@ def a4_report(spark, sf_dir):
 
 
 def _evt_pair(spark, sf_dir):
-    """Channels 0 and 1 of each cycle as fixed and moving."""
-    e = X.vox_evt(spark, sf_dir).where("channel < 2")
-    shape = B.shape_of(e)
-    side = lambda c: B.to_bricks(e.where(F.col("channel") == c).select(F.lit("c").alias("volume_id"), F.col("cycle").alias("channel"), "z", "y", "x", "v"), shape, (10, 64, 24))
-    grid = resample.output_grid(side(0), shape, (10, 64, 24)).select("volume_id", "channel").distinct()
-    return [B.conform(side(c), grid, shape, (10, 64, 24)) for c in (0, 1)]
+    """Channel 0 of each cycle as fixed, each other channel of it as moving, under channel numbers 10 * cycle + channel."""
+    e = X.vox_evt(spark, sf_dir)
+    shape, brick = B.shape_of(e), (10, 64, 24)
+    both = stored(B.to_bricks(e.select(F.lit("c").alias("volume_id"), (10 * F.col("cycle") + F.col("channel")).alias("channel"), "z", "y", "x", "v"), shape, brick), "channels")
+    of = F.floor(F.col("channel") / 10) * 10
+    ids = spark.createDataFrame([("c", 10 * i + c) for i in range(3) for c in range(1, 5)], "volume_id string, channel int").join(both.select(of.alias("f")).distinct(), F.floor(F.col("channel") / 10) * 10 == F.col("f")).drop("f")
+    fixed = both.where("channel % 10 = 0").withColumnRenamed("channel", "f").join(ids.drop("volume_id"), F.floor(F.col("channel") / 10) * 10 == F.col("f")).select(*B._COLUMNS)
+    return [B.conform(v, ids, shape, brick) for v in (fixed, both)]
 
 
 def a1_ncc(spark, sf_dir):
@@ -369,18 +371,140 @@ def x1_roi_registration(spark, sf_dir):
     f, m, shape = _two(spark, sf_dir)
     low, high = BOX
     pad = (4, 4, 4)
-    _, shifts = jobs.register_roi(f, m, low, high, pad, shape, BRICK, 3)
+    _, by = jobs.register_roi(f, m, low, high, pad, shape, BRICK, 3)
     fc, mc = (stored(B.crop(v, low, high, BRICK), "crop") for v in (f, m))
-    after = stored(jobs.apply_roi(m, shifts, low, high, pad, shape, BRICK), "registered")
+    after = stored(jobs.apply_roi(m, by, low, high, pad, shape, BRICK), "registered")
     r = metrics.report(fc, mc, after, "roi")
-    return r.crossJoin(F.broadcast(shifts.select("dz", "dy", "dx"))).select("pair_id", "phase", "dz", "dy", "dx", *[F.round(c, 6).alias(c) for c in ("ncc", "nrmse")])
+    return r.crossJoin(F.broadcast(by.select(*whole()))).select("pair_id", "phase", "dz", "dy", "dx", *[F.round(c, 6).alias(c) for c in ("ncc", "nrmse")])
+
+
+def whole() -> list:
+    """dz, dy, dx of transforms that are whole shifts."""
+    return [F.get("t", F.lit(i)).cast("int").alias(f"d{a}") for i, a in enumerate("zyx")]
+
+
+def _roi_channels(spark, sf_dir):
+    """(fixed, volume of four channels, shape): each channel of the volume lies by its own shift beside the volume's own."""
+    v, shape = volume(spark, sf_dir)
+    far = None
+    for c, by in {0: (0, 0, 0), **X.CHANNEL_SHIFTS}.items():
+        one = X.shifted(v, tuple(p + q for p, q in zip(X.PLANTED, by, strict=True)), shape, "emb").withColumn("channel", F.lit(c))
+        far = one if far is None else far.unionByName(one)
+    return stored(B.to_bricks(v, shape, BRICK), "fixed"), stored(B.to_bricks(far, shape, BRICK), "volume"), shape
+
+
+def x1_roi_channels(spark, sf_dir):
+    """A region of four channels: each corrected to channel 0, that one registered to fixed, both in one gather. It is run
+    again with the first run's crop and transforms, which are used as they are; the rows are the second run's."""
+    f, m, shape = _roi_channels(spark, sf_dir)
+    run = lambda **had: jobs.register_roi_channels(f, m, 0, *BOX, (4, 4, 4), shape, BRICK, 3, **had)
+    crop, by, _ = run()
+    _, again, out = run(fixed_crop=crop, saved=by)
+    total = B.to_voxels(out).groupBy("channel").agg(F.count("*").alias("voxels"), F.sum("v").cast("bigint").alias("total"), F.sum(F.col("v") * F.col("x")).cast("bigint").alias("moment"))
+    return again.select("channel", "type", *whole()).join(total, "channel")
+
+
+def x2_dim_and_bright(spark, sf_dir):
+    """A dim and a bright volume registered in one call: each has its own threshold, and neither loses anything."""
+    v, shape = volume(spark, sf_dir)
+    both = lambda x: stored(B.to_bricks(x.withColumn("volume_id", F.lit("bright")).unionByName(x.withColumns({"volume_id": F.lit("dim"), "v": F.floor(F.col("v") / 500)})), shape, BRICK, "uint16"), "volumes")
+    f, m = both(v), both(X.locally_moved(v, shape))
+    by, local = jobs.register_tiles(f, m, shape, BRICK, TILE, OVER, 3, 1, 2, skip_background=True)
+    tiles = tiles_of(spark, shape).crossJoin(F.broadcast(spark.createDataFrame([("bright",), ("dim",)], "volume_id string")))
+    out = B.to_voxels(rounded(jobs.apply_tiles(m, shape, BRICK, tiles, OVER, by, local)))
+    return out.groupBy("volume_id").agg(F.count("*").alias("voxels"), F.round(F.sum("v"), 1).alias("total"), F.round(F.sum(F.col("v") * F.col("x")), 0).alias("moment"))
+
+
+def e2_information(spark, sf_dir):
+    """The shift of a copy whose values are folded about the middle, by mutual information: correlation doesn't see it."""
+    f, shape = bricks(spark, sf_dir)
+    v, _ = volume(spark, sf_dir)
+    m = B.to_bricks(X.shifted(v.withColumn("v", F.abs(F.col("v") - 20000)), X.PLANTED, shape, "emb"), shape, BRICK)
+    return estimate.search_shift(f, m, shape, BRICK, 3, metric="nmi").select("dz", "dy", "dx", "n", F.round("nmi", 6).alias("nmi"))
+
+
+def e4_stages(spark, sf_dir):
+    """Three volumes in one job, each turned, scaled or sheared in its own way: the transforms found on proxies. Compared with the planted ones in the tests."""
+    f, m, shape = turned(spark, sf_dir)
+    out = register.register(f, m, shape, BRICK, "affine", (1, 1, 1), (1,), 2)
+    return out.select("volume_id", "channel", "type", "downsample", "m", "t")
+
+
+def turned(spark, sf_dir):
+    """(fixed, moving, shape) of three volumes: the table's volume smoothed, and what a known map makes of it (X.PLANTED_MAPS)."""
+    v, shape = volume(spark, sf_dir)
+    b = stored(fields.smooth(B.to_bricks(v, shape, BRICK), 2.0, shape, BRICK), "smooth")
+    maps = [(n, 0, *(x.ravel().tolist() for x in X.planted_map(n, shape))) for n in X.PLANTED_MAPS]
+    by = spark.createDataFrame(maps, "volume_id string, channel int, m array<double>, t array<double>")
+    each = stored(b.drop("volume_id", "channel").crossJoin(F.broadcast(by.select("volume_id", "channel"))).select(*B._COLUMNS), "copies")  # three rows
+    inner = tuple(n - 8 for n in shape)
+    inside = lambda x: stored(B.crop(x, (4, 4, 4), tuple(n - 4 for n in shape), BRICK), "inner")
+    # fixed(i) = moving(m i + t): the fixed side is made, so that moving has data beside it.
+    return inside(resample.warp(each, shape, shape, BRICK, transforms=by, dtype="float32")), inside(each), inner
+
+
+def e5_demons(spark, sf_dir):
+    """A dense field that brings the smoothed volume onto a warped copy of it: similarity before and after, one row each. Compared with the planted field in the tests."""
+    v, shape = volume(spark, sf_dir)
+    m = stored(fields.smooth(B.to_bricks(v, shape, BRICK), 2.0, shape, BRICK), "smooth")
+    field = stored(fields_of(spark, sf_dir, shape, ("1.2 * sin(y / 4)", "1.0 * sin(x / 9)", "1.2 * sin(z / 4 + 1)")), "planted")
+    f = stored(resample.warp_field(m, shape, field, BRICK, 1.5, dtype="float32"), "fixed")
+    found = fields.demons(f, m, shape, BRICK, 8)
+    after = stored(fields.warp_coarse(m, shape, found, (1, 1, 1), shape, BRICK, dtype="float32"), "after")
+    return metrics.report(f, m, after, "demons").select("pair_id", "phase", F.round("ncc", 3).alias("ncc"))
+
+
+def fields_of(spark, sf_dir, shape, parts: tuple) -> DataFrame:
+    """A displacement field from three expressions of z, y, x, in the long form's way: channels 0, 1, 2."""
+    v, _ = volume(spark, sf_dir)
+    rows = None
+    for c, d in enumerate(parts):
+        one = v.withColumn("channel", F.lit(c)).withColumn("v", F.expr(d).cast("double"))
+        rows = one if rows is None else rows.unionAll(one)
+    return B.to_bricks(rows, shape, BRICK)
+
+
+#: A coarse field on proxies of these steps, in proxy voxels: linear in the proxy's indices.
+COARSE, COARSE_FIELD = (2, 3, 4), ("0.25 + 0.0625 * z", "0.125 * y - 0.25", "0.03125 * x - 0.1875")
+
+
+def r3_coarse(spark, sf_dir):
+    """A field kept on a proxy, applied at full resolution after a global shift."""
+    b, shape = bricks(spark, sf_dir)
+    small = register.smaller(shape, COARSE)
+    grid = spark.range(small[0] * small[1] * small[2]).selectExpr(f"cast(id div {small[1] * small[2]} as int) z", f"cast(id div {small[2]} % {small[1]} as int) y", f"cast(id % {small[2]} as int) x")
+    one = lambda e: B.to_bricks(grid.selectExpr("'emb' volume_id", "0 channel", "z", "y", "x", f"cast({e} as double) v"), small, BRICK, "float32")
+    field = fields.stacked([one(e) for e in COARSE_FIELD])
+    by = spark.createDataFrame([("emb", list(resample.IDENTITY), [0.5, -0.25, 1.0])], "volume_id string, m array<double>, t array<double>")
+    return long(fields.warp_coarse(b, shape, field, COARSE, shape, BRICK, by))
+
+
+def r4_one_pass(spark, sf_dir):
+    """As r4_composed, in one interpolation: the tile's displacement is added before the global map."""
+    b, shape = bricks(spark, sf_dir)
+    return long(resample.tiled_apply(b, shape, shifts_of(tiles_of(spark, shape)), shape, BRICK, OVER, M1, T1, mode="composed"))
+
+
+def p8_float_robust(spark, sf_dir):
+    """Robust uint16 of a resampled float volume: exact percentiles by radix selection."""
+    b, shape = bricks(spark, sf_dir)
+    w = stored(rounded(resample.warp(b, shape, shape, BRICK, M1, T1), 4), "warped")
+    return B.to_voxels(intensity.uint16_bricks(w, "robust")).select("z", "y", "x", F.col("v").cast("int").alias("v"))
+
+
+def a5_float_stats(spark, sf_dir):
+    """Statistics of a resampled float volume, all percentiles exact."""
+    b, shape = bricks(spark, sf_dir)
+    w = stored(rounded(resample.warp(b, shape, shape, BRICK, M1, T1), 4), "warped")
+    s = intensity.brick_array_stats(w, ("channel",))
+    return s.select("channel", "n", "finite_count", "nonzero", *[F.round(c, 3).alias(c) for c in ("p0", "p1", "p50", "p99", "p999", "p100")], "all_zero")
 
 
 def x3_intracycle(spark, sf_dir):
     """Channels 1 to 3 aligned with channel 0 of their cycle: shifts found, applied in one gather, reported."""
     b, shape = _cycle(spark, sf_dir)
     _, _, r = jobs.intracycle(b, 0, shape, BRICK, 2)
-    return r.select("pair_id", "phase", F.round("ncc", 6).alias("ncc"), F.round("nrmse", 6).alias("nrmse"))
+    return r.select("pair_id", "phase", *[F.round(c, 6).alias(c) for c in ("ncc", "nmi", "nrmse")])
 
 
 def x4_preview(spark, sf_dir):
@@ -395,11 +519,26 @@ def x5_all_cycles(spark, sf_dir):
     """Every cycle and channel in one job: each cycle's shift to the first found on channel 0, all channels moved, uint16, numbered on."""
     v, shape = X.cycles(spark, sf_dir)
     b = stored(B.to_bricks(v, shape, BRICK), "cycles")
-    _, channels, out = jobs.all_cycles(b, "0", 0, shape, BRICK, 4)
+    _, channels, out, _, _ = jobs.all_cycles(b, "0", 0, shape, BRICK, 4)
     total = B.to_voxels(out, zeros=False).groupBy(F.col("channel").alias("out_channel")).agg(F.count("*").alias("voxels"), F.sum("v").cast("bigint").alias("total"), F.sum(F.col("v") * F.col("x")).cast("bigint").alias("moment"))
     return channels.join(total, "out_channel").select(F.col("volume_id").cast("int").alias("cycle"), "channel", "out_channel", "name", "voxels", "total", "moment")
 
 
+def x5_report(spark, sf_dir):
+    """The all-cycles job's report: each cycle's reference channel against the first's, before and after."""
+    v, shape = X.cycles(spark, sf_dir)
+    b = stored(B.to_bricks(v, shape, BRICK), "cycles")
+    r = jobs.all_cycles(b, "0", 0, shape, BRICK, 4)[3]
+    return r.select("pair_id", "phase", *[F.round(c, 6).alias(c) for c in ("ncc", "nmi", "nrmse")])
+
+
+def x5_manifest(spark, sf_dir):
+    """The all-cycles job's manifest: channel paths of all cycles in order."""
+    v, shape = X.cycles(spark, sf_dir)
+    b = stored(B.to_bricks(v, shape, BRICK), "cycles")
+    return jobs.all_cycles(b, "0", 0, shape, BRICK, 4, folder="all/")[4].select("position", "cycle", "channel", "path")
+
+
 def x6_seams(spark, sf_dir):
     """Mean absolute step across the borders of tiles, for the plain volume and for the tiled result."""
     b, shape = bricks(spark, sf_dir)
@@ -427,6 +566,16 @@ def _sampled(c: list[str], out: tuple[str, str, str], source: str = "emb") -> st
                 from grid o, shape, eight left join {source} s on s.z = {at[0]} and s.y = {at[1]} and s.x = {at[2]} group by all)"""
 
 
+def _at_spots(more: str = "") -> str:
+    """val: the eight weighted neighbours of spots (z, y, x, cz, cy, cx), clamped to the edge; 0 outside."""
+    inside = " and ".join(f"c{a} >= -0.5 and c{a} < n{a}-0.5" for a in "zyx")
+    w = "*".join(f"(case e{a} when 1 then c{a}-floor(c{a}) else 1-(c{a}-floor(c{a})) end)" for a in "zyx")
+    near = ", ".join(f"least(greatest(cast(floor(c{a}) as int)+e{a}, 0), n{a}-1) k{a}" for a in "zyx")
+    return f"""two as (select unnest([0, 1]) d), eight as (select a.d ez, b.d ey, c.d ex from two a, two b, two c),
+        close as (select p.*, case when {inside} then {w} else 0 end u, {near} from spots p, shape, eight),
+        val as (select p.z, p.y, p.x, {more}u*coalesce(s.v, 0) v from close p left join emb s on s.z=kz and s.y=ky and s.x=kx)"""
+
+
 def _interpolated(m, t, out: tuple[str, str, str], source: str = "emb") -> str:
     """Trilinear values for a diagonal map."""
     return _sampled([f"({m[4 * i]}::double*o.{a}+({t[i]})::double)" for i, a in enumerate("zyx")], out, source)
@@ -509,10 +658,10 @@ def _pair(fixed: str, moving: str, phase: str, name: str) -> str:
     return f"select '{name}' pair_id, '{phase}' phase, cast(f.v as double) a, cast(coalesce(m.v, 0) as double) b from {fixed} f left join {moving} m using (z, y, x)"
 
 
-_EVT_P = X.sql("evt") + """, dims as (select max(z)+1 nz, max(y)+1 ny, max(x)+1 nx from evt where channel < 2),
-    cyc as (select distinct cycle from evt where channel = 0), g as (select cycle, cast(z.i as int) z, cast(y.i as int) y, cast(x.i as int) x from cyc, dims, range(10) z(i), range(100000) y(i), range(24) x(i) where z.i < nz and y.i < ny and x.i < nx),
-    p as (select 'pair/'||cycle pair_id, 'before' phase, cast(coalesce(f.v, 0) as double) a, cast(coalesce(m.v, 0) as double) b from g
-          left join (select * from evt where channel = 0) f using (cycle, z, y, x) left join (select * from evt where channel = 1) m using (cycle, z, y, x))"""
+_EVT_P = X.sql("evt") + """, dims as (select max(z)+1 nz, max(y)+1 ny, max(x)+1 nx from evt),
+    cyc as (select distinct cycle, ch.i ch from evt, range(1, 5) ch(i)), g as (select cycle, ch, cast(z.i as int) z, cast(y.i as int) y, cast(x.i as int) x from cyc, dims, range(10) z(i), range(100000) y(i), range(24) x(i) where z.i < nz and y.i < ny and x.i < nx),
+    p as (select 'pair/'||(10*g.cycle+ch) pair_id, 'before' phase, cast(coalesce(f.v, 0) as double) a, cast(coalesce(m.v, 0) as double) b from g
+          left join (select * from evt where channel = 0) f using (cycle, z, y, x) left join evt m on m.cycle=g.cycle and m.channel=ch and m.z=g.z and m.y=g.y and m.x=g.x)"""
 
 _ROBUST = "select min(v) mn, max(v) mx, quantile_cont(v, 0.001) lo, quantile_cont(v, 0.999) hi from w"
 _EVT_TILES = "dims as (select max(z)+1 nz, max(y)+1 ny, max(x)+1 nx from evt), " + _tiles((10, 20, 12), (0, 5, 4), "dims")
@@ -574,6 +723,24 @@ SQL = {
     "e1_translation": EM + "select " + ", ".join(f"round(m.{a}-f.{a}, 4) t{a}" for a in "zyx") + f" from (select {', '.join(f'{_MEAN[a]} {a}' for a in 'zyx')} from emb) f, (select {', '.join(f'{_MEAN[a]} {a}' for a in 'zyx')} from mov) m",
     "e1_brick_moments": E + "select 0 channel, cast(sum(v) as bigint) mass, " + ", ".join(f"round({_MEAN[a]}, 4) c{a}" for a in "zyx") + ", " + ", ".join(f"round(sum(cast(v as double)*{a}*{b})/sum(v) - ({_MEAN[a]})*({_MEAN[b]}), 4) cov_{a}{b}" for a, b in ("zz", "yy", "xx", "zy", "zx", "yx")) + " from emb",
     "e2_shift": EM + ", " + _scores(3, "emb", "mov") + f" select dz, dy, dx, n, round(ncc, 6) ncc from scores order by {_FIRST} limit 1",
+    "e2_information": EM + ", fold as (select z, y, x, abs(v-20000) v from mov), fm as (select f.z, f.y, f.x, coalesce(m.v, 0) v from emb f left join fold m using (z, y, x)), " + """lim as (select min(e.v) a0, max(e.v) a1, min(m.v) b0, max(m.v) b1 from emb e join fm m using (z, y, x)), d as (select cast(i as int) i from range(-3, 4) r(i)),
+        hist as (select a.i dz, b.i dy, c.i dx, least(floor((f.v-a0)*32::double/(a1-a0)), 31) i, least(floor((m.v-b0)*32::double/(b1-b0)), 31) j, cast(count(*) as double) c from emb f, lim, d a, d b, d c join fm m on m.z=f.z+a.i and m.y=f.y+b.i and m.x=f.x+c.i group by all),
+        tot as (select dz, dy, dx, sum(c) t from hist group by all), h2 as (select dz, dy, dx, any_value(t) t, -sum(c/t*ln(c/t+1e-12)) h from hist join tot using (dz, dy, dx) group by all),
+        hx as (select dz, dy, dx, -sum(q/t*ln(q/t+1e-12)) h from (select dz, dy, dx, i, sum(c) q from hist group by all) join tot using (dz, dy, dx) group by all), hy as (select dz, dy, dx, -sum(q/t*ln(q/t+1e-12)) h from (select dz, dy, dx, j, sum(c) q from hist group by all) join tot using (dz, dy, dx) group by all)
+        select dz, dy, dx, cast(t as bigint) n, round((hx.h+hy.h)/h2.h, 6) nmi from h2 join hx using (dz, dy, dx) join hy using (dz, dy, dx) order by round((hx.h+hy.h)/h2.h, 9) desc, dz*dz+dy*dy+dx*dx, dz, dy, dx limit 1""",
+    "r3_coarse": E + f""", axes as (select e.z, e.y, e.x, {", ".join(f"least(greatest((e.{a}-{(k - 1) / 2}::double)/{k}, 0), ceil(n{a}/{k}.0::double)-1) p{a}" for a, k in zip("zyx", COARSE, strict=True))} from emb e, shape),
+        spots as (select z, y, x, z+2*(0.25::double+0.0625::double*pz)+0.5::double cz, y+3*(0.125::double*py-0.25::double)-0.25::double cy, x+4*(0.03125::double*px-0.1875::double)+1.0::double cx from axes), """ + _at_spots() + " select z, y, x, round(sum(v), 4) v from val group by z, y, x",
+    "r4_one_pass": E + ", " + _tiles() + ", " + _GIVEN + f""", spots as (select g.z, g.y, g.x, {"*".join(_weight(a, o) for a, o in zip("zyx", OVER, strict=True))} w, {", ".join(f"{M1[4 * i]}::double*(g.{a}+d{a})+({T1[i]})::double c{a}" for i, a in enumerate("zyx"))} from emb g join given s on g.z >= z0 and g.z < z1 and g.y >= y0 and g.y < y1 and g.x >= x0 and g.x < x1),
+        {_at_spots("p.w, ")},
+        one as (select z, y, x, sum(v*w) v, sum(w)/8 w from val group by all) select z, y, x, round(v/greatest(w, 1e-6), 4) v from one""",
+    "p8_float_robust": E + ", " + _interpolated(M1, T1, _SAME) + ", w as (select z, y, x, round(v, 4) v from out), r as (select quantile_cont(v, 0.001) lo, quantile_cont(v, 0.999) hi from w) select z, y, x, cast(round_even(greatest(0.0::double, least(1.0::double, (v-lo)/(hi-lo)))*65535, 0) as int) v from w, r",
+    "a5_float_stats": E + ", " + _interpolated(M1, T1, _SAME) + ", w as (select round(v, 4) v from out) select 0 channel, count(*) n, count(v) finite_count, count(*) filter (v<>0) nonzero, " + ", ".join(f"round(quantile_cont(v, {p}), 3) {c}" for c, p in (("p0", 0.0), ("p1", 0.01), ("p50", 0.5), ("p99", 0.99), ("p999", 0.999), ("p100", 1.0))) + ", count(*) filter (v<>0) = 0 all_zero from w",
+    "x2_dim_and_bright": _LOCAL + ", " + _blend("gm", "found") + ", low as (select z, y, x, v//500 v from gm), " + _blend("low", "found").replace("parts", "parts1").replace("blended", "blended1") + " select 'bright' volume_id, count(*) voxels, round(sum(v), 1) total, round(sum(v*x), 0) moment from blended union all select 'dim', count(*), round(sum(round(v, 6)), 1), round(sum(v*x), 0) from blended1",
+    "x1_roi_channels": E + ", " + """sh as (select * from (values (0, 0, 0, 0), """ + ", ".join(str((c, *d)) for c, d in X.CHANNEL_SHIFTS.items()) + """) t(c, dz, dy, dx)),
+        r as (select c, dz, dy, dx, z, y, x, case when z+1+dz between greatest(0, 2-4) and least(nz, 15+4)-1 and y+2+dy between 0 and least(ny, 20+4)-1 and x+3+dx between 1 and least(nx, 50+4)-1 then v else 0 end v from emb, shape, sh where z>=2 and z<15 and y>=3 and y<20 and x>=5 and x<50)
+        select c as channel, 'shift' as type, case c when 0 then 1 else dz end dz, case c when 0 then 2 else dy end dy, case c when 0 then 3 else dx end dx, count(*) voxels, cast(sum(v) as bigint) total, cast(sum(v*(x-5)) as bigint) moment from r group by all""",
+    "x5_report": _report("cycle", E + ", " + _CYCLES + ", a as (select i, z+dz z, y+dy y, x+dx x, v from emb, shape, cyc where i > 0 and z+dz between 0 and nz-1 and y+dy between 0 and ny-1 and x+dx between 0 and nx-1), bk as (select a.i, z-dz z, y-dy y, x-dx x, v from a join cyc using (i))", [f"select 'cycle/'||c.i||'/0' pair_id, '{ph}' phase, cast(f.v as double) a, cast(coalesce(m.v, 0) as double) b from emb f cross join (select i from cyc where i > 0) c left join {t} m on m.i=c.i and m.z=f.z and m.y=f.y and m.x=f.x" for ph, t in (("before", "a"), ("after", "bk"))]),
+    "x5_manifest": E + ", " + _CYCLES + " select cast(2*i+channel as int) as position, cast(i as varchar) as cycle, channel, printf('all/out_C%03d', 2*i+channel) as path from cyc, (select unnest([0, 1]) channel) where (select count(*) from emb) > 0",
     "e3_phase": EM + ", " + _scores(3, "emb", "mov") + f" select 'emb' volume_id, dz, dy, dx from scores order by {_FIRST} limit 1",
     "e5_refine": _LOCAL + "select tile_index, dz, dy, dx, skipped from loc",
     "e6_intracycle": E + ", " + _CHANNELS + ", ref as (select c, emb.* from emb, sh), " + _scores(2, "ref", "m", "c") + f" select c as channel, dz, dy, dx, round(ncc, 6) ncc from (select *, row_number() over (partition by c order by {_FIRST}) k from scores) where k = 1",
@@ -585,7 +752,7 @@ SQL = {
     "w7_stack": X.sql("evt") + "select cycle, z, y, x, " + ", ".join(f"cast(coalesce(sum(v) filter (channel={c}), 0) as bigint) c{c}" for c in range(5)) + " from evt group by all",
     "w7_stacked": E + ", " + _CHANNELS + ", a as (select 0 c, z, y, x, v from emb union all select * from m) select case c when 0 then 0 when 3 then 1 else 2 end place, cast((select count(*) from emb) as bigint) voxels, cast(sum(v) as bigint) total, cast(sum(v*x) as bigint) moment from a where c <> 2 group by c",
     "x1_roi_registration": _report("roi/0", EM + ", fc as (select z-2 z, y-3 y, x-5 x, v from emb where z>=2 and z<15 and y>=3 and y<20 and x>=5 and x<50), mc as (select z-2 z, y-3 y, x-5 x, v from mov where z>=2 and z<15 and y>=3 and y<20 and x>=5 and x<50)", [_pair("fc", "mc", "before", "roi/0"), _pair("fc", "(select z-3 z, y-5 y, x-8 x, v from mov)", "after", "roi/0")], "").replace("select pair_id, phase, ncc, nrmse from", "select pair_id, phase, 1 dz, 2 dy, 3 dx, ncc, nrmse from"),
-    "x3_intracycle": _report("c", E + ", " + _CHANNELS + ", bk as (select m.c, z-dz z, y-dy y, x-dx x, v from m join sh using (c))", ["select 'intracycle/emb/'||s.c pair_id, 'before' phase, cast(f.v as double) a, cast(coalesce(m.v, 0) as double) b from emb f cross join sh s left join m on m.c=s.c and m.z=f.z and m.y=f.y and m.x=f.x", "select 'intracycle/emb/'||s.c, 'after', cast(f.v as double), cast(coalesce(m.v, 0) as double) from emb f cross join sh s left join bk m on m.c=s.c and m.z=f.z and m.y=f.y and m.x=f.x"], ""),
+    "x3_intracycle": _report("c", E + ", " + _CHANNELS + ", bk as (select m.c, z-dz z, y-dy y, x-dx x, v from m join sh using (c))", ["select 'intracycle/emb/'||s.c pair_id, 'before' phase, cast(f.v as double) a, cast(coalesce(m.v, 0) as double) b from emb f cross join sh s left join m on m.c=s.c and m.z=f.z and m.y=f.y and m.x=f.x", "select 'intracycle/emb/'||s.c, 'after', cast(f.v as double), cast(coalesce(m.v, 0) as double) from emb f cross join sh s left join bk m on m.c=s.c and m.z=f.z and m.y=f.y and m.x=f.x"]),
     "x4_preview": _report("preview/0", E + ", m2 as (select z+2 z, y+2 y, x+4 x, v from emb, shape where z+2<nz and y+2<ny and x+4<nx), fp as (select z//2 z, y//2 y, x//2 x, v from emb where z%2=0 and y%2=0 and x%2=0), mp as (select z//2 z, y//2 y, x//2 x, v from m2 where z%2=0 and y%2=0 and x%2=0)", [_pair("fp", "mp", "before", "preview/0"), _pair("fp", "(select z-1 z, y-1 y, x-2 x, v from mp)", "after", "preview/0")]),
     "x5_all_cycles": E + ", " + _CYCLES + """, a as (select i, channel, case channel when 0 then v else v*(i+1)%30011 end v, x from emb, shape, cyc, (select unnest([0, 1]) channel) where z+dz between 0 and nz-1 and y+dy between 0 and ny-1 and x+dx between 0 and nx-1)
         select cast(i as int) as cycle, channel, cast(2*i+channel as int) out_channel, printf('out_C%03d', 2*i+channel) as name, count(*) voxels, cast(sum(v) as bigint) total, cast(sum(v*x) as bigint) moment from a where v <> 0 group by i, channel""",
@@ -594,5 +761,5 @@ SQL = {
         for a in "zyx"),
 }
 
-_FUNCTIONS = (e1_brick_moments, w7_stacked, p1_crop, p4_stride, p5_downsample, p6_transpose, p7_conform, p8_uint16, p9_uint8, a5_array_stats, a5_value_percentiles, r1_affine, r2_resample, r3_field, r4_composed, r5_nearest, j2_tiles_of_bricks, j3_padded, t6_blend, x2_tiled_apply, a4_report, a1_ncc, a2_nrmse, a3_nmi, j1_pairs, a6_threshold, a7_foreground, a8_usable, e1_moments, e1_translation, e2_shift, e3_phase, e4_affine, e5_refine, e6_intracycle, w4_center_slices, w5_overlay, w6_fit_panel, w7_stack, x1_roi_registration, x3_intracycle, x4_preview, x5_all_cycles, x6_seams)
+_FUNCTIONS = (x1_roi_channels, x2_dim_and_bright, e2_information, e4_stages, e5_demons, r3_coarse, r4_one_pass, p8_float_robust, a5_float_stats, x5_report, x5_manifest, e1_brick_moments, w7_stacked, p1_crop, p4_stride, p5_downsample, p6_transpose, p7_conform, p8_uint16, p9_uint8, a5_array_stats, a5_value_percentiles, r1_affine, r2_resample, r3_field, r4_composed, r5_nearest, j2_tiles_of_bricks, j3_padded, t6_blend, x2_tiled_apply, a4_report, a1_ncc, a2_nrmse, a3_nmi, j1_pairs, a6_threshold, a7_foreground, a8_usable, e1_moments, e1_translation, e2_shift, e3_phase, e4_affine, e5_refine, e6_intracycle, w4_center_slices, w5_overlay, w6_fit_panel, w7_stack, x1_roi_registration, x3_intracycle, x4_preview, x5_all_cycles, x6_seams)
 QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in _FUNCTIONS}

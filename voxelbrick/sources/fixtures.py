@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,18 @@ def locally_moved(voxels: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     return shifted(out, PLANTED, shape)
 
 
+#: Planted maps by name: degrees about x, shear of y by x, scale, and a shift.
+PLANTED_MAPS = {"turned": (6.0, 0.0, 1.0, (0.3, -0.4, 0.6)), "scaled": (0.0, 0.0, 1.03, (-0.5, 0.2, 0.4)), "sheared": (2.0, 0.02, 0.98, (0.0, 0.5, -0.7))}
+
+
+def planted_map(name: str, shape: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(m, t) on z, y, x indices, about the middle of a volume of `shape`."""
+    degrees, shear, scale, shift = PLANTED_MAPS[name]
+    c, a = (np.array(shape) - 1) / 2, np.radians(degrees)
+    m = scale * np.array([[np.cos(a), -np.sin(a), 0], [np.sin(a), np.cos(a), shear], [0, 0, 1]])
+    return m, c - m @ c + np.array(shift)
+
+
 def cycles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int, int]]:
     """Three cycles (volume_id): channel 0 is the same structure in each, channel 1 is another of its own; a cycle lies by its own shift."""
     v = vox_emb(spark, sf_dir)

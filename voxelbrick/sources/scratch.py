@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,3 +23,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: it isn't made again, and lost executors don't matter."""
     df.write.parquet(path := folder(df.sparkSession, name))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a stored() table that no later step reads."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for f in df.inputFiles()[:1]:
+        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
+        if re.search(r"-[0-9a-f]{32}$", path.getName()):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
