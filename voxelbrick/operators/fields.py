@@ -97,8 +97,8 @@ def demons(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, ro
     """The field (stored; one row a brick, see above) that brings moving onto fixed; bricks of one shape, paired by volume_id and channel, all pairs at once.
 
     A round: each brick compares itself with moving under the field, adds the force (f - g) grad f / (|grad f|^2 + (f - g)^2), and the
-    field is smoothed by a Gaussian of sigma, for which bricks exchange halos. It stops when no pair's NCC has risen by gain for
-    `patience` rounds; each pair keeps its best field, or none (zeros) if nothing was better. Values are scaled by each pair's fixed range."""
+    field is smoothed by a Gaussian of sigma, for which bricks exchange halos. Voxels that are exactly 0 on either side (its outside) neither push nor count. It stops when no pair's NCC has risen by gain for
+    `patience` rounds; each pair keeps its best field, or none (zeros) if nothing was better. Means are taken off; contrasts should agree."""
     ids = ["volume_id", "channel"]
     ready = stored(sloped(fixed, shape, brick).withColumnRenamed("data", "f_data").withColumnRenamed("dtype", "f_dtype"), "sloped")
     ends = moving.sparkSession.createDataFrame(_centres(fixed, moving).collect(), "volume_id string, channel int, fc double, mc double")  # a row for each pair
@@ -112,10 +112,13 @@ def demons(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, ro
         low, high = clamped_box(at, at + size, np.eye(3), np.zeros(3), float(r.reach), shape)
         c = grid(at, size) + d.reshape(3, -1)
         inside = np.all((c >= 0) & (c <= np.array(shape)[:, None] - 1), axis=0)
-        g = sample(assembled(have, low, high), low, shape, np.clip(c, 0, np.array(shape)[:, None] - 1)).reshape(size)
+        src = assembled(have, low, high)
+        c = np.clip(c, 0, np.array(shape)[:, None] - 1)
+        g = sample(src, low, shape, c).reshape(size)
+        inside &= (sample((src != 0).astype(float), low, shape, c) > 0.999) & (f[0].ravel() != 0)  # 0 is what lies outside
         a, b = f[0] - r.fc, g - r.mc
         u, w = a.ravel()[inside], b.ravel()[inside]
-        diff = a - b
+        diff = (a - b) * inside.reshape(size)
         den = (f[1:] ** 2).sum(axis=0) + diff**2
         push = np.where(den > 1e-12, diff / np.maximum(den, 1e-12), 0) * f[1:]
         d = (d + push).astype(np.float32)
@@ -167,9 +170,14 @@ def demons(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, ro
 
 
 def _centres(fixed: DataFrame, moving: DataFrame) -> DataFrame:
-    from voxelbrick.operators.estimate import centres
+    """volume_id, channel, fc, mc: the means of voxels other than 0, what lies outside."""
 
-    return centres(fixed, moving)
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(r.volume_id, r.channel, float(np.count_nonzero(_stack(r))), _stack(r).sum(dtype=float)) for r in b.itertuples()], columns=["volume_id", "channel", "n", "s"])
+
+    mean = lambda v, name: v.mapInPandas(part, "volume_id string, channel int, n double, s double").groupBy("volume_id", "channel").agg((F.sum("s") / F.greatest(F.sum("n"), F.lit(1.0))).alias(name))
+    return mean(fixed, "fc").join(mean(moving, "mc"), ["volume_id", "channel"])
 
 
 def _zeros(keys: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelbrick.operators import jobs, resample
 from voxelbrick.operators.bricks import Triple
-from voxelbrick.schema import BRICKS, fields
+from voxelbrick.schema import BRICKS, KEY, fields
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -24,7 +24,7 @@ def stream_apply(
 ) -> DataFrame:
     """Reads new brick files under source, applies saved transforms (volume_id, m, t) to whole volumes and writes these to target.
 
-    complete (volume_id, bricks): how many bricks a volume has in all its channels. Bricks are kept beside the target until
+    complete (volume_id, bricks): how many bricks a volume has in all its channels; one that comes again counts once, and the last one is used. Bricks are kept beside the target until
     their volume is whole, however many batches that takes, and a volume is made once: a batch that runs again after a
     failure writes the same partitions anew, and volumes listed as done are passed over unless force. With tiles (volume_id, tile_index,
     box) and saved tile transforms the volumes are tiled and blended. A volume without a transform is an error. Stateless
@@ -34,7 +34,7 @@ def stream_apply(
     def batch(new: DataFrame, number: int) -> None:
         new.write.mode("overwrite").partitionBy("volume_id").parquet(f"{staging}/batch={number}")
         have = _table(spark, staging, f"{BRICKS}, batch long")
-        counts = have.groupBy("volume_id").agg(F.count("*").alias("have"))
+        counts = have.groupBy("volume_id").agg(F.count_distinct("channel", "bz", "by", "bx").alias("have"))  # a brick that comes twice is one
         ready = counts.join(complete, "volume_id").where("have >= bricks").select("volume_id")
         # A volume of this very batch may be done in part: it is made again.
         finished = _table(spark, done, "volume_id string, batch long").where(F.col("batch") < number).select("volume_id")
@@ -42,7 +42,7 @@ def stream_apply(
         names = [r.volume_id for r in ready.collect()]  # the volumes that one batch completes, a few
         if not names:
             return
-        bricks = have.where(F.col("volume_id").isin(names)).select(*fields(BRICKS).names)
+        bricks = have.where(F.col("volume_id").isin(names)).withColumn("_last", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("batch")))).where("_last = 1").select(*fields(BRICKS).names)
         lost = ready.join(transforms, "volume_id", "left_anti").take(1)
         if lost:
             raise ValueError(f"no transform is saved for {lost[0].volume_id}")
