@@ -255,6 +255,23 @@ def test_dense_registration_after_a_global_one(spark):
     assert np.abs(moved - want).max() < 1e-3
 
 
+def test_shifts_below_a_voxel(spark):
+    shape, big = (20, 24, 32), (32, 36, 44)
+    huge = soft(big, 1.2, 7)
+    g = grid((0, 0, 0), shape)
+    moving = huge[6:-6, 6:-6, 6:-6]
+    made, planted = {}, {"a": (1.3, -0.3, 0.0), "b": (0.25, 2.0, -1.4)}
+    for k, d in planted.items():
+        spectrum = np.fft.fftn(huge)  # moved without interpolation
+        turn = np.einsum("i,j,k->ijk", *[np.exp(2j * np.pi * np.fft.fftfreq(n) * x) for n, x in zip(big, d, strict=True)])
+        made[(k, 0)] = np.fft.ifftn(spectrum * turn).real[6:-6, 6:-6, 6:-6]
+    f, m = table(spark, made), table(spark, {(k, 0): moving for k in planted})
+    start = register.find_translation(f, m, shape, BRICK, 3)
+    for r in estimate.subvoxel(f, m, shape, (16, 16, 16), start).collect():
+        assert np.abs(np.array([r.dz, r.dy, r.dx]) - planted[r.volume_id]).max() < 0.05
+    assert len(g[0]) == moving.size
+
+
 def test_dropped_tables_are_gone(spark):
     t = stored(spark.range(5), "gone")
     dropped(t)

@@ -297,6 +297,14 @@ def e3_phase(spark, sf_dir):
     return estimate.phase_shift(f, m, shape, (32, 32, 64), (4, 4, 4)).select("volume_id", "dz", "dy", "dx")
 
 
+def e3_subvoxel(spark, sf_dir):
+    """The whole shift refined below a voxel: the planted one is whole."""
+    f, m, shape = _two(spark, sf_dir)
+    f, m = stored(f, "fixed"), stored(m, "moving")
+    start = estimate.phase_shift(f, m, shape, (32, 32, 64), (4, 4, 4))
+    return estimate.subvoxel(f, m, shape, (16, 16, 32), start).select("volume_id", *[(F.round(c, 1) + 0.0).alias(c) for c in ("dz", "dy", "dx")])
+
+
 def e4_affine(spark, sf_dir):
     """The volume smoothed by steps of half a voxel to and fro, against a copy of it moved by parts of a voxel. Its grain is too fine for coarser levels."""
     b, shape = bricks(spark, sf_dir)
@@ -744,6 +752,7 @@ SQL = {
     "x5_report": _report("cycle", E + ", " + _CYCLES + ", a as (select i, z+dz z, y+dy y, x+dx x, v from emb, shape, cyc where i > 0 and z+dz between 0 and nz-1 and y+dy between 0 and ny-1 and x+dx between 0 and nx-1), bk as (select a.i, z-dz z, y-dy y, x-dx x, v from a join cyc using (i))", [f"select 'cycle/'||c.i||'/0' pair_id, '{ph}' phase, cast(f.v as double) a, cast(coalesce(m.v, 0) as double) b from emb f cross join (select i from cyc where i > 0) c left join {t} m on m.i=c.i and m.z=f.z and m.y=f.y and m.x=f.x" for ph, t in (("before", "a"), ("after", "bk"))]),
     "x5_manifest": E + ", " + _CYCLES + " select cast(2*i+channel as int) as position, cast(i as varchar) as cycle, channel, printf('all/out_C%03d', 2*i+channel) as path from cyc, (select unnest([0, 1]) channel) where (select count(*) from emb) > 0",
     "e3_phase": EM + ", " + _scores(3, "emb", "mov") + f" select 'emb' volume_id, dz, dy, dx from scores order by {_FIRST} limit 1",
+    "e3_subvoxel": EM + ", " + _scores(3, "emb", "mov") + f" select 'emb' volume_id, cast(dz as double) dz, cast(dy as double) dy, cast(dx as double) dx from scores order by {_FIRST} limit 1",
     "e5_refine": _LOCAL + "select tile_index, dz, dy, dx, skipped from loc",
     "e6_intracycle": E + ", " + _CHANNELS + ", ref as (select c, emb.* from emb, sh), " + _scores(2, "ref", "m", "c") + f" select c as channel, dz, dy, dx, round(ncc, 6) ncc from (select *, row_number() over (partition by c order by {_FIRST}) k from scores) where k = 1",
     "w4_center_slices": E + "select 'xy' plane, z, y, x, v from emb, shape where z=nz//2 union all select 'xz', z, y, x, v from emb, shape where y=ny//2 union all select 'yz', z, y, x, v from emb, shape where x=nx//2",
@@ -763,5 +772,5 @@ SQL = {
         for a in "zyx"),
 }
 
-_FUNCTIONS = (x1_roi_channels, x2_dim_and_bright, e2_information, e4_stages, e5_demons, r3_coarse, r4_one_pass, p8_float_robust, a5_float_stats, x5_report, x5_manifest, e1_brick_moments, w7_stacked, p1_crop, p4_stride, p5_downsample, p6_transpose, p7_conform, p8_uint16, p9_uint8, a5_array_stats, a5_value_percentiles, r1_affine, r2_resample, r3_field, r4_composed, r5_nearest, j2_tiles_of_bricks, j3_padded, t6_blend, x2_tiled_apply, a4_report, a1_ncc, a2_nrmse, a3_nmi, j1_pairs, a6_threshold, a7_foreground, a8_usable, e1_moments, e1_translation, e2_shift, e3_phase, e4_affine, e5_refine, e6_intracycle, w4_center_slices, w5_overlay, w6_fit_panel, w7_stack, x1_roi_registration, x3_intracycle, x4_preview, x5_all_cycles, x6_seams)
+_FUNCTIONS = (e3_subvoxel, x1_roi_channels, x2_dim_and_bright, e2_information, e4_stages, e5_demons, r3_coarse, r4_one_pass, p8_float_robust, a5_float_stats, x5_report, x5_manifest, e1_brick_moments, w7_stacked, p1_crop, p4_stride, p5_downsample, p6_transpose, p7_conform, p8_uint16, p9_uint8, a5_array_stats, a5_value_percentiles, r1_affine, r2_resample, r3_field, r4_composed, r5_nearest, j2_tiles_of_bricks, j3_padded, t6_blend, x2_tiled_apply, a4_report, a1_ncc, a2_nrmse, a3_nmi, j1_pairs, a6_threshold, a7_foreground, a8_usable, e1_moments, e1_translation, e2_shift, e3_phase, e4_affine, e5_refine, e6_intracycle, w4_center_slices, w5_overlay, w6_fit_panel, w7_stack, x1_roi_registration, x3_intracycle, x4_preview, x5_all_cycles, x6_seams)
 QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in _FUNCTIONS}
