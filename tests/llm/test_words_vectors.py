@@ -208,3 +208,9 @@ def test_negatives_against_sql(spark, sf, duck):
     cur = duck.execute(queries.SQL["op13_hard_negatives"])
     names = [d[0] for d in cur.description]
     assert {tuple(r[c] for c in names) for r in queries.op13_hard_negatives(spark, sf).collect()} == set(cur.fetchall())
+
+
+def test_rules_against_sql(spark, sf, duck):
+    cur = duck.execute(queries.SQL["op12_quality_rules"])
+    names = [d[0] for d in cur.description]
+    assert {tuple(r[c] for c in names) for r in queries.op12_quality_rules(spark, sf).collect()} == set(cur.fetchall())

@@ -121,6 +121,33 @@ SQL = {
         links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
         nodes as (select doc_id id from documents), {_REACHED}
         select id doc_id, coalesce(n, 0) n_shingles, component_id, id = component_id kept from classes left join n on n.doc_id = id""",
+    "op12_quality_rules": rf"""
+        with d as (select row_number() over () id, doc_id, coalesce(lang, '') s, coalesce(text, '') x from documents),
+        w as (select *, list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda q: q <> '') w, list_filter(string_split(x, chr(10)), lambda q: regexp_matches(q, '[^\x20\x09-\x0D]')) l from d),
+        win as (select id, unnest(range(1, len(w) - 1)) i, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) g from w),
+        twice as (select id, i from win qualify count(*) over (partition by id, g) > 1),
+        rep as (select id, count(distinct i + k) n from twice, (select unnest([0, 1, 2]) k) group by id),
+        b as (select w.id, doc_id, s, len(w)::bigint n_words, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g'))::bigint word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols,
+              (len(l) - len(list_distinct(l)))::bigint n_dup_lines, coalesce(n, 0)::bigint n_repeat_words, len(l) n_lines from w left join rep using (id)),
+        f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
+              [least({rules.TOP}, coalesce(100 * n_symbols // nullif(n_words, 0), 0)), least({rules.TOP}, coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0)), least({rules.TOP}, coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0)),
+               least({rules.TOP}, coalesce(20 * word_chars // nullif(n_words, 0), 0)), {rules.TOP} - least({rules.TOP}, coalesce(20 * word_chars // nullif(n_words, 0), 0))] g from b),
+        lab as (select doc_id, max(quality) >= 1 good from labels where quality is not null and doc_id is not null group by doc_id),
+        known as (select f.s, good, g, substr(md5(f.doc_id::varchar), 1, 1) < '8' tuning from f join lab using (doc_id) where not base_failed),
+        each as (select s, good, unnest(range(0, 5)) r, unnest(g) v from known where tuning),
+        c as (select s, r, v, count(*) filter (good) a, count(*) filter (not good) z from each group by all),
+        sums as (select s, r, v, sum(a) over (partition by s, r) na, sum(z) over (partition by s, r) nz, coalesce(sum(a) over o, 0) a, coalesce(sum(z) over o, 0) z from c window o as (partition by s, r order by v desc rows between unbounded preceding and 1 preceding)),
+        steps as (select *, row_number() over (partition by s, r, j order by v) k from sums, (select unnest(range(0, {rules.LEVELS + 1})) j) where a <= floor(na * j * ({rules.RISK / rules.LEVELS}::double))),
+        cuts as (select s, j, list(case when z > 0 and z * na >= {rules.LIFT} * a * nz then v end order by r) cut from steps where k = 1 group by s, j),
+        hit as (select known.s, tuning, good, j, list_bool_or([coalesce(g[i] > cut[i], false) for i in range(1, 6)]) h from known join cuts on known.s = cuts.s),
+        shares as (select s, j, count(*) filter (tuning and good and h) tg, count(*) filter (tuning and good) tga, count(*) filter (tuning and not good and h) tb, count(*) filter (tuning and not good) tba,
+                   count(*) filter (not tuning and good and h) k, count(*) filter (not tuning and good) n from hit group by all),
+        tail as (select *, case when n = 0 or k > n * {rules.RISK}::double then 1 else list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rules.RISK}::double) + (n - i) * ln(1 - {rules.RISK}::double)) for i in range(0, k + 1)]) end p from shares),
+        pick as (select * from tail where p <= {rules.ERROR}::double / (select count(distinct s) from known)
+                 qualify row_number() over (partition by s order by coalesce(tb / nullif(tba, 0), 0) - coalesce(tg / nullif(tga, 0), 0) desc, j) = 1),
+        verdict as (select f.*, pick.j, list_position([coalesce(g[i] > cut[i], false) for i in range(1, 6)], true) h from f left join pick on pick.s = f.s left join cuts on cuts.s = f.s and cuts.j = pick.j)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(h, 0) = 0 kept,
+               case when base_failed then 'base' when coalesce(h, 0) > 0 then {list(rules.RULES)!r}[h] end "rule", j::integer "level" from verdict""",
     "op13_hard_negatives": """
         with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, [floor(256 * x::double) for x in embedding] q from embeddings
                    where vec_id is not null and label is not null and embedding is not null and list_bool_and([x is not null and isfinite(x) for x in embedding])),
