@@ -99,6 +99,6 @@ def percentiles(bricks: DataFrame, at: list[float], group: tuple = ("volume_id",
     def linear(p: float):
         h = F.lit(float(p)) * (F.col("n") - 1)
         low, high = (F.try_element_at("of", rank(p, f)) for f in (F.floor, F.ceil))
-        return F.when(low == high, low).otherwise(low + (high - low) * (h - F.floor(h)))
+        return F.when(low == high, low).otherwise((F.ceil(h) - h) * low + (h - F.floor(h)) * high)  # as Spark's percentile rounds
 
     return known.select(*group, "n", F.array(*[linear(p) for p in at]).alias("q"))
