@@ -67,12 +67,12 @@ def _shifted(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple,
     """score(row, overlap of fixed, overlap of moving) -> rows, for each brick, tile (0 without tiles) and whole shift within radius of start.
 
     A brick of fixed meets the moving box around it once; all shifts are scored in its task. extra: columns by volume_id and channel."""
-    wanted = fixed.join(extra, ["volume_id", "channel"])
+    wanted = fixed.join(F.broadcast(extra), ["volume_id", "channel"])  # a row for each pair, so that no pixel is shuffled for it
     if start is None:
         wanted = wanted.withColumns({f"s{a}": F.lit(0) for a in AXES})
         ahead = resample.with_transforms(moving, resample.IDENTITY, (0, 0, 0), None)
     else:
-        wanted = wanted.join(start.select("volume_id", "channel", *[F.col(f"s{a}").cast("int").alias(f"s{a}") for a in AXES]), ["volume_id", "channel"])
+        wanted = wanted.join(F.broadcast(start.select("volume_id", "channel", *[F.col(f"s{a}").cast("int").alias(f"s{a}") for a in AXES])), ["volume_id", "channel"])
         ahead = resample.with_transforms(moving, resample.IDENTITY, (0, 0, 0), translations(start.withColumnsRenamed({f"s{a}": f"d{a}" for a in AXES})))
     if tiles is None:
         wanted = wanted.withColumn("tiles", F.lit(None).cast("array<int>"))

@@ -85,7 +85,7 @@ def with_transforms(df: DataFrame, m, t, transforms: DataFrame | None) -> DataFr
     if transforms is None:
         return same
     on = [c for c in ("volume_id", "channel") if c in transforms.columns]
-    return df.join(transforms.select(*on, "m", "t"), on)
+    return df.join(F.broadcast(transforms.select(*on, "m", "t")), on)  # a row for each volume and channel, so that no pixel is shuffled for it
 
 
 def sent(moving: DataFrame, moving_shape: Triple, shape: Triple, brick: Triple, reach: float = 0.0) -> DataFrame:
