@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from voxelbrick.operators import bricks as B
 from voxelbrick.operators import manifest as M
 from voxelbrick.operators import resample
-from voxelbrick.plans.volumes import BRICK, bricks, long
+from voxelbrick.plans.volumes import BRICK, bricks, long, volume
 from voxelbrick.sources import fixtures as X
-from voxelbrick.sources import roi, tiff
+from voxelbrick.sources import pages, roi, tiff
 from voxelbrick.sources.scratch import folder, stored
 from voxelbrick.streaming.apply import stream_apply
 
@@ -41,6 +41,16 @@ def s8_read_tiff(spark, sf_dir):
     return back.groupBy(F.regexp_extract("volume_id", r"z([0-9]+)\.tif", 1).cast("int").alias("z")).agg(F.count("*").alias("bricks"), F.sum(F.col("ny") * F.col("nx")).alias("voxels"), F.max("dtype").alias("dtype"))
 
 
+def s8_tiff_pages(spark, sf_dir):
+    """Files of ten planes each, read by ranges of pages, planes 4 to 7 of each file left out by the source."""
+    v, shape = volume(spark, sf_dir)
+    slabs = tiff.write_tiff_slabs(B.to_bricks(v, shape, BRICK, "uint16"), shape, 10)
+    tiff.save_files(slabs, path := folder(spark, "pages")).agg(F.sum("bytes")).collect()
+    some = pages.read_tiff_pages(spark, path, (4, 16, 32), (0, 4)).unionByName(pages.read_tiff_pages(spark, path, (4, 16, 32), (8, 10)))
+    z = F.regexp_extract("volume_id", r"z([0-9]+)\.tif", 1).cast("int") + F.col("z")
+    return B.to_voxels(some).select(z.alias("z"), "y", "x", "v")
+
+
 def s7_stack(spark, sf_dir):
     p, shape = _planes(spark, sf_dir)
     return long(tiff.assemble_stack(p, shape, BRICK))
@@ -70,8 +80,9 @@ E = X.sql("emb", "shape")
 SQL = {
     "s9_tiff_planes": E + "select z, y, x, cast(v as double) v from emb",
     "s8_read_tiff": E + "select z, cast(ceil(ny/32.0)*ceil(nx/64.0) as bigint) bricks, cast(ny*nx as bigint) voxels, 'uint16' dtype from shape, (select distinct z from emb)",
+    "s8_tiff_pages": E + "select z, y, x, cast(v as double) v from emb where z % 10 < 4 or z % 10 >= 8",
     "s7_stack": E + "select z, y, x, cast(v as double) v from emb",
     "s11_roi_csv": X.sql("roi_pts") + ", b as (select roi_id, cast(floor(min(px)) as int) x0, cast(ceil(max(px)) as int) x1, cast(floor(min(py)) as int) y0, cast(ceil(max(py)) as int) y1 from roi_pts group by roi_id) select *, x1 <= x0 or y1 <= y0 as \"empty\" from b",
     "st1_stream_apply": X.sql("evt") + "select cycle, channel, count(*) voxels, cast(sum(v) as bigint) total from evt where z-1 >= 0 and x+2 <= (select max(x) from evt) and v <> 0 group by cycle, channel",
 }
-QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in (s7_stack, s8_read_tiff, s9_tiff_planes, s11_roi_csv, st1_stream_apply)}
+QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in (s7_stack, s8_read_tiff, s8_tiff_pages, s9_tiff_planes, s11_roi_csv, st1_stream_apply)}

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelbrick.functions.kernels import unpacked
-from voxelbrick.operators.bricks import AXES, Triple, _cut, _row, frame, regrid
+from voxelbrick.operators.bricks import AXES, Triple, _cut, _mapped, _row, frame, regrid
 from voxelbrick.schema import BRICKS
 
 # Fixed values of the format: tags, field sizes, sample formats.
@@ -25,52 +26,92 @@ _FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 16: "Q"}
 _DTYPES = {(8, 1): "u1", (16, 1): "u2", (32, 3): "f4"}
 
 
-def _pages(data: bytes) -> Iterator[tuple[str, dict]]:
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 16:
-        raise ValueError("not a TIFF file")
-    version = struct.unpack_from(order + "H", data, 2)[0]
-    if version not in (42, 43):
-        raise ValueError("not a TIFF file")
-    big = version == 43
-    at = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
-    head, size, entry = ("Q", 8, 20) if big else ("H", 2, 12)
-    seen = set()
-    while at:
-        if at in seen or at >= len(data):
+class Ranged:
+    """A TIFF file by ranges: read(offset, n) gives the n bytes at offset, fewer where the file ends."""
+
+    def __init__(self, read: Callable[[int, int], bytes]):
+        head = read(0, 16)
+        order = {b"II": "<", b"MM": ">"}.get(head[:2])
+        if order is None or len(head) < 16 or (version := struct.unpack_from(order + "H", head, 2)[0]) not in (42, 43):
+            raise ValueError("not a TIFF file")
+        self._read, self.order, self.big = read, order, version == 43
+        self.first = struct.unpack_from(order + ("Q" if self.big else "I"), head, 8 if self.big else 4)[0]
+
+    def _bytes(self, at: int, n: int) -> bytes:
+        got = self._read(at, n)
+        if len(got) < n:
             raise ValueError("the chain of pages turns back or leaves the file")
-        seen.add(at)
-        n = struct.unpack_from(order + head, data, at)[0]
-        tags = {}
-        for i in range(n):
-            o = at + size + i * entry
-            tag, kind = struct.unpack_from(order + "HH", data, o)
-            count = struct.unpack_from(order + ("Q" if big else "I"), data, o + 4)[0]
+        return got
+
+    def _number(self, code: str, at: int) -> int:
+        return struct.unpack(self.order + code, self._bytes(at, struct.calcsize("<" + code)))[0]
+
+    def chain(self) -> Iterator[int]:
+        """Where each page's directory is: two short reads a page, no pixels."""
+        at, seen = self.first, set()
+        head, size, entry = ("Q", 8, 20) if self.big else ("H", 2, 12)
+        while at:
+            if at in seen:
+                raise ValueError("the chain of pages turns back or leaves the file")
+            seen.add(at)
+            yield at
+            at = self._number("Q" if self.big else "I", at + size + self._number(head, at) * entry)
+
+    def tags(self, at: int) -> dict:
+        """The fields of the directory at `at`."""
+        head, size, entry, word = ("Q", 8, 20, "Q") if self.big else ("H", 2, 12, "I")
+        table, out = self._bytes(at + size, self._number(head, at) * entry), {}
+        for o in range(0, len(table), entry):
+            tag, kind = struct.unpack_from(self.order + "HH", table, o)
+            count = struct.unpack_from(self.order + word, table, o + 4)[0]
             code = _FIELD.get(kind)
             if code is None:
                 continue
-            inline = o + (12 if big else 8)
-            nbytes = struct.calcsize("<" + code) * count
-            where = inline if nbytes <= (8 if big else 4) else struct.unpack_from(order + ("Q" if big else "I"), data, inline)[0]
-            tags[tag] = struct.unpack_from(f"{order}{count}{code}" if code != "II" else f"{order}{2 * count}I", data, where)
-        yield order, tags
-        at = struct.unpack_from(order + ("Q" if big else "I"), data, at + size + n * entry)[0]
+            form = f"{self.order}{count}{code}" if code != "II" else f"{self.order}{2 * count}I"
+            inline, n = o + entry - struct.calcsize("<" + word), struct.calcsize(form)
+            short = n <= struct.calcsize("<" + word)
+            out[tag] = struct.unpack_from(form, table, inline) if short else struct.unpack(form, self._bytes(struct.unpack_from(self.order + word, table, inline)[0], n))
+        return out
+
+    def rows(self, tags: dict, low: int, high: int) -> np.ndarray:
+        """Rows low..high of a page; only their bytes are read, strips that follow one another at once."""
+        kind, (height, width) = sample(tags), size_of(tags)
+        each = min(tags.get(ROWS, (height,))[0], height)
+        if len(tags[OFFSETS]) != -(-height // each):
+            raise ValueError("only uncompressed grayscale strips are read")
+        line, ranges = width * np.dtype(kind).itemsize, []
+        for i in range(low // each, -(-high // each)):
+            p, q = max(low, i * each), min(high, (i + 1) * each, height)
+            at, n = tags[OFFSETS][i] + (p - i * each) * line, (q - p) * line
+            if ranges and sum(ranges[-1]) == at:
+                ranges[-1] = (ranges[-1][0], ranges[-1][1] + n)
+            else:
+                ranges.append((at, n))
+        return np.frombuffer(b"".join(self._bytes(*r) for r in ranges), self.order + kind).reshape(high - low, width).astype(kind)
+
+
+def size_of(tags: dict) -> tuple[int, int]:
+    """(height, width) of a page."""
+    return tags[HEIGHT][0], tags[WIDTH][0]
+
+
+def sample(tags: dict) -> str:
+    """The dtype of a page's samples; compressed, tiled or many-sample pages raise ValueError."""
+    if tags.get(COMPRESSION, (1,))[0] != 1 or tags.get(SAMPLES, (1,))[0] != 1 or OFFSETS not in tags:
+        raise ValueError("only uncompressed grayscale strips are read")
+    kind = _DTYPES.get((tags.get(BITS, (1,))[0], tags.get(FORMAT, (1,))[0]))
+    if kind is None:
+        raise ValueError("only uint8, uint16 and float32 samples are read")
+    return kind
 
 
 def decode(data: bytes) -> np.ndarray:
     """(z, y, x); one page is z = 1. Compressed, tiled or many-sample files raise ValueError."""
-    planes = []
-    for order, t in _pages(data):
-        if t.get(COMPRESSION, (1,))[0] != 1 or t.get(SAMPLES, (1,))[0] != 1 or OFFSETS not in t:
-            raise ValueError("only uncompressed grayscale strips are read")
-        kind = _DTYPES.get((t.get(BITS, (1,))[0], t.get(FORMAT, (1,))[0]))
-        if kind is None:
-            raise ValueError("only uint8, uint16 and float32 samples are read")
-        raw = b"".join(data[o : o + n] for o, n in zip(t[OFFSETS], t[COUNTS], strict=True))
-        planes.append(np.frombuffer(raw, order + kind).reshape(t[HEIGHT][0], t[WIDTH][0]).astype(kind))
-    if len({p.shape for p in planes}) > 1 or len({p.dtype for p in planes}) > 1:
+    file = Ranged(lambda at, n: data[at : at + n])
+    pages = [file.tags(at) for at in file.chain()]
+    if len({(size_of(t), sample(t)) for t in pages}) > 1:
         raise ValueError("pages differ in shape or sample type")
-    return np.stack(planes)
+    return np.stack([file.rows(t, 0, size_of(t)[0]) for t in pages])
 
 
 def encode(volume: np.ndarray, big: bool = True) -> bytes:
@@ -144,20 +185,34 @@ def write_tiff_planes(bricks: DataFrame, shape: Triple, prefix: str = "out") ->
     return parts.groupBy("volume_id", "channel", "z").applyInPandas(join, "volume_id string, channel int, z int, path string, content binary")
 
 
+def write_tiff_slabs(bricks: DataFrame, shape: Triple, deep: int, prefix: str = "out") -> DataFrame:
+    """volume_id, channel, z0, path (<prefix>_C###/z#####.tif), content: a BigTIFF for each `deep` planes, one task a file, which it must hold in memory."""
+    slab = (deep, *shape[1:])
+    pieces = _mapped(bricks, lambda r, a: [_row(r.volume_id, r.channel, k, at, piece) for k, at, piece in _cut(r.volume_id, r.channel, np.array([r.z0, r.y0, r.x0]), a, slab)])
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                yield pd.DataFrame([(r.volume_id, r.channel, r.z0, f"{prefix}_C{r.channel:03d}/z{r.z0:05d}.tif", encode(unpacked(r)))], columns=["volume_id", "channel", "z0", "path", "content"])
+
+    return regrid(pieces, shape, slab).mapInPandas(write, "volume_id string, channel int, z0 int, path string, content binary")
+
+
 def save_files(files: DataFrame, folder: str) -> DataFrame:
-    """files (path, content) put under a folder that the executors mount; (path, bytes). A file is renamed when whole."""
+    """files (path, content) put under a folder, a mounted one or a URI of a store that pyarrow.fs opens; (path, bytes). A file is renamed when whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(folder)
         for b in batches:
             for r in b.itertuples():
-                full = os.path.join(folder, r.path)
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                with open(part := f"{full}.{os.getpid()}.part", "wb") as f:
+                full = f"{base}/{r.path}"
+                store.create_dir(os.path.dirname(full), recursive=True)
+                with store.open_output_stream(part := f"{full}.{os.getpid()}.part") as f:
                     f.write(bytes(r.content))
-                os.replace(part, full)
+                store.move(part, full)
             yield pd.DataFrame({"path": b["path"], "bytes": [len(x) for x in b["content"]]})
 
     return files.select("path", "content").mapInPandas(run, "path string, bytes long")
 
 
-__all__ = ["AXES", "assemble_stack", "decode", "encode", "read_tiff", "save_files", "write_tiff_planes"]
+__all__ = ["AXES", "assemble_stack", "decode", "encode", "read_tiff", "save_files", "write_tiff_planes", "write_tiff_slabs"]
