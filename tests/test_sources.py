@@ -97,3 +97,133 @@ def test_pages_that_differ_are_an_error(spark, tmp_path):
     (tmp_path / "a.tif").write_bytes(bytes(joined))
     with pytest.raises(Exception, match="pages differ"):
         pages.read_tiff_pages(spark, str(tmp_path), (4, 4, 4)).collect()
+
+
+# ---------------------------------------------------------------- bricks by place
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.fixture(scope="module")
+def cube(spark):
+    """A volume of 8 x 8 x 8 bricks, of 4 voxels a side, and a copy of it that lacks a brick."""
+    a = np.random.default_rng(3).integers(0, 1000, (32, 32, 32)).astype("uint16")
+    rows = [B._row("a", 0, k, at, piece) for k, at, piece in B._cut("a", 0, np.zeros(3, int), a, (4, 4, 4))]
+    df = spark.createDataFrame(rows, B.BRICKS)
+    return a, df, df.where("not (bz = 1 and by = 2 and bx = 3)").withColumn("volume_id", F.lit("b"))
+
+
+def test_cells_are_morton_keys(spark):
+    from voxelbrick.sources import placed
+
+    r = np.random.default_rng(4)
+    rows = [tuple(int(n) for n in r.integers(0, 2**17, 3)) for _ in range(50)] + [(0, 0, 0), (2**17 - 1,) * 3]
+    df = spark.createDataFrame(rows, "bz int, by int, bx int")
+    for grain in (0, 1, 3):
+        got = df.select("*", F.lit(4000).alias("channel")).select("*", placed.cell_of(grain).alias("c"), placed.place_of().alias("p")).collect()
+        assert all(g.c == placed.morton(g.bz >> grain, g.by >> grain, g.bx >> grain) for g in got)
+        assert all(g.p == (4000 << 51) + placed.morton(g.bz, g.by, g.bx) for g in got)
+
+
+def test_placed_volumes_meet_without_a_shuffle(spark, cube, tmp_path):
+    from voxelbrick.operators import metrics
+    from voxelbrick.sources import placed
+
+    _, f, m = cube
+    two = f.unionByName(f.withColumn("channel", F.lit(1)))
+    placed.place_bricks(two, "placed_a", str(tmp_path / "a"), 8, 2)
+    placed.place_bricks(m.unionByName(m.withColumn("channel", F.lit(1))), "placed_b", str(tmp_path / "b"), 8, 2)
+    a, b = (placed.read_placed(spark, t) for t in ("placed_a", "placed_b"))
+    pairs = metrics.pair_bricks(a, b)
+    assert "SortMergeJoin" in plan(pairs) and "Exchange" not in plan(pairs)
+    want = {tuple(r) for r in metrics.moments(metrics.pair_bricks(two, m.unionByName(m.withColumn("channel", F.lit(1))))).select("pair_id", "n", F.round("sab", 3)).collect()}
+    assert {tuple(r) for r in metrics.moments(pairs).select("pair_id", "n", F.round("sab", 3)).collect()} == want
+    for t in ("placed_a", "placed_b"):
+        spark.sql(f"drop table {t}")
+
+
+@pytest.mark.parametrize("low, high", [((3, 9, 17), (11, 15, 30)), ((0, 0, 0), (1, 1, 1)), ((0, 0, 0), (32, 32, 32)), ((31, 31, 31), (32, 32, 32))])
+def test_a_box_opens_a_share_of_the_files(spark, cube, tmp_path, low, high):
+    from voxelbrick.sources import placed
+
+    v, f, _ = cube
+    placed.place_bricks(f, "placed_box", str(tmp_path / "box"), 4, 1)
+    got = placed.crop_placed(spark, "placed_box", low, high, (4, 4, 4), 1)
+    assert np.array_equal(back(got, [q - p for p, q in zip(low, high)]), v[tuple(slice(p, q) for p, q in zip(low, high))])
+    cells = len(placed.box_cells(low, high, (4, 4, 4), 1))
+    box = placed.read_box(spark, "placed_box", low, high, (4, 4, 4), 1)
+    scan = [line for line in plan(box).split("\n") if "FileScan" in line][0]
+    assert "cell" in scan.split("PartitionFilters")[1].split("PushedFilters")[0] and "bz" in scan.split("PushedFilters")[1]
+    opened = {r.f for r in box.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert len(opened) <= 4 * cells and len({f.split("cell=")[1].split("/")[0] for f in opened}) == cells
+    spark.sql("drop table placed_box")
+
+
+# ---------------------------------------------------------------- the stream's state
+
+
+@pytest.fixture
+def cycle(spark, cube, tmp_path):
+    """Steps of a stream that keeps volumes as they are: put(rows) writes one new file, go(**options) runs it."""
+    from voxelbrick.operators import resample
+    from voxelbrick.streaming.apply import stream_apply
+
+    v, f, _ = cube
+    t = spark.createDataFrame([(n, list(resample.IDENTITY), [0.0] * 3) for n in "ab"], "volume_id string, m array<double>, t array<double>")
+    complete = spark.createDataFrame([("a", 512), ("b", 512)], "volume_id string, bricks long")
+
+    def put(df):
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def go(checkpoint="c", **o):
+        return stream_apply(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / checkpoint), (32, 32, 32), (4, 4, 4), t, complete, **o)
+
+    return v, f, put, go
+
+
+def test_a_repeated_brick_does_not_complete_a_volume(spark, cycle, tmp_path):
+    v, f, put, go = cycle
+    put(f.where("bz < 4"))
+    assert go().count() == 0
+    put(f.where("bz < 7"))
+    put(f.where("bz < 4"))
+    assert go().count() == 0  # 960 rows, 448 bricks
+    changed = f.where("bz = 7").unionByName(f.where("bz = 7 and by = 0"))  # a file that holds bricks twice
+    put(changed)
+    out = go()
+    assert out.count() == 512 and np.array_equal(back(out, v.shape), v)
+    again = spark.read.parquet(str(tmp_path / "out-found")).where("bz < 4").select("file").distinct().collect()
+    assert len(again) == 1  # the last of the three files that hold these
+    put(f.where("bz = 0"))
+    go()
+    assert spark.read.parquet(str(tmp_path / "out-found")).count() == 512  # a done volume stays as it is
+
+
+def test_the_last_brick_counts_and_force_makes_again(spark, cycle, cube):
+    v, f, put, go = cycle
+    old = f.withColumn("data", F.when(F.col("bz") == 2, cube[1].select("data").first().data).otherwise(F.col("data")))
+    put(old)
+    assert not np.array_equal(back(go(force=True), v.shape), v)
+    put(f.where("bz = 2"))
+    assert np.array_equal(back(go(force=True), v.shape), v)
+
+
+def test_two_volumes_over_many_batches(spark, cycle):
+    v, f, put, go = cycle
+    for z in range(0, 8, 2):
+        put(f.where(f"bz between {z} and {z + 1}").unionByName(f.where(f"bz = {z}").withColumn("volume_id", F.lit("b"))))
+    put(f.where("bz in (1, 3)").withColumn("volume_id", F.lit("b")))
+    out = go(files_a_batch=2)
+    assert {r.volume_id for r in out.select("volume_id").distinct().collect()} == {"a"} and np.array_equal(back(out, v.shape), v)
+    put(f.where("bz in (5, 7)").withColumn("volume_id", F.lit("b")))
+    out = go()
+    assert out.count() == 1024 and np.array_equal(back(out.where("volume_id = 'b'"), v.shape), v)
+
+
+def test_bricks_outside_the_grid_are_an_error(spark, cycle):
+    _, f, put, go = cycle
+    put(f.where("bz = 1").withColumn("bz", F.lit(9)))
+    with pytest.raises(Exception, match="outside the grid"):
+        go("c2")

@@ -25,11 +25,15 @@ def pair_bricks(fixed: DataFrame, moving: DataFrame, pair_id: str = "pair", phas
     """Bricks of the same place joined on their key, whatever their volume_id; a pair is cropped to the smaller brick on each axis.
 
     A brick that one side lacks counts as zeros of the other's size. shapes: those of fixed and moving, if they differ; pairs
-    are cropped to the smaller one on each axis. by_volume: only bricks of equal volume_id meet, and the pair's name has it."""
+    are cropped to the smaller one on each axis. by_volume: only bricks of equal volume_id meet, and the pair's name has it.
+    Bricks of tables placed in equally many buckets (sources.placed) have a place, and meet without a shuffle, unless by_volume."""
     cols = ("nz", "ny", "nx", "dtype", "data")
     on = [*(["volume_id"] if by_volume else []), "channel", "bz", "by", "bx"]
-    side = lambda df, p: df.select(*on, *[F.col(f"{a}0").alias(f"{p}_{a}0") for a in "zyx"], *[F.col(c).alias(f"{p}_{c}") for c in cols])
-    both = side(fixed, "a").join(side(moving, "b"), on, "full")
+    placed = "place" in fixed.columns and "place" in moving.columns
+    meet = [c for c in on if c == "volume_id"] + ["place"] if placed else on
+    rest = [c for c in on if c not in meet]
+    side = lambda df, p: df.select(*meet, *[F.col(c).alias(f"{p}_{c}") for c in rest], *[F.col(f"{a}0").alias(f"{p}_{a}0") for a in "zyx"], *[F.col(c).alias(f"{p}_{c}") for c in cols])
+    both = side(fixed, "a").join(side(moving, "b"), meet, "full").withColumns({c: F.coalesce(f"a_{c}", f"b_{c}") for c in rest})
     for i, a in enumerate("zyx"):
         size = F.least(F.col(f"a_n{a}"), F.col(f"b_n{a}"))  # null if one side is absent: least skips it
         if shapes:

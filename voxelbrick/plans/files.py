@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from voxelbrick.operators import bricks as B
 from voxelbrick.operators import manifest as M
-from voxelbrick.operators import resample
-from voxelbrick.plans.volumes import BRICK, bricks, long, volume
+from voxelbrick.operators import metrics, resample
+from voxelbrick.plans.volumes import BOX, BRICK, bricks, long, moved, volume
+from voxelbrick.plans.volumes import SQL as VOLUMES
+from voxelbrick.plans.volumes import _pair, _report
 from voxelbrick.sources import fixtures as X
-from voxelbrick.sources import pages, roi, tiff
+from voxelbrick.sources import pages, placed, roi, tiff
 from voxelbrick.sources.scratch import folder, stored
 from voxelbrick.streaming.apply import stream_apply
 
@@ -51,6 +53,25 @@ def s8_tiff_pages(spark, sf_dir):
     return B.to_voxels(some).select(z.alias("z"), "y", "x", "v")
 
 
+def _placed(spark, b, name):
+    path = folder(spark, name)
+    placed.place_bricks(b, table := path.rsplit("/", 1)[1].replace("-", "_"), path, 8, 1)
+    return table
+
+
+def s10_box(spark, sf_dir):
+    """A box out of a table of bricks partitioned by cells."""
+    b, _ = bricks(spark, sf_dir)
+    return long(placed.crop_placed(spark, _placed(spark, b, "placed"), *BOX, BRICK, 1))
+
+
+def j1_placed(spark, sf_dir):
+    """Fixed and moving out of bucketed tables: no pixel is shuffled for the report."""
+    f, m = (placed.read_placed(spark, _placed(spark, make(spark, sf_dir)[0], name)) for make, name in ((bricks, "fixed"), (moved, "moving")))
+    r = metrics.similarity(metrics.pair_bricks(f, m))
+    return r.select("pair_id", "phase", *[F.round(c, 6).alias(c) for c in ("ncc", "nmi", "nrmse")])
+
+
 def s7_stack(spark, sf_dir):
     p, shape = _planes(spark, sf_dir)
     return long(tiff.assemble_stack(p, shape, BRICK))
@@ -81,8 +102,10 @@ SQL = {
     "s9_tiff_planes": E + "select z, y, x, cast(v as double) v from emb",
     "s8_read_tiff": E + "select z, cast(ceil(ny/32.0)*ceil(nx/64.0) as bigint) bricks, cast(ny*nx as bigint) voxels, 'uint16' dtype from shape, (select distinct z from emb)",
     "s8_tiff_pages": E + "select z, y, x, cast(v as double) v from emb where z % 10 < 4 or z % 10 >= 8",
+    "s10_box": VOLUMES["p1_crop"],
+    "j1_placed": _report("pair/0", X.sql("emb", "shape", "mov"), [_pair("emb", "mov", "before", "pair/0")]),
     "s7_stack": E + "select z, y, x, cast(v as double) v from emb",
     "s11_roi_csv": X.sql("roi_pts") + ", b as (select roi_id, cast(floor(min(px)) as int) x0, cast(ceil(max(px)) as int) x1, cast(floor(min(py)) as int) y0, cast(ceil(max(py)) as int) y1 from roi_pts group by roi_id) select *, x1 <= x0 or y1 <= y0 as \"empty\" from b",
     "st1_stream_apply": X.sql("evt") + "select cycle, channel, count(*) voxels, cast(sum(v) as bigint) total from evt where z-1 >= 0 and x+2 <= (select max(x) from evt) and v <> 0 group by cycle, channel",
 }
-QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in (s7_stack, s8_read_tiff, s8_tiff_pages, s9_tiff_planes, s11_roi_csv, st1_stream_apply)}
+QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in (s7_stack, s8_read_tiff, s8_tiff_pages, s10_box, j1_placed, s9_tiff_planes, s11_roi_csv, st1_stream_apply)}
