@@ -15,6 +15,18 @@ def unpacked(row) -> np.ndarray:
     return np.frombuffer(row.data, row.dtype).reshape(row.nz, row.ny, row.nx)
 
 
+def given(row) -> np.ndarray:
+    """Which voxels of a brick row had a row: its mask, or all if it has none."""
+    mask = getattr(row, "mask", None)
+    shape = (int(row.nz), int(row.ny), int(row.nx))
+    return np.ones(shape, bool) if mask is None else np.frombuffer(mask, bool).reshape(shape)
+
+
+def masked(there: np.ndarray) -> bytes | None:
+    """given()'s inverse."""
+    return None if there.all() else np.ascontiguousarray(there).tobytes()
+
+
 def _neighbours(c: np.ndarray, n: int, origin: int, size: int, mode: str) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of coordinates along one axis: the index in src and the weight of each neighbour; weight 0 where they are outside the volume.
 
@@ -78,9 +90,10 @@ def cosine_ramp(n: int, overlap: int, low: float = 1e-4) -> np.ndarray:
     if reach <= 0:
         return np.ones(n)
     to_edge = np.minimum(np.arange(n), np.arange(n)[::-1])
-    return np.clip(np.sin(np.pi / 2 * np.minimum(to_edge / reach, 1)) ** 2, low, 1)
+    return np.where(to_edge < reach, np.maximum(0.5 * (1 - np.cos(np.pi * to_edge / reach)), low), 1.0)
 
 
 def box_weights(sizes, overlaps) -> np.ndarray:
     """The product of the three axes' weights."""
-    return np.einsum("i,j,k->ijk", *map(cosine_ramp, sizes, overlaps))
+    z, y, x = map(cosine_ramp, sizes, overlaps)
+    return z[:, None, None] * y[:, None] * x

@@ -2,6 +2,9 @@
 
 Bricks have a fixed side per axis and are keyed (volume_id, channel, bz, by, bx); border bricks are smaller. Work on a
 brick stays in its task; only to_bricks shuffles, by the brick's key, which every later equi-join shares.
+
+A missing voxel is 0. A table that must tell it from one that was given as 0 has a column mask (to_bricks with given): statistics,
+similarity and the long form then leave it out; what is resampled, padded or pooled has a number for each voxel, and no mask.
 """
 
 from __future__ import annotations
@@ -13,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelbrick.functions.kernels import packed, unpacked
-from voxelbrick.schema import BRICKS, KEY, VOXELS
+from voxelbrick.functions.kernels import given as given_
+from voxelbrick.functions.kernels import masked, packed, unpacked
+from voxelbrick.schema import BRICKS, KEY, MASK, VOXELS
 
 AXES = ("z", "y", "x")
 Triple = tuple[int, int, int]
@@ -33,12 +37,25 @@ def _row(volume, channel, b, start, a: np.ndarray) -> tuple:
 _COLUMNS = [c.split()[0] for c in BRICKS.split(", ")]
 
 
-def frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=_COLUMNS)
+def frame(rows: list[tuple], mask: bool = False) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[*_COLUMNS, "mask"] if mask else _COLUMNS)
+
+
+def has_mask(bricks: DataFrame) -> bool:
+    return "mask" in bricks.columns
+
+
+def columns(bricks: DataFrame) -> list[str]:
+    """The columns of bricks as such, with the mask if there is one."""
+    return [*_COLUMNS, "mask"] if has_mask(bricks) else _COLUMNS
+
 
+def _kind(mask: bool) -> str:
+    return f"{BRICKS}, {MASK}" if mask else BRICKS
 
-def to_bricks(voxels: DataFrame, shape: Triple, brick: Triple = (16, 16, 32), dtype: str = "float64") -> DataFrame:
-    """voxels (volume_id, channel, z, y, x, v) to bricks; voxels outside shape are dropped, missing ones are 0."""
+
+def to_bricks(voxels: DataFrame, shape: Triple, brick: Triple = (16, 16, 32), dtype: str = "float64", given: bool = False) -> DataFrame:
+    """voxels (volume_id, channel, z, y, x, v) to bricks; voxels outside shape are dropped, missing ones are 0. given: with a mask of the others."""
     v = voxels.select(F.col("volume_id").cast("string").alias("volume_id"), F.col("channel").cast("int").alias("channel"), *[F.col(a).cast("int").alias(a) for a in AXES], F.col("v").cast("double").alias("v"))
     for a, n, s in zip(AXES, shape, brick, strict=True):
         v = v.where(F.col(a).between(0, n - 1)).withColumn(f"b{a}", F.floor(F.col(a) / s).cast("int"))
@@ -47,14 +64,21 @@ def to_bricks(voxels: DataFrame, shape: Triple, brick: Triple = (16, 16, 32), dt
         b = key[2:]
         start = [k * s for k, s in zip(b, brick, strict=True)]
         out = np.zeros([min(s, n - a) for s, n, a in zip(brick, shape, start, strict=True)], dtype)
-        out[tuple(rows[a].to_numpy() - o for a, o in zip(AXES, start, strict=True))] = rows["v"].to_numpy()
-        return frame([_row(key[0], key[1], b, start, out)])
+        at = tuple(rows[a].to_numpy() - o for a, o in zip(AXES, start, strict=True))
+        out[at] = rows["v"].to_numpy()
+        row = _row(key[0], key[1], b, start, out)
+        if given:
+            there = np.zeros(out.shape, bool)
+            there[at] = True
+            row = (*row, masked(there))
+        return frame([row], given)
 
-    return v.groupBy(*KEY).applyInPandas(fill, BRICKS)
+    return v.groupBy(*KEY).applyInPandas(fill, _kind(given))
 
 
 def to_voxels(bricks: DataFrame, zeros: bool = True) -> DataFrame:
-    """The long form of bricks. zeros: keep voxels that are 0."""
+    """The long form of bricks, of the voxels that were given where there is a mask. zeros: keep voxels that are 0."""
+    mask = has_mask(bricks)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -62,19 +86,29 @@ def to_voxels(bricks: DataFrame, zeros: bool = True) -> DataFrame:
                 a = unpacked(r)
                 z, y, x = np.indices(a.shape)
                 out = pd.DataFrame({"volume_id": r.volume_id, "channel": r.channel, "z": z.ravel() + r.z0, "y": y.ravel() + r.y0, "x": x.ravel() + r.x0, "v": a.ravel().astype(np.float64)})
+                out = out[given_(r).ravel()] if mask and r.mask is not None else out
                 yield out if zeros else out[out["v"] != 0]
 
     return bricks.mapInPandas(spread, VOXELS)
 
 
 def _mapped(bricks: DataFrame, fn) -> DataFrame:
-    """fn(row, array) gives rows of new bricks for one brick."""
+    """fn(row, array) gives rows of new bricks for one brick; it moves voxels only, and a mask as it does them."""
+    mask = has_mask(bricks)
+
+    def rows(r):
+        if not mask:
+            yield from fn(r, unpacked(r))
+        elif r.mask is None:
+            yield from ((*x, None) for x in fn(r, unpacked(r)))
+        else:
+            yield from ((*x, y[-1]) for x, y in zip(fn(r, unpacked(r)), fn(r, given_(r)), strict=True))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield frame([x for r in b.itertuples() for x in fn(r, unpacked(r))])
+            yield frame([x for r in b.itertuples() for x in rows(r)], mask)
 
-    return bricks.mapInPandas(run, BRICKS)
+    return bricks.mapInPandas(run, _kind(mask))
 
 
 def _cut(volume, channel, start: np.ndarray, a: np.ndarray, brick: Triple):
@@ -89,16 +123,46 @@ def _cut(volume, channel, start: np.ndarray, a: np.ndarray, brick: Triple):
 
 def regrid(pieces: DataFrame, shape: Triple, brick: Triple) -> DataFrame:
     """Pieces (bricks keyed right, but covering parts of them) merged to whole bricks of the grid."""
+    mask = has_mask(pieces)
 
     def merge(key, rows: pd.DataFrame) -> pd.DataFrame:
         start = [k * s for k, s in zip(key[2:], brick, strict=True)]
         out = np.zeros([min(s, n - a) for s, n, a in zip(brick, shape, start, strict=True)], rows["dtype"].iloc[0])
+        there = np.zeros(out.shape, bool)
         for r in rows.itertuples():
             a = unpacked(r)
-            out[tuple(slice(p - o, p - o + n) for p, o, n in zip((r.z0, r.y0, r.x0), start, a.shape, strict=True))] = a
-        return frame([_row(key[0], key[1], key[2:], start, out)])
+            at = tuple(slice(p - o, p - o + n) for p, o, n in zip((r.z0, r.y0, r.x0), start, a.shape, strict=True))
+            out[at] = a
+            if mask:
+                there[at] = given_(r)
+        row = _row(key[0], key[1], key[2:], start, out)
+        return frame([(*row, masked(there)) if mask else row], mask)
+
+    return pieces.groupBy(*KEY).applyInPandas(merge, _kind(mask))
+
+
+def on_voxels_of(bricks: DataFrame, like: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """bricks on exactly the voxels that like has by its mask, on the same grid: 0 where bricks have none.
 
-    return pieces.groupBy(*KEY).applyInPandas(merge, BRICKS)
+    ids (volume_id, channel, a few rows): the same voxels for each of them, in place of like's own. Of like only keys and masks are read."""
+    want = like.select(*KEY, *[c for c in _COLUMNS if c[1:] == "0" or c[0] == "n"], "mask")
+    if ids is not None:
+        want = want.drop("volume_id", "channel").crossJoin(F.broadcast(ids.select("volume_id", "channel").distinct()))
+    have = bricks.select(*KEY, *[F.col(c).alias(f"s_{c}") for c in ("nz", "ny", "nx", "dtype", "data")])
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                out = np.zeros((r.nz, r.ny, r.nx), r.s_dtype or np.float64)
+                if r.s_data is not None:
+                    a = np.frombuffer(r.s_data, r.s_dtype).reshape(int(r.s_nz), int(r.s_ny), int(r.s_nx))
+                    part = a[tuple(slice(0, n) for n in out.shape)]
+                    out[tuple(slice(0, n) for n in part.shape)] = part
+                rows.append((*_row(r.volume_id, r.channel, (r.bz, r.by, r.bx), (r.z0, r.y0, r.x0), out), r.mask))
+            yield frame(rows, True)
+
+    return want.join(have, KEY, "left").mapInPandas(fit, _kind(True))
 
 
 def crop(bricks: DataFrame, low: Triple, high: Triple, brick: Triple) -> DataFrame:
@@ -165,12 +229,13 @@ def pooled(bricks: DataFrame, steps: list[Triple], shape: Triple, brick: Triple)
 
 
 def conform(bricks: DataFrame, ids: DataFrame, shape: Triple, brick: Triple, pad: float = 0.0, dtype: str = "float64") -> DataFrame:
-    """Each (volume_id, channel) of ids padded or cropped at the high ends to shape; every brick of the target is there."""
+    """Each (volume_id, channel) of ids padded or cropped at the high ends to shape; every brick of the target is there. Voxels that a mask leaves out are pad, too."""
     many = [-(-n // s) for n, s in zip(shape, brick, strict=True)]
     want = ids.select("volume_id", "channel").distinct()
     for a, n in zip(AXES, many, strict=True):
         want = want.withColumn(f"b{a}", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    have = bricks.select(*KEY, *[F.col(c).alias(f"s_{c}") for c in ("nz", "ny", "nx", "dtype", "data")])
+    mask = has_mask(bricks)
+    have = bricks.select(*KEY, *[F.col(c).alias(f"s_{c}") for c in ("nz", "ny", "nx", "dtype", "data", *(["mask"] if mask else []))])
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -182,6 +247,8 @@ def conform(bricks: DataFrame, ids: DataFrame, shape: Triple, brick: Triple, pad
                 out = np.full(size, pad, dtype)
                 if r.s_data is not None:
                     a = np.frombuffer(r.s_data, r.s_dtype).reshape(int(r.s_nz), int(r.s_ny), int(r.s_nx))
+                    if mask and r.s_mask is not None:
+                        a = np.where(np.frombuffer(r.s_mask, bool).reshape(a.shape), a, pad)
                     part = a[tuple(slice(0, n) for n in size)]
                     out[tuple(slice(0, n) for n in part.shape)] = part
                 rows.append(_row(r.volume_id, r.channel, k, start, out))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelbrick.functions.kernels import grid, sample, unpacked
+from voxelbrick.functions.kernels import given, grid, sample, unpacked
 from voxelbrick.operators import bricks, intensity, metrics, resample
 from voxelbrick.operators.bricks import AXES, Triple
 from voxelbrick.sources.scratch import stored
@@ -66,7 +66,8 @@ def centres(fixed: DataFrame, moving: DataFrame) -> DataFrame:
 def _shifted(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, radius: int, tiles: DataFrame | None, start: DataFrame | None, extra: DataFrame, score, schema: str) -> DataFrame:
     """score(row, overlap of fixed, overlap of moving) -> rows, for each brick, tile (0 without tiles) and whole shift within radius of start.
 
-    A brick of fixed meets the moving box around it once; all shifts are scored in its task. extra: columns by volume_id and channel."""
+    A brick of fixed meets the moving box around it once; all shifts are scored in its task. extra: columns by volume_id and channel.
+    Voxels that fixed's mask leaves out, and moving ones that aren't finite, don't count."""
     wanted = fixed.join(F.broadcast(extra), ["volume_id", "channel"])  # a row for each pair, so that no pixel is shuffled for it
     if start is None:
         wanted = wanted.withColumns({f"s{a}": F.lit(0) for a in AXES})
@@ -88,6 +89,9 @@ def _shifted(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple,
         end = at + f.shape
         low, high = resample.clamped_box(at, end, np.eye(3), s.astype(float), float(radius), shape)
         m = resample.assembled(have, low, high)
+        there = given(r) if getattr(r, "mask", None) is not None else None
+        finite = np.isfinite(m)
+        finite = None if finite.all() else finite
         boxes = [(0, at, end)] if r.tiles is None else [(t["tile_index"], *(edge([t[f"{a}{e}"] for a in AXES], x) for e, edge, x in ((0, np.maximum, at), (1, np.minimum, end)))) for t in r.tiles]
         rows = []
         for tile, p, q in boxes:
@@ -95,9 +99,13 @@ def _shifted(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple,
                 d = s + d
                 i, j = np.maximum(p, -d), np.minimum(q, n - d)
                 if (i < j).all():
-                    a = f[tuple(slice(u, v) for u, v in zip(i - at, j - at, strict=True))].ravel()
-                    b = m[tuple(slice(u, v) for u, v in zip(i + d - low, j + d - low, strict=True))].ravel()
-                    rows += [(r.volume_id, r.channel, tile, *map(int, d), *x) for x in score(r, a, b)]
+                    of_f, of_m = (tuple(slice(u, v) for u, v in zip(i + e, j + e, strict=True)) for e in (-at, d - low))
+                    a, b = f[of_f].ravel(), m[of_m].ravel()
+                    if there is not None or finite is not None:
+                        keep = (True if there is None else there[of_f].ravel()) & (True if finite is None else finite[of_m].ravel())
+                        a, b = a[keep], b[keep]
+                    if len(a):
+                        rows += [(r.volume_id, r.channel, tile, *map(int, d), *x) for x in score(r, a, b)]
         return pd.DataFrame(rows, columns=names)
 
     return resample.gathered(wanted, resample.sent(ahead, shape, shape, brick, float(radius)), kernel, schema)
@@ -128,7 +136,7 @@ def shift_information(fixed: DataFrame, moving: DataFrame, shape: Triple, brick:
     Values are binned between each side's own least and greatest; the cells of a shift's joint histogram are counted brick by brick and
     merged with map-side combine, at most bins * bins rows a shift."""
     ends = lambda v, p: intensity.brick_ends(v, "minmax", ("volume_id", "channel")).toDF("volume_id", "channel", f"{p}_lo", f"{p}_hi")
-    extra = stored(ends(fixed, "f").join(ends(moving, "m"), ["volume_id", "channel"]), "ends")
+    extra = stored(ends(fixed, "f").join(ends(moving.drop("mask"), "m"), ["volume_id", "channel"]), "ends")
 
     def score(r, a, b):
         c = np.bincount(metrics.bin_index(a, r.f_lo, r.f_hi, bins) * bins + metrics.bin_index(b, r.m_lo, r.m_hi, bins), minlength=bins * bins)

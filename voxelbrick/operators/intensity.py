@@ -9,11 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelbrick.functions.kernels import unpacked
+from voxelbrick.functions.kernels import given, unpacked
 from voxelbrick.operators import ranks
-from voxelbrick.operators.bricks import _row, frame
+from voxelbrick.operators.bricks import _kind, _row, columns, frame, has_mask
 from voxelbrick.operators.tiling import bricks_of
-from voxelbrick.schema import BRICKS
 
 Triple = tuple[int, int, int]
 
@@ -82,7 +81,7 @@ def background_threshold(df: DataFrame, fraction: float = 0.02, steps: Triple =
 
 
 def brick_sums(bricks: DataFrame, group: tuple) -> DataFrame:
-    """group, n, finite_count, nonzero (of all, so NaN counts), lo, hi (of finite values, null if none): a row leaves each brick."""
+    """group, n, finite_count, nonzero (of all, so NaN counts), lo, hi (of finite values, null if none) of the voxels given: a row leaves each brick."""
     kinds = {f.name: f.dataType.simpleString() for f in bricks.schema}
     names = ["n", "finite_count", "nonzero", "lo", "hi"]
 
@@ -90,7 +89,7 @@ def brick_sums(bricks: DataFrame, group: tuple) -> DataFrame:
         for b in batches:
             rows = []
             for r in b.itertuples():
-                a = unpacked(r)
+                a = unpacked(r)[given(r)]
                 ok = a[np.isfinite(a)]
                 rows.append((*[getattr(r, g) for g in group], a.size, ok.size, int((a != 0).sum()), float(ok.min()) if ok.size else None, float(ok.max()) if ok.size else None))
             yield pd.DataFrame(rows, columns=[*group, *names])
@@ -113,7 +112,7 @@ def uint16_bricks(bricks: DataFrame, mode: str = "clip", group: tuple = ("volume
     if mode not in ("clip", "minmax", "robust"):
         raise ValueError(f"unknown mode {mode}")
     known = bricks.withColumns({"lo": F.lit(0.0), "hi": F.lit(65535.0)}) if mode == "clip" else bricks.join(brick_ends(bricks, mode, group), list(group), "left")
-    known = known.select(*[c.split()[0] for c in BRICKS.split(", ")], "lo", "hi")
+    known, mask = known.select(*columns(bricks), "lo", "hi"), has_mask(bricks)
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -125,10 +124,11 @@ def uint16_bricks(bricks: DataFrame, mode: str = "clip", group: tuple = ("volume
                     flat = not r.hi > r.lo
                     v = np.zeros_like(v) if flat else np.clip((np.where(ok, v, r.lo) - r.lo) / (r.hi - r.lo), 0, 1) * 65535
                 out = np.rint(np.clip(np.where(ok, v, 0), 0, 65535)).astype(np.uint16)
-                rows.append(_row(r.volume_id, r.channel, (r.bz, r.by, r.bx), (r.z0, r.y0, r.x0), out))
-            yield frame(rows)
+                row = _row(r.volume_id, r.channel, (r.bz, r.by, r.bx), (r.z0, r.y0, r.x0), out)
+                rows.append((*row, r.mask) if mask else row)
+            yield frame(rows, mask)
 
-    return known.mapInPandas(convert, BRICKS)
+    return known.mapInPandas(convert, _kind(mask))
 
 
 def brick_array_stats(bricks: DataFrame, group: tuple = ("volume_id", "channel")) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelbrick.functions.kernels import unpacked
+from voxelbrick.functions.kernels import given, unpacked
 from voxelbrick.sources.scratch import stored
 
 DIGIT = 16
@@ -57,7 +57,7 @@ def percentiles(bricks: DataFrame, at: list[float], group: tuple = ("volume_id",
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for r in b.itertuples():
-                    v = unpacked(r).ravel()
+                    v = unpacked(r)[given(r)]
                     v = v[np.isfinite(v)] if v.dtype.kind == "f" else v
                     k = keys_of(v, bits)
                     for p in [0] if r.prefixes is None else r.prefixes:
@@ -69,7 +69,7 @@ def percentiles(bricks: DataFrame, at: list[float], group: tuple = ("volume_id",
 
         return some.mapInPandas(part, f"{by}, prefix long, digit int, c long").groupBy(*group, "prefix", "digit").agg(F.sum("c").alias("c"))
 
-    pixels = bricks.select(*{*group}, "nz", "ny", "nx", "dtype", "data")
+    pixels = bricks.select(*{*group}, "nz", "ny", "nx", "dtype", "data", *(["mask"] if "mask" in bricks.columns else []))
     # First pass: counts of the highest digit give n, and with it the ranks.
     shift = bits - DIGIT
     counts = stored(counted(pixels.withColumn("prefixes", F.lit(None).cast("array<bigint>")), shift), "digits")

@@ -219,7 +219,7 @@ def register(
             all_ = stored(B.pooled(one, by, shape, brick), f"{side}-proxies")
             levels_ = [all_.where(F.col("level") == i).drop("level") for i in range(len(by))]
         if side == "fixed" and shared:
-            levels_ = [v.drop("volume_id", "channel").crossJoin(F.broadcast(ids)).select(*B._COLUMNS) for v in levels_]  # proxies only
+            levels_ = [v.drop("volume_id", "channel").crossJoin(F.broadcast(ids)).select(*B.columns(v)) for v in levels_]  # proxies only
         proxies.append(levels_)
     small = smaller(shape, by[0])
     found = find_translation(proxies[0][0], proxies[1][0], small, brick, radius, metric)

@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelbrick.operators.bricks import AXES, Triple, crop
-from voxelbrick.schema import BRICKS, fields
+from voxelbrick.operators.bricks import AXES, Triple, columns, crop
 
 #: Bits of an index along an axis; the channel has what is left of 63.
 BITS = 17
@@ -46,13 +45,14 @@ def place_bricks(bricks: DataFrame, table: str, path: str, buckets: int, grain:
 
     One shuffle by place, with as many partitions as buckets, so that a task writes its own bucket's files: one for each volume, channel and
     cell. A join has a task a bucket, and a channel cells times buckets files: 256 buckets and cells of 10 GB give files of 40 MB."""
-    placed = bricks.select(*fields(BRICKS).names).withColumns({"cell": cell_of(grain), "place": place_of()}).repartition(buckets, "place")
+    placed = bricks.select(*columns(bricks)).withColumns({"cell": cell_of(grain), "place": place_of()}).repartition(buckets, "place")
     placed.write.mode("overwrite").option("path", path).partitionBy("volume_id", "channel", "cell").bucketBy(buckets, "place").sortBy("place").saveAsTable(table)
 
 
 def read_placed(spark: SparkSession, table: str) -> DataFrame:
     """Bricks with their place, which metrics.pair_bricks uses where both sides have it."""
-    return spark.table(table).select(*fields(BRICKS).names, "place")
+    df = spark.table(table)
+    return df.select(*columns(df), "place")
 
 
 def box_cells(low: Triple, high: Triple, brick: Triple, grain: int) -> list[int]:
@@ -66,7 +66,7 @@ def read_box(spark: SparkSession, table: str, low: Triple, high: Triple, brick:
     df = spark.table(table).where(F.col("cell").isin(box_cells(low, high, brick, grain)))
     for a, p, q, s in zip(AXES, low, high, brick, strict=True):
         df = df.where(F.col(f"b{a}").between(p // s, max(q - 1, p) // s))
-    return df.select(*fields(BRICKS).names)
+    return df.select(*columns(df))
 
 
 def crop_placed(spark: SparkSession, table: str, low: Triple, high: Triple, brick: Triple, grain: int = 3) -> DataFrame:
