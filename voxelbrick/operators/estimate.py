@@ -108,7 +108,7 @@ def _shifted(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple,
                         rows += [(r.volume_id, r.channel, tile, *map(int, d), *x) for x in score(r, a, b)]
         return pd.DataFrame(rows, columns=names)
 
-    return resample.gathered(wanted, resample.sent(ahead, shape, shape, brick, float(radius)), kernel, schema)
+    return resample.gathered(wanted, resample.sent(ahead, shape, shape, brick, float(radius)), kernel, brick, schema)
 
 
 def shift_scores(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, radius: int, tiles: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:

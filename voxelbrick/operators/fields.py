@@ -137,7 +137,7 @@ def demons(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, ro
             wanted = ready.join(field.select(*ON, "data", "dtype"), ON)
         wanted = wanted.join(F.broadcast(ends), ids).withColumn("reach", F.lit(far))  # ends: a row for each pair
         pieces = sent(with_transforms(moving, IDENTITY, (0, 0, 0), None), shape, shape, brick, far)
-        now = stored(gathered(wanted, pieces, kernel, _STATE), "demons")
+        now = stored(gathered(wanted, pieces, kernel, brick, _STATE), "demons")
         score = {}
         for r in now.groupBy(*ids).agg(*[F.sum(c).alias(c) for c in _MEASURES]).collect():  # a row for each pair
             a, b = max(r.saa - r.sa**2 / max(r.n, 1), 0), max(r.sbb - r.sb**2 / max(r.n, 1), 0)
@@ -228,7 +228,7 @@ def warp_coarse(moving: DataFrame, moving_shape: Triple, field: DataFrame, steps
         p, q = np.clip(np.floor(c.min(axis=1)).astype(int), 0, n - 1), np.clip(np.floor(c.max(axis=1)).astype(int) + 1, 0, n - 1) + 1
         return pd.DataFrame([(r.volume_id, r.bz, r.by, r.bx, *at, *end, *p, *q, *low, *(high - low), coarse.astype(np.float32).tobytes(), list(r.m), list(r.t))], columns=names)
 
-    asks = stored(gathered(wanted, pieces, ask, _ASKS), "asks")
+    asks = stored(gathered(wanted, pieces, ask, brick, _ASKS), "asks")
     out = asks.select("volume_id", *[F.col(c) for c in ("bz", "by", "bx", "lz", "ly", "lx", "hz", "hy", "hx")])
     for a, k in zip(AXES, source, strict=True):
         out = out.withColumn(f"s{a}", F.explode(F.sequence(F.floor(F.col(f"l{a}") / k).cast("int"), F.floor((F.col(f"h{a}") - 1) / k).cast("int"))))
@@ -259,4 +259,4 @@ def warp_coarse(moving: DataFrame, moving_shape: Triple, field: DataFrame, steps
         v = sample(assembled(have, low, (r.hz, r.hy, r.hx)), low, moving_shape, c)
         return frame([_row(r.volume_id, r.channel, (r.bz, r.by, r.bx), at, v.reshape(end - at).astype(dtype))])
 
-    return gathered(asks.join(F.broadcast(channels), "volume_id"), met.mapInPandas(cut, PIECES), kernel)  # channels: a few rows
+    return gathered(asks.join(F.broadcast(channels), "volume_id"), met.mapInPandas(cut, PIECES), kernel, brick)  # channels: a few rows

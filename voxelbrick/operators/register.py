@@ -164,7 +164,7 @@ def staged(fixed: DataFrame, moving: DataFrame, shape: Triple, moving_shape: Tri
         rows = [(*k, f.trial[0].ravel().tolist(), f.trial[1].tolist(), float(f.trial[2]), float(f.trial[3]), *map(float, means[k])) for k, f in open_.items()]
         trial = spark.createDataFrame(rows, "volume_id string, channel int, m array<double>, t array<double>, gain double, bias double, fc double, mc double")
         pieces = resample.sent(resample.with_transforms(moving, resample.IDENTITY, (0, 0, 0), trial), moving_shape, shape, brick, 2.0)
-        got = resample.gathered(fixed.join(F.broadcast(trial), ["volume_id", "channel"]), pieces, kernel, schema)
+        got = resample.gathered(fixed.join(F.broadcast(trial), ["volume_id", "channel"]), pieces, kernel, brick, schema, tuple(_SUMS))
         got = got.groupBy("volume_id", "channel").agg(*[F.sum(c).alias(c) for c in _SUMS]).collect()  # a row for each pair
         sums = {(r.volume_id, r.channel): np.array([r[c] for c in _SUMS]) for r in got}
         for k, f in open_.items():
