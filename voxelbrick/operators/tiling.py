@@ -17,13 +17,18 @@ def axis_starts(length: Column, tile: Column, overlap: Column) -> Column:
 
 
 def make_tiles(volumes: DataFrame, tile: Triple, overlap: Triple, ids: list[str], first: int | None = None) -> DataFrame:
-    """Tiles of each volume (ids, nz, ny, nx): ids, tile_index from 1 in z, y, x order, and its half-open box. first: keep so many."""
-    out = volumes.select(*ids, "nz", "ny", "nx")
+    """Tiles of each volume (ids, nz, ny, nx; one row each): ids, tile_index from 1 in z, y, x order, and its half-open box. first: keep so many.
+
+    A tile's number follows from its places on the axes, so that nothing is sorted; volumes are spread before they become tiles."""
+    out = volumes.select(*ids, "nz", "ny", "nx").repartition(*ids)
+    index = F.lit(0)
     for a, t, o in zip(AXES, tile, overlap, strict=True):
         n = F.col(f"n{a}")
-        out = out.withColumn(f"{a}0", F.explode(axis_starts(n, F.least(F.lit(t), n), F.least(F.lit(o), F.greatest(n - 1, F.lit(0))))))
+        out = out.withColumn("_starts", axis_starts(n, F.least(F.lit(t), n), F.least(F.lit(o), F.greatest(n - 1, F.lit(0)))))
+        out = out.withColumn(f"_many_{a}", F.size("_starts")).select("*", F.posexplode("_starts").alias(f"_place_{a}", f"{a}0")).drop("_starts")
         out = out.withColumn(f"{a}1", F.least(F.col(f"{a}0") + t, n))
-    out = out.withColumn("tile_index", F.row_number().over(Window.partitionBy(*ids).orderBy("z0", "y0", "x0")))
+        index = index * F.col(f"_many_{a}") + F.col(f"_place_{a}")
+    out = out.withColumn("tile_index", (index + 1).cast("int"))
     if first:
         out = out.where(F.col("tile_index") <= first)
     return out.select(*ids, "tile_index", "z0", "z1", "y0", "y1", "x0", "x1")
