@@ -1,5 +1,8 @@
 """Steps whose memory or time must not grow faster than their tables."""
 
+from pyspark.sql import functions as F
+
+from voxelbrick.functions import parse
 from voxelbrick.operators import tiling
 
 
@@ -19,3 +22,11 @@ def test_tiles_are_numbered_without_sorting(spark):
     assert len(boxes["a"]) == 3 * 7 * 7 and boxes["b"] == {1: (0, 0, 0)}
     few = tiling.make_tiles(one, (9, 6, 7), (2, 3, 3), ["p"], first=4).collect()
     assert sorted((r.p, r.tile_index) for r in few) == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 1)]
+
+
+def test_a_region_is_parsed_once(spark):
+    texts = ['{"x0":1,"y0":2,"z0":0,"x1":4,"y1":5,"z1":6}', '{"x":1,"y":2,"z":1,"size_x":3,"size_y":5,"size_z":2}', "1, 2,0,4,5,9", "4,5,0,1,2,9", "1,2,3", "", None, "{", '{"x":2147483647,"y":2,"z":1,"size_x":3,"size_y":5,"size_z":2}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", parse.parse_roi(F.col("t")).alias("r"))
+    assert _plan(df).count("from_json") == 1
+    got = [None if r.r is None else tuple(r.r) for r in df.orderBy("i").collect()]
+    assert got == [(1, 2, 0, 4, 5, 6), (1, 2, 1, 4, 7, 3), (1, 2, 0, 4, 5, 9), *[None] * 6]

@@ -28,16 +28,28 @@ def _pieces(text: Column) -> Column:
 _BOX = ("x0", "y0", "z0", "x1", "y1", "z1")
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), where value is worked out once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_roi(text: Column) -> Column:
     """struct(x0, y0, z0, x1, y1, z1), ends exclusive, from six numbers or JSON with ends or sizes; null if empty, negative or of another form."""
-    j = F.from_json(text, "x0 int, y0 int, z0 int, x1 int, y1 int, z1 int, x int, y int, z int, size_x int, size_y int, size_z int")
-    ends = F.array(*[j[c] for c in _BOX])
-    sizes = F.array(j["x"], j["y"], j["z"], *[F.try_add(j[a], j[f"size_{a}"]) for a in "xyz"])
     whole = lambda a: F.forall(a, lambda v: v.isNotNull())
+
+    def of_json(j: Column) -> Column:
+        ends = F.array(*[j[c] for c in _BOX])
+        sizes = F.array(j["x"], j["y"], j["z"], *[F.try_add(j[a], j[f"size_{a}"]) for a in "xyz"])
+        return F.when(whole(ends), ends).when(whole(sizes), sizes)
+
+    def box(got: Column) -> Column:
+        at = lambda i: F.get(got, F.lit(i))
+        good = F.coalesce(whole(got) & (at(3) > at(0)) & (at(4) > at(1)) & (at(5) > at(2)) & (F.array_min(got) >= 0), F.lit(False))
+        return F.when(good, F.struct(*[at(i).alias(c) for i, c in enumerate(_BOX)]))
+
+    j = F.from_json(text, "x0 int, y0 int, z0 int, x1 int, y1 int, z1 int, x int, y int, z int, size_x int, size_y int, size_z int")
     p = F.transform(_pieces(text), lambda s: F.when(s.rlike("^[+-]?[0-9]+$"), s.try_cast("int")))
-    got = F.when(text.startswith("{"), F.when(whole(ends), ends).when(whole(sizes), sizes)).otherwise(F.when(F.size(p) == 6, p))
-    good = F.coalesce(whole(got) & (F.get(got, F.lit(3)) > F.get(got, F.lit(0))) & (F.get(got, F.lit(4)) > F.get(got, F.lit(1))) & (F.get(got, F.lit(5)) > F.get(got, F.lit(2))) & (F.array_min(got) >= 0), F.lit(False))
-    return F.when(good, F.struct(*[F.get(got, F.lit(i)).alias(c) for i, c in enumerate(_BOX)]))
+    return _once(F.when(text.startswith("{"), _once(j, of_json)).otherwise(_once(p, lambda p: F.when(F.size(p) == 6, p))), box)
 
 
 def z_range(text: Column) -> Column:
