@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from voxelbrick.functions import parse
-from voxelbrick.operators import tiling
+from voxelbrick.operators import catalog, tiling
 
 
 def _plan(df) -> str:
@@ -30,3 +30,15 @@ def test_a_region_is_parsed_once(spark):
     assert _plan(df).count("from_json") == 1
     got = [None if r.r is None else tuple(r.r) for r in df.orderBy("i").collect()]
     assert got == [(1, 2, 0, 4, 5, 6), (1, 2, 1, 4, 7, 3), (1, 2, 0, 4, 5, 9), *[None] * 6]
+
+
+def test_slices_are_numbered_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "RANGE", 5)
+    rows = [(d, f"{n}_{i}.tif") for d, many in (("Ex_9", 3), ("Ex_10", 41), ("Ex_200", 17)) for i in range(many) for n in ("img", "IMG2")]
+    got = catalog.discover_slices(spark.createDataFrame(rows[::-1], "dir string, file string").repartition(3))
+    ranges = got.select("dir", "file", "z")  # no folder is sorted whole
+    assert "row_number() windowspecdefinition(dir" not in _plan(ranges)
+    want = {(d, f"{n}_{i}.tif"): (k, i + j * many) for k, (d, many) in enumerate((("Ex_9", 3), ("Ex_10", 41), ("Ex_200", 17))) for j, n in enumerate(("IMG2", "img")) for i in range(many)}
+    assert sorted(got.columns) == ["dir", "dir_index", "file", "z"]
+    assert len(rows) == got.count()
+    assert {(r.dir, r.file): (r.dir_index, r.z) for r in got.collect()} == want

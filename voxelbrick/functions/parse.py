@@ -129,11 +129,13 @@ def with_channel(stem: Column, channel: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """An orderable array: digit runs as numbers of any length (by length without leading zeros, then digits), the rest in lower case, in turn."""
+    """An orderable array: digit runs as numbers of any length (by length without leading zeros, then digits), the rest in lower case, in turn.
+
+    Numbers begin with 0 and sort before the rest, which begins with 1."""
     parts = F.regexp_extract_all(F.lower(name), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    digits = lambda p: F.regexp_replace(p, "^0+", "")
-    number = lambda p: p.rlike("^[0-9]")
-    return F.transform(parts, lambda p: F.struct(F.when(number(p), 0).otherwise(1).alias("kind"), F.when(number(p), F.length(digits(p))).otherwise(0).alias("size"), F.when(number(p), digits(p)).otherwise(p).alias("text")))
+    digits = lambda p: F.ltrim(p, F.lit("0"))
+    number = lambda p: (p >= "0") & (p < ":")
+    return F.transform(parts, lambda p: F.when(number(p), F.concat(F.lit("0"), F.lpad(F.length(digits(p)).cast("string"), 10, "0"), digits(p))).otherwise(F.concat(F.lit("1"), p)))
 
 
 def index_to_physical(axis: int, spacing: list, origin: list, direction: list, index: list[Column]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelbrick.functions import parse
+from voxelbrick.sources.scratch import stored
 
 
 def build_catalog(datasets: DataFrame, axis_order: str = "auto") -> DataFrame:
@@ -69,12 +70,27 @@ def coarsest_level(catalog: DataFrame, ids: list[str], base: int = 0) -> DataFra
     return top.join(b, ids).select(*ids, "level", *[(F.col(f"b{a}") / F.greatest(F.col(f"n{a}"), F.lit(1))).alias(f"scale_{a}") for a in "zyx"])
 
 
+#: Files that one task of discover_slices sorts, about.
+RANGE = 1 << 17
+
+
 def discover_slices(files: DataFrame) -> DataFrame:
-    """files (dir, file) with dir_index and z: natural order of folders and of files in them. Folders are few, files are ranked by folder."""
+    """files (dir, file) with dir_index and z: natural order of folders and of files in them. Folders are few.
+
+    Files are sorted in ranges, as many as they need, so that no folder is sorted in one task; a file's z is its place in its range, after
+    the sizes of the folder's earlier ranges. The ranges are stored: others would be drawn if they were made again."""
     key = parse.natural_key
+    files = stored(files.withColumn("_key", key(F.col("file"))), "slices")  # the key is costly, and ranges are drawn from it before they are made
     dirs = files.select("dir").distinct().withColumn("dir_index", (F.row_number().over(Window.orderBy(key(F.col("dir")), "dir")) - 1).cast("int"))
-    z = F.row_number().over(Window.partitionBy("dir").orderBy(key(F.col("file")), "file")) - 1
-    return files.withColumn("z", z.cast("int")).join(dirs, "dir")
+    order = ["dir", "_key", "file"]
+    cut = files.repartitionByRange(files.count() // RANGE + 1, *order).sortWithinPartitions(*order)
+    cut = stored(cut.withColumn("_id", F.monotonically_increasing_id()).drop("_key"), "ranges")  # the range's number, and 33 bits of the place in it
+    cut = cut.withColumn("_range", F.shiftright("_id", 33))
+    earlier = Window.partitionBy("dir").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("dir", "_range").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    sizes = sizes.select("dir", "_range", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    out = cut.join(F.broadcast(sizes), ["dir", "_range"])  # a row for each folder and range
+    return out.withColumn("z", (F.col("_id") - F.col("_first") + F.col("_before")).cast("int")).drop("_range", "_id", "_first", "_before").join(F.broadcast(dirs), "dir")
 
 
 def validate_slices(files: DataFrame, shape: str = "shape", dtype: str = "dtype") -> DataFrame:
