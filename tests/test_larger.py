@@ -1,8 +1,10 @@
 """Steps whose memory or time must not grow faster than their tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxelbrick.functions import parse
+from voxelbrick.operators import bricks as B
 from voxelbrick.operators import catalog, tiling
 
 
@@ -42,3 +44,11 @@ def test_slices_are_numbered_by_ranges(spark, monkeypatch):
     assert sorted(got.columns) == ["dir", "dir_index", "file", "z"]
     assert len(rows) == got.count()
     assert {(r.dir, r.file): (r.dir_index, r.z) for r in got.collect()} == want
+
+
+def test_frames_are_bounded():
+    rows = [B._row("v", 0, (0, 0, i), (0, 0, 64 * i), np.full((32, 64, 64), i)) for i in range(40)]
+    out = list(B.frames(iter(rows)))
+    assert max(sum(map(len, f["data"])) for f in out) <= B.FRAME + len(rows[0][-1])
+    assert [x for f in out for x in f["bx"]] == list(range(40))
+    assert len(list(B.frames(iter(())))) == 1 and len(out) > 3

@@ -9,7 +9,7 @@ similarity and the long form then leave it out; what is resampled, padded or poo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,6 +41,22 @@ def frame(rows: list[tuple], mask: bool = False) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[*_COLUMNS, "mask"] if mask else _COLUMNS)
 
 
+#: Bytes of pixels after which a frame of new bricks leaves its task, about.
+FRAME = 1 << 23
+
+
+def frames(rows: Iterable[tuple], mask: bool = False) -> Iterator[pd.DataFrame]:
+    """Rows of new bricks, frame by frame: a batch may be of many more bytes than what it was made of."""
+    out, size = [], 0
+    for r in rows:
+        out.append(r)
+        size += len(r[len(_COLUMNS) - 1])
+        if size >= FRAME:
+            yield frame(out, mask)
+            out, size = [], 0
+    yield frame(out, mask)
+
+
 def has_mask(bricks: DataFrame) -> bool:
     return "mask" in bricks.columns
 
@@ -106,7 +122,7 @@ def _mapped(bricks: DataFrame, fn) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield frame([x for r in b.itertuples() for x in rows(r)], mask)
+            yield from frames((x for r in b.itertuples() for x in rows(r)), mask)
 
     return bricks.mapInPandas(run, _kind(mask))
 
@@ -150,17 +166,17 @@ def on_voxels_of(bricks: DataFrame, like: DataFrame, ids: DataFrame | None = Non
         want = want.drop("volume_id", "channel").crossJoin(F.broadcast(ids.select("volume_id", "channel").distinct()))
     have = bricks.select(*KEY, *[F.col(c).alias(f"s_{c}") for c in ("nz", "ny", "nx", "dtype", "data")])
 
+    def one(r) -> tuple:
+        out = np.zeros((r.nz, r.ny, r.nx), r.s_dtype or np.float64)
+        if r.s_data is not None:
+            a = np.frombuffer(r.s_data, r.s_dtype).reshape(int(r.s_nz), int(r.s_ny), int(r.s_nx))
+            part = a[tuple(slice(0, n) for n in out.shape)]
+            out[tuple(slice(0, n) for n in part.shape)] = part
+        return (*_row(r.volume_id, r.channel, (r.bz, r.by, r.bx), (r.z0, r.y0, r.x0), out), r.mask)
+
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for r in b.itertuples():
-                out = np.zeros((r.nz, r.ny, r.nx), r.s_dtype or np.float64)
-                if r.s_data is not None:
-                    a = np.frombuffer(r.s_data, r.s_dtype).reshape(int(r.s_nz), int(r.s_ny), int(r.s_nx))
-                    part = a[tuple(slice(0, n) for n in out.shape)]
-                    out[tuple(slice(0, n) for n in part.shape)] = part
-                rows.append((*_row(r.volume_id, r.channel, (r.bz, r.by, r.bx), (r.z0, r.y0, r.x0), out), r.mask))
-            yield frame(rows, True)
+            yield from frames(map(one, b.itertuples()), True)
 
     return want.join(have, KEY, "left").mapInPandas(fit, _kind(True))
 
@@ -237,22 +253,22 @@ def conform(bricks: DataFrame, ids: DataFrame, shape: Triple, brick: Triple, pad
     mask = has_mask(bricks)
     have = bricks.select(*KEY, *[F.col(c).alias(f"s_{c}") for c in ("nz", "ny", "nx", "dtype", "data", *(["mask"] if mask else []))])
 
+    def one(r) -> tuple:
+        k = (r.bz, r.by, r.bx)
+        start = [i * s for i, s in zip(k, brick, strict=True)]
+        size = [min(s, n - o) for s, n, o in zip(brick, shape, start, strict=True)]
+        out = np.full(size, pad, dtype)
+        if r.s_data is not None:
+            a = np.frombuffer(r.s_data, r.s_dtype).reshape(int(r.s_nz), int(r.s_ny), int(r.s_nx))
+            if mask and r.s_mask is not None:
+                a = np.where(np.frombuffer(r.s_mask, bool).reshape(a.shape), a, pad)
+            part = a[tuple(slice(0, n) for n in size)]
+            out[tuple(slice(0, n) for n in part.shape)] = part
+        return _row(r.volume_id, r.channel, k, start, out)
+
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for r in b.itertuples():
-                k = (r.bz, r.by, r.bx)
-                start = [i * s for i, s in zip(k, brick, strict=True)]
-                size = [min(s, n - o) for s, n, o in zip(brick, shape, start, strict=True)]
-                out = np.full(size, pad, dtype)
-                if r.s_data is not None:
-                    a = np.frombuffer(r.s_data, r.s_dtype).reshape(int(r.s_nz), int(r.s_ny), int(r.s_nx))
-                    if mask and r.s_mask is not None:
-                        a = np.where(np.frombuffer(r.s_mask, bool).reshape(a.shape), a, pad)
-                    part = a[tuple(slice(0, n) for n in size)]
-                    out[tuple(slice(0, n) for n in part.shape)] = part
-                rows.append(_row(r.volume_id, r.channel, k, start, out))
-            yield frame(rows)
+            yield from frames(map(one, b.itertuples()))
 
     return want.join(have, KEY, "left").mapInPandas(fit, BRICKS)
 

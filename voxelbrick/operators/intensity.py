@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxelbrick.functions.kernels import given, unpacked
 from voxelbrick.operators import ranks
-from voxelbrick.operators.bricks import _kind, _row, columns, frame, has_mask
+from voxelbrick.operators.bricks import _kind, _row, columns, frames, has_mask
 from voxelbrick.operators.tiling import bricks_of
 
 Triple = tuple[int, int, int]
@@ -114,19 +114,19 @@ def uint16_bricks(bricks: DataFrame, mode: str = "clip", group: tuple = ("volume
     known = bricks.withColumns({"lo": F.lit(0.0), "hi": F.lit(65535.0)}) if mode == "clip" else bricks.join(brick_ends(bricks, mode, group), list(group), "left")
     known, mask = known.select(*columns(bricks), "lo", "hi"), has_mask(bricks)
 
+    def one(r) -> tuple:
+        v = unpacked(r).astype(float)
+        ok = np.isfinite(v)
+        if mode != "clip":
+            flat = not r.hi > r.lo
+            v = np.zeros_like(v) if flat else np.clip((np.where(ok, v, r.lo) - r.lo) / (r.hi - r.lo), 0, 1) * 65535
+        out = np.rint(np.clip(np.where(ok, v, 0), 0, 65535)).astype(np.uint16)
+        row = _row(r.volume_id, r.channel, (r.bz, r.by, r.bx), (r.z0, r.y0, r.x0), out)
+        return (*row, r.mask) if mask else row
+
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for r in b.itertuples():
-                v = unpacked(r).astype(float)
-                ok = np.isfinite(v)
-                if mode != "clip":
-                    flat = not r.hi > r.lo
-                    v = np.zeros_like(v) if flat else np.clip((np.where(ok, v, r.lo) - r.lo) / (r.hi - r.lo), 0, 1) * 65535
-                out = np.rint(np.clip(np.where(ok, v, 0), 0, 65535)).astype(np.uint16)
-                row = _row(r.volume_id, r.channel, (r.bz, r.by, r.bx), (r.z0, r.y0, r.x0), out)
-                rows.append((*row, r.mask) if mask else row)
-            yield frame(rows, mask)
+            yield from frames(map(one, b.itertuples()), mask)
 
     return known.mapInPandas(convert, _kind(mask))
 
