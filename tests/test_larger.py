@@ -52,3 +52,19 @@ def test_frames_are_bounded():
     assert max(sum(map(len, f["data"])) for f in out) <= B.FRAME + len(rows[0][-1])
     assert [x for f in out for x in f["bx"]] == list(range(40))
     assert len(list(B.frames(iter(())))) == 1 and len(out) > 3
+
+
+def test_small_bricks_are_made_a_block_at_a_time(spark):
+    shape, brick = (9, 17, 70), (4, 8, 32)
+    at = [(z, y, x) for z, y, x in np.ndindex(*shape) if (z, y, x) == (8, 16, 69) or z < 4 and x < 40]
+    v = spark.createDataFrame([("v", 0, *p, float(np.ravel_multi_index(p, shape) + 1)) for p in at], "volume_id string, channel int, z int, y int, x int, v double")
+    b = B.to_bricks(v, shape, brick, given=True)
+    assert "gz" in _plan(b)  # calls are by block
+    got = {(r.bz, r.by, r.bx): r for r in b.collect()}
+    assert set(got) == {(0, j, k) for j in range(3) for k in range(2)} | {(2, 2, 2)}  # bricks without voxels aren't made
+    last = got[2, 2, 2]
+    assert (last.z0, last.y0, last.x0, last.nz, last.ny, last.nx) == (8, 16, 64, 1, 1, 6)
+    assert np.frombuffer(last.data).tolist() == [0.0] * 5 + [float(np.prod(shape))] and list(last.mask) == [0] * 5 + [1]
+    assert got[0, 0, 0].mask is None and got[0, 0, 1].mask is not None
+    back = {(r.z, r.y, r.x): r.v for r in B.to_voxels(b).collect()}
+    assert back == {p: float(np.ravel_multi_index(p, shape) + 1) for p in at}

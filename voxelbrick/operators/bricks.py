@@ -1,7 +1,7 @@
 """Volumes as bricks: conversion, crop, stride, conform, transpose.
 
 Bricks have a fixed side per axis and are keyed (volume_id, channel, bz, by, bx); border bricks are smaller. Work on a
-brick stays in its task; only to_bricks shuffles, by the brick's key, which every later equi-join shares.
+brick stays in its task; to_bricks shuffles voxels, once, by blocks of neighbouring bricks.
 
 A missing voxel is 0. A table that must tell it from one that was given as 0 has a column mask (to_bricks with given): statistics,
 similarity and the long form then leave it out; what is resampled, padded or pooled has a number for each voxel, and no mask.
@@ -70,26 +70,40 @@ def _kind(mask: bool) -> str:
     return f"{BRICKS}, {MASK}" if mask else BRICKS
 
 
+#: Voxels of the small bricks that one call takes together.
+BLOCK = 1 << 16
+
+
+def block_of(brick: Triple) -> Triple:
+    """How many bricks on each axis make a block of at most BLOCK voxels; large bricks are blocks of their own."""
+    side, many = list(brick), [1, 1, 1]
+    while 2 * np.prod(side) <= BLOCK:
+        i = int(np.argmin(side))
+        side[i], many[i] = 2 * side[i], 2 * many[i]
+    return tuple(many)
+
+
 def to_bricks(voxels: DataFrame, shape: Triple, brick: Triple = (16, 16, 32), dtype: str = "float64", given: bool = False) -> DataFrame:
-    """voxels (volume_id, channel, z, y, x, v) to bricks; voxels outside shape are dropped, missing ones are 0. given: with a mask of the others."""
+    """voxels (volume_id, channel, z, y, x, v) to bricks; voxels outside shape are dropped, missing ones are 0. given: with a mask of the others.
+
+    A call costs milliseconds whatever its size, so that the voxels of a block of small bricks come in one."""
     v = voxels.select(F.col("volume_id").cast("string").alias("volume_id"), F.col("channel").cast("int").alias("channel"), *[F.col(a).cast("int").alias(a) for a in AXES], F.col("v").cast("double").alias("v"))
-    for a, n, s in zip(AXES, shape, brick, strict=True):
-        v = v.where(F.col(a).between(0, n - 1)).withColumn(f"b{a}", F.floor(F.col(a) / s).cast("int"))
+    side = [s * n for s, n in zip(brick, block_of(brick), strict=True)]
+    for a, n, s in zip(AXES, shape, side, strict=True):
+        v = v.where(F.col(a).between(0, n - 1)).withColumn(f"g{a}", F.floor(F.col(a) / s).cast("int"))
 
     def fill(key, rows: pd.DataFrame) -> pd.DataFrame:
-        b = key[2:]
-        start = [k * s for k, s in zip(b, brick, strict=True)]
-        out = np.zeros([min(s, n - a) for s, n, a in zip(brick, shape, start, strict=True)], dtype)
+        start = np.array([k * s for k, s in zip(key[2:], side, strict=True)])
+        out = np.zeros([min(s, n - o) for s, n, o in zip(side, shape, start, strict=True)], dtype)
+        there = np.zeros(out.shape, bool)
         at = tuple(rows[a].to_numpy() - o for a, o in zip(AXES, start, strict=True))
         out[at] = rows["v"].to_numpy()
-        row = _row(key[0], key[1], b, start, out)
-        if given:
-            there = np.zeros(out.shape, bool)
-            there[at] = True
-            row = (*row, masked(there))
-        return frame([row], given)
-
-    return v.groupBy(*KEY).applyInPandas(fill, _kind(given))
+        there[at] = True
+        pairs = zip(_cut(key[0], key[1], start, out, brick), _cut(key[0], key[1], start, there, brick), strict=True)
+        new = [(_row(key[0], key[1], k, low, part), has) for (k, low, part), (_, _, has) in pairs if has.any()]
+        return frame([(*row, masked(has)) if given else row for row, has in new], given)
+
+    return v.groupBy("volume_id", "channel", *[f"g{a}" for a in AXES]).applyInPandas(fill, _kind(given))
 
 
 def to_voxels(bricks: DataFrame, zeros: bool = True) -> DataFrame:

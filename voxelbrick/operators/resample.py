@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelbrick.functions.kernels import box_weights, grid, sample, sample_box
-from voxelbrick.operators.bricks import AXES, Triple, _row, frame
+from voxelbrick.operators.bricks import AXES, BLOCK, Triple, _row, block_of, frame  # noqa: F401
 from voxelbrick.operators.tiling import bricks_of
 from voxelbrick.schema import BRICKS
 
@@ -141,19 +141,6 @@ def assembled(pieces: pd.DataFrame, low, high, numbers: int | None = None) -> np
 ON = ["volume_id", "channel", "bz", "by", "bx"]
 
 
-#: Voxels of the small bricks that one call of a gather takes together.
-BLOCK = 1 << 16
-
-
-def block_of(brick: Triple) -> Triple:
-    """How many bricks on each axis make a block of at most BLOCK voxels; large bricks are blocks of their own."""
-    side, many = list(brick), [1, 1, 1]
-    while 2 * np.prod(side) <= BLOCK:
-        i = int(np.argmin(side))
-        side[i], many[i] = 2 * side[i], 2 * many[i]
-    return tuple(many)
-
-
 def gathered(wanted: DataFrame, pieces: DataFrame, kernel, brick: Triple, schema: str = BRICKS, total: tuple | None = None) -> DataFrame:
     """kernel(row of wanted, pieces) -> DataFrame for each output brick in wanted, pieces or not; a brick beside wanted isn't made.
 
