@@ -3,9 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from voxelbrick.functions import parse
+from voxelbrick.functions import kernels, parse
 from voxelbrick.operators import bricks as B
-from voxelbrick.operators import catalog, tiling
+from voxelbrick.operators import catalog, register, resample, tiling
 
 
 def _plan(df) -> str:
@@ -68,3 +68,28 @@ def test_small_bricks_are_made_a_block_at_a_time(spark):
     assert got[0, 0, 0].mask is None and got[0, 0, 1].mask is not None
     back = {(r.z, r.y, r.x): r.v for r in B.to_voxels(b).collect()}
     assert back == {p: float(np.ravel_multi_index(p, shape) + 1) for p in at}
+
+
+def test_a_round_takes_blocks(spark, monkeypatch):
+    shape, brick, sides = (16, 16, 64), (8, 8, 32), []
+    z, y, x = np.indices(shape).astype(float)
+    a = np.exp(-((z - 8) ** 2 + (y - 7) ** 2) / 18 - (x - 30) ** 2 / 200)
+    b = np.exp(-((z - 8.3) ** 2 + (y - 6.6) ** 2) / 18 - (x - 30.5) ** 2 / 200)
+    fixed, moving = (spark.createDataFrame([B._row("v", 0, k, at, part) for k, at, part in B._cut("v", 0, np.zeros(3, int), v, brick)], B.BRICKS) for v in (a, b))
+    sent = resample.sent
+    monkeypatch.setattr(resample, "sent", lambda m, n, s, side, reach=0.0: sides.append(side) or sent(m, n, s, side, reach))
+    m, t = register.staged(fixed, moving, shape, shape, brick, {("v", 0): (np.eye(3), np.zeros(3))}, ("translation",), 6)["v", 0]
+    assert set(sides) == {(64, 32, 32)}  # not the small bricks, of which each would get a halo and a call of its own
+    assert np.allclose(m, np.eye(3)) and np.abs(t - [0.3, -0.4, 0.5]).max() < 0.02
+
+
+def test_several_arrays_are_sampled_at_once():
+    r = np.random.default_rng(3)
+    one, two = r.normal(size=(2, 5, 6, 7))
+    one[2, 3, 4] = np.inf
+    c = r.uniform(-2, 9, (3, 500))
+    c[:, :100] = np.floor(c[:, :100])
+    for mode in ("linear", "nearest"):
+        got = kernels.samples([one, two], (1, 0, 2), (7, 6, 10), c, mode)
+        assert all(np.array_equal(g, kernels.sample(v, (1, 0, 2), (7, 6, 10), c, mode), equal_nan=True) for g, v in zip(got, (one, two), strict=True))
+        assert not np.isnan(got[0]).any()  # a weight of 0 takes nothing from a value that isn't finite

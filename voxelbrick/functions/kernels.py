@@ -49,15 +49,24 @@ def sample(src: np.ndarray, origin, shape, coords: np.ndarray, mode: str = "line
 
     A point inside [-0.5, n - 0.5) on every axis takes its neighbours clamped to the volume's edge; any other is 0.
     Voxels outside src count as 0: the caller gives a box that covers what the points need."""
-    axes = [_neighbours(np.asarray(c), int(n), int(o), k, mode) for c, n, o, k in zip(coords, shape, origin, src.shape, strict=True)]
-    flat, (_, ny, nx) = src.ravel(), src.shape
-    out = np.zeros(coords.shape[1])
+    return samples([src], origin, shape, coords, mode)[0]
+
+
+def samples(boxes: list[np.ndarray], origin, shape, coords: np.ndarray, mode: str = "linear") -> list[np.ndarray]:
+    """sample() of several arrays on one box at the same coords: neighbours and weights are worked out once."""
+    axes = [_neighbours(np.asarray(c), int(n), int(o), k, mode) for c, n, o, k in zip(coords, shape, origin, boxes[0].shape, strict=True)]
+    flat, (_, ny, nx) = [b.ravel() for b in boxes], boxes[0].shape
+    out = [np.zeros(coords.shape[1]) for _ in boxes]
     for z, wz in axes[0]:
         for y, wy in axes[1]:
             row, w2 = (z * ny + y) * nx, wz * wy
             for x, wx in axes[2]:
-                w = w2 * wx
-                out += np.where(w != 0, flat.take(row + x) * w, 0)
+                w, at = w2 * wx, row + x
+                some = w != 0
+                every = some.all()
+                for v, a in zip(out, flat, strict=True):
+                    part = a.take(at) * w
+                    v += part if every else np.where(some, part, 0)
     return out
 
 

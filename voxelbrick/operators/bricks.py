@@ -83,12 +83,26 @@ def block_of(brick: Triple) -> Triple:
     return tuple(many)
 
 
+def side_of(brick: Triple) -> Triple:
+    """The voxels of a block on each axis."""
+    return tuple(s * n for s, n in zip(brick, block_of(brick), strict=True))
+
+
+def by_block(brick: Triple) -> dict:
+    """gz, gy, gx: the place of a brick's block, as columns."""
+    return {f"g{a}": F.floor(F.col(f"b{a}") / n).cast("int") for a, n in zip(AXES, block_of(brick), strict=True)}
+
+
+#: What a block's bricks are grouped by.
+GROUP = ["volume_id", "channel", "gz", "gy", "gx"]
+
+
 def to_bricks(voxels: DataFrame, shape: Triple, brick: Triple = (16, 16, 32), dtype: str = "float64", given: bool = False) -> DataFrame:
     """voxels (volume_id, channel, z, y, x, v) to bricks; voxels outside shape are dropped, missing ones are 0. given: with a mask of the others.
 
     A call costs milliseconds whatever its size, so that the voxels of a block of small bricks come in one."""
     v = voxels.select(F.col("volume_id").cast("string").alias("volume_id"), F.col("channel").cast("int").alias("channel"), *[F.col(a).cast("int").alias(a) for a in AXES], F.col("v").cast("double").alias("v"))
-    side = [s * n for s, n in zip(brick, block_of(brick), strict=True)]
+    side = side_of(brick)
     for a, n, s in zip(AXES, shape, side, strict=True):
         v = v.where(F.col(a).between(0, n - 1)).withColumn(f"g{a}", F.floor(F.col(a) / s).cast("int"))
 
@@ -155,8 +169,8 @@ def regrid(pieces: DataFrame, shape: Triple, brick: Triple) -> DataFrame:
     """Pieces (bricks keyed right, but covering parts of them) merged to whole bricks of the grid."""
     mask = has_mask(pieces)
 
-    def merge(key, rows: pd.DataFrame) -> pd.DataFrame:
-        start = [k * s for k, s in zip(key[2:], brick, strict=True)]
+    def merged(key, rows: pd.DataFrame) -> tuple:
+        start = [k * s for k, s in zip(key, brick, strict=True)]
         out = np.zeros([min(s, n - a) for s, n, a in zip(brick, shape, start, strict=True)], rows["dtype"].iloc[0])
         there = np.zeros(out.shape, bool)
         for r in rows.itertuples():
@@ -165,10 +179,13 @@ def regrid(pieces: DataFrame, shape: Triple, brick: Triple) -> DataFrame:
             out[at] = a
             if mask:
                 there[at] = given_(r)
-        row = _row(key[0], key[1], key[2:], start, out)
-        return frame([(*row, masked(there)) if mask else row], mask)
+        row = _row(rows["volume_id"].iloc[0], rows["channel"].iloc[0], key, start, out)
+        return (*row, masked(there)) if mask else row
+
+    def merge(key, rows: pd.DataFrame) -> pd.DataFrame:
+        return frame([merged(k, some) for k, some in rows.groupby(["bz", "by", "bx"], sort=False)], mask)
 
-    return pieces.groupBy(*KEY).applyInPandas(merge, _kind(mask))
+    return pieces.withColumns(by_block(brick)).groupBy(*GROUP).applyInPandas(merge, _kind(mask))
 
 
 def on_voxels_of(bricks: DataFrame, like: DataFrame, ids: DataFrame | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelbrick.functions.kernels import grid, sample, unpacked
+from voxelbrick.functions.kernels import grid, samples, unpacked
 from voxelbrick.operators import bricks as B
 from voxelbrick.operators import estimate, manifest, resample
 from voxelbrick.operators.bricks import AXES, Triple
@@ -143,18 +143,20 @@ def staged(fixed: DataFrame, moving: DataFrame, shape: Triple, moving_shape: Tri
     fits = {k: f for k, f in fits.items() if k in means}
     n = tuple(int(x) for x in moving_shape)
 
-    def kernel(r, have: pd.DataFrame) -> pd.DataFrame:
-        at = grid((r.z0, r.y0, r.x0), (r.nz, r.ny, r.nx))
+    def kernel(want: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        r = next(want.itertuples())  # what is the pair's own
         mat, off = np.array(r.m).reshape(3, 3), np.array(r.t)
-        low, high = resample.clamped_box((r.z0, r.y0, r.x0), (r.z0 + r.nz, r.y0 + r.ny, r.x0 + r.nx), mat, off, 2.0, n)
+        low, high = resample.clamped_box(*resample.block_box(want), mat, off, 2.0, n)
         src = resample.assembled(have, low, high)
+        at = np.concatenate([grid((b.z0, b.y0, b.x0), (b.nz, b.ny, b.nx)) for b in want.itertuples()], axis=1)
+        f = np.concatenate([unpacked(b).ravel().astype(float) for b in want.itertuples()])
         c = mat @ at + off[:, None]
         ok = np.all((c >= 0) & (c <= np.array(n)[:, None] - 1), axis=0)
         c = c[:, ok]
-        v = sample(src, low, n, c) - r.mc
-        d = unpacked(r).ravel().astype(float)[ok] - r.fc - r.gain * v - r.bias
         slope = [np.gradient(src, axis=a) if src.shape[a] > 1 else np.zeros_like(src) for a in range(3)]
-        e = r.gain * np.stack([sample(x, low, n, c) for x in slope])
+        v, *e = samples([src, *slope], low, n, c)
+        v, e = v - r.mc, r.gain * np.stack(e)
+        d = f[ok] - r.fc - r.gain * v - r.bias
         y = (c - centre[:, None]) / radius
         j = np.concatenate([(e[:, None, :] * y[None, :, :]).reshape(9, -1), e, v[None], np.ones((1, len(v)))])
         return pd.DataFrame([(r.volume_id, r.channel, *(j @ j.T)[_UPPER], *(j @ d), d @ d, float(len(d)))], columns=["volume_id", "channel", *_SUMS])
@@ -163,8 +165,8 @@ def staged(fixed: DataFrame, moving: DataFrame, shape: Triple, moving_shape: Tri
     while open_ := {k: f for k, f in fits.items() if not f.done and stages}:
         rows = [(*k, f.trial[0].ravel().tolist(), f.trial[1].tolist(), float(f.trial[2]), float(f.trial[3]), *map(float, means[k])) for k, f in open_.items()]
         trial = spark.createDataFrame(rows, "volume_id string, channel int, m array<double>, t array<double>, gain double, bias double, fc double, mc double")
-        pieces = resample.sent(resample.with_transforms(moving, resample.IDENTITY, (0, 0, 0), trial), moving_shape, shape, brick, 2.0)
-        got = resample.gathered(fixed.join(F.broadcast(trial), ["volume_id", "channel"]), pieces, kernel, brick, schema, tuple(_SUMS))
+        pieces = resample.sent(resample.with_transforms(moving, resample.IDENTITY, (0, 0, 0), trial), moving_shape, shape, B.side_of(brick), 2.0)
+        got = resample.gathered_blocks(fixed.join(F.broadcast(trial), ["volume_id", "channel"]), pieces, kernel, brick, schema)
         got = got.groupBy("volume_id", "channel").agg(*[F.sum(c).alias(c) for c in _SUMS]).collect()  # a row for each pair
         sums = {(r.volume_id, r.channel): np.array([r[c] for c in _SUMS]) for r in got}
         for k, f in open_.items():

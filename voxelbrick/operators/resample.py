@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelbrick.functions.kernels import box_weights, grid, sample, sample_box
-from voxelbrick.operators.bricks import AXES, BLOCK, Triple, _row, block_of, frame  # noqa: F401
+from voxelbrick.operators.bricks import AXES, BLOCK, GROUP, Triple, _row, block_of, by_block, frame  # noqa: F401
 from voxelbrick.operators.tiling import bricks_of
 from voxelbrick.schema import BRICKS
 
@@ -148,8 +148,7 @@ def gathered(wanted: DataFrame, pieces: DataFrame, kernel, brick: Triple, schema
     row and pieces. total: columns of the kernel that are summed over a block, to one row; the others are the volume's own."""
     names = [c.split()[0] for c in schema.split(", ")]
     place = ["bz", "by", "bx"]
-    on = ["volume_id", "channel", "gz", "gy", "gx"]
-    block = {f"g{a}": F.floor(F.col(f"b{a}") / n).cast("int") for a, n in zip(AXES, block_of(brick), strict=True)}
+    block = by_block(brick)
 
     def run(key, want: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         of, none = dict(list(have.groupby(place, sort=False))), have.iloc[:0]
@@ -161,7 +160,24 @@ def gathered(wanted: DataFrame, pieces: DataFrame, kernel, brick: Triple, schema
             return pd.DataFrame([{c: sums[c] if c in sums else out[0][c].iloc[0] for c in names}])
         return pd.concat(out, ignore_index=True) if len(out) > 1 else out[0]
 
-    return wanted.withColumns(block).groupBy(*on).cogroup(pieces.toDF(*pieces.columns).withColumns(block).groupBy(*on)).applyInPandas(run, schema)
+    return wanted.withColumns(block).groupBy(*GROUP).cogroup(pieces.toDF(*pieces.columns).withColumns(block).groupBy(*GROUP)).applyInPandas(run, schema)
+
+
+def gathered_blocks(wanted: DataFrame, pieces: DataFrame, kernel, brick: Triple, schema: str) -> DataFrame:
+    """kernel(rows of wanted, pieces) -> DataFrame for each block with bricks in wanted. pieces: those that sent() makes for blocks, of
+    side_of(brick), so that neighbouring small bricks share one box and its halo."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(key, want: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        return kernel(want, have) if len(want) else pd.DataFrame(columns=names)
+
+    return wanted.withColumns(by_block(brick)).groupBy(*GROUP).cogroup(pieces.toDF(*pieces.columns).groupBy(*ON)).applyInPandas(run, schema)
+
+
+def block_box(want: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The half-open box of rows of bricks, of one block."""
+    start = want[["z0", "y0", "x0"]].to_numpy()
+    return start.min(axis=0), (start + want[["nz", "ny", "nx"]].to_numpy()).max(axis=0)
 
 
 def downsample_linear(moving: DataFrame, shape: Triple, brick: Triple, factor: float) -> DataFrame:
