@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from voxelbrick.functions import kernels, parse
 from voxelbrick.operators import bricks as B
-from voxelbrick.operators import catalog, register, resample, tiling
+from voxelbrick.operators import catalog, fields, register, resample, tiling
 
 
 def _plan(df) -> str:
@@ -93,3 +93,25 @@ def test_several_arrays_are_sampled_at_once():
         got = kernels.samples([one, two], (1, 0, 2), (7, 6, 10), c, mode)
         assert all(np.array_equal(g, kernels.sample(v, (1, 0, 2), (7, 6, 10), c, mode), equal_nan=True) for g, v in zip(got, (one, two), strict=True))
         assert not np.isnan(got[0]).any()  # a weight of 0 takes nothing from a value that isn't finite
+
+
+def test_smoothing_and_demons_take_blocks(spark, monkeypatch):
+    shape, brick, sides = (16, 30, 70), (8, 8, 32), []
+    a = np.random.default_rng(5).normal(size=shape).astype(np.float32)
+    rows = [B._row("v", 0, k, at, part) for k, at, part in B._cut("v", 0, np.zeros(3, int), a, brick)]
+    sent = fields.sent
+    monkeypatch.setattr(fields, "sent", lambda m, n, s, side, reach=0.0: sides.append(side) or sent(m, n, s, side, reach))
+    f = fields.smooth(spark.createDataFrame(rows, B.BRICKS), 1.0, shape, brick)
+    m = fields.smooth(spark.createDataFrame([r for r in rows if r[2:5] in ((0, 0, 0), (1, 3, 2))], B.BRICKS), 1.0, shape, brick)
+    # A brick is made if it is near one that is there, as it was brick by brick.
+    near = {k for k in np.ndindex(2, 4, 3) for r in ((0, 0, 0), (1, 3, 2)) if all(abs(i - j) <= 1 for i, j in zip(k, r, strict=True))}
+    assert {(r.bz, r.by, r.bx) for r in m.collect()} == near
+    want = a.astype(float)
+    for axis in range(3):
+        want = fields.blurred(want, 1.0, 3, axis)
+    got = {(r.bz, r.by, r.bx): kernels.unpacked(r) for r in f.collect()}
+    for k, at, part in B._cut("v", 0, np.zeros(3, int), want.astype(np.float32), brick):
+        assert np.array_equal(got[tuple(k)], part)
+    found = fields.demons(f, f, shape, brick, 1)
+    assert len(sides) > 4 and set(sides) == {(64, 32, 32)}  # not the small bricks, whose halos are several times their voxels
+    assert not any(np.frombuffer(r.data, r.dtype).any() for r in found.collect())  # equal volumes: no displacement

@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelbrick.functions.kernels import grid, sample
+from voxelbrick.functions.kernels import grid, sample, samples
 from voxelbrick.operators import resample
-from voxelbrick.operators.bricks import _COLUMNS, AXES, Triple, _row, frame
-from voxelbrick.operators.resample import IDENTITY, ON, PIECES, assembled, clamped_box, gathered, output_grid, sent, with_transforms
+from voxelbrick.operators.bricks import _COLUMNS, AXES, Triple, _cut, _row, frame, side_of
+from voxelbrick.operators.resample import IDENTITY, ON, PIECES, assembled, block_box, clamped_box, gathered, gathered_blocks, output_grid, sent, with_transforms
 from voxelbrick.schema import BRICKS
 from voxelbrick.sources.scratch import dropped, stored
 
@@ -30,6 +30,18 @@ def _brick(r, start, a: np.ndarray) -> tuple:
     return (r[0], int(r[1]), *map(int, r[2:5]), *map(int, start), *a.shape[1:], str(a.dtype), np.ascontiguousarray(a).tobytes())
 
 
+def _bricks(key, at: np.ndarray, a: np.ndarray, brick: Triple, have: pd.DataFrame, reach: int) -> pd.DataFrame:
+    """The bricks of a block that starts at `at` (a: numbers, z, y, x) that have pieces no farther than reach."""
+    first = have[["s_z0", "s_y0", "s_x0"]].to_numpy()
+    end = first + have[["s_nz", "s_ny", "s_nx"]].to_numpy()
+    rows = []
+    for k, low, part in _cut(key[0], key[1], at, a[0], brick):
+        if ((first < np.array(low) + part.shape + reach) & (end > np.array(low) - reach)).all(axis=1).any():
+            part = a[(slice(None), *[slice(p - o, p - o + w) for p, o, w in zip(low, at, part.shape, strict=True)])]
+            rows.append(_brick((key[0], key[1], *k), low, part))
+    return pd.DataFrame(rows, columns=_COLUMNS)
+
+
 def stacked(parts: list[DataFrame]) -> DataFrame:
     """One field out of three tables of bricks (dz, dy, dx) with equal keys: a row a brick, all of its numbers together."""
     out, more = parts[0], range(1, len(parts))
@@ -53,40 +65,48 @@ def blurred(a: np.ndarray, sigma: float, radius: int, axis: int) -> np.ndarray:
     return sum(k * np.take(wide, np.arange(i, i + n), axis=axis) for i, k in enumerate(w))
 
 
+def _halo(sigma: float) -> int:
+    return max(1, int(np.ceil(3 * sigma)))
+
+
+def smoothed(have: pd.DataFrame, at, end, sigma: float, shape: Triple) -> np.ndarray:
+    """The box at..end (numbers, z, y, x; float32) after a separable Gaussian, out of pieces that cover it and its halo."""
+    radius = _halo(sigma)
+    low, high = clamped_box(at, end, np.eye(3), np.zeros(3), float(radius), shape)
+    r0 = have.iloc[0]
+    a = assembled(have, low, high, len(r0["s_data"]) // (np.dtype(r0["s_dtype"]).itemsize * int(r0["s_nz"]) * int(r0["s_ny"]) * int(r0["s_nx"])))
+    for axis in range(3):
+        a = blurred(a, sigma, radius, axis + 1)
+    return a[(slice(None), *[slice(p - q, e - q) for p, e, q in zip(at, end, low, strict=True)])].astype(np.float32)
+
+
 def smooth(bricks: DataFrame, sigma: float, shape: Triple, brick: Triple) -> DataFrame:
-    """bricks (any numbers a voxel) after a separable Gaussian; the volume's edge is repeated. Each brick gets its own box and a halo of 3 sigma."""
-    radius = max(1, int(np.ceil(3 * sigma)))
-    n = np.array(shape)
+    """bricks (any numbers a voxel) after a separable Gaussian; the volume's edge is repeated. Each block of bricks gets its own box and a halo of 3 sigma."""
+    radius, side = _halo(sigma), side_of(brick)
 
     def kernel(key, have: pd.DataFrame) -> pd.DataFrame:
-        at = np.array(key[2:]) * brick
-        end = np.minimum(at + brick, n)
-        low, high = clamped_box(at, end, np.eye(3), np.zeros(3), float(radius), shape)
-        r0 = have.iloc[0]
-        numbers = len(r0["s_data"]) // (np.dtype(r0["s_dtype"]).itemsize * int(r0["s_nz"]) * int(r0["s_ny"]) * int(r0["s_nx"]))
-        a = assembled(have, low, high, numbers)
-        for axis in range(3):
-            a = blurred(a, sigma, radius, axis + 1)
-        a = a[(slice(None), *[slice(p - q, e - q) for p, e, q in zip(at, end, low, strict=True)])]
-        return pd.DataFrame([_brick(key, at, a.astype(np.float32))], columns=_COLUMNS)
-
-    pieces = sent(with_transforms(bricks, IDENTITY, (0, 0, 0), None), shape, shape, brick, float(radius))
+        at = np.array(key[2:]) * side
+        a = smoothed(have, at, np.minimum(at + side, shape), sigma, shape)
+        return _bricks(key, at, a, brick, have, radius)
+
+    pieces = sent(with_transforms(bricks, IDENTITY, (0, 0, 0), None), shape, shape, side, float(radius))
     return pieces.groupBy(*ON).applyInPandas(kernel, BRICKS)
 
 
 def sloped(fixed: DataFrame, shape: Triple, brick: Triple) -> DataFrame:
     """Bricks of four numbers a voxel: the value and its central differences along z, y, x."""
+    side = side_of(brick)
 
     def kernel(key, have: pd.DataFrame) -> pd.DataFrame:
-        at = np.array(key[2:]) * brick
-        end = np.minimum(at + brick, shape)
+        at = np.array(key[2:]) * side
+        end = np.minimum(at + side, shape)
         low, high = clamped_box(at, end, np.eye(3), np.zeros(3), 1.0, shape)
         a = assembled(have, low, high)
         slope = [np.gradient(a, axis=i) if a.shape[i] > 1 else np.zeros_like(a) for i in range(3)]
         out = np.stack([a, *slope])[(slice(None), *[slice(p - q, e - q) for p, e, q in zip(at, end, low, strict=True)])]
-        return pd.DataFrame([_brick(key, at, out.astype(np.float32))], columns=_COLUMNS)
+        return _bricks(key, at, out.astype(np.float32), brick, have, 1)
 
-    return sent(with_transforms(fixed, IDENTITY, (0, 0, 0), None), shape, shape, brick, 1.0).groupBy(*ON).applyInPandas(kernel, BRICKS)
+    return sent(with_transforms(fixed, IDENTITY, (0, 0, 0), None), shape, shape, side, 1.0).groupBy(*ON).applyInPandas(kernel, BRICKS)
 
 
 _MEASURES = ("n", "sa", "sb", "saa", "sbb", "sab")
@@ -96,48 +116,54 @@ _STATE = f"{BRICKS}, far double, " + ", ".join(f"{c} double" for c in _MEASURES)
 def demons(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, rounds: int = 30, sigma: float = 1.5, gain: float = 1e-4, patience: int = 3) -> DataFrame:
     """The field (stored; one row a brick, see above) that brings moving onto fixed; bricks of one shape, paired by volume_id and channel, all pairs at once.
 
-    A round: each brick compares itself with moving under the field, adds the force (f - g) grad f / (|grad f|^2 + (f - g)^2), and the
-    field is smoothed by a Gaussian of sigma, for which bricks exchange halos. Voxels that are exactly 0 on either side (its outside) neither push nor count. It stops when no pair's NCC has risen by gain for
+    A round: each block of bricks smooths its part of the field by a Gaussian of sigma, for which blocks exchange halos, compares itself with
+    moving under it, and adds the force (f - g) grad f / (|grad f|^2 + (f - g)^2): one shuffle. Voxels that are exactly 0 on either side (its outside) neither push nor count. It stops when no pair's NCC has risen by gain for
     `patience` rounds; each pair keeps its best field, or none (zeros) if nothing was better. Means are taken off; contrasts should agree."""
     ids = ["volume_id", "channel"]
     ready = stored(sloped(fixed, shape, brick).withColumnRenamed("data", "f_data").withColumnRenamed("dtype", "f_dtype"), "sloped")
     ends = moving.sparkSession.createDataFrame(_centres(fixed, moving).collect(), "volume_id string, channel int, fc double, mc double")  # a row for each pair
     names = [c.split()[0] for c in _STATE.split(", ")]
 
-    def kernel(r, have: pd.DataFrame) -> pd.DataFrame:
-        at = np.array([r.z0, r.y0, r.x0])
-        size = np.array([r.nz, r.ny, r.nx])
-        f = np.frombuffer(r.f_data, r.f_dtype).reshape(4, *size).astype(float)
-        d = np.zeros((3, *size)) if r.data is None else _stack(r).astype(float)
-        low, high = clamped_box(at, at + size, np.eye(3), np.zeros(3), float(r.reach), shape)
-        c = grid(at, size) + d.reshape(3, -1)
+    def kernel(want: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        at, end = block_box(want)
+        each = list(want.itertuples())
+        size = [(r.nz, r.ny, r.nx) for r in each]
+        cut = np.cumsum([0, *map(np.prod, size)])
+        f = np.concatenate([np.frombuffer(r.f_data, r.f_dtype).reshape(4, -1) for r in each], axis=1).astype(float)
+        d, of_field = np.zeros((3, cut[-1])), have[have["field"]]
+        if len(of_field):
+            a = smoothed(of_field, at, end, sigma, shape)
+            d = np.concatenate([a[(slice(None), *[slice(p - o, p - o + w) for p, o, w in zip((r.z0, r.y0, r.x0), at, n, strict=True)])].reshape(3, -1) for r, n in zip(each, size, strict=True)], axis=1).astype(float)
+        low, high = clamped_box(at, end, np.eye(3), np.zeros(3), float(each[0].reach), shape)
+        c = np.concatenate([grid((r.z0, r.y0, r.x0), n) for r, n in zip(each, size, strict=True)], axis=1) + d
         inside = np.all((c >= 0) & (c <= np.array(shape)[:, None] - 1), axis=0)
-        src = assembled(have, low, high)
-        c = np.clip(c, 0, np.array(shape)[:, None] - 1)
-        g = sample(src, low, shape, c).reshape(size)
-        inside &= (sample((src != 0).astype(float), low, shape, c) > 0.999) & (f[0].ravel() != 0)  # 0 is what lies outside
-        a, b = f[0] - r.fc, g - r.mc
-        u, w = a.ravel()[inside], b.ravel()[inside]
-        diff = (a - b) * inside.reshape(size)
+        src = assembled(have[~have["field"]], low, high)
+        g, solid = samples([src, (src != 0).astype(float)], low, shape, np.clip(c, 0, np.array(shape)[:, None] - 1))
+        inside &= (solid > 0.999) & (f[0] != 0)  # 0 is what lies outside
+        a, b = f[0] - each[0].fc, g - each[0].mc
+        diff = (a - b) * inside
         den = (f[1:] ** 2).sum(axis=0) + diff**2
         push = np.where(den > 1e-12, diff / np.maximum(den, 1e-12), 0) * f[1:]
         d = (d + push).astype(np.float32)
-        row = _brick((r.volume_id, r.channel, r.bz, r.by, r.bx), at, d)
-        return pd.DataFrame([(*row, float(np.abs(d).max(initial=0)), float(len(u)), u.sum(), w.sum(), u @ u, w @ w, u @ w)], columns=names)
-
+        rows = []
+        for r, n, i, j in zip(each, size, cut, cut[1:], strict=False):
+            u, w, own = a[i:j][inside[i:j]], b[i:j][inside[i:j]], d[:, i:j].reshape(3, *n)
+            row = _brick((r.volume_id, r.channel, r.bz, r.by, r.bx), (r.z0, r.y0, r.x0), own)
+            rows.append((*row, float(np.abs(own).max(initial=0)), float(len(u)), u.sum(), w.sum(), u @ u, w @ w, u @ w))
+        return pd.DataFrame(rows, columns=names)
+
+    side = side_of(brick)
+    still = lambda v: with_transforms(v, IDENTITY, (0, 0, 0), None)
+    ready_ = ready.join(F.broadcast(ends), ids)  # ends: a row for each pair
     states, scores, since = [None], [], {}
     while len(scores) <= rounds:
         before = states[-1]
-        if before is None:
-            field, far = None, 0.0
-            wanted = ready.withColumns({"data": F.lit(None).cast("binary"), "dtype": F.lit("float32")})
-        else:
-            far = before.agg(F.max("far")).first()[0] or 0.0
-            field = smooth(before.select(*_COLUMNS), sigma, shape, brick)
-            wanted = ready.join(field.select(*ON, "data", "dtype"), ON)
-        wanted = wanted.join(F.broadcast(ends), ids).withColumn("reach", F.lit(far))  # ends: a row for each pair
-        pieces = sent(with_transforms(moving, IDENTITY, (0, 0, 0), None), shape, shape, brick, far)
-        now = stored(gathered(wanted, pieces, kernel, brick, _STATE), "demons")
+        far = 0.0 if before is None else before.agg(F.max("far")).first()[0] or 0.0
+        pieces = sent(still(moving), shape, shape, side, far).withColumn("field", F.lit(False))
+        if before is not None:  # the field's own pieces have the halo of its smoothing
+            pieces = pieces.unionByName(sent(still(before.select(*_COLUMNS)), shape, shape, side, float(_halo(sigma))).withColumn("field", F.lit(True)))
+        wanted = ready_.withColumn("reach", F.lit(far))
+        now = stored(gathered_blocks(wanted, pieces, kernel, brick, _STATE), "demons")
         score = {}
         for r in now.groupBy(*ids).agg(*[F.sum(c).alias(c) for c in _MEASURES]).collect():  # a row for each pair
             a, b = max(r.saa - r.sa**2 / max(r.n, 1), 0), max(r.sbb - r.sb**2 / max(r.n, 1), 0)
