@@ -115,3 +115,20 @@ def test_smoothing_and_demons_take_blocks(spark, monkeypatch):
     found = fields.demons(f, f, shape, brick, 1)
     assert len(sides) > 4 and set(sides) == {(64, 32, 32)}  # not the small bricks, whose halos are several times their voxels
     assert not any(np.frombuffer(r.data, r.dtype).any() for r in found.collect())  # equal volumes: no displacement
+
+
+def test_batches_of_bricks_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had, brick = spark.conf.get(key), (8, 8, 32)
+    try:
+        for given, want in (("64MB", B.FRAME), ("67108864b", B.FRAME), ("1048576", 1 << 20), ("2m", 2 << 20)):
+            spark.conf.set(key, given)
+            v = spark.createDataFrame([("v", 0, 0, 0, 0, 1.0)], "volume_id string, channel int, z int, y int, x int, v double")
+            b = B.to_bricks(v, (8, 8, 32), brick)
+            assert B._bytes(spark.conf.get(key)) == want
+        spark.conf.set(key, "64MB")
+        b = B.to_bricks(v, (8, 8, 32), brick).crossJoin(spark.range(0, 3000, numPartitions=1))
+        sizes = b.select("data").mapInPandas(lambda batches: (x.assign(s=x["data"].str.len().sum())[["s"]][:1] for x in batches), "s long").collect()
+        assert sum(r.s for r in sizes) == 3000 * 2048 * 8 and max(r.s for r in sizes) <= B.FRAME + 2048 * 8
+    finally:
+        spark.conf.set(key, had)

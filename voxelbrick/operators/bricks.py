@@ -9,11 +9,12 @@ similarity and the long form then leave it out; what is resampled, padded or poo
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelbrick.functions.kernels import given as given_
@@ -57,6 +58,23 @@ def frames(rows: Iterable[tuple], mask: bool = False) -> Iterator[pd.DataFrame]:
     yield frame(out, mask)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _bytes(text: str) -> int:
+    """The bytes of a setting such as 64MB, 8m or 1048576."""
+    m = re.fullmatch(r"([0-9]+)([kmgt]?)i?b?", text.strip().lower())
+    return int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m[2]] if m else 0
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to FRAME bytes. A batch of many small bricks, its copy in pandas and those of the next steps of a task
+    are all held at once, by each core, and would grow with the table up to Spark's default of 64 MB each."""
+    had = _bytes(spark.conf.get(_BATCH))
+    if not 0 < had <= FRAME:
+        spark.conf.set(_BATCH, str(FRAME))
+
+
 def has_mask(bricks: DataFrame) -> bool:
     return "mask" in bricks.columns
 
@@ -101,6 +119,7 @@ def to_bricks(voxels: DataFrame, shape: Triple, brick: Triple = (16, 16, 32), dt
     """voxels (volume_id, channel, z, y, x, v) to bricks; voxels outside shape are dropped, missing ones are 0. given: with a mask of the others.
 
     A call costs milliseconds whatever its size, so that the voxels of a block of small bricks come in one."""
+    bounded(voxels.sparkSession)
     v = voxels.select(F.col("volume_id").cast("string").alias("volume_id"), F.col("channel").cast("int").alias("channel"), *[F.col(a).cast("int").alias(a) for a in AXES], F.col("v").cast("double").alias("v"))
     side = side_of(brick)
     for a, n, s in zip(AXES, shape, side, strict=True):
@@ -321,4 +340,5 @@ def write_bricks(bricks: DataFrame, path: str) -> None:
 
 
 def read_bricks(spark, path: str) -> DataFrame:
+    bounded(spark)
     return spark.read.schema(BRICKS).parquet(path)
