@@ -144,6 +144,28 @@ def test_flat_bright_volumes(spark):
     assert (best.dz, best.dy, best.dx) == (1, 2, 1) and best.ncc > 0.99
 
 
+def test_shifts_are_scored_by_blocks(spark):
+    """Of a block of small bricks one row a shift leaves its task; a brick that isn't there, voxels that a mask leaves out and those that aren't numbers don't count."""
+    a, m = (np.random.default_rng(i).normal(size=SHAPE) for i in (5, 6))
+    there = np.ones(SHAPE, bool)
+    there[: BRICK[0], : BRICK[1], : BRICK[2]] = False
+    there[-1, 2:, :] = False
+    m[1, 2, 3] = np.nan
+    rows = [("v", 0, *map(int, i), float(a[i])) for i in zip(*np.nonzero(there), strict=True)]
+    f = B.to_bricks(spark.createDataFrame(rows, "volume_id string, channel int, z int, y int, x int, v double"), SHAPE, BRICK, given=True)
+    extra = f.select("volume_id", "channel").distinct()
+    each = estimate._shifted(f, table(spark, {("v", 0): m}), SHAPE, BRICK, 1, None, None, extra, lambda r, p, q: (p, q), lambda p, q: [[len(p)], [float(p @ q)]], "volume_id string, channel int, tile_index int, dz int, dy int, dx int, n long, s double").collect()
+    blocks = np.prod([-(-n // s) for n, s in zip(SHAPE, B.side_of(BRICK), strict=True)])
+    assert len(each) == 27 * blocks < 27 * np.prod([-(-n // s) for n, s in zip(SHAPE, BRICK, strict=True)])
+    for d in np.ndindex(3, 3, 3):
+        d = np.array(d) - 1
+        i, j = np.maximum(0, -d), np.minimum(SHAPE, SHAPE - d)
+        p, q = (tuple(slice(u, v) for u, v in zip(i + e, j + e, strict=True)) for e in (0, d))
+        keep = there[p] & np.isfinite(m[q])
+        got = [(r.n, r.s) for r in each if (r.dz, r.dy, r.dx) == tuple(d)]
+        assert np.allclose(np.sum(got, axis=0), (keep.sum(), a[p][keep] @ m[q][keep]))
+
+
 def test_information_sees_a_folded_copy(spark):
     a = soft(SHAPE, 0.8)
     m = np.roll(np.abs(a - np.median(a)), (1, -1, 2), (0, 1, 2))

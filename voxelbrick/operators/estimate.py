@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxelbrick.functions.kernels import given, grid, sample, unpacked
 from voxelbrick.operators import bricks, intensity, metrics, resample
-from voxelbrick.operators.bricks import AXES, Triple
+from voxelbrick.operators.bricks import AXES, Triple, side_of
 from voxelbrick.sources.scratch import stored
 
 
@@ -63,11 +63,13 @@ def centres(fixed: DataFrame, moving: DataFrame) -> DataFrame:
     return mean(fixed, "fc").join(mean(moving, "mc"), ["volume_id", "channel"])
 
 
-def _shifted(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, radius: int, tiles: DataFrame | None, start: DataFrame | None, extra: DataFrame, score, schema: str) -> DataFrame:
-    """score(row, overlap of fixed, overlap of moving) -> rows, for each brick, tile (0 without tiles) and whole shift within radius of start.
+def _shifted(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, radius: int, tiles: DataFrame | None, start: DataFrame | None, extra: DataFrame, ready, score, schema: str) -> DataFrame:
+    """score(overlap of fixed, overlap of moving) -> columns, for each whole shift within radius of start, and each block of bricks, or with
+    tiles each brick and tile of it (else tile 0).
 
-    A brick of fixed meets the moving box around it once; all shifts are scored in its task. extra: columns by volume_id and channel.
-    Voxels that fixed's mask leaves out, and moving ones that aren't finite, don't count."""
+    A block of fixed's bricks meets the moving box around it once; all shifts are scored in its task, on what ready(row, fixed, moving) makes
+    of both boxes before. extra: columns by volume_id and channel. Voxels that fixed lacks or its mask leaves out, and moving ones that
+    aren't finite, don't count."""
     wanted = fixed.join(F.broadcast(extra), ["volume_id", "channel"])  # a row for each pair, so that no pixel is shuffled for it
     if start is None:
         wanted = wanted.withColumns({f"s{a}": F.lit(0) for a in AXES})
@@ -81,19 +83,26 @@ def _shifted(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple,
         by = intensity.tiles_by_brick(tiles, brick)
         wanted = wanted.join(by, [c for c in by.columns if c != "tiles"])
     names = [c.split()[0] for c in schema.split(", ")]
-    steps = range(-radius, radius + 1)
+    steps, tiled = range(-radius, radius + 1), tiles is not None
 
-    def kernel(r, have: pd.DataFrame) -> pd.DataFrame:
-        f = unpacked(r).astype(float)
-        at, s, n = np.array([r.z0, r.y0, r.x0]), np.array([r.sz, r.sy, r.sx]), np.array(shape)
-        end = at + f.shape
+    def kernel(want: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        r = next(want.itertuples())  # what is the pair's own
+        at, end = resample.block_box(want)
+        s, n = np.array([r.sz, r.sy, r.sx]), np.array(shape)
         low, high = resample.clamped_box(at, end, np.eye(3), s.astype(float), float(radius), shape)
+        f, there, boxes = np.zeros(end - at), np.zeros(end - at, bool), [] if tiled else [(0, at, end)]
+        for b in want.itertuples():
+            p = np.array([b.z0, b.y0, b.x0])
+            q = p + (b.nz, b.ny, b.nx)
+            here = tuple(slice(u, v) for u, v in zip(p - at, q - at, strict=True))
+            f[here], there[here] = unpacked(b), given(b)
+            if tiled:
+                boxes += [(t["tile_index"], *(edge([t[f"{a}{e}"] for a in AXES], x) for e, edge, x in ((0, np.maximum, p), (1, np.minimum, q)))) for t in b.tiles]
         m = resample.assembled(have, low, high)
-        there = given(r) if getattr(r, "mask", None) is not None else None
         finite = np.isfinite(m)
-        finite = None if finite.all() else finite
-        boxes = [(0, at, end)] if r.tiles is None else [(t["tile_index"], *(edge([t[f"{a}{e}"] for a in AXES], x) for e, edge, x in ((0, np.maximum, at), (1, np.minimum, end)))) for t in r.tiles]
-        rows = []
+        some = not (there.all() and finite.all())
+        f, m = ready(r, f, np.where(finite, m, 0.0) if some else m)
+        places, scores = [], []
         for tile, p, q in boxes:
             for d in itertools.product(steps, steps, steps):
                 d = s + d
@@ -101,14 +110,19 @@ def _shifted(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple,
                 if (i < j).all():
                     of_f, of_m = (tuple(slice(u, v) for u, v in zip(i + e, j + e, strict=True)) for e in (-at, d - low))
                     a, b = f[of_f].ravel(), m[of_m].ravel()
-                    if there is not None or finite is not None:
-                        keep = (True if there is None else there[of_f].ravel()) & (True if finite is None else finite[of_m].ravel())
+                    if some:
+                        keep = there[of_f].ravel() & finite[of_m].ravel()
                         a, b = a[keep], b[keep]
                     if len(a):
-                        rows += [(r.volume_id, r.channel, tile, *map(int, d), *x) for x in score(r, a, b)]
-        return pd.DataFrame(rows, columns=names)
+                        scores.append(score(a, b))
+                        places.append((tile, *map(int, d)))
+        if not scores:
+            return pd.DataFrame(columns=names)
+        many = [len(x[0]) for x in scores]
+        columns = [*np.repeat(np.array(places), many, axis=0).T, *(np.concatenate(c) for c in zip(*scores, strict=True))]
+        return pd.DataFrame({"volume_id": r.volume_id, "channel": r.channel, **dict(zip(names[2:], columns, strict=True))})
 
-    return resample.gathered(wanted, resample.sent(ahead, shape, shape, brick, float(radius)), kernel, brick, schema)
+    return resample.gathered_blocks(wanted, resample.sent(ahead, shape, shape, side_of(brick), float(radius)), kernel, brick, schema)
 
 
 def shift_scores(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Triple, radius: int, tiles: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
@@ -118,12 +132,14 @@ def shift_scores(fixed: DataFrame, moving: DataFrame, shape: Triple, brick: Trip
     fixed, moving: bricks of one shape, paired by volume_id and channel. start: volume_id, channel, sz, sy, sx, whole numbers; nothing is
     resampled for it. Sums are about each side's mean, so bright volumes of little contrast lose no digits."""
 
-    def score(r, a, b):
-        a, b = a - r.fc, b - r.mc
-        return [(len(a), a.sum(), b.sum(), a @ a, b @ b, a @ b)]
+    def ready(r, f, m):
+        return f - r.fc, m - r.mc
+
+    def score(a, b):
+        return [[float(x)] for x in (len(a), a.sum(), b.sum(), a @ a, b @ b, a @ b)]
 
     names = [c.split()[0] for c in _SCORES.split(", ")]
-    sums = _shifted(fixed, moving, shape, brick, radius, tiles, start, centres(fixed, moving), score, _SCORES).groupBy(*names[:6]).agg(*[F.sum(c).alias(c) for c in _SUMS])
+    sums = _shifted(fixed, moving, shape, brick, radius, tiles, start, centres(fixed, moving), ready, score, _SCORES).groupBy(*names[:6]).agg(*[F.sum(c).alias(c) for c in _SUMS])
     spread = lambda s: F.greatest(F.col(f"s{s}{s}") - F.col(f"s{s}") * F.col(f"s{s}") / F.col("n"), F.lit(0.0))
     den = F.sqrt(spread("a") * spread("b"))
     ncc = F.when(den < 1e-12, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / den)))
@@ -138,14 +154,17 @@ def shift_information(fixed: DataFrame, moving: DataFrame, shape: Triple, brick:
     ends = lambda v, p: intensity.brick_ends(v, "minmax", ("volume_id", "channel")).toDF("volume_id", "channel", f"{p}_lo", f"{p}_hi")
     extra = stored(ends(fixed, "f").join(ends(moving.drop("mask"), "m"), ["volume_id", "channel"]), "ends")
 
-    def score(r, a, b):
-        c = np.bincount(metrics.bin_index(a, r.f_lo, r.f_hi, bins) * bins + metrics.bin_index(b, r.m_lo, r.m_hi, bins), minlength=bins * bins)
+    def ready(r, f, m):
+        return metrics.bin_index(f, r.f_lo, r.f_hi, bins) * bins, metrics.bin_index(m, r.m_lo, r.m_hi, bins)
+
+    def score(a, b):
+        c = np.bincount(a + b, minlength=bins * bins)
         k = np.flatnonzero(c)
-        return zip((k // bins).tolist(), (k % bins).tolist(), c[k].tolist(), strict=True)
+        return k // bins, k % bins, c[k]
 
     keys = ["volume_id", "channel", "tile_index", "dz", "dy", "dx"]
     schema = "volume_id string, channel int, tile_index int, dz int, dy int, dx int, i int, j int, c long"
-    cells = _shifted(fixed, moving, shape, brick, radius, tiles, start, extra, score, schema).groupBy(*keys, "i", "j").agg(F.sum("c").alias("c"))
+    cells = _shifted(fixed, moving, shape, brick, radius, tiles, start, extra, ready, score, schema).groupBy(*keys, "i", "j").agg(F.sum("c").alias("c"))
     cells = stored(cells, "cells")
     return metrics.nmi(cells, tuple(keys)).join(cells.groupBy(*keys).agg(F.sum("c").alias("n")), keys).select(*keys, "n", "nmi")
 
