@@ -26,3 +26,18 @@ def test_last_plane_not_whole(name, spark, ragged):
     columns = [d[0] for d in cur.description]
     want = sorted(map(_key, cur.fetchall()))
     assert sorted(_key([r[c] for c in columns]) for r in got.collect()) == want
+
+
+@pytest.fixture(scope="module")
+def holed(sf, tmp_path_factory):
+    """Without a layer of bricks in the middle, and without a seventh of the other vectors."""
+    folder = tmp_path_factory.mktemp("holed")
+    con = duckdb.connect()
+    con.execute(f"copy (from '{sf}/embeddings.parquet' where vec_id < 486 and vec_id not between 190 and 405 and vec_id % 7 <> 3) to '{folder}/embeddings.parquet' (format parquet)")
+    con.execute(f"create view embeddings as from '{folder}/embeddings.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", "a5_value_percentiles e2_information p6_transpose p8_uint16 r3_coarse s7_stack s8_tiff_pages s9_tiff_planes t6_blend".split())
+def test_vectors_missing_between(name, spark, holed):
+    test_last_plane_not_whole(name, spark, holed)
