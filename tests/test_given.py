@@ -41,3 +41,20 @@ def holed(sf, tmp_path_factory):
 @pytest.mark.parametrize("name", "a5_value_percentiles e2_information p6_transpose p8_uint16 r3_coarse s7_stack s8_tiff_pages s9_tiff_planes t6_blend".split())
 def test_vectors_missing_between(name, spark, holed):
     test_last_plane_not_whole(name, spark, holed)
+
+
+@pytest.fixture(scope="module")
+def gapped(sf, tmp_path_factory):
+    """Users in two far groups, a fourth cycle, one cycle without its fixed channel, and events without a value."""
+    folder = tmp_path_factory.mktemp("gapped")
+    con = duckdb.connect()
+    con.execute(f"create table e as from '{sf}/events.parquet'")
+    con.execute("create table more as from e union all select event_id + 1000, ts + interval 13 day, user_id + 400, event_type, case when event_id % 5 > 0 then value * 1.5 end, props from e where event_id % 3 > 0")
+    con.execute(f"copy (from more where event_type <> 'click' or date_diff('day', timestamp '2024-01-01', ts) not between 10 and 19) to '{folder}/events.parquet' (format parquet)")
+    con.execute(f"create view events as from '{folder}/events.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", "a1_ncc a2_nrmse a3_nmi".split())
+def test_users_and_cycles_far_apart(name, spark, gapped):
+    test_last_plane_not_whole(name, spark, gapped)

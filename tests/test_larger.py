@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from voxelbrick.functions import kernels, parse
 from voxelbrick.operators import bricks as B
-from voxelbrick.operators import catalog, fields, register, resample, tiling
+from voxelbrick.operators import catalog, fields, metrics, register, resample, tiling
+from voxelbrick.sources.scratch import stored
 
 
 def _plan(df) -> str:
@@ -132,3 +133,53 @@ def test_batches_of_bricks_are_bounded(spark):
         assert sum(r.s for r in sizes) == 3000 * 2048 * 8 and max(r.s for r in sizes) <= B.FRAME + 2048 * 8
     finally:
         spark.conf.set(key, had)
+
+
+def _batches(df) -> int:
+    """Batches that the scan of a collected df has decoded."""
+    df.collect()
+    todo = [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "ColumnarToRow":
+            return p.metrics().apply("numInputBatches").value()
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    raise AssertionError("no scan by batches")
+
+
+def test_few_bricks_are_decoded_at_once(spark):
+    """However small their file is: a batch of 4096 sparse bricks of 123 KB each was half a gigabyte in each core."""
+    v = spark.range(3 * B.ROWS).selectExpr("'v' volume_id", "0 channel", "0 z", "0 y", "cast(id as int) * 4 x", "1.0D v")
+    b = stored(B.to_bricks(v, (1, 1, 12 * B.ROWS), (1, 1, 4)).coalesce(1), "bricks")
+    assert len(b.inputFiles()) == 1 and b.count() == 3 * B.ROWS
+    assert _batches(b.select("bx", "data")) >= 3
+
+
+def test_blocks_keep_to_the_volume():
+    assert B.side_of((10, 64, 24), (10, 540000, 24)) == (10, 256, 24)
+    assert B.side_of((8, 8, 32), (4, 4, 20)) == (8, 8, 32)
+    assert B.side_of((8, 8, 32), (10**6, 10**6, 10**6)) == B.side_of((8, 8, 32))
+
+
+def test_pairs_of_a_grid_make_no_zeros(spark, monkeypatch):
+    """Bricks that one or both sides lack are compared as zeros, but have no pixels."""
+    monkeypatch.setattr(metrics, "HELD", 2)
+    monkeypatch.setattr(metrics, "JOINED", 1 << 10)
+    shape, brick, rng = (5, 17, 20), (4, 4, 8), np.random.default_rng(3)
+    sides = [np.where(rng.random((3, *shape)) < 0.1, rng.integers(1, 900, (3, *shape)), 0) for _ in "fm"]
+    sides[0][:, :, 8:] = 0
+    sides[1][:, :, :4] = sides[1][1, :, 12:] = 0
+    sparse = lambda a: B.to_bricks(spark.createDataFrame([("v", *map(int, p), float(a[tuple(p)])) for p in np.argwhere(a)], "volume_id string, channel int, z int, y int, x int, v double"), shape, brick)
+    ids = spark.createDataFrame([("v", i) for i in range(3)], "volume_id string, channel int")
+    pairs = metrics.pair_bricks(*map(sparse, sides), grid=resample.output_grid(ids, shape, brick))
+    rows = pairs.collect()
+    assert len(rows) == 3 * 2 * 5 * 3 and {r.a_data is None for r in rows} == {r.b_data is None for r in rows} == {True, False}
+    assert any(r.a_data is None and r.b_data is None for r in rows)
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString() and pairs.rdd.getNumPartitions() > 4
+    sums = metrics.moments(pairs)
+    got = {r.pair_id: r for r in metrics.ncc(sums).join(metrics.nmi(metrics.joint_counts(pairs, sums)), ["pair_id", "phase"]).collect()}
+    for i, (a, b) in enumerate(zip(*sides, strict=True)):
+        h = np.bincount(metrics.bin_index(a.ravel(), 0, a.max(), 64) * 64 + metrics.bin_index(b.ravel(), 0, b.max(), 64), minlength=4096).reshape(64, 64) / a.size
+        ent = lambda q: -(q * np.log(q + 1e-12)).sum()
+        r = got[f"pair/{i}"]
+        assert r.n == a.size and np.isclose(r.ncc, np.corrcoef(a.ravel(), b.ravel())[0, 1]) and np.isclose(r.nmi, (ent(h.sum(1)) + ent(h.sum(0))) / ent(h))

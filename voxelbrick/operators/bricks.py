@@ -58,7 +58,11 @@ def frames(rows: Iterable[tuple], mask: bool = False) -> Iterator[pd.DataFrame]:
     yield frame(out, mask)
 
 
+#: Bricks that a reader of Parquet decodes at once: for these few, scans of long tables take hardly longer.
+ROWS = 32
+
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_DECODED = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def _bytes(text: str) -> int:
@@ -69,10 +73,15 @@ def _bytes(text: str) -> int:
 
 def bounded(spark: SparkSession) -> None:
     """Lowers the session's Arrow batches to FRAME bytes. A batch of many small bricks, its copy in pandas and those of the next steps of a task
-    are all held at once, by each core, and would grow with the table up to Spark's default of 64 MB each."""
+    are all held at once, by each core, and would grow with the table up to Spark's default of 64 MB each.
+
+    Also lowers the rows that Parquet's reader decodes at once to ROWS: each core holds their pixels unpacked, and Spark's default of 4096
+    bricks may be gigabytes, however small their file is."""
     had = _bytes(spark.conf.get(_BATCH))
     if not 0 < had <= FRAME:
         spark.conf.set(_BATCH, str(FRAME))
+    if int(spark.conf.get(_DECODED)) > ROWS:
+        spark.conf.set(_DECODED, str(ROWS))
 
 
 def has_mask(bricks: DataFrame) -> bool:
@@ -92,18 +101,22 @@ def _kind(mask: bool) -> str:
 BLOCK = 1 << 16
 
 
-def block_of(brick: Triple) -> Triple:
-    """How many bricks on each axis make a block of at most BLOCK voxels; large bricks are blocks of their own."""
+def block_of(brick: Triple, shape: Triple | None = None) -> Triple:
+    """How many bricks on each axis make a block of at most BLOCK voxels; large bricks are blocks of their own. shape: no block grows on an
+    axis that it covers, where it would only hold what is outside the volume."""
     side, many = list(brick), [1, 1, 1]
     while 2 * np.prod(side) <= BLOCK:
-        i = int(np.argmin(side))
+        short = [i for i in range(3) if shape is None or side[i] < shape[i]]
+        if not short:
+            break
+        i = min(short, key=side.__getitem__)
         side[i], many[i] = 2 * side[i], 2 * many[i]
     return tuple(many)
 
 
-def side_of(brick: Triple) -> Triple:
+def side_of(brick: Triple, shape: Triple | None = None) -> Triple:
     """The voxels of a block on each axis."""
-    return tuple(s * n for s, n in zip(brick, block_of(brick), strict=True))
+    return tuple(s * n for s, n in zip(brick, block_of(brick, shape), strict=True))
 
 
 def by_block(brick: Triple) -> dict:
@@ -121,7 +134,7 @@ def to_bricks(voxels: DataFrame, shape: Triple, brick: Triple = (16, 16, 32), dt
     A call costs milliseconds whatever its size, so that the voxels of a block of small bricks come in one."""
     bounded(voxels.sparkSession)
     v = voxels.select(F.col("volume_id").cast("string").alias("volume_id"), F.col("channel").cast("int").alias("channel"), *[F.col(a).cast("int").alias(a) for a in AXES], F.col("v").cast("double").alias("v"))
-    side = side_of(brick)
+    side = side_of(brick, shape)
     for a, n, s in zip(AXES, shape, side, strict=True):
         v = v.where(F.col(a).between(0, n - 1)).withColumn(f"g{a}", F.floor(F.col(a) / s).cast("int"))
 
